@@ -18,10 +18,13 @@ from pyspark.sql import functions as F
 
 from sextant.llm.common import cut, load, settle
 
-STATS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_ended_lines", "n_letters", "n_upper", "n_marks")
+STATS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_ended_lines", "n_letters", "n_upper", "n_marks", "n_punct")
+#: Prior accuracy of a rule's votes on good and on bad documents, and prior share of good documents.
+START, PRIOR, N_RULES = (0.995, 0.25), 0.9, 9
 _SYMBOLS, _SPACE, _MARKS = b"#*$%&|<>", b" \t\n\x0b\x0c\r", b"!?"
 _UPPER = bytes(range(65, 91))
 _NOT_LETTERS = bytes(c for c in range(128) if not (65 <= c <= 90 or 97 <= c <= 122))
+_PUNCT = bytes(c for c in range(33, 127) if not chr(c).isalnum())
 _ENDS = (b".", b"!", b"?", b'"', b":", b";")
 
 
@@ -66,6 +69,7 @@ def text_stats(text: str | None) -> tuple[int, ...]:
         len(raw.translate(None, _NOT_LETTERS)),
         len(raw) - len(raw.translate(None, _UPPER)),
         len(raw) - len(raw.translate(None, _MARKS)),
+        len(raw) - len(raw.translate(None, _PUNCT)),
     )
 
 
@@ -92,14 +96,16 @@ def votes(s: Column) -> list[tuple[str, Column]]:
 
     mean, symbols, repeated = ratio("word_chars", "n_words"), ratio("n_symbols", "n_words"), ratio("n_repeat_words", "n_words")
     doubled, ended, shouted, marks = ratio("n_dup_lines", "n_lines"), ratio("n_ended_lines", "n_lines"), ratio("n_upper", "n_letters"), ratio("n_marks", "n_words")
+    punct = ratio("n_punct", "word_chars")
     return [
-        ("length", rule(s["n_words"] >= 80, s["n_words"] < 50)),
+        ("length", rule(s["n_words"] >= 50, s["n_words"] < 50)),
         ("symbols", rule(symbols < 0.02, symbols > 0.1)),
         ("repeats", rule(repeated < 0.1, repeated > 0.3)),
-        ("lines", rule(s["n_dup_lines"] == 0, doubled > 0.3)),
+        ("lines", rule(s["n_dup_lines"] == 0, doubled > 0.4)),
         ("word_length", rule(mean.between(3, 9), (mean < 2.5) | (mean > 12))),
         ("shouting", rule(shouted < 0.15, shouted > 0.4)),
         ("marks", rule(marks < 0.05, marks > 0.3)),
+        ("punctuation", rule(punct < 0.06, punct > 0.08)),
         ("endings", rule(ended > 0.7, ended < 0.1)),
     ]
 
@@ -122,23 +128,26 @@ class LabelModel:
         return F.lit(1.0) / (F.lit(1.0) + F.exp(-logit))
 
 
-def fit_label_model(patterns: np.ndarray, counts: np.ndarray, rounds: int = 200, strength: float = 20.0) -> LabelModel:
+def fit_label_model(patterns: np.ndarray, counts: np.ndarray, rounds: int = 200, strength: float = 0.2) -> LabelModel:
     """EM over distinct vote patterns (rows of -1, 0, 1) with their counts.
 
-    Beta priors (mean accuracy 0.8 in either class, ``strength`` pseudo-votes; class prior 0.8) hold the
-    classes in place; abstentions carry no evidence. With no rows the priors come back.
+    Beta priors hold the classes in place (as many pseudo-votes as ``strength`` times the rows, so that they
+    weigh alike at every size): a rule seldom speaks against a good
+    document (accuracy START[0]) and any one rule sees only some kinds of bad ones (START[1]).
+    Abstentions carry no evidence. With no rows the priors come back.
     """
-    n_rules = patterns.shape[1] if patterns.size else 8
-    alpha = np.full((n_rules, 2), 0.8)
-    prior = 0.8
+    n_rules = patterns.shape[1] if patterns.size else N_RULES
+    alpha = np.tile(np.array(START), (n_rules, 1))
+    prior = PRIOR
+    strength = max(20.0, strength * float(counts.sum())) if patterns.size else 0.0
     up, down, counts = (patterns > 0).astype(float), (patterns < 0).astype(float), counts.astype(float)
     for _ in range(rounds if patterns.size else 0):
         logit = np.log(prior / (1 - prior)) + up @ np.log(alpha[:, 0] / (1 - alpha[:, 1])) + down @ np.log((1 - alpha[:, 0]) / alpha[:, 1])
         q = counts / (1 + np.exp(-np.clip(logit, -500, 500)))
         r = counts - q
-        new = np.stack([(q @ up + 0.8 * strength) / (q @ (up + down) + strength), (r @ down + 0.8 * strength) / (r @ (up + down) + strength)], 1)
-        new, before = np.clip(new, 0.51, 0.999), (alpha, prior)
-        prior = float(np.clip((q.sum() + 0.8 * strength) / (counts.sum() + strength), 0.02, 0.98))
+        new = np.stack([(q @ up + START[0] * strength) / (q @ (up + down) + strength), (r @ down + START[1] * strength) / (r @ (up + down) + strength)], 1)
+        new, before = np.clip(new, 0.02, 0.9999), (alpha, prior)
+        prior = float(np.clip((q.sum() + PRIOR * strength) / (counts.sum() + strength), 0.02, 0.98))
         alpha = new
         if np.abs(alpha - before[0]).max() < 1e-9 and abs(prior - before[1]) < 1e-9:
             break
@@ -146,9 +155,9 @@ def fit_label_model(patterns: np.ndarray, counts: np.ndarray, rounds: int = 200,
 
 
 def learn(stats: DataFrame, column: str = "_stats") -> LabelModel:
-    """Fit on the vote patterns of all rows; at most 3 to the number of rules of them reach the driver."""
+    """Fit on the vote patterns of all rows that the base test leaves open; at most 3 to the number of rules of them reach the driver."""
     rules = votes(F.col(column))
-    rows = stats.select(*(v.alias(n) for n, v in rules)).groupBy(*(n for n, _ in rules)).agg(F.count("*").alias("_rows")).collect()
+    rows = stats.filter(~base_failed(F.col(column))).select(*(v.alias(n) for n, v in rules)).groupBy(*(n for n, _ in rules)).agg(F.count("*").alias("_rows")).collect()
     rows = sorted(tuple(r) for r in rows)
     return fit_label_model(np.array([r[:-1] for r in rows]), np.array([r[-1] for r in rows]))
 
