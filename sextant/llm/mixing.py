@@ -4,8 +4,9 @@ A source's rate is its target over its size, at most 3. Each document is taken f
 once more with the fractional part as its inclusion probability. The cube method's flight moves these
 probabilities along the null space of the constraints (tokens, documents) until each is 0 or 1, so the
 balance holds exactly; it runs in small blocks of a source, side by side, and the up to two documents
-a block leaves open go on to the next level. What at last is open in a source, two documents at most,
-is the landing problem, settled by the choice that misses the token total least.
+a block leaves open go on to the next level. The last level also holds a reserve of the source, some
+RESERVE documents by hash that no block had: what is open there at the end, two documents at most, is
+the landing problem, and documents of the reserve change sides until the tokens come out.
 """
 
 from __future__ import annotations
@@ -25,6 +26,8 @@ WEIGHTS = (5, 2, 1)
 MOST = 3
 #: Documents in one block of the flight. Every level keeps all rows; only the block size is bounded.
 BLOCK = 2000
+#: Documents of a source, in the mean, that wait for the last level.
+RESERVE = 256
 WORD = r"[^\x20\x09-\x0D]+"
 
 
@@ -69,14 +72,31 @@ def flight(pi: np.ndarray, size: np.ndarray, seed: int) -> np.ndarray:
     return np.array(pi)
 
 
-def landing(pi: np.ndarray, size: np.ndarray) -> np.ndarray:
-    """Round the few open documents to the choice that misses their expected tokens least, then their expected number."""
+def landing(start: np.ndarray, pi: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Settle the open documents and mend what their rounding costs.
+
+    The open ones (two at most) take the choice that misses their expected tokens least. Then, while it
+    brings the tokens nearer to their expectation, the best single document or pair among those that
+    had a choice (0 < start < 1) changes sides.
+    """
+    size = size.astype(float)
     open_ = [i for i, p in enumerate(pi) if 0 < p < 1]
     out = pi.copy()
     if open_:
-        p, s = pi[open_], size[open_].astype(float)
-        best = min(itertools.product((0.0, 1.0), repeat=len(open_)), key=lambda x: (abs((np.array(x) - p) @ s), abs((np.array(x) - p).sum()), x))
-        out[open_] = best
+        p, s = pi[open_], size[open_]
+        out[open_] = min(itertools.product((0.0, 1.0), repeat=len(open_)), key=lambda x: (abs((np.array(x) - p) @ s), abs((np.array(x) - p).sum()), x))
+    free = np.flatnonzero((start > 0) & (start < 1))
+    for _ in range(8 if len(free) else 0):
+        off = (out - start) @ size
+        change = np.where(out[free] > 0.5, -size[free], size[free])
+        one = np.abs(off + change)
+        pair = np.abs(off + change[:, None] + change[None, :])
+        np.fill_diagonal(pair, np.inf)
+        i, j = divmod(int(pair.argmin()), len(free))
+        if min(one.min(), pair[i, j]) >= abs(off) - 1e-9:
+            break
+        for k in [int(one.argmin())] if one.min() <= pair[i, j] else [i, j]:
+            out[free[k]] = 1.0 - out[free[k]]
     return out
 
 
@@ -86,8 +106,9 @@ def _fly(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
 
 
 def _land(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+    start = rows.sort_values(["_order", "doc_id", "_key", "size"], na_position="last", kind="stable")["_pi"].to_numpy()
     rows = _fly(key, rows)
-    return rows.assign(_pi=landing(rows["_pi"].to_numpy(), rows["size"].to_numpy()))
+    return rows.assign(_pi=landing(start, rows["_pi"].to_numpy(), rows["size"].to_numpy()))
 
 
 def mixed(docs: DataFrame) -> DataFrame:
@@ -102,11 +123,13 @@ def mixed(docs: DataFrame) -> DataFrame:
     rows = cut(docs.select("doc_id", "source", F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("bigint").alias("size"), F.xxhash64(*docs.columns).alias("_key")))
     per = {r["source"]: (r["s"] or 0, r["n"]) for r in rows.groupBy("source").agg(F.sum("size").alias("s"), F.count("*").alias("n")).collect()}
     want = targets({s: x[0] for s, x in per.items()})
-    table = spark.createDataFrame([(s, x[0], want[s], min(float(MOST), want[s] / x[0]) if x[0] else 0.0, -(-x[1] // BLOCK)) for s, x in per.items()], "_source string, source_size bigint, target double, _rate double, _blocks bigint")
+    table = spark.createDataFrame([(s, x[0], want[s], min(float(MOST), want[s] / x[0]) if x[0] else 0.0, -(-x[1] // BLOCK), x[1]) for s, x in per.items()], "_source string, source_size bigint, target double, _rate double, _blocks bigint, _n bigint")
     # One row per source, as collected above: small by the same token.
     rows = rows.join(F.broadcast(table), F.col("source").eqNullSafe(F.col("_source"))).drop("_source")
     whole = F.floor("_rate").cast("int")
-    rows = rows.select("doc_id", "source", "size", "source_size", "target", "_key", whole.alias("_whole"), (F.col("_rate") - whole).alias("_pi"), F.xxhash64("_key", F.lit(7)).alias("_order"), F.col("_blocks").alias("_blocks"))
+    rows = rows.select("doc_id", "source", "size", "source_size", "target", "_key", whole.alias("_whole"), (F.col("_rate") - whole).alias("_pi"), F.xxhash64("_key", F.lit(7)).alias("_order"), "_blocks", "_n")
+    waits = F.pmod("_order", F.greatest(F.floor(F.col("_n") / RESERVE), F.lit(1))) == 0
+    reserve, rows = rows.filter(waits).drop("_n"), rows.filter(~waits).drop("_n")
     done, level = [], 0
     schema = rows.schema
     while True:
@@ -117,10 +140,10 @@ def mixed(docs: DataFrame) -> DataFrame:
         open_ = rows.filter(still)
         counts = {r["source"]: r["n"] for r in open_.groupBy("source").agg(F.count("*").alias("n")).collect()}
         if max(counts.values(), default=0) <= BLOCK:
-            done.append(open_.groupBy("source").applyInPandas(_land, schema))
+            done.append(open_.unionByName(reserve).groupBy("source").applyInPandas(_land, schema))
             break
-        table = spark.createDataFrame([(s, -(-n // BLOCK)) for s, n in counts.items()], "_source string, _n bigint")
-        rows = open_.join(F.broadcast(table), F.col("source").eqNullSafe(F.col("_source"))).withColumn("_blocks", F.col("_n")).drop("_source", "_n")
+        table = spark.createDataFrame([(s, -(-n // BLOCK)) for s, n in counts.items()], "_source string, _blocks bigint")
+        rows = open_.drop("_blocks").join(F.broadcast(table), F.col("source").eqNullSafe(F.col("_source"))).drop("_source").select(*schema.names)
         level += 1
     out = done[0]
     for x in done[1:]:
