@@ -62,18 +62,25 @@ def logits(rows: Rows, w: np.ndarray, bias: float) -> np.ndarray:
     return np.array([w[i] @ v for i, v in rows]) + bias if rows else np.zeros(0)
 
 
-def logistic(rows: Rows, y: np.ndarray, size: int, least: int = 3, steps: int = 120, l2: float = 1e-3) -> tuple[np.ndarray, float]:
-    """Full-batch AdaGrad on the features that ``least`` rows have. One class only, or no rows: the prior alone."""
+def logistic(rows: Rows, y: np.ndarray, size: int, least: float = 3.5, steps: int = 150, l2: float = 1e-4) -> tuple[np.ndarray, float]:
+    """Full-batch AdaGrad on the features whose means differ between the classes by ``least`` standard errors.
+
+    One class only, or no rows: the prior alone.
+    """
     w, share = np.zeros(size), (y.sum() + 1) / (len(y) + 2) if len(y) else 0.5
     bias = float(np.log(share / (1 - share)))
     if not 0 < y.sum() < len(y):
         return w, bias
     at, v = np.concatenate([i for i, _ in rows]), np.concatenate([x for _, x in rows])
     row = np.repeat(np.arange(len(rows)), [len(i) for i, _ in rows])
-    known = np.bincount(at, minlength=size) >= least
+    n1, n0, up = y.sum(), len(y) - y.sum(), y[row] > 0.5
+    mean1, mean0 = np.bincount(at[up], v[up], size) / n1, np.bincount(at[~up], v[~up], size) / n0
+    mean, square = np.bincount(at, v, size) / len(y), np.bincount(at, v * v, size) / len(y)
+    error = np.sqrt(np.maximum(square - mean * mean, 1e-12) * (1 / n1 + 1 / n0))
+    known = np.abs(mean1 - mean0) > least * error
     keep = known[at]
     at, v, row = at[keep], v[keep], row[keep]
-    total, total_bias = np.full(size, 1e-8), 1e-8
+    total, total_bias = np.full(size, 1e-4), 1e-4
     for _ in range(steps):
         p = 1 / (1 + np.exp(-np.clip(np.bincount(row, v * w[at], len(rows)) + bias, -30, 30)))
         d = (p - y) / len(y)
