@@ -6,14 +6,19 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sextant.llm import line_dedup, mixing, quality_rules
+from sextant.llm import language_id, line_dedup, mixing, near_dedup, pieces, quality_classifier, quality_rules, token_files
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_quality_rules": quality_rules.op1_quality_rules,
         "op2_mixing": mixing.op2_mixing,
+        "op3_language_id": language_id.op3_language_id,
+        "op4_near_dedup": near_dedup.op4_near_dedup,
+        "op5_quality_classifier": quality_classifier.op5_quality_classifier,
         "op6_line_dedup": line_dedup.op6_line_dedup,
+        "op9_token_files": token_files.op9_token_files,
+        "op10_pieces": pieces.op10_pieces,
     }
 
 
