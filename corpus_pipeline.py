@@ -4,19 +4,48 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from sextant.llm.common import cut, load
 from sextant.llm.line_dedup import line_dedup
 from sextant.llm.mixing import mix_sources
+from sextant.llm.near_dedup import near_dedup
+from sextant.llm.pieces import encode_documents
 from sextant.llm.quality_rules import quality_rules
 
-STAGES = [
-    ("quality rules", lambda spark, docs, sf_dir: quality_rules(docs)),
-    ("line dedup", lambda spark, docs, sf_dir: line_dedup(docs)),
-    ("mixing", lambda spark, docs, sf_dir: mix_sources(docs)),
-]
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose posterior quality is too low, or that fail the base test, go."""
+    return quality_rules(docs)
+
+
+def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """A line that several documents hold stays in the one with the smallest doc_id."""
+    return line_dedup(docs)
+
+
+def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies stays: five-word shingles, similarity 0.8 or more."""
+    return near_dedup(docs, width=5, percent=80)
+
+
+def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every document as often as the mix takes it."""
+    return mix_sources(docs)
+
+
+def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Piece ids of every whole text."""
+    return encode_documents(docs)
+
+
+STAGES = [("quality rules", quality), ("line dedup", lines), ("near dedup", near), ("mixing", mix), ("pieces", encode)]
 
 #: SQL can express neither the label model nor balanced sampling: tests hold the run against plain code.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raise NotImplementedError
+    """Apply STAGES to ``documents``, each written as Parquet and read again as the next one's input."""
+    docs = load(spark, sf_dir, "documents")
+    for _, stage in STAGES[:-1]:
+        docs = cut(stage(spark, docs, sf_dir))
+    return STAGES[-1][1](spark, docs, sf_dir)

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sextant.llm import language_id, line_dedup, mixing, near_dedup, pieces, quality_classifier, quality_rules, repeats, token_files
+from sextant.llm import image_copies, language_id, line_dedup, mixing, near_dedup, pieces, quality_classifier, quality_rules, repeats, token_files
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -18,6 +18,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op5_quality_classifier": quality_classifier.op5_quality_classifier,
         "op6_line_dedup": line_dedup.op6_line_dedup,
         "op7_repeats": repeats.op7_repeats,
+        "op8_image_copies": image_copies.op8_image_copies,
         "op9_token_files": token_files.op9_token_files,
         "op10_pieces": pieces.op10_pieces,
     }
