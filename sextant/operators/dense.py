@@ -112,7 +112,7 @@ def cells(index: DataFrame, n_cells: int, sample: int = 20_000, rounds: int = 12
     return c
 
 
-def dense_topk_cells(queries: DataFrame, index: DataFrame, k: int = 5, n_cells: int = 16, probes: int = 8, skip_self: bool = False) -> DataFrame:
+def dense_topk_cells(queries: DataFrame, index: DataFrame, k: int = 5, n_cells: int = 16, probes: int = 12, skip_self: bool = False) -> DataFrame:
     """Approximate search: every vector in the cell of its nearest centroid, a query looks into ``probes`` cells.
 
     Every row is indexed. The centroids (``n_cells`` vectors) go to the executors in the closure.

@@ -22,8 +22,9 @@ def triples(examples: DataFrame, max_negatives: int = 2, total: int = 4, compat_
     """
     key = lambda c: context_key(c, compat_ids)
     blank = F.array().cast("array<struct<passage_id:string,id:string,text:string,score:double>>")
-    has = examples.filter(F.size("positive_ctxs") > 0)
-    first = F.get("positive_ctxs", F.lit(0))
+    plain = lambda c: F.transform(c, lambda x: F.struct(*(x[f].alias(f) for f in ("passage_id", "id", "text", "score"))))
+    has = examples.filter(F.size("positive_ctxs") > 0).withColumn("_p", plain("positive_ctxs")).withColumn("_h", F.coalesce(plain("hard_negative_ctxs"), blank))
+    first = F.get("_p", F.lit(0))
     start = F.struct(F.array(key(first)).alias("seen"), blank.alias("kept"))
 
     def take(limit: int):
@@ -33,10 +34,9 @@ def triples(examples: DataFrame, max_negatives: int = 2, total: int = 4, compat_
 
         return step
 
-    hard = F.coalesce(F.col("hard_negative_ctxs"), blank)
-    others = F.slice("positive_ctxs", 2, F.greatest(F.size("positive_ctxs") - 1, F.lit(0)))
+    others = F.slice("_p", 2, F.greatest(F.size("_p") - 1, F.lit(0)))
     ranked = F.transform(F.array_sort(F.transform(others, lambda c, i: F.struct(F.coalesce(c["score"], F.lit(0.0)).alias("s"), i.alias("i"), c.alias("c")))), lambda x: x["c"])
-    folded = has.withColumn("_a", F.aggregate(hard, start, take(max_negatives))).withColumn("_b", F.aggregate(ranked, F.col("_a"), take(total)))
+    folded = has.withColumn("_a", F.aggregate("_h", start, take(max_negatives))).withColumn("_b", F.aggregate(ranked, F.col("_a"), take(total)))
     return folded.select(with_prefix(F.col("question"), "query", always=True).alias("query"), with_prefix(first["text"], "passage", always=True).alias("positive"), F.transform(F.col("_b.kept"), lambda c: with_prefix(c["text"], "passage", always=True)).alias("negatives"), F.coalesce(F.get("answers", F.lit(0)), F.lit("")).alias("answer"))
 
 
