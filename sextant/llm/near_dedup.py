@@ -9,7 +9,7 @@ costs about n + T log T hashes in place of n * T.
 Equal sets collapse to one node first. Nodes that share a band meet in a bucket. No bucket lists its
 pairs: in each round a bucket names pivots and every member not yet in a pivot's component is held
 against them on the full shingle sets; pivots retire, components merge, and the bucket is through
-when its members are of one component. Rounds name 1, 4, 16, ... pivots, so any bucket ends, and every
+when its members are of one component. Rounds name 1, 8, 64, ... pivots, so any bucket ends, and every
 pair that shares a bucket is verified or already linked.
 """
 
@@ -22,9 +22,14 @@ from pyspark.sql import functions as F
 
 from sextant.llm.common import cut, let_go, load, lower_bytes, mix, settle
 
-#: A pair at 0.8 misses all 42 bands of 6 with probability 3e-6, one at 0.85 with 2e-9.
-BANDS, ROWS = 42, 6
-T = BANDS * ROWS
+T = 288
+
+
+def shape(percent: int) -> tuple[int, int]:
+    """Bands and rows: a pair at 0.85 misses all 36 bands of 8 with probability 1e-5, one at 0.8 all 48 of 6 with 5e-7."""
+    return (36, 8) if percent >= 85 else (48, 6)
+
+
 _BLOCK = 1 << 20
 _WHITE = np.zeros(256, bool)
 _WHITE[[9, 10, 11, 12, 13, 32]] = True
@@ -115,10 +120,10 @@ def sketch(shingles: np.ndarray, t: int = T) -> np.ndarray:
     return bins
 
 
-def bands(bins: np.ndarray) -> np.ndarray:
-    grid = bins.reshape(BANDS, ROWS)
-    h = mix(np.arange(BANDS, dtype=np.uint64), 17)
-    for k in range(ROWS):
+def bands(bins: np.ndarray, n: int, rows: int) -> np.ndarray:
+    grid = bins.reshape(n, rows)
+    h = mix(np.arange(n, dtype=np.uint64), 17)
+    for k in range(rows):
         h = mix(h ^ grid[:, k], 18)
     return h.astype(np.int64)
 
@@ -126,7 +131,7 @@ def bands(bins: np.ndarray) -> np.ndarray:
 _PRINT = "struct<n:bigint,f1:bigint,f2:bigint,bands:array<bigint>>"
 
 
-def _print(width: int):
+def _print(width: int, percent: int):
     def prints(texts: pa.Array) -> pa.Array:
         n, f1, f2, keys = [], [], [], []
         for s in shingle_sets(texts.to_pylist(), width):
@@ -134,7 +139,7 @@ def _print(width: int):
             with np.errstate(over="ignore"):
                 f1.append(int(mix(s, 1).sum(dtype=np.uint64).astype(np.int64)))
                 f2.append(int(mix(s, 2).sum(dtype=np.uint64).astype(np.int64)))
-            keys.append(bands(sketch(s)) if len(s) else None)
+            keys.append(bands(sketch(s), *shape(percent)) if len(s) else None)
         return pa.StructArray.from_arrays([pa.array(n, pa.int64()), pa.array(f1, pa.int64()), pa.array(f2, pa.int64()), pa.array(keys, pa.list_(pa.int64()))], ["n", "f1", "f2", "bands"])
 
     return F.arrow_udf(prints, _PRINT)
@@ -205,7 +210,7 @@ def _node(docs: DataFrame):
 def _near(docs: DataFrame, width: int, percent: int) -> tuple[DataFrame, DataFrame]:
     docs = docs.select("doc_id", "text")
     settle(docs.sparkSession)
-    prints = cut(docs.select("doc_id", _node(docs).alias("node"), F.xxhash64("text").alias("th"), _print(width)("text").alias("p")).select("doc_id", "node", "th", "p.*"))
+    prints = cut(docs.select("doc_id", _node(docs).alias("node"), F.xxhash64("text").alias("th"), _print(width, percent)("text").alias("p")).select("doc_id", "node", "th", "p.*"))
     worded = prints.filter("n > 0")
     nodes = cut(worded.groupBy("f1", "f2").agg(F.min(F.struct("node", "th")).alias("rep"), F.first("n").alias("n"), F.first("bands").alias("bands")))
     spread = nodes.select("rep", "n", F.explode("bands").alias("bucket"))
@@ -223,23 +228,26 @@ def _near(docs: DataFrame, width: int, percent: int) -> tuple[DataFrame, DataFra
     pairs = cut(pairs_of(rows))
     tested = pairs
     links = _verified(pairs, docs, width, percent).union(own)
-    rows = rows.drop("pivot")
-    share = 1
+    rows, labels, share = rows.drop("pivot"), components(links), 1
     while True:
-        labels = components(links)
-        comp = rows.join(labels.select(F.col("node").alias("_l"), "comp"), F.col("rep.node") == F.col("_l"), "left").select("bucket", "rep", "n", F.coalesce("comp", "rep.node").alias("comp"))
-        comp = cut(comp)
-        mixed = comp.groupBy("bucket").agg(F.min("comp").alias("_x"), F.max("comp").alias("_y")).filter("_x < _y").select("bucket")
-        rows = cut(comp.join(mixed, "bucket", "left_semi"))
+        comp = cut(rows.join(labels.select(F.col("node").alias("_l"), "comp"), F.col("rep.node") == F.col("_l"), "left").select("bucket", "rep", "n", F.coalesce("comp", "rep.node").alias("comp")))
+        sizes = comp.groupBy("bucket", "comp").agg(F.count("*").alias("_c"))
+        # A bucket is through when all members outside its largest component were pivots, so these alone are named.
+        open_ = sizes.groupBy("bucket").agg(F.max(F.struct("_c", "comp")).alias("_big"), F.count("*").alias("_k")).filter("_k > 1").select("bucket", F.col("_big.comp").alias("_big"))
+        rows = cut(comp.join(open_, "bucket"))
         if not rows.head(1):
             break
-        share *= 4
-        pivots = cut(rows.groupBy("bucket", F.pmod(F.xxhash64("rep.node", F.lit(share)), F.lit(share)).alias("_k")).agg(F.min(F.struct("rep", "n", "comp")).alias("pivot")).select("bucket", "pivot"))
+        share *= 8
+        small = rows.filter("comp <> _big").groupBy("bucket", F.pmod(F.xxhash64("rep.node", F.lit(share)), F.lit(share)).alias("_k"))
+        pivots = cut(small.agg(F.min(F.struct("rep", "n", "comp")).alias("pivot")).select("bucket", "pivot"))
         met = rows.join(pivots, "bucket").filter("comp <> pivot.comp")
         pairs = cut(pairs_of(met).join(tested, ["a", "b"], "left_anti"))
-        tested = tested.union(pairs)
         if pairs.head(1):
-            links = cut(links.union(_verified(pairs, docs, width, percent)))
+            tested = tested.union(pairs)
+            new = _verified(pairs, docs, width, percent)
+            if new.head(1):
+                links = links.union(new)
+                labels = components(links)
         rows = rows.join(pivots.select("bucket", F.col("pivot.rep").alias("rep")), ["bucket", "rep"], "left_anti").select("bucket", "rep", "n")
     named = nodes.select("f1", "f2", F.col("rep.node").alias("_r")).join(labels, F.col("_r") == F.col("node"), "left").select("f1", "f2", F.coalesce("comp", "_r").alias("comp"))
     return prints, cut(named)
@@ -275,3 +283,25 @@ def near_dedup(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
 
 def op4_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(load(spark, sf_dir, "documents"), width=3, percent=85)
+
+
+ORACLE = r"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents
+), s AS (
+  SELECT DISTINCT doc_id, CASE WHEN len(w) < 3 THEN w ELSE w[i : i + 2] END AS g
+  FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 2, 1) + 1)) AS i FROM d WHERE len(w) > 0)
+), n AS (
+  SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id
+), p AS (
+  SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM s a JOIN s b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY 1, 2
+), l AS (
+  SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * c >= 85 * (x.n + y.n - c)
+), e AS (
+  SELECT a, b FROM l UNION ALL SELECT b, a FROM l
+), reach AS (
+  SELECT doc_id AS v, doc_id AS m FROM documents UNION SELECT e.b, reach.m FROM reach JOIN e ON e.a = reach.v
+)
+SELECT r.v AS doc_id, coalesce(max(n.n), 0) AS n_shingles, min(r.m) AS component_id, r.v = min(r.m) AS kept
+FROM reach r LEFT JOIN n ON n.doc_id = r.v GROUP BY r.v
+"""
