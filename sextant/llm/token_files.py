@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import struct
 import zlib
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -28,8 +29,8 @@ from sextant.llm.common import cut, load, settle
 VOCABULARY, END_ID = "word_bpe_49k.json", 1
 BLOCK_IDS = 1 << 18
 #: Rounds of pair replacement, the least count of a pair that is replaced, most rules in a round.
-ROUNDS, LEAST, MOST_RULES = 8, 16, 2048
-WORD_CACHE = 150_000
+ROUNDS, LEAST, MOST_RULES = 6, 32, 2048
+WORD_CACHE = 400_000
 _HEAD = struct.Struct("<4sIIII")
 _MAGIC = b"SXR1"
 
@@ -51,32 +52,30 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.young: dict[bytes, tuple[int, ...]] = {}
-        self.old: dict[bytes, tuple[int, ...]] = {}
+        self.young: dict[bytes, bytes] = {}
+        self.old: dict[bytes, bytes] = {}
 
-    def encode(self, texts: list[str | None]) -> list[list[int]]:
+    def encode(self, texts: list[str | None]) -> list[np.ndarray]:
         split = [(t or "").encode("utf-8", "replace").split() for t in texts]
-        words = set().union(*split) if split else set()
         if len(self.young) > WORD_CACHE:
             self.old, self.young = self.young, {}
-        known = {}
-        new = []
-        for w in words:
-            ids = self.young.get(w)
+        young, old, known, new = self.young, self.old, {}, []
+        for w in set().union(*split):
+            ids = young.get(w)
             if ids is None:
-                ids = self.old.get(w)
+                ids = old.get(w)
                 if ids is None:
                     new.append(w)
                     continue
-                self.young[w] = ids
+                young[w] = ids
             known[w] = ids
         for begin in range(0, len(new), 4096):
             part = new[begin : begin + 4096]
-            for w, e in zip(part, self.tokenizer.encode_batch([w.decode() for w in part], add_special_tokens=False), strict=True):
-                known[w] = ids = tuple(e.ids)
+            for w, e in zip(part, self.tokenizer.encode_batch_fast([w.decode() for w in part], add_special_tokens=False), strict=True):
+                known[w] = ids = array("I", e.ids).tobytes()
                 if len(w) <= 64:
-                    self.young[w] = ids
-        return [[i for w in s for i in known[w]] for s in split]
+                    young[w] = ids
+        return [np.frombuffer(b"".join(map(known.__getitem__, s)), np.uint32) for s in split]
 
 
 @lru_cache(maxsize=2)
@@ -117,17 +116,20 @@ def compress(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.nd
         if not chosen:
             break
         chosen = np.sort(np.array(chosen, np.int64))
-        place = np.minimum(np.searchsorted(chosen, code), len(chosen) - 1)
-        at = np.flatnonzero(chosen[place] == code)
+        maybe = np.flatnonzero(first[s[:-1]] & second[s[1:]])
+        place = np.minimum(np.searchsorted(chosen, code[maybe]), len(chosen) - 1)
+        hit = chosen[place] == code[maybe]
+        at, place = maybe[hit], place[hit]
         # Runs of one symbol overlap themselves: keep every second start of a run of starts.
         fresh = np.concatenate(([True], np.diff(at) != 1))
         run_start = np.maximum.accumulate(np.where(fresh, np.arange(len(at)), 0))
-        at = at[(np.arange(len(at)) - run_start) % 2 == 0]
+        odd = (np.arange(len(at)) - run_start) % 2 == 0
+        at, place = at[odd], place[odd]
         all_lengths = np.concatenate(lengths)
         pair = np.stack((chosen // top, chosen % top), 1)
         rules.append(pair)
         lengths.append(all_lengths[pair[:, 0]] + all_lengths[pair[:, 1]])
-        s[at] = top + place[at]
+        s[at] = top + place
         keep = np.ones(len(s), bool)
         keep[at + 1] = False
         s = s[keep]
@@ -218,7 +220,7 @@ def _write(path: str):
             for begin in range(0, len(docs), 64):
                 for d, ids in zip(docs[begin : begin + 64], encoder(path).encode(texts[begin : begin + 64].to_pylist()), strict=True):
                     who.append(d)
-                    held.append(np.array([*ids, END_ID], np.int64))
+                    held.append(np.append(ids, np.uint32(END_ID)))
                     count += len(ids) + 1
                     if count >= BLOCK_IDS:
                         yield out()
