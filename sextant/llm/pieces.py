@@ -29,7 +29,7 @@ from sextant.llm.common import load, settle
 MODEL = "piece_bpe_32k.model"
 SPACE = "▁"
 #: Entries of the caches of paths and of grammar arcs in one Python worker; older ones go first.
-PATHS, ARCS = 150_000, 400_000
+PATHS, ARCS = 400_000, 400_000
 _STRETCH = re.compile(SPACE + "+[^" + SPACE + "]*|[^" + SPACE + "]+")
 
 
@@ -73,13 +73,14 @@ class Transducer:
         self.score = {p: sp.get_score(i) for p, i in self.ids.items()}
         self.size = size
         self.surface = [bytes([self.byte_ids.index(i)]) if i in set(self.byte_ids) else (p or "").replace(SPACE, " ").encode() for i, p in enumerate(self.pieces)]
-        # The piece transducer: trie states as dictionaries, "" holds the id emitted at a final state.
-        self.trie: dict = {}
+        # The piece transducer: a state is its arcs by character and the id it emits, if it is final.
+        root: list = [{}, None]
         for p, i in self.ids.items():
-            node = self.trie
+            node = root
             for c in p:
-                node = node.setdefault(c, {})
-            node[""] = i
+                node = node[0].setdefault(c, [{}, None])
+            node[1] = i
+        self.trie = root[0]
         self.arcs, self.paths = Generations(ARCS), Generations(PATHS)
 
     def merged(self, text: str) -> list[str]:
@@ -122,34 +123,45 @@ class Transducer:
 
     def shortest(self, stretch: str) -> tuple[int, ...]:
         """Ids on the shortest path of the composition with one stretch of normalised text."""
-        n = len(stretch)
-        # State at a position: (weight, last piece or -1 after bytes or at the start, place before, ids emitted).
-        best: list[tuple | None] = [None] * (n + 1)
-        best[0] = (0, -1, -1, ())
+        n, trie, arcs, size = len(stretch), self.trie, self.arcs, self.size
+        # Per position: least weight, last piece (-1 at the start and after bytes), place before, ids emitted.
+        weights: list = [None] * (n + 1)
+        lasts, before, emitted = [-1] * (n + 1), [0] * (n + 1), [()] * (n + 1)
+        weights[0] = 0
         for i in range(n):
-            if best[i] is None:
+            weight = weights[i]
+            if weight is None:
                 continue
-            weight, last, _, _ = best[i]
-            node, j = self.trie.get(stretch[i]), i + 1
+            node = trie.get(stretch[i])
             if node is None:
                 raw = tuple(self.byte_ids[b] for b in stretch[i].encode("utf-8", "surrogatepass"))
-                if best[j] is None or weight + len(raw) < best[j][0]:
-                    best[j] = (weight + len(raw), -1, i, raw)
+                if weights[i + 1] is None or weight + len(raw) < weights[i + 1]:
+                    weights[i + 1], lasts[i + 1], before[i + 1], emitted[i + 1] = weight + len(raw), -1, i, raw
                 continue
+            last, j, weight = lasts[i], i + 1, weight + 1
             while True:
-                q = node.get("")
-                if q is not None and (self.whole(q) if last < 0 else self.allowed(last, q)) and (best[j] is None or weight + 1 < best[j][0]):
-                    best[j] = (weight + 1, q, i, (q,))
-                if j == n or (node := node.get(stretch[j])) is None:
+                q = node[1]
+                if q is not None:
+                    if last < 0:
+                        ok = self.whole(q)
+                    else:
+                        ok = arcs.get(last * size + q)
+                        if ok is None:
+                            ok = self.allowed(last, q)
+                    if ok and (weights[j] is None or weight < weights[j]):
+                        weights[j], lasts[j], before[j], emitted[j] = weight, q, i, (q,)
+                if j == n:
+                    break
+                node = node[0].get(stretch[j])
+                if node is None:
                     break
                 j += 1
         out: list[tuple] = []
-        at = n
-        while at > 0:
-            _, _, before, ids = best[at]
-            out.append(ids)
-            at = before
-        return tuple(x for ids in reversed(out) for x in ids)
+        while n > 0:
+            out.append(emitted[n])
+            n = before[n]
+        out.reverse()
+        return tuple([x for ids in out for x in ids])
 
     def encode(self, text: str) -> list[int]:
         if not text:
