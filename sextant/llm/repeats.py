@@ -2,7 +2,8 @@
 
 A 50-byte string that two documents share holds the same anchor in both: its leftmost K-byte string of
 least hash. So
-1. every text sends its anchors, dealt by hash; those that two different texts hold come back,
+1. every text sends its anchors with the hashes of the K bytes before and after, dealt by hash; those that
+   two different texts hold with the same bytes on one side come back (LENGTH bytes reach K or more past one side),
 2. each of these goes out again with its context, the bytes that any 50-byte string around it can
    reach, dealt by the anchor's hash; equal contexts collapse to the one of the smallest doc_id,
 3. the contexts of a group of anchors make a collection. Its Burrows-Wheeler transform and its common
@@ -49,28 +50,35 @@ def _doubled(x: np.ndarray, n: int, op) -> np.ndarray:
     return out
 
 
-def anchors(raw: bytes) -> tuple[np.ndarray, np.ndarray]:
-    """Positions and hashes of the anchors of one text; none if it is shorter than LENGTH."""
+def anchors(raw: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Positions and hashes of the anchors of one text, and those of the K bytes before and after, 0 where the
+    text ends first; none if it is shorter than LENGTH."""
     places, hashes = [], []
     for begin in range(0, max(1, len(raw) - LENGTH + 1), PIECE):
-        a = np.frombuffer(raw[begin : begin + PIECE + LENGTH - 1], np.uint8)
-        if len(a) < LENGTH:
+        # K bytes more on either side for the neighbours' hashes; the anchors are those of the piece itself.
+        ahead = min(K, begin)
+        a = np.frombuffer(raw[begin - ahead : begin + PIECE + LENGTH - 1 + K], np.uint8)
+        if len(a) - ahead < LENGTH:
             break
-        h, have = mix(a.astype(np.uint64), 21), 1
+        every, have = mix(a.astype(np.uint64), 21), 1
         while have < K:
-            h = mix(h[: len(h) - have] * np.uint64(3) + h[have:], 22)
+            every = mix(every[: len(every) - have] * np.uint64(3) + every[have:], 22)
             have *= 2
+        h = every[ahead : ahead + PIECE + LENGTH - K]
         key = (h & np.uint64(0xFFFFFFFFFF000000)) | np.arange(len(h), dtype=np.uint64)
         least = _doubled(key, LENGTH - K + 1, np.minimum)
         new = np.concatenate(([True], least[1:] != least[:-1]))
         at = (least[new] & np.uint64(0xFFFFFF)).astype(np.int64)
+        left, right = at + ahead - K, at + ahead + K
+        sides = [np.where((x >= 0) & (x < len(every)), every[np.clip(x, 0, len(every) - 1)] | np.uint64(1), np.uint64(0)) for x in (left, right)]
         places.append(at + begin)
-        hashes.append(h[at])
+        hashes.append(np.stack((h[at], *sides)))
     if not places:
-        return np.zeros(0, np.int64), np.zeros(0, np.uint64)
-    place, h = np.concatenate(places), np.concatenate(hashes)
+        none = np.zeros(0, np.uint64)
+        return np.zeros(0, np.int64), none, none, none
+    place, h = np.concatenate(places), np.concatenate(hashes, axis=1)
     order = np.unique(place, return_index=True)[1]
-    return place[order], h[order]
+    return place[order], *h[:, order]
 
 
 def _dealt(h: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
@@ -93,7 +101,7 @@ def _packs(bucket: np.ndarray, records: np.ndarray) -> Iterator[tuple[int, bytes
         yield int(bucket[b]), press.compress(np.ascontiguousarray(records[b:end]).tobytes())
 
 
-_ANCHOR = np.dtype([("anchor", "<u4"), ("pos", "<u4"), ("text", "<i8")])
+_ANCHOR = np.dtype([("anchor", "<u4"), ("pos", "<u4"), ("text", "<i8"), ("left", "<u4"), ("right", "<u4")])
 _PACK = "bucket int, payload binary"
 
 
@@ -111,12 +119,14 @@ def _send_anchors(buckets: int):
 
         for batch in batches:
             for text, t in zip(batch.column("text"), batch.column("t1").to_pylist(), strict=True):
-                place, h = anchors(_raw(text.as_py()))
+                place, h, left, right = anchors(_raw(text.as_py()))
                 if not len(place):
                     continue
                 bucket, low = _dealt(h, buckets)
                 r = np.empty(len(place), _ANCHOR)
                 r["anchor"], r["pos"], r["text"] = low, place, t
+                for side, x in (("left", left), ("right", right)):
+                    r[side] = np.maximum((x >> np.uint64(20)) & np.uint64(0xFFFFFFFF), x > 0)
                 held.append((bucket, r))
                 size += len(r)
                 if size >= 500_000:
@@ -144,13 +154,20 @@ def _gathered(batches: Iterator[pa.RecordBatch], kind: np.dtype) -> Iterator[np.
 
 
 def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(text, position) of the anchors that two different texts hold."""
+    """(text, position) of the anchors that two different texts hold, with the same bytes before or after."""
     for r in _gathered(batches, _ANCHOR):
-        r = np.unique(r)  # equal texts send the same
-        anchor = r["anchor"]
-        cuts = np.flatnonzero(np.concatenate(([True], anchor[1:] != anchor[:-1])))
-        two = np.minimum.reduceat(r["text"], cuts) != np.maximum.reduceat(r["text"], cuts)
-        r = r[np.repeat(two, np.diff(np.append(cuts, len(r))))]
+        text, both = np.ascontiguousarray(r["text"]), np.zeros(len(r), bool)
+        for side in ("left", "right"):
+            key = r["anchor"].astype(np.uint64) << np.uint64(32) | r[side]
+            order = np.argsort(key, kind="stable")
+            key, mine = key[order], text[order]
+            cuts = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
+            two = (np.minimum.reduceat(mine, cuts) != np.maximum.reduceat(mine, cuts)) & (r[side][order[cuts]] > 0)
+            both[order] |= np.repeat(two, np.diff(np.append(cuts, len(r))))
+        r = r[both]
+        r = r[np.lexsort((r["pos"], r["text"]))]
+        if len(r):  # equal texts send the same
+            r = r[np.concatenate(([True], (r["text"][1:] != r["text"][:-1]) | (r["pos"][1:] != r["pos"][:-1])))]
         for i in range(0, len(r), 100_000):
             part = r[i : i + 100_000]
             yield pa.RecordBatch.from_arrays([pa.array(part["text"]), pa.array(part["pos"].astype(np.int64))], ["t1", "pos"])
@@ -298,13 +315,27 @@ def _spans(text: np.ndarray, begin: np.ndarray, end: np.ndarray) -> tuple[np.nda
     return text[cuts], begin[cuts], np.maximum.reduceat(end, cuts)
 
 
+def _kinds(r: np.ndarray) -> np.ndarray:
+    """The number of each record's context among the distinct ones, by 128 bits of hash."""
+    words = np.zeros((len(r), -(-WIDTH // 8)), np.uint64)
+    words.view(np.uint8)[:, :WIDTH] = r["context"]
+    a, b = mix(r["anchor"], 24), mix(r["anchor"], 25)
+    for k in range(words.shape[1]):
+        a, b = mix(a ^ words[:, k], 26), mix(b + words[:, k], 27)
+    order = np.lexsort((b, a))
+    a, b = a[order], b[order]
+    kind = np.empty(len(r), np.int64)
+    kind[order] = np.cumsum(np.concatenate(([False], (a[1:] != a[:-1]) | (b[1:] != b[:-1]))))
+    return kind
+
+
 def _found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(text, begin, end) of the covered stretches."""
     for r in _gathered(batches, _RECORD):
         order = np.argsort(r["anchor"], kind="stable")
         r = r[order]
-        whole = np.ascontiguousarray(np.concatenate((r["anchor"][:, None].view(np.uint8).reshape(len(r), 4), r["left"][:, None], r["size"][:, None], r["context"]), axis=1)).view(f"V{WIDTH + 6}").ravel()
-        kinds, kind = np.unique(whole, return_inverse=True)
+        kind = _kinds(r)
+        kinds = np.arange(kind.max() + 1)
         least = np.full(len(kinds), _LAST)
         np.minimum.at(least, kind, r["doc"])
         # One string per distinct context, of the smallest doc_id; it stands for the others too.
