@@ -1,19 +1,19 @@
 """Copies of images by local descriptors.
 
 Every image gives corners at several scales; each corner a 256-bit string of intensity tests on a patch
-turned to its main direction. Corners of different images whose strings differ in few bits are matched
-through Hamming tables: the string is cut into TABLES parts, and strings that agree in three neighbouring parts share
-a bucket: any two with up to TABLES // 3 differing bits do. Matches vote for a similarity transform; a pair of images is a copy if one transform
+turned to its main direction. Matches vote for a similarity transform; a pair of images is a copy if one transform
 explains enough of them.
 
-Equal images collapse to one node first. A table's bucket lists no pairs: its members meet the pivot of the bucket,
-pivots retire and rounds follow as for near-duplicate texts, until all members of a bucket are linked
-or were held against each other.
+Equal images collapse to one node first. Then every pair of nodes is compared, block by block: strings of unrelated
+images agree so often in any set of tables that covers NEAR_BITS of BITS that all pairs meet there, so tables would
+save nothing. A matrix product of two blocks gives all distances of their strings; only pairs of images with
+LEAST_MATCHES strings that are near enough to any of the other go through the geometric check.
 """
 
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -21,14 +21,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sextant.llm.common import cut, load, mix, settle
+from sextant.llm.common import cut, load, settle
 from sextant.llm.near_dedup import components
 
-BITS, TABLES, CORNERS = 256, 16, 48
+BITS, CORNERS = 256, 48
 SCALES = (1.0, 1.5)
 NEAR_BITS, LEAST_MATCHES, TOLERANCE = 40, 8, 2.5
 RADIUS = 9
 SIDE = 64
+#: Strings in a block of images, distances held at once.
+BLOCK, HELD = 16384, 1 << 24
 
 
 def resized(image: np.ndarray, height: int, width: int) -> np.ndarray:
@@ -140,26 +142,61 @@ def unpack(raw: bytes) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _described(images: pa.Array, heights: pa.Array, widths: pa.Array) -> pa.Array:
-    out, parts, sha = [], [], []
+    out, sha = [], []
     for raw, h, w in zip(images, heights.to_pylist(), widths.to_pylist(), strict=True):
         raw = raw.as_py() if raw.is_valid else None
         good = raw is not None and h and w and h > 0 and w > 0 and len(raw) == h * w
         points, strings = describe(np.frombuffer(raw, np.uint8).reshape(h, w)) if good else (np.zeros((0, 2)), np.zeros((0, BITS // 8), np.uint8))
         out.append(pack(points, strings))
-        step = BITS // 8 // TABLES
-        words = strings.reshape(-1, TABLES, step).astype(np.uint64)
-        key = np.zeros(words.shape[:2], np.uint64)
-        for k in range(step):
-            key = key << np.uint64(8) | words[:, :, k]
-        # Three neighbouring parts together make a bucket selective; each string goes to one bucket for each run of them.
-        both = key << np.uint64(32) | np.roll(key, -1, 1) << np.uint64(16) | np.roll(key, -2, 1)
-        parts.append(np.unique(mix(both * np.uint64(TABLES) + np.arange(TABLES, dtype=np.uint64), 41).astype(np.int64)))
         sha.append(hashlib.sha256(f"{h},{w},".encode() + raw).hexdigest() if good else None)
-    return pa.StructArray.from_arrays([pa.array(out, pa.binary()), pa.array(parts, pa.list_(pa.int64())), pa.array(sha, pa.string())], ["d", "buckets", "sha"])
-
-
-def _same(a: pa.Array, b: pa.Array) -> pa.Array:
-    return pa.array([same_scene(*unpack(x.as_py()), *unpack(y.as_py())) >= LEAST_MATCHES for x, y in zip(a, b, strict=True)], pa.bool_())
+    return pa.StructArray.from_arrays([pa.array(out, pa.binary()), pa.array(sha, pa.string())], ["d", "sha"])
+
+
+def _signs(images: list) -> tuple[np.ndarray, np.ndarray]:
+    """The bits of all strings of some images as 1 and -1, and the image each belongs to."""
+    strings = np.concatenate([s for _, s in images])
+    return np.unpackbits(strings, axis=1).astype(np.float32) * 2 - 1, np.repeat(np.arange(len(images)), [len(s) for _, s in images])
+
+
+def alike(left: list, right: list) -> np.ndarray:
+    """Pairs (i, j) where at least LEAST_MATCHES strings of left[i] are within NEAR_BITS of one of right[j]: no other can be a copy."""
+    a, of_a = _signs(left)
+    b, of_b = _signs(right)
+    found = np.zeros(len(left) * len(right), np.int64)
+    step = max(1, HELD // max(1, len(b)))
+    for begin in range(0, len(a), step):
+        row, at = np.divmod(np.flatnonzero(a[begin : begin + step] @ b.T >= BITS - 2 * NEAR_BITS), max(1, len(b)))
+        row, other = np.divmod(np.unique((row + begin) * len(right) + of_b[at]), len(right))
+        found += np.bincount(of_a[row] * len(right) + other, minlength=len(found))
+    return np.stack(np.divmod(np.flatnonzero(found >= LEAST_MATCHES), len(right)), 1)
+
+
+def _linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for one, two, same in zip(batch.column("_x"), batch.column("_y"), batch.column("_same").to_pylist(), strict=True):
+            left, right, out = one.as_py(), two.as_py(), ([], [])
+            sets = [[unpack(x["d"]) for x in side] for side in (left, right)]
+            for i, j in alike(*sets).tolist():
+                a, b = (left[i]["node"], sets[0][i]), (right[j]["node"], sets[1][j])
+                if a[0] > b[0]:
+                    a, b = b, a
+                # Within a block both orders of a pair come up: one is enough.
+                if a[0] != b[0] and (i < j or not same) and same_scene(*a[1], *b[1]) >= LEAST_MATCHES:
+                    out[0].append(a[0])
+                    out[1].append(b[0])
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in out], ["a", "b"])
+
+
+def links_of(nodes: DataFrame) -> DataFrame:
+    """a < b for every pair of ``nodes`` (node, d) that ``same_scene`` takes for copies."""
+    size = nodes.agg(F.sum(F.length("d")) / (8 + BITS // 8)).head()[0] or 0
+    n = int(size // BLOCK) + 1
+    spread = int(min(n, 16))
+    blocks = nodes.filter(F.length("d") > 0).groupBy(F.pmod(F.xxhash64("node"), F.lit(n)).alias("block")).agg(F.collect_list(F.struct("node", "d")).alias("_x"))
+    blocks = cut(blocks.repartition(spread, "block"))
+    right = blocks.select(F.col("block").alias("_b"), F.col("_x").alias("_y")).hint("shuffle_replicate_nl")
+    both = blocks.join(right, F.col("block") <= F.col("_b")).select("_x", "_y", (F.col("block") == F.col("_b")).alias("_same"))
+    return cut(both.mapInArrow(_linked, "a bigint, b bigint"))
 
 
 def image_copies(images: DataFrame) -> DataFrame:
@@ -170,39 +207,10 @@ def image_copies(images: DataFrame) -> DataFrame:
     count as one that comes after all others.
     """
     settle(images.sparkSession)
-    described = F.arrow_udf(_described, "struct<d:binary,buckets:array<bigint>,sha:string>")
-    rows = cut(images.select(F.col("image_id"), F.coalesce("image_id", F.lit(2**63 - 1)).alias("node"), described("pixels", "height", "width").alias("x")).select("image_id", "node", F.col("x.d").alias("d"), F.col("x.buckets").alias("buckets"), F.col("x.sha").alias("sha")))
-    nodes = cut(rows.filter("sha IS NOT NULL").groupBy("sha").agg(F.min("node").alias("node"), F.first("d").alias("d"), F.first("buckets").alias("buckets")))
-    met = nodes.select("node", F.explode("buckets").alias("bucket"))
-    pivots = cut(met.groupBy("bucket").agg(F.min("node").alias("pivot"), F.count("*").alias("_c")).filter("_c > 1").select("bucket", "pivot"))
-    met = cut(met.join(pivots, "bucket").filter("node <> pivot"))
-    sets = nodes.select("node", "d")
-    left, right = sets.select(F.col("node").alias("_a"), F.col("d").alias("_x")), sets.select(F.col("node").alias("_b"), F.col("d").alias("_y"))
-
-    def verified(pairs: DataFrame) -> DataFrame:
-        both = pairs.join(right, F.col("b") == F.col("_b")).join(left, F.col("a") == F.col("_a"))
-        return cut(both.filter(F.arrow_udf(_same, "boolean")("_x", "_y")).select("a", "b"))
-
-    def pairs_of(x: DataFrame) -> DataFrame:
-        return x.select(F.least("node", "pivot").alias("a"), F.greatest("node", "pivot").alias("b")).distinct()
-
-    pairs = cut(pairs_of(met))
-    tested, links, share = pairs, verified(pairs), 1
-    met = met.select("bucket", "node")
-    while True:
-        labels = components(links)
-        comp = cut(met.join(labels.select(F.col("node").alias("_l"), "comp"), F.col("node") == F.col("_l"), "left").select("bucket", "node", F.coalesce("comp", "node").alias("comp")))
-        open_ = comp.groupBy("bucket").agg(F.min("comp").alias("_p"), F.max("comp").alias("_q")).filter("_p < _q").select("bucket")
-        met = cut(comp.join(open_, "bucket", "left_semi"))
-        if not met.head(1):
-            break
-        share *= 8
-        pivots = cut(met.groupBy("bucket", F.pmod(F.xxhash64("node", F.lit(share)), F.lit(share)).alias("_k")).agg(F.min(F.struct("node", "comp")).alias("p")).select("bucket", F.col("p.node").alias("pivot"), F.col("p.comp").alias("_pc")))
-        pairs = cut(pairs_of(met.join(pivots, "bucket").filter("comp <> _pc").select("node", "pivot")).join(tested, ["a", "b"], "left_anti"))
-        tested = tested.union(pairs)
-        if pairs.head(1):
-            links = cut(links.union(verified(pairs)))
-        met = met.join(pivots.select("bucket", F.col("pivot").alias("node")), ["bucket", "node"], "left_anti").select("bucket", "node")
+    described = F.arrow_udf(_described, "struct<d:binary,sha:string>")
+    rows = cut(images.select(F.col("image_id"), F.coalesce("image_id", F.lit(2**63 - 1)).alias("node"), described("pixels", "height", "width").alias("x")).select("image_id", "node", F.col("x.d").alias("d"), F.col("x.sha").alias("sha")))
+    nodes = cut(rows.filter("sha IS NOT NULL").groupBy("sha").agg(F.min("node").alias("node"), F.first("d").alias("d")))
+    labels = components(links_of(nodes.select("node", "d")))
     named = nodes.select("sha", F.col("node").alias("_r")).join(labels, F.col("_r") == F.col("node"), "left").select("sha", F.coalesce("comp", "_r").alias("comp"))
     comp = F.coalesce("comp", "node")
     first = F.when(comp < 2**63 - 1, comp)

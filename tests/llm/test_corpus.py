@@ -333,6 +333,33 @@ def test_image_copies(spark):
     assert image_copies.image_copies(spark.createDataFrame([], schema)).count() == 0
 
 
+def _altered(image, kind, rng):
+    """Noise, blur or a slightly smaller copy: edits that leave many strings 20 to 40 bits apart."""
+    x = image.astype(float)
+    if kind == 0:
+        x += rng.normal(0, 30, x.shape)
+    elif kind == 1:
+        x = image_copies.blurred(image_copies.blurred(x)) + rng.normal(0, 12, x.shape)
+    else:
+        x = image_copies.resized(x, 57, 57) + rng.normal(0, 8, (57, 57))
+    return np.clip(np.rint(x), 0, 255).astype(np.uint8)
+
+
+def test_image_links_against_all_pairs(spark):
+    rng = np.random.default_rng(8)
+    images = [y for _ in range(40) for x in [image_copies.drawn(rng.random(8))] for y in (x, *(_altered(x, k, rng) for k in range(3)))]
+    packed = [image_copies.describe(x) for x in images]
+    want = {(i, j) for j in range(len(images)) for i in range(j) if image_copies.same_scene(*packed[i], *packed[j]) >= image_copies.LEAST_MATCHES}
+    schema = "image_id bigint, pixels binary, height int, width int"
+    table = spark.createDataFrame([(i, x.tobytes(), *x.shape) for i, x in enumerate(images)], schema)
+    group = list(range(len(images)))
+    for i, j in sorted(want):
+        old, new = max(group[i], group[j]), min(group[i], group[j])
+        group = [new if g == old else g for g in group]
+    got = {r["image_id"]: r["copy_of"] for r in image_copies.image_copies(table).collect()}
+    assert got == dict(enumerate(group))
+
+
 def test_pipeline_stage_by_stage(spark, docs, empty):
     import corpus_pipeline
 
