@@ -24,9 +24,10 @@ from pyspark.sql import functions as F
 from sextant.llm.common import cut, load, settle
 from sextant.llm.near_dedup import components
 
-BITS, CORNERS = 256, 48
-SCALES = (1.0, 1.5)
-NEAR_BITS, LEAST_MATCHES, TOLERANCE = 40, 8, 2.5
+BITS = 256
+#: Levels of each image; the factors between levels of two images run over the scales that same_scene admits.
+SCALES = tuple(2.5 ** (k / 4) for k in range(5))
+NEAR_BITS, LEAST_MATCHES, TOLERANCE, PLACE = 40, 8, 2.5, 4
 RADIUS = 9
 SIDE = 64
 #: Strings in a block of images, distances held at once.
@@ -60,7 +61,7 @@ def tests() -> np.ndarray:
 
 
 def corners(image: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(x, y) of at most CORNERS Harris maxima far enough from the border, the strongest first, and their strengths."""
+    """(x, y) of all Harris maxima over the response bar and far enough from the border, the strongest first, and their strengths."""
     gy, gx = np.gradient(image)
     a, b, c = blurred(gx * gx), blurred(gy * gy), blurred(gx * gy)
     r = a * b - c * c - 0.05 * (a + b) ** 2
@@ -71,7 +72,7 @@ def corners(image: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
             if dy or dx:
                 peak &= r >= np.roll(r, (dy, dx), (0, 1))
     y, x = np.nonzero(peak & (r > max(1e-9, 0.005 * r.max())))
-    order = np.lexsort((x, y, -r[y, x]))[:CORNERS]
+    order = np.lexsort((x, y, -r[y, x]))
     return np.stack((x[order], y[order]), 1).astype(float), r[y, x][order]
 
 
@@ -105,13 +106,33 @@ def describe(image: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(points), np.concatenate(strings)
 
 
+def nearest(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """For each string of a the first of the nearest strings of b."""
+    a, b = np.ascontiguousarray(a).view(np.uint64), np.ascontiguousarray(b).view(np.uint64)
+    step, best = max(1, HELD // len(b)), []
+    for begin in range(0, len(a), step):
+        part = a[begin : begin + step]
+        best.append(sum(np.bitwise_count(part[:, None, k] ^ b[None, :, k]).astype(np.uint16) for k in range(b.shape[1])).argmin(1))
+    return np.concatenate(best)
+
+
+def places(fits: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """For each row of ``fits`` in how many cells of the image the points are that it marks."""
+    cell = np.unique(np.floor(np.stack((at.real, at.imag), 1) / PLACE), axis=0, return_inverse=True)[1].ravel()
+    order = np.argsort(cell, kind="stable")
+    starts = np.flatnonzero(np.diff(cell[order], prepend=-1))
+    return np.logical_or.reduceat(fits[:, order], starts, axis=1).sum(1)
+
+
 def same_scene(pa_: np.ndarray, sa: np.ndarray, pb: np.ndarray, sb: np.ndarray) -> int:
-    """Most matches that one similarity transform explains; each corner matches its nearest string, if that is near."""
+    """Most matches that one similarity transform explains; each corner matches its nearest string, if that is near.
+
+    A place of either image counts once, on however many levels it matches.
+    """
     if not len(pa_) or not len(pb):
         return 0
-    d = np.bitwise_count(sa[:, None, :] ^ sb[None, :, :]).sum(2, dtype=np.int64)
-    best = d.argmin(1)
-    ok = (d[np.arange(len(d)), best] <= NEAR_BITS) & (d.argmin(0)[best] == np.arange(len(d)))
+    best, back = nearest(sa, sb), nearest(sb, sa)
+    ok = (np.bitwise_count(sa ^ sb[best]).sum(1, dtype=np.int64) <= NEAR_BITS) & (back[best] == np.arange(len(sa)))
     a, b = pa_[ok] @ np.array([1, 1j]), pb[best[ok]] @ np.array([1, 1j])
     if len(a) < 2:
         return 0
@@ -129,7 +150,8 @@ def same_scene(pa_: np.ndarray, sa: np.ndarray, pb: np.ndarray, sb: np.ndarray)
     if not fair.any():
         return 0
     turn, shift = turn[fair], b[i[fair]] - turn[fair] * a[i[fair]]
-    return int((np.abs(turn[:, None] * a[None, :] + shift[:, None] - b[None, :]) <= TOLERANCE).sum(1).max())
+    fits = np.abs(turn[:, None] * a[None, :] + shift[:, None] - b[None, :]) <= TOLERANCE * np.minimum(1, np.abs(turn))[:, None]
+    return int(np.minimum(places(fits, a), places(fits, b)).max())
 
 
 def pack(points: np.ndarray, strings: np.ndarray) -> bytes:

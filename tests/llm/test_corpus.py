@@ -360,6 +360,27 @@ def test_image_links_against_all_pairs(spark):
     assert got == dict(enumerate(group))
 
 
+def _tiled(rng, tile):
+    return np.block([[image_copies.drawn(rng.random(8))[:tile, :tile] for _ in range(240 // tile)] for _ in range(240 // tile)])
+
+
+def test_large_images_and_sizes():
+    rng = np.random.default_rng(10)
+
+    def linked(a, b):
+        return image_copies.same_scene(*image_copies.describe(a), *image_copies.describe(b)) >= image_copies.LEAST_MATCHES
+
+    def sized(x, side):
+        return np.clip(np.rint(image_copies.resized(image_copies.blurred(x.astype(float)), side, side)), 0, 255).astype(np.uint8)
+
+    for _ in range(3):
+        photo, collage = _tiled(rng, 40), _tiled(rng, 60)
+        assert not linked(photo, collage)
+        collage[100:160, 100:160] = photo[30:90, 30:90]
+        for other in (photo[100:160, 70:130], collage, sized(photo, 180), sized(photo, 120), sized(photo, 100)):
+            assert linked(photo, other) and linked(other, photo)
+
+
 def test_pipeline_stage_by_stage(spark, docs, empty):
     import corpus_pipeline
 
