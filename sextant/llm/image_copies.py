@@ -124,34 +124,37 @@ def places(fits: np.ndarray, at: np.ndarray) -> np.ndarray:
     return np.logical_or.reduceat(fits[:, order], starts, axis=1).sum(1)
 
 
-def same_scene(pa_: np.ndarray, sa: np.ndarray, pb: np.ndarray, sb: np.ndarray) -> int:
+def same_scene(pa_: np.ndarray, sa: np.ndarray, pb: np.ndarray, sb: np.ndarray, enough: int = 0) -> int:
     """Most matches that one similarity transform explains; each corner matches its nearest string, if that is near.
 
-    A place of either image counts once, on however many levels it matches.
+    A place of either image counts once, on however many levels it matches. With ``enough`` the search ends at
+    the first transform that explains so many, and fewer count as none.
     """
     if not len(pa_) or not len(pb):
         return 0
     best, back = nearest(sa, sb), nearest(sb, sa)
     ok = (np.bitwise_count(sa ^ sb[best]).sum(1, dtype=np.int64) <= NEAR_BITS) & (back[best] == np.arange(len(sa)))
     a, b = pa_[ok] @ np.array([1, 1j]), pb[best[ok]] @ np.array([1, 1j])
-    if len(a) < 2:
+    if len(a) < max(2, enough):
         return 0
-    i, j = np.triu_indices(len(a), 1)
-    far = np.abs(a[i] - a[j]) >= 6
-    i, j = i[far], j[far]
-    if not len(i):
-        return 0
-    if len(i) > 400:  # every pair of matches proposes the same transform where there is one: 400 spread evenly will do
-        pick = np.linspace(0, len(i) - 1, 400).astype(int)
-        i, j = i[pick], j[pick]
-    turn = (b[i] - b[j]) / (a[i] - a[j])
-    scale = np.abs(turn)
-    fair = (scale > 0.4) & (scale < 2.5)
-    if not fair.any():
-        return 0
-    turn, shift = turn[fair], b[i[fair]] - turn[fair] * a[i[fair]]
-    fits = np.abs(turn[:, None] * a[None, :] + shift[:, None] - b[None, :]) <= TOLERANCE * np.minimum(1, np.abs(turn))[:, None]
-    return int(np.minimum(places(fits, a), places(fits, b)).max())
+    most, step, held = 0, max(1, HELD // 8 // len(a) ** 2), max(1, HELD // 8 // len(a))
+    for begin in range(0, len(a) - 1, step):  # every two matches far enough apart propose a transform
+        rows = np.arange(begin, min(begin + step, len(a) - 1))
+        i, j = np.nonzero((np.arange(len(a)) > rows[:, None]) & (np.abs(a[rows, None] - a) >= 6))
+        i = rows[i]
+        turn = (b[i] - b[j]) / (a[i] - a[j])
+        scale = np.abs(turn)
+        fair = (scale > 0.4) & (scale < 2.5)
+        turn, shift, slack = turn[fair], b[i[fair]] - turn[fair] * a[i[fair]], TOLERANCE * np.minimum(1, scale[fair])
+        for at in range(0, len(turn), held):
+            t = turn[at : at + held, None]
+            fits = np.abs(t * a + shift[at : at + held, None] - b) <= slack[at : at + held, None]
+            fits = fits[fits.sum(1) >= max(most + 1, enough)]
+            if len(fits):
+                most = max(most, int(np.minimum(places(fits, a), places(fits, b)).max()))
+            if enough and most >= enough:
+                return most
+    return most
 
 
 def pack(points: np.ndarray, strings: np.ndarray) -> bytes:
@@ -203,7 +206,7 @@ def _linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 if a[0] > b[0]:
                     a, b = b, a
                 # Within a block both orders of a pair come up: one is enough.
-                if a[0] != b[0] and (i < j or not same) and same_scene(*a[1], *b[1]) >= LEAST_MATCHES:
+                if a[0] != b[0] and (i < j or not same) and same_scene(*a[1], *b[1], LEAST_MATCHES) >= LEAST_MATCHES:
                     out[0].append(a[0])
                     out[1].append(b[0])
             yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in out], ["a", "b"])

@@ -368,7 +368,7 @@ def test_large_images_and_sizes():
     rng = np.random.default_rng(10)
 
     def linked(a, b):
-        return image_copies.same_scene(*image_copies.describe(a), *image_copies.describe(b)) >= image_copies.LEAST_MATCHES
+        return image_copies.same_scene(*image_copies.describe(a), *image_copies.describe(b), image_copies.LEAST_MATCHES) >= image_copies.LEAST_MATCHES
 
     def sized(x, side):
         return np.clip(np.rint(image_copies.resized(image_copies.blurred(x.astype(float)), side, side)), 0, 255).astype(np.uint8)
@@ -381,6 +381,19 @@ def test_large_images_and_sizes():
             assert linked(photo, other) and linked(other, photo)
 
 
+def test_few_true_matches_among_many():
+    rng = np.random.default_rng(12)
+    lost = 0
+    for _ in range(80):
+        strings = rng.integers(0, 256, (90, 32), dtype=np.uint8)
+        one, two = rng.random((90, 2)) * 240, rng.random((90, 2)) * 240
+        true = rng.permutation(90)[:8]
+        one[true] = np.stack(np.divmod(np.arange(8), 3), 1) * 25.0 + 40
+        two[true] = one[true] @ np.array([[0.0, 1.0], [-1.0, 0.0]]) + [200, 10]
+        lost += image_copies.same_scene(one, strings, two, strings) < 8
+    assert lost == 0
+
+
 def test_pipeline_stage_by_stage(spark, docs, empty):
     import corpus_pipeline
 
