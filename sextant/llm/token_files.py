@@ -2,7 +2,7 @@
 
 Documents are dealt by ranges of doc_id into shards; a shard is tokenised in order, an end id after
 each document, and cut into blocks of about BLOCK_IDS ids. A block is compressed by Re-Pair: in each
-round the most frequent pairs of ids that share no symbol become nonterminals. It stores rules, the
+round the most frequent pairs of ids that share no symbol become nonterminals, until no pair occurs twice. It stores rules, the
 expansion length of every nonterminal, the final string and the documents' lengths, so that any
 stretch is decoded without the rest.
 
@@ -28,8 +28,6 @@ from sextant.llm.common import cut, load, settle
 
 VOCABULARY, END_ID = "word_bpe_49k.json", 1
 BLOCK_IDS = 1 << 18
-#: Rounds of pair replacement, the least count of a pair that is replaced, most rules in a round.
-ROUNDS, LEAST, MOST_RULES = 6, 32, 2048
 WORD_CACHE = 400_000
 _HEAD = struct.Struct("<4sIIII")
 _MAGIC = b"SXR1"
@@ -95,12 +93,10 @@ def compress(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.nd
     rules: list[np.ndarray] = []
     lengths = [np.ones(base, np.int64)]
     top = base
-    for _ in range(ROUNDS):
-        if len(s) < 2:
-            break
+    while len(s) > 1:
         code = s[:-1] * top + s[1:]
         pairs, counts = np.unique(code, return_counts=True)
-        often = np.flatnonzero(counts >= LEAST)
+        often = np.flatnonzero(counts > 1)
         often = often[np.lexsort((pairs[often], -counts[often]))]
         a, b = pairs[often] // top, pairs[often] % top
         # Greedy: a pair goes in if none before it begins with its second symbol or ends with its first;
@@ -111,8 +107,6 @@ def compress(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.nd
                 continue
             first[x] = second[y] = True
             chosen.append(code_)
-            if len(chosen) == MOST_RULES:
-                break
         if not chosen:
             break
         chosen = np.sort(np.array(chosen, np.int64))

@@ -394,6 +394,24 @@ def test_few_true_matches_among_many():
     assert lost == 0
 
 
+def test_blocks_until_no_pair_occurs_twice():
+    rng = np.random.default_rng(4)
+    passage = rng.integers(0, 40_000, 3000)
+    for ids in (np.concatenate((passage, rng.integers(0, 40_000, 500), passage)), np.zeros(1001, np.int64), rng.integers(0, 9, 5000), passage[:1], passage[:0]):
+        terminals, rules, lengths, string = token_files.compress(ids)
+        seen: Counter = Counter()
+        pairs = list(zip(string[:-1].tolist(), string[1:].tolist(), strict=True))
+        last: dict = {}
+        for at, pair in enumerate(pairs):
+            if last.get(pair, -2) != at - 1:
+                seen[pair] += 1
+                last[pair] = at
+        assert max(seen.values(), default=0) < 2
+        assert token_files.Block(token_files.write_block(ids, np.array([len(ids)]))).read().tolist() == ids.tolist()
+        if len(ids) == 6500:
+            assert lengths.max() >= len(passage) - 1
+
+
 def test_pipeline_stage_by_stage(spark, docs, empty):
     import corpus_pipeline
 
