@@ -22,18 +22,46 @@ def load(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 def settle(spark: SparkSession) -> None:
     """Bound the Arrow batches that go to Python by rows and by bytes, whatever the length of the texts."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(16 << 20))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(4 << 20))
 
 
 def scratch(spark: SparkSession) -> str:
-    """The folder that ``spark.checkpoint.dir`` names; where it is unset, as in tests, one of our own."""
+    """The folder that ``spark.checkpoint.dir`` names. Where it is unset, a local master gets one of our own; a
+    cluster, whose machines share no temporary folder, is an error."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if folder is None:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the whole cluster shares")
         folder = getattr(spark, "_sextant_scratch", None) or tempfile.mkdtemp(prefix="sextant-")
         spark._sextant_scratch = folder
     return folder
 
 
+def quoted(name: str) -> Column:
+    """A top-level column by its exact name, dots and back-ticks included."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
+def nested(docs: DataFrame) -> Column:
+    """All columns of ``docs`` as one struct, so that no name of theirs can meet one of ours."""
+    return F.struct(*(quoted(c) for c in docs.columns))
+
+
+def unnested(columns: list[str], row: str = "row", **changed: Column) -> list[Column]:
+    """The columns of ``nested`` again, in order; ``changed`` replaces some by name."""
+    return [changed.get(c, F.col(row).getField(c)).alias(c) for c in columns]
+
+
+def row_hash(docs: DataFrame, seed: int = 0) -> Column:
+    """A hash of the whole row; maps, which have no hash, by their JSON."""
+
+    def plain(field) -> Column:
+        c = quoted(field.name)
+        return F.to_json(F.struct(c), {"ignoreNullFields": "false"}) if "map<" in field.dataType.simpleString() else c
+
+    return F.xxhash64(F.lit(seed), *(plain(f) for f in docs.schema.fields))
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Write ``df`` as Parquet into the shared folder and read it back: lineage ends here, and a lost executor loses nothing.
 

@@ -6,28 +6,39 @@ i - T, so after 2T rounds at most every coordinate is filled; its entries agree
 similarity as probability, with concentration bounds as if drawn independently. A set of n shingles
 costs about n + T log T hashes in place of n * T.
 
-Equal sets collapse to one node first. Nodes that share a band meet in a bucket. No bucket lists its
-pairs: in each round a bucket names pivots and every member not yet in a pivot's component is held
-against them on the full shingle sets; pivots retire, components merge, and the bucket is through
-when its members are of one component. Rounds name 1, 8, 64, ... pivots, so any bucket ends, and every
-pair that shares a bucket is verified or already linked.
+Equal sets collapse to one node first. Nodes that share a band meet in a bucket, which never lists its
+pairs. First every member of a bucket is held against the bucket's least node, its pivot, on full
+shingle sets, and components form. A bucket whose other members are of one component is through. The
+members of the rest are dealt into blocks of bounded size, those of a bucket's largest component
+apart, and two blocks that share such a bucket are compared as matrices of shingles by nodes: only
+links that join components come back. So every pair that shares a bucket is verified or already linked.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sextant.llm.common import cut, let_go, load, lower_bytes, mix, settle
+from sextant.llm.common import cut, let_go, load, lower_bytes, mix, nested, settle, unnested
 
 T = 288
 
 
+#: Chance that a pair at the threshold shares no band.
+MISS = 1.1e-5
+
+
 def shape(percent: int) -> tuple[int, int]:
-    """Bands and rows: a pair at 0.85 misses all 36 bands of 8 with probability 1e-5, one at 0.8 all 48 of 6 with 5e-7."""
-    return (36, 8) if percent >= 85 else (48, 6)
+    """Bands and rows of the sketch: the longest rows at which a pair at the threshold misses all bands with
+    probability MISS at most. 85: 36 bands of 8; 80: 48 of 6. Thresholds that no shape meets are refused."""
+    for rows in range(min(8, T), 0, -1):
+        if T % rows == 0 and (1 - (percent / 100) ** rows) ** (T // rows) <= MISS:
+            return T // rows, rows
+    raise ValueError(f"no bands of {T} bins find pairs at {percent} percent")
 
 
 _BLOCK = 1 << 20
@@ -50,7 +61,10 @@ def _word_hashes(raw: bytes) -> tuple[np.ndarray, np.ndarray]:
     length = np.diff(np.append(first, len(index)))
     place = np.arange(len(index)) - np.repeat(first, length)
     with np.errstate(over="ignore"):
-        sums = np.add.reduceat(_BYTE[a[index]] * _POWER[place & 4095] + (place >> 12).astype(np.uint64), first)
+        power = _POWER[np.minimum(place, 4095)]
+        if len(far := np.flatnonzero(place > 4095)):  # every place of a word has a factor of its own
+            power[far] = mix(place[far].astype(np.uint64), 12) | np.uint64(1)
+        sums = np.add.reduceat(_BYTE[a[index]] * power, first)
         return starts, mix(sums + length.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15), 13)
 
 
@@ -168,6 +182,99 @@ def _alike(percent: int):
     return F.arrow_udf(alike, "boolean")
 
 
+def common_counts(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
+    """Sizes of the intersections of every set of ``left`` with every one of ``right``: sorted arrays of distinct numbers."""
+
+    def postings(sets: list[np.ndarray]):
+        token, who = np.concatenate(sets), np.repeat(np.arange(len(sets)), [len(x) for x in sets])
+        order = np.argsort(token, kind="stable")
+        token = token[order]
+        cuts = np.flatnonzero(np.concatenate(([True], token[1:] != token[:-1])))
+        return token[cuts], cuts, np.diff(np.append(cuts, len(token))), who[order]
+
+    a, a_at, a_n, a_who = postings(left)
+    b, b_at, b_n, b_who = postings(right)
+    _, i, j = np.intersect1d(a, b, assume_unique=True, return_indices=True)
+    a_at, a_n, b_at, b_n = a_at[i], a_n[i], b_at[j], b_n[j]
+    out, times = np.zeros(len(left) * len(right)), a_n * b_n
+    few = np.flatnonzero(times <= 256)  # tokens of few sets: pair by pair
+    for part in np.array_split(few, len(few) // 8192 + 1):
+        n = times[part]
+        k = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+        width = np.repeat(b_n[part], n)
+        out += np.bincount(a_who[np.repeat(a_at[part], n) + k // width] * len(right) + b_who[np.repeat(b_at[part], n) + k % width], minlength=len(out)) if len(k) else 0
+    out, many = out.reshape(len(left), len(right)), np.flatnonzero(times > 256)
+    for part in np.array_split(many, len(many) // 2048 + 1):  # the rest: as a product of matrices
+        if len(part):
+            x, y = np.zeros((len(left), len(part)), np.float32), np.zeros((len(right), len(part)), np.float32)
+            for m, at, n, who in ((x, a_at[part], a_n[part], a_who), (y, b_at[part], b_n[part], b_who)):
+                k = np.repeat(at - np.cumsum(n) + n, n) + np.arange(n.sum())
+                m[who[k], np.repeat(np.arange(len(part)), n)] = 1
+            out += x @ y.T
+    return out
+
+
+def _block_links(percent: int):
+    def links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found: list[tuple[int, int]] = []
+            for one, two, same in zip(batch.column("x"), batch.column("y"), batch.column("same").to_pylist(), strict=True):
+                sides = []
+                for side in (one.values, two.values):
+                    sides.append((side.field("node").to_numpy(), side.field("comp").to_numpy(), [np.frombuffer(v.as_buffer(), np.uint64) for v in side.field("set")]))
+                (node, comp, left), (node2, comp2, right) = sides
+                c = common_counts(left, right)
+                alike = (c > 0) & (100 * c >= percent * (np.array([len(v) for v in left])[:, None] + np.array([len(v) for v in right]) - c)) & (comp[:, None] != comp2)
+                if same:
+                    alike &= np.triu(np.ones(alike.shape, bool), 1)
+                up: dict[int, int] = {}
+                for i, j in zip(*np.nonzero(alike), strict=True):  # links that join components, no more
+                    p, q = int(comp[i]), int(comp2[j])
+                    while p in up:
+                        p = up[p]
+                    while q in up:
+                        q = up[q]
+                    if p != q:
+                        up[max(p, q)] = min(p, q)
+                        found.append((int(node[i]), int(node2[j])))
+            yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in found], pa.int64()) for k in (0, 1)], ["a", "b"])
+
+    return links
+
+
+def _sets(ends: DataFrame, docs: DataFrame, width: int) -> DataFrame:
+    """node and set: the full shingle sets of some nodes, given as node and th, the hash of a text."""
+    texts = docs.select(_node(docs).alias("_n"), F.xxhash64("text").alias("_t"), "text").join(ends.select(F.col("node").alias("_n"), F.col("th").alias("_t")), ["_n", "_t"], "left_semi")
+    return cut(texts.dropDuplicates(["_n", "_t"]).select(F.col("_n").alias("node"), _set(width)("text").alias("set")))
+
+
+#: Shingles and nodes that a block of the second pass is planned for.
+BLOCK_SHINGLES, BLOCK_NODES = 60_000, 256
+
+
+def _block_pass(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) that join components, from all pairs of ``members`` (bucket, rep, n, comp) that share a bucket."""
+    per = members.groupBy("bucket").agg(F.count("*").alias("c"))
+    # A node's home is its largest bucket, so nodes that meet often are of one block or few.
+    home = cut(members.join(per, "bucket").groupBy("rep").agg(F.max(F.struct("c", "bucket")).alias("h"), F.first("n").alias("n"), F.first("comp").alias("comp")).select("rep", "n", "comp", F.col("h.bucket").alias("home")))
+    parts = home.groupBy("home", "comp").agg(F.count("*").alias("c"), F.sum("n").alias("w"))
+    largest = parts.groupBy("home").agg(F.max(F.struct("c", "comp", "w")).alias("big"), F.sum("c").alias("c"), F.sum("w").alias("w"))
+    apart = F.col("comp") == F.col("big.comp")
+    weight = F.greatest(F.when(apart, F.col("big.w")).otherwise(F.col("w") - F.col("big.w")) / BLOCK_SHINGLES, F.when(apart, F.col("big.c")).otherwise(F.col("c") - F.col("big.c")) / BLOCK_NODES)
+    block = F.xxhash64("home", apart, F.pmod(F.xxhash64("rep.node", F.lit(9)), F.ceil(weight)))
+    dealt = cut(home.join(largest, "home").select("rep", "comp", block.alias("block")))
+    spots = members.select("bucket", "rep").join(dealt, "rep").groupBy("bucket", "block").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"))
+    spots = cut(spots)
+    other = spots.select("bucket", F.col("block").alias("block2"), F.col("lo").alias("lo2"), F.col("hi").alias("hi2"))
+    pairs = spots.join(other, "bucket").filter((F.col("block") <= F.col("block2")) & (F.least("lo", "lo2") < F.greatest("hi", "hi2"))).select("block", "block2").distinct()
+    pairs = cut(pairs)
+    full = cut(sets.join(dealt.select("rep.node", "comp", "block"), "node").groupBy("block").agg(F.collect_list(F.struct("node", "comp", "set")).alias("x")))
+    both = pairs.join(full, "block").join(full.select(F.col("block").alias("block2"), F.col("x").alias("y")), "block2")
+    links = cut(both.select("x", "y", (F.col("block") == F.col("block2")).alias("same")).mapInArrow(_block_links(percent), "a bigint, b bigint"))
+    let_go(full)
+    return links
+
+
 def components(edges: DataFrame) -> DataFrame:
     """node, comp: the least node that edges (a, b) reach, for every node of an edge.
 
@@ -189,17 +296,11 @@ def components(edges: DataFrame) -> DataFrame:
     return labels
 
 
-def _verified(pairs: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
-    """The pairs (a, b) whose full shingle sets are alike; a and b are structs of node and hash of its text."""
-    ends = pairs.select("a.*").union(pairs.select("b.*")).distinct()
-    texts = docs.select(_node(docs).alias("_n"), F.xxhash64("text").alias("_t"), "text").join(ends.select(F.col("node").alias("_n"), F.col("th").alias("_t")), ["_n", "_t"], "left_semi")
-    sets = cut(texts.dropDuplicates(["_n", "_t"]).select(F.col("_n").alias("node"), _set(width)("text").alias("set")))
+def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) of nodes whose full shingle sets are alike."""
     left, right = sets.select(F.col("node").alias("_a"), F.col("set").alias("_x")), sets.select(F.col("node").alias("_b"), F.col("set").alias("_y"))
-    ids = pairs.select(F.col("a.node").alias("a"), F.col("b.node").alias("b"))
-    joined = ids.join(right, F.col("b") == F.col("_b")).join(left, F.col("a") == F.col("_a"))
-    links = cut(joined.filter(_alike(percent)("_x", "_y")).select("a", "b"))
-    let_go(sets)
-    return links
+    joined = pairs.join(right, F.col("b") == F.col("_b")).join(left, F.col("a") == F.col("_a"))
+    return cut(joined.filter(_alike(percent)("_x", "_y")).select("a", "b"))
 
 
 def _node(docs: DataFrame):
@@ -220,35 +321,26 @@ def _near(docs: DataFrame, width: int, percent: int) -> tuple[DataFrame, DataFra
     def pairs_of(met: DataFrame) -> DataFrame:
         """Distinct pairs, the smaller node first, whose sizes allow the similarity."""
         size = 100 * F.least("n", "pivot.n") >= percent * F.greatest("n", "pivot.n")
-        a, b = F.least(F.col("rep"), F.col("pivot.rep")), F.greatest(F.col("rep"), F.col("pivot.rep"))
+        a, b = F.least("rep.node", "pivot.rep.node"), F.greatest("rep.node", "pivot.rep.node")
         return met.filter(size).select(a.alias("a"), b.alias("b")).distinct()
 
-    # Rows of one doc_id are one document: their sets are linked.
-    own = worded.join(nodes.select("f1", "f2", F.col("rep.node").alias("_r")), ["f1", "f2"]).groupBy("node").agg(F.min("_r").alias("a"), F.max("_r").alias("b"), F.array_distinct(F.collect_list("_r")).alias("_all")).filter("a < b").select("a", F.explode("_all").alias("b")).filter("a <> b")
+    # Rows of one doc_id are one document: each of its sets is linked to the least, one row a set.
+    each = worded.join(nodes.select("f1", "f2", F.col("rep.node").alias("_r")), ["f1", "f2"]).select("node", "_r").distinct()
+    least = each.groupBy("node").agg(F.min("_r").alias("a"), F.max("_r").alias("_z")).filter("a < _z").select("node", "a")
+    own = each.join(least, "node").filter("a <> _r").select("a", F.col("_r").alias("b"))
     pairs = cut(pairs_of(rows))
-    tested = pairs
-    links = _verified(pairs, docs, width, percent).union(own)
-    rows, labels, share = rows.drop("pivot"), components(links), 1
-    while True:
-        comp = cut(rows.join(labels.select(F.col("node").alias("_l"), "comp"), F.col("rep.node") == F.col("_l"), "left").select("bucket", "rep", "n", F.coalesce("comp", "rep.node").alias("comp")))
-        sizes = comp.groupBy("bucket", "comp").agg(F.count("*").alias("_c"))
-        # A bucket is through when all members outside its largest component were pivots, so these alone are named.
-        open_ = sizes.groupBy("bucket").agg(F.max(F.struct("_c", "comp")).alias("_big"), F.count("*").alias("_k")).filter("_k > 1").select("bucket", F.col("_big.comp").alias("_big"))
-        rows = cut(comp.join(open_, "bucket"))
-        if not rows.head(1):
-            break
-        share *= 8
-        small = rows.filter("comp <> _big").groupBy("bucket", F.pmod(F.xxhash64("rep.node", F.lit(share)), F.lit(share)).alias("_k"))
-        pivots = cut(small.agg(F.min(F.struct("rep", "n", "comp")).alias("pivot")).select("bucket", "pivot"))
-        met = rows.join(pivots, "bucket").filter("comp <> pivot.comp")
-        pairs = cut(pairs_of(met).join(tested, ["a", "b"], "left_anti"))
-        if pairs.head(1):
-            tested = tested.union(pairs)
-            new = _verified(pairs, docs, width, percent)
-            if new.head(1):
-                links = links.union(new)
-                labels = components(links)
-        rows = rows.join(pivots.select("bucket", F.col("pivot.rep").alias("rep")), ["bucket", "rep"], "left_anti").select("bucket", "rep", "n")
+    # The texts of all nodes that share a bucket move once, for both passes.
+    sets = _sets(rows.select("rep.*").union(rows.select("pivot.rep.*")).distinct(), docs, width)
+    links = _verified(pairs, sets, percent).union(own)
+    labels = components(links)
+    comp = cut(rows.select("bucket", "rep", "n").join(labels.select(F.col("node").alias("_l"), "comp"), F.col("rep.node") == F.col("_l"), "left").select("bucket", "rep", "n", F.coalesce("comp", "rep.node").alias("comp")))
+    open_ = comp.groupBy("bucket").agg(F.min("comp").alias("_lo"), F.max("comp").alias("_hi")).filter("_lo < _hi").select("bucket")
+    members = cut(comp.join(open_, "bucket"))
+    if members.head(1):
+        new = _block_pass(members, sets, percent)
+        if new.head(1):
+            labels = components(links.union(new))
+    let_go(comp, members, rows, sets)
     named = nodes.select("f1", "f2", F.col("rep.node").alias("_r")).join(labels, F.col("_r") == F.col("node"), "left").select("f1", "f2", F.coalesce("comp", "_r").alias("comp"))
     return prints, cut(named)
 
@@ -268,17 +360,15 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
 def near_dedup(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     """The document with the smallest doc_id of each component, with the columns of ``docs``; rows without words stay.
 
-    Of rows that share doc_id and text one stays.
+    Null and empty texts stay as they are. Of rows that share doc_id and text one stays. Ties can't
+    arise: a node is a doc_id. An empty table gives an empty one. Extra columns may have any names.
     """
     prints, named = _near(docs, width, percent)
-    last = prints.filter("n > 0").join(named, ["f1", "f2"]).filter("node = comp").groupBy("node").agg(F.min("th").alias("th"), F.count("*").alias("_c"))
-    last = cut(last)
-    keyed = docs.withColumn("_n", _node(docs)).withColumn("_t", F.xxhash64("text"))
-    stays = last.select(F.col("node").alias("_n"), F.col("th").alias("_t"), "_c")
-    one = keyed.join(stays.filter("_c = 1"), ["_n", "_t"], "left_semi")
-    equal = keyed.join(stays.filter("_c > 1"), ["_n", "_t"], "left_semi").dropDuplicates(["_n", "_t"])
-    empty = keyed.filter(~F.coalesce(F.col("text"), F.lit("")).rlike(r"[^\x20\x09-\x0D]"))
-    return one.unionByName(equal).unionByName(empty).select(*docs.columns)
+    last = cut(prints.filter("n > 0").join(named, ["f1", "f2"]).filter("node = comp").groupBy("node").agg(F.min("th").alias("th"), F.count("*").alias("c")))
+    keyed = docs.select(nested(docs).alias("row"), _node(docs).alias("node"), F.xxhash64("text").alias("th"), F.coalesce(docs["text"], F.lit("")).rlike(r"[^\x20\x09-\x0D]").alias("worded"))
+    one = keyed.join(last.filter("c = 1"), ["node", "th"], "left_semi")
+    equal = keyed.join(last.filter("c > 1"), ["node", "th"], "left_semi").groupBy("node", "th").agg(F.first("row").alias("row"))
+    return one.select("row").union(equal.select("row")).union(keyed.filter(~F.col("worded")).select("row")).select(*unnested(docs.columns))
 
 
 def op4_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
