@@ -16,11 +16,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sextant.llm.common import cut, load, settle
+from sextant.llm.common import cut, load, nested, settle, unnested
 
 STATS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_ended_lines", "n_letters", "n_upper", "n_marks", "n_punct")
-#: Prior accuracy of a rule's votes on good and on bad documents, and prior share of good documents.
-START, PRIOR, N_RULES = (0.995, 0.25), 0.9, 9
+#: Prior accuracy of a rule's votes on good and on bad documents, prior share of good documents, and how
+#: many pseudo-votes the priors count for, whatever the number of rows.
+START, PRIOR, STRENGTH, N_RULES = (0.995, 0.25), 0.9, 50.0, 8
 _SYMBOLS, _SPACE, _MARKS = b"#*$%&|<>", b" \t\n\x0b\x0c\r", b"!?"
 _UPPER = bytes(range(65, 91))
 _NOT_LETTERS = bytes(c for c in range(128) if not (65 <= c <= 90 or 97 <= c <= 122))
@@ -79,10 +80,10 @@ def _stats(texts: pa.Array) -> pa.Array:
     return pa.StructArray.from_arrays([pa.array(columns[:, i]) for i in range(len(STATS))], list(STATS))
 
 
-def with_stats(docs: DataFrame, text: str = "text", out: str = "_stats") -> DataFrame:
-    """``docs`` with a struct column of text statistics; a null or empty text counts zero of everything."""
-    settle(docs.sparkSession)
-    return docs.withColumn(out, F.arrow_udf(_stats, "struct<" + ",".join(f"{x}:bigint" for x in STATS) + ">")(F.col(text)))
+def text_statistics(spark: SparkSession, text: Column) -> Column:
+    """A struct of the statistics of a text; a null or empty text counts zero of everything."""
+    settle(spark)
+    return F.arrow_udf(_stats, "struct<" + ",".join(f"{x}:bigint" for x in STATS) + ">")(text)
 
 
 def votes(s: Column) -> list[tuple[str, Column]]:
@@ -98,7 +99,6 @@ def votes(s: Column) -> list[tuple[str, Column]]:
     doubled, ended, shouted, marks = ratio("n_dup_lines", "n_lines"), ratio("n_ended_lines", "n_lines"), ratio("n_upper", "n_letters"), ratio("n_marks", "n_words")
     punct = ratio("n_punct", "word_chars")
     return [
-        ("length", rule(s["n_words"] >= 50, s["n_words"] < 50)),
         ("symbols", rule(symbols < 0.02, symbols > 0.1)),
         ("repeats", rule(repeated < 0.1, repeated > 0.3)),
         ("lines", rule(s["n_dup_lines"] == 0, doubled > 0.4)),
@@ -128,18 +128,16 @@ class LabelModel:
         return F.lit(1.0) / (F.lit(1.0) + F.exp(-logit))
 
 
-def fit_label_model(patterns: np.ndarray, counts: np.ndarray, rounds: int = 200, strength: float = 0.2) -> LabelModel:
+def fit_label_model(patterns: np.ndarray, counts: np.ndarray, rounds: int = 200, strength: float = STRENGTH) -> LabelModel:
     """EM over distinct vote patterns (rows of -1, 0, 1) with their counts.
 
-    Beta priors hold the classes in place (as many pseudo-votes as ``strength`` times the rows, so that they
-    weigh alike at every size): a rule seldom speaks against a good
+    Beta priors of ``strength`` pseudo-votes say which class is which: a rule seldom speaks against a good
     document (accuracy START[0]) and any one rule sees only some kinds of bad ones (START[1]).
     Abstentions carry no evidence. With no rows the priors come back.
     """
     n_rules = patterns.shape[1] if patterns.size else N_RULES
     alpha = np.tile(np.array(START), (n_rules, 1))
     prior = PRIOR
-    strength = max(20.0, strength * float(counts.sum())) if patterns.size else 0.0
     up, down, counts = (patterns > 0).astype(float), (patterns < 0).astype(float), counts.astype(float)
     for _ in range(rounds if patterns.size else 0):
         logit = np.log(prior / (1 - prior)) + up @ np.log(alpha[:, 0] / (1 - alpha[:, 1])) + down @ np.log((1 - alpha[:, 0]) / alpha[:, 1])
@@ -154,7 +152,11 @@ def fit_label_model(patterns: np.ndarray, counts: np.ndarray, rounds: int = 200,
     return LabelModel(prior, tuple((float(g), float(b)) for g, b in alpha))
 
 
-def learn(stats: DataFrame, column: str = "_stats") -> LabelModel:
+def base_failed(s: Column) -> Column:
+    return (s["n_words"] < 50) | (100 * s["n_repeat_words"] > 50 * s["n_words"])
+
+
+def learn(stats: DataFrame, column: str = "stats") -> LabelModel:
     """Fit on the vote patterns of all rows that the base test leaves open; at most 3 to the number of rules of them reach the driver."""
     rules = votes(F.col(column))
     rows = stats.filter(~base_failed(F.col(column))).select(*(v.alias(n) for n, v in rules)).groupBy(*(n for n, _ in rules)).agg(F.count("*").alias("_rows")).collect()
@@ -162,31 +164,30 @@ def learn(stats: DataFrame, column: str = "_stats") -> LabelModel:
     return fit_label_model(np.array([r[:-1] for r in rows]), np.array([r[-1] for r in rows]))
 
 
-def base_failed(s: Column) -> Column:
-    return (s["n_words"] < 50) | (100 * s["n_repeat_words"] > 50 * s["n_words"])
-
-
-def judged(stats: DataFrame, model: LabelModel, column: str = "_stats", least: float = 0.5) -> DataFrame:
-    """Adds ``_posterior``, ``_base_failed`` and ``_kept``."""
-    s = F.col(column)
-    return stats.withColumn("_posterior", model.posterior([v for _, v in votes(s)])).withColumn("_base_failed", base_failed(s)).withColumn("_kept", ~F.col("_base_failed") & (F.col("_posterior") >= least))
+def verdict(model: LabelModel, s: Column, least: float = 0.5) -> tuple[Column, Column]:
+    """Posterior quality of a struct of statistics, and whether the document is kept."""
+    posterior = model.posterior([v for _, v in votes(s)])
+    return posterior, ~base_failed(s) & (posterior >= least)
 
 
 def quality_rules(docs: DataFrame) -> DataFrame:
     """The documents that pass, with the columns of ``docs``.
 
     Null and empty texts fail the base test. Repeated rows are judged alike and each stays or goes as it
-    is; other columns, nulls among them, pass through. An empty table gives an empty table.
+    is; other columns, nulls among them, pass through, whatever their names. A posterior of exactly one
+    half stays. An empty table gives an empty table. Statistics are taken once and written beside the rows.
     """
-    model = learn(with_stats(docs.select("text")))
-    return judged(with_stats(docs), model).filter("_kept").select(*docs.columns)
+    rows = cut(docs.select(nested(docs).alias("row"), text_statistics(docs.sparkSession, docs["text"]).alias("stats")))
+    return rows.filter(verdict(learn(rows), F.col("stats"))[1]).select(*unnested(docs.columns))
 
 
 def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row per document: the statistics, the base test and the posterior verdict."""
-    stats = cut(with_stats(load(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "_stats"))
-    s = F.col("_stats")
-    return judged(stats, learn(stats)).select(
+    docs = load(spark, sf_dir, "documents")
+    stats = cut(docs.select("doc_id", text_statistics(spark, docs["text"]).alias("stats")))
+    s = F.col("stats")
+    posterior, kept = verdict(learn(stats), s)
+    return stats.select(
         "doc_id", s["n_words"].alias("n_words"), s["word_chars"].alias("word_chars"), s["n_symbols"].alias("n_symbols"), s["n_dup_lines"].alias("n_dup_lines"), s["n_repeat_words"].alias("n_repeat_words"),
-        F.col("_base_failed").alias("base_failed"), F.col("_kept").alias("kept"), F.col("_posterior").alias("posterior"),
+        base_failed(s).alias("base_failed"), kept.alias("kept"), posterior.alias("posterior"),
     )
