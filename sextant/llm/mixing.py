@@ -6,7 +6,10 @@ probabilities along the null space of the constraints (tokens, documents) until
 balance holds exactly; it runs in small blocks of a source, side by side, and the up to two documents
 a block leaves open go on to the next level. The last level also holds a reserve of the source, some
 RESERVE documents by hash that no block had: what is open there at the end, two documents at most, is
-the landing problem, and documents of the reserve change sides until the tokens come out.
+the landing problem, and documents of the reserve change sides until tokens and documents come out.
+
+Equal rows are one unit: it is taken floor(rate * rows) times, with the rest as its probability, and its
+rows share what it got as evenly as they can. So no block and no reserve holds a row often.
 """
 
 from __future__ import annotations
@@ -20,7 +23,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sextant.llm.common import cut, load, settle
+from sextant.llm.common import cut, load, nested, row_hash, settle, unnested
 
 WEIGHTS = (5, 2, 1)
 MOST = 3
@@ -76,8 +79,8 @@ def landing(start: np.ndarray, pi: np.ndarray, size: np.ndarray) -> np.ndarray:
     """Settle the open documents and mend what their rounding costs.
 
     The open ones (two at most) take the choice that misses their expected tokens least. Then, while it
-    brings the tokens nearer to their expectation, the best single document or pair among those that
-    had a choice (0 < start < 1) changes sides.
+    brings the totals nearer to their expectation, the best single document or pair among those that
+    had a choice (0 < start < 1) changes sides. A document off counts as a token off.
     """
     size = size.astype(float)
     open_ = [i for i, p in enumerate(pi) if 0 < p < 1]
@@ -87,13 +90,14 @@ def landing(start: np.ndarray, pi: np.ndarray, size: np.ndarray) -> np.ndarray:
         out[open_] = min(itertools.product((0.0, 1.0), repeat=len(open_)), key=lambda x: (abs((np.array(x) - p) @ s), abs((np.array(x) - p).sum()), x))
     free = np.flatnonzero((start > 0) & (start < 1))
     for _ in range(8 if len(free) else 0):
-        off = (out - start) @ size
-        change = np.where(out[free] > 0.5, -size[free], size[free])
-        one = np.abs(off + change)
-        pair = np.abs(off + change[:, None] + change[None, :])
+        off, count = (out - start) @ size, (out - start).sum()
+        sign = np.where(out[free] > 0.5, -1.0, 1.0)
+        change = sign * size[free]
+        one = np.abs(off + change) + np.abs(count + sign)
+        pair = np.abs(off + change[:, None] + change[None, :]) + np.abs(count + sign[:, None] + sign[None, :])
         np.fill_diagonal(pair, np.inf)
         i, j = divmod(int(pair.argmin()), len(free))
-        if min(one.min(), pair[i, j]) >= abs(off) - 1e-9:
+        if min(one.min(), pair[i, j]) >= abs(off) + abs(count) - 1e-9:
             break
         for k in [int(one.argmin())] if one.min() <= pair[i, j] else [i, j]:
             out[free[k]] = 1.0 - out[free[k]]
@@ -111,23 +115,26 @@ def _land(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
     return rows.assign(_pi=landing(start, rows["_pi"].to_numpy(), rows["size"].to_numpy()))
 
 
-def mixed(docs: DataFrame) -> DataFrame:
-    """One row per row of ``docs``: doc_id, source, size, source_size, target, copies, and ``_key``, a hash of the whole row.
+def units(docs: DataFrame) -> DataFrame:
+    """One row per kind of equal rows of ``docs``: doc_id, source, size, source_size, target, key (a hash of the
+    whole row), n (how many rows) and taken (how often all of them together).
 
     Only one row per source reaches the driver: a mixture names its sources. Blocks depend on the row's
-    hash alone, so reruns agree; equal rows share a block and are told apart by order, which can't matter.
-    Nulls: a null text has size 0, a null source is a source, a null doc_id is a value as any other.
+    hash alone, so reruns agree. Nulls: a null text has size 0, a null source is a source, a null doc_id
+    is a value as any other. Ties can't matter: equal rows are one unit.
     """
     spark = docs.sparkSession
     settle(spark)
-    rows = cut(docs.select("doc_id", "source", F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("bigint").alias("size"), F.xxhash64(*docs.columns).alias("_key")))
-    per = {r["source"]: (r["s"] or 0, r["n"]) for r in rows.groupBy("source").agg(F.sum("size").alias("s"), F.count("*").alias("n")).collect()}
+    rows = docs.select("doc_id", "source", F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("bigint").alias("size"), row_hash(docs).alias("_key"))
+    rows = cut(rows.groupBy("doc_id", "source", "size", "_key").agg(F.count("*").alias("_c")))
+    per = {r["source"]: (r["s"] or 0, r["n"]) for r in rows.groupBy("source").agg(F.sum(F.col("size") * F.col("_c")).alias("s"), F.count("*").alias("n")).collect()}
     want = targets({s: x[0] for s, x in per.items()})
     table = spark.createDataFrame([(s, x[0], want[s], min(float(MOST), want[s] / x[0]) if x[0] else 0.0, -(-x[1] // BLOCK), x[1]) for s, x in per.items()], "_source string, source_size bigint, target double, _rate double, _blocks bigint, _n bigint")
     # One row per source, as collected above: small by the same token.
     rows = rows.join(F.broadcast(table), F.col("source").eqNullSafe(F.col("_source"))).drop("_source")
-    whole = F.floor("_rate").cast("int")
-    rows = rows.select("doc_id", "source", "size", "source_size", "target", "_key", whole.alias("_whole"), (F.col("_rate") - whole).alias("_pi"), F.xxhash64("_key", F.lit(7)).alias("_order"), "_blocks", "_n")
+    times = F.col("_rate") * F.col("_c")
+    whole = F.floor(times).cast("bigint")
+    rows = rows.select("doc_id", "source", "size", "source_size", "target", "_key", "_c", whole.alias("_whole"), (times - whole).alias("_pi"), F.xxhash64("_key", F.lit(7)).alias("_order"), "_blocks", "_n")
     waits = F.pmod("_order", F.greatest(F.floor(F.col("_n") / RESERVE), F.lit(1))) == 0
     reserve, rows = rows.filter(waits).drop("_n"), rows.filter(~waits).drop("_n")
     done, level = [], 0
@@ -148,19 +155,38 @@ def mixed(docs: DataFrame) -> DataFrame:
     out = done[0]
     for x in done[1:]:
         out = out.unionByName(x)
-    return out.select("doc_id", "source", "size", "source_size", "target", "_key", (F.col("_whole") + F.col("_pi").cast("int")).alias("copies"))
+    return out.select("doc_id", "source", "size", "source_size", "target", F.col("_key").alias("key"), F.col("_c").alias("n"), (F.col("_whole") + F.col("_pi").cast("bigint")).alias("taken"))
+
+
+def _times(n, step: int = 4096):
+    """Two generators whose product has ``n`` rows, so that no row holds an array of more than n / step or ``step``."""
+    return F.sequence(F.lit(0), F.floor((n - 1) / step)), lambda part: F.sequence(F.lit(1), F.least(F.lit(step), n - part * step))
+
+
+def mixed(docs: DataFrame) -> DataFrame:
+    """One row per row of ``docs``: doc_id, source, size, source_size, target and copies, how often the mix takes it.
+
+    The rows of a kind share what was taken of it, the first ones one more. See ``units`` for nulls and ties; an
+    empty table gives an empty one.
+    """
+    chunks, within = _times(F.col("n"))
+    each = units(docs).withColumn("part", F.explode(chunks)).withColumn("i", F.explode(within(F.col("part"))))
+    copies = F.floor(F.col("taken") / F.col("n")) + (F.col("part") * 4096 + F.col("i") <= F.pmod("taken", F.col("n"))).cast("int")
+    return each.select("doc_id", "source", "size", "source_size", "target", copies.cast("bigint").alias("copies"))
 
 
 def mix_sources(docs: DataFrame) -> DataFrame:
-    """The mix itself: every document as often as it is taken, with the columns of ``docs``.
+    """The mix itself: every document as often as it is taken, with the columns of ``docs``, whatever their names.
 
     Equal rows share the copies that all of them got. A document that isn't taken goes.
     """
-    taken = mixed(docs).groupBy("_key").agg(F.sum("copies").alias("_copies"), F.count("*").alias("_rows")).filter("_copies > 0")
-    keyed = docs.withColumn("_row", F.xxhash64(*docs.columns))
-    one = keyed.join(taken.filter("_rows = 1").select("_key", "_copies"), F.col("_row") == F.col("_key"))
-    equal = keyed.join(taken.filter("_rows > 1").select("_key", "_copies"), F.col("_row") == F.col("_key")).dropDuplicates(["_row"])
-    return one.unionByName(equal).withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies").cast("int")))).select(*docs.columns)
+    taken = units(docs).filter("taken > 0").select("key", "n", "taken")
+    keyed = docs.select(nested(docs).alias("row"), row_hash(docs).alias("key"))
+    one = keyed.join(taken.filter("n = 1"), "key").select("row", "taken")
+    equal = keyed.join(taken.filter("n > 1"), "key").groupBy("key").agg(F.first("row").alias("row"), F.first("taken").alias("taken")).select("row", "taken")
+    chunks, within = _times(F.col("taken"))
+    each = one.union(equal).withColumn("part", F.explode(chunks)).withColumn("i", F.explode(within(F.col("part"))))
+    return each.select(*unnested(docs.columns))
 
 
 def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
