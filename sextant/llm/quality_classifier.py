@@ -1,34 +1,39 @@
 """Quality classifier by co-training.
 
 Two views of a document: its text (hashed words and character-shape trigrams) and its page metadata
-(source, language, length and layout). A logistic model per view is fitted on the labelled sample; in
-each round either view labels the documents of an unlabelled pool that it is surest of, for the other
-one to learn from. A logistic combination, fitted on labelled rows that neither view has seen,
-calibrates both into one probability. One head learns ``quality``, another ``toxic``.
-
-Sample and pool are bounded by documented parameters; every document is scored, on its whole text.
+(source, language and the length its table states), which says nothing that the text view reads. A
+logistic model per view is fitted on the labelled sample; in each round either view scores all other
+documents on the executors, and those that it is surest of, for and against, go to the other one as
+pseudo-labels. A logistic combination, fitted on labelled rows that neither view has seen, calibrates both
+into one probability. One head learns ``quality``, another ``toxic``; a row with one label trains one.
+
+Only the labelled sample and the pseudo-labels reach the driver, both bounded by documented parameters;
+features are taken once from every whole text and written to the shared folder.
 """
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sextant.llm.common import load, settle
+from sextant.llm.common import cut, let_go, load, nested, settle, unnested
 from sextant.llm.near_dedup import _words
 from sextant.llm.subwords import subword_counts
 
 WORD_BUCKETS, SHAPE_BUCKETS, META_BUCKETS = 1 << 18, 1 << 12, 1 << 12
-#: Bounds of the labelled sample and of the unlabelled pool, by smallest hash of the doc_id.
-LABELLED, POOL = 2400, 1600
-ROUNDS, SHARE = 3, 0.05
+#: Bounds: labelled rows a head, by smallest hash; pseudo-labels that a view gives in one round; rounds.
+LABELLED, PSEUDO, ROUNDS = 4800, 80, 3
 TASKS = ("quality", "toxic")
+VIEWS = ("text", "meta")
+_SIZES = (WORD_BUCKETS + SHAPE_BUCKETS, META_BUCKETS)
 _SHAPE = str.maketrans({**{chr(c): "a" for c in range(97, 123)}, **{chr(c): "A" for c in range(65, 91)}, **{chr(c): "9" for c in range(48, 58)}})
+#: A view of a row: bucket numbers as unsigned 32-bit integers, then as many 32-bit floats.
+_FEATURES = "struct<text:binary,meta:binary>"
 
 Rows = list[tuple[np.ndarray, np.ndarray]]
 
@@ -44,22 +49,44 @@ def text_view(texts: list[str | None]) -> Rows:
     return out
 
 
-def meta_view(sources: list, langs: list, texts: list[str | None]) -> Rows:
-    """Sparse features of the metadata: source, language, and binned length, line count, capital and punctuation shares."""
+def meta_view(sources: list, langs: list, lengths: list) -> Rows:
+    """Sparse features of the metadata: source, language, both together, and the stated length in doublings."""
     out = []
-    for s, g, t in zip(sources, langs, texts, strict=True):
-        raw = (t or "").encode("utf-8", "surrogatepass")
-        n = max(1, len(raw))
-        upper = n - len(raw.translate(None, bytes(range(65, 91)))) if raw else 0
-        punct = n - len(raw.translate(None, bytes(c for c in range(33, 127) if not chr(c).isalnum()))) if raw else 0
-        names = [f"s:{s}", f"g:{g}", f"n:{n.bit_length()}", f"l:{(raw.count(10) + 1).bit_length()}", f"w:{(n // (raw.count(10) + 1)).bit_length()}", f"u:{min(20, 50 * upper // n)}", f"p:{min(20, 50 * punct // n)}"]
+    for s, g, n in zip(sources, langs, lengths, strict=True):
+        names = [f"s:{s}", f"g:{g}", f"sg:{s}:{g}", f"n:{n if n is None else max(0, n).bit_length()}"]
         at = np.unique([xxhash.xxh3_64_intdigest(x.encode("utf-8", "surrogatepass")) % META_BUCKETS for x in names]).astype(np.int64)
         out.append((at, np.ones(len(at))))
     return out
 
 
+def _packed(rows: Rows) -> list[bytes]:
+    return [i.astype("<u4").tobytes() + v.astype("<f4").tobytes() for i, v in rows]
+
+
+def _unpacked(raw: bytes) -> tuple[np.ndarray, np.ndarray]:
+    n = len(raw) // 8
+    return np.frombuffer(raw, "<u4", n).astype(np.int64), np.frombuffer(raw, "<f4", n, 4 * n).astype(np.float64)
+
+
+def features(docs: DataFrame) -> Column:
+    """Both views of the rows of ``docs`` as packed features. Null texts count as empty; null sources, languages and
+    lengths are values; a table without one of these columns counts as holding nulls."""
+    settle(docs.sparkSession)
+
+    def both(texts: pa.Array, sources: pa.Array, langs: pa.Array, lengths: pa.Array) -> pa.Array:
+        views = text_view(texts.to_pylist()), meta_view(sources.to_pylist(), langs.to_pylist(), lengths.to_pylist())
+        return pa.StructArray.from_arrays([pa.array(_packed(v), pa.binary()) for v in views], list(VIEWS))
+
+    given = [docs[c].cast(t) if c in docs.columns else F.lit(None).cast(t) for c, t in (("text", "string"), ("source", "string"), ("lang", "string"), ("n_chars", "bigint"))]
+    return F.arrow_udf(both, _FEATURES)(*given)
+
+
 def logits(rows: Rows, w: np.ndarray, bias: float) -> np.ndarray:
-    return np.array([w[i] @ v for i, v in rows]) + bias if rows else np.zeros(0)
+    if not rows:
+        return np.zeros(0)
+    n = np.array([len(i) for i, _ in rows])
+    value = w[np.concatenate([i for i, _ in rows])] * np.concatenate([v for _, v in rows])
+    return np.bincount(np.repeat(np.arange(len(rows)), n), value, len(rows)) + bias
 
 
 def logistic(rows: Rows, y: np.ndarray, size: int, least: float = 3.5, steps: int = 150, l2: float = 1e-4) -> tuple[np.ndarray, float]:
@@ -92,38 +119,42 @@ def logistic(rows: Rows, y: np.ndarray, size: int, least: float = 3.5, steps: in
     return w, float(bias)
 
 
+Model = tuple[np.ndarray, float]
+
+
 @dataclass
 class Head:
-    text: tuple[np.ndarray, float]
-    meta: tuple[np.ndarray, float]
-    weights: tuple[float, float, float]  # of the text logit, the metadata logit, and the constant
-
-
-def co_train(text: Rows, meta: Rows, y: np.ndarray, pool_text: Rows, pool_meta: Rows) -> Head:
-    """Exchange confident pseudo-labels, then calibrate on the quarter of the labelled rows kept apart."""
-    apart = np.arange(len(y)) % 4 == 3
-    fit = np.flatnonzero(~apart)
-    sizes, views, pools = (WORD_BUCKETS + SHAPE_BUCKETS, META_BUCKETS), (text, meta), (pool_text, pool_meta)
-    rows: list[Rows] = [[views[k][i] for i in fit] for k in (0, 1)]
-    labels = [y[fit].astype(float), y[fit].astype(float)]
-    free = [np.ones(len(pool_text), bool), np.ones(len(pool_text), bool)]
-    models = [logistic(rows[k], labels[k], sizes[k]) for k in (0, 1)]
-    for _ in range(ROUNDS if len(pool_text) and 0 < y[fit].sum() < len(fit) else 0):
-        scores = [logits(pools[k], *models[k]) for k in (0, 1)]
-        for k in (0, 1):
-            other = 1 - k
-            each = max(1, int(SHARE * len(pool_text)))
-            up = max(1, round(each * y[fit].mean()))
-            order = [i for i in np.argsort(-scores[k], kind="stable") if free[other][i]]
-            sure = [(i, 1.0) for i in order[:up] if scores[k][i] > np.log(9)] + [(i, 0.0) for i in order[::-1][: each - up] if scores[k][i] < -np.log(9)]
-            for i, label in sure:
-                free[other][i] = False
-                rows[other].append(pools[other][i])
-                labels[other] = np.append(labels[other], label)
-        models = [logistic(rows[k], labels[k], sizes[k]) for k in (0, 1)]
-    held = np.flatnonzero(apart)
-    z = np.stack([logits([views[k][i] for i in held], *models[k]) for k in (0, 1)], 1)
-    return Head(models[0], models[1], _combine(z, y[held].astype(float)))
+    text: Model
+    meta: Model
+    weights: tuple[float, float, float] = (1.0, 1.0, 0.0)  # of the text logit, the metadata logit, and the constant
+
+
+@dataclass
+class Trainer:
+    """One head in training: rows and labels of either view, and the quarter of the labelled rows kept apart."""
+
+    rows: list[Rows]
+    labels: list[list[float]]
+    apart: list[Rows]
+    apart_labels: np.ndarray
+    share: float
+    models: list[Model] = field(default_factory=list)
+
+    @classmethod
+    def of(cls, views: list[Rows], y: np.ndarray) -> Trainer:
+        apart = np.arange(len(y)) % 4 == 3
+        fit, held = np.flatnonzero(~apart), np.flatnonzero(apart)
+        known = y[fit].astype(float).tolist()
+        out = cls([[v[i] for i in fit] for v in views], [list(known), list(known)], [[v[i] for i in held] for v in views], y[held].astype(float), float(np.mean(known)) if known else 0.0)
+        out.fit()
+        return out
+
+    def fit(self) -> None:
+        self.models = [logistic(self.rows[k], np.array(self.labels[k]), _SIZES[k]) for k in (0, 1)]
+
+    def head(self) -> Head:
+        z = np.stack([logits(self.apart[k], *self.models[k]) for k in (0, 1)], 1) if len(self.apart_labels) else np.zeros((0, 2))
+        return Head(self.models[0], self.models[1], _combine(z, self.apart_labels))
 
 
 def _combine(z: np.ndarray, y: np.ndarray) -> tuple[float, float, float]:
@@ -138,59 +169,92 @@ def _combine(z: np.ndarray, y: np.ndarray) -> tuple[float, float, float]:
     return tuple(float(a) for a in (max(0.0, w[0]), max(0.0, w[1]), w[2]))
 
 
-def _features(rows: Rows) -> list[bytes]:
-    return [np.concatenate((i.astype(np.float64), v)).tobytes() for i, v in rows]
+def labelled(feats: DataFrame, labels: DataFrame) -> tuple[dict[str, list], set[tuple]]:
+    """For each task (label, view, view) of at most LABELLED rows, those with the smallest hashes of doc_id and text; and
+    the (doc_id, h) of all of them.
 
-
-def _unpacked(raw: bytes) -> tuple[np.ndarray, np.ndarray]:
-    i, v = np.frombuffer(raw, np.float64).reshape(2, -1)
-    return i.astype(np.int64), v
-
-
-def sample(docs: DataFrame, labels: DataFrame) -> list[tuple]:
-    """(labels or None, text features, metadata features) of at most LABELLED and POOL rows by hash of doc_id.
-
-    Labels of one document are averaged; null labels and doc_ids don't count.
+    Labels of one document are averaged; null labels and doc_ids don't count. Equal rows count once.
     """
-    known = labels.filter(F.col("doc_id").isNotNull()).groupBy("doc_id").agg(*(F.avg(t).alias(f"_{t}") for t in TASKS))
-    h = F.xxhash64("doc_id", F.lit(5))
-    with_text = docs.filter(F.col("doc_id").isNotNull() & F.col("text").isNotNull())
-    ids = with_text.select("doc_id").join(known, "doc_id", "left").withColumn("_h", h)
-    lab = ids.filter(F.col("_quality").isNotNull() & F.col("_toxic").isNotNull()).orderBy("_h", "doc_id").limit(LABELLED).collect()
-    free = ids.filter(F.col("_quality").isNull() & F.col("_toxic").isNull()).orderBy("_h", "doc_id").limit(POOL).collect()
-    want = docs.sparkSession.createDataFrame([(r["doc_id"], r["_quality"], r["_toxic"]) for r in {r["doc_id"]: r for r in [*lab, *free]}.values()], "doc_id bigint, _quality double, _toxic double")
-    both = F.arrow_udf(_both, "struct<t:binary,m:binary>")
-    got = with_text.join(F.broadcast(want), "doc_id").select("doc_id", "_quality", "_toxic", F.xxhash64("text").alias("_t"), both("text", "source", "lang").alias("f")).collect()
-    out = sorted(((r["doc_id"], r["_t"], r["_quality"], r["_toxic"], r["f"]["t"], r["f"]["m"]) for r in got), key=lambda r: r[:2])
-    return out[: 2 * (LABELLED + POOL)]
-
-
-def _both(texts: pa.Array, sources: pa.Array, langs: pa.Array) -> pa.Array:
-    t = texts.to_pylist()
-    return pa.StructArray.from_arrays([pa.array(_features(text_view(t)), pa.binary()), pa.array(_features(meta_view(sources.to_pylist(), langs.to_pylist(), t)), pa.binary())], ["t", "m"])
-
-
-def fit(rows: list[tuple]) -> dict[str, Head]:
-    lab, pool = [r for r in rows if r[2] is not None], [r for r in rows if r[2] is None]
-    text, meta = [_unpacked(r[4]) for r in lab], [_unpacked(r[5]) for r in lab]
-    pool_text, pool_meta = [_unpacked(r[4]) for r in pool], [_unpacked(r[5]) for r in pool]
-    return {task: co_train(text, meta, np.array([r[2 + k] >= 0.5 for r in lab], bool), pool_text, pool_meta) for k, task in enumerate(TASKS)}
+    known = labels.filter(F.col("doc_id").isNotNull()).groupBy("doc_id").agg(*(F.avg(t).alias(t) for t in TASKS))
+    rows = feats.filter("worded").select("doc_id", "h").distinct().join(known, "doc_id").withColumn("_o", F.xxhash64("doc_id", "h", F.lit(5)))
+    out, ids = {}, {}
+    for t in TASKS:
+        got = rows.filter(F.col(t).isNotNull()).orderBy("_o", "doc_id", "h").limit(LABELLED).select("doc_id", "h", t).collect()
+        out[t] = [((r["doc_id"], r["h"]), r[t]) for r in got]
+        ids |= dict.fromkeys(k for k, _ in out[t])
+    views = fetched(feats, list(ids))
+    return {t: [(y >= 0.5, *views[k]) for k, y in each] for t, each in out.items()}, set(ids)
+
+
+def fetched(feats: DataFrame, ids: list[tuple[int, int]]) -> dict[tuple, tuple]:
+    """Both views of the given (doc_id, h), as many as there are ids."""
+    if not ids:
+        return {}
+    wanted = feats.sparkSession.createDataFrame(ids, "doc_id bigint, h bigint")
+    got = feats.join(F.broadcast(wanted), ["doc_id", "h"]).groupBy("doc_id", "h").agg(F.first("f").alias("f")).collect()
+    return {(r["doc_id"], r["h"]): (_unpacked(r["f"]["text"]), _unpacked(r["f"]["meta"])) for r in got}
+
+
+def _surest(feats: DataFrame, trainers: dict[str, Trainer], used: set[tuple]) -> list[tuple]:
+    """(task, view, label, doc_id, h): for each the PSEUDO rows at most that the view is surest of, over all rows but the used ones.
+
+    Every row is scored on the executors and each of the eight lists is a distributed top-k. A row counts as sure beyond
+    odds of nine to one.
+    """
+    spark = feats.sparkSession
+    names = [(t, k) for t in TASKS for k in (0, 1)]
+    shared = spark.sparkContext.broadcast([trainers[t].models[k] for t, k in names])  # dense weights of fixed size
+
+    def score(text: pa.Array, meta: pa.Array) -> pa.Array:
+        views = [[_unpacked(x.as_py()) for x in v] for v in (text, meta)]
+        return pa.StructArray.from_arrays([pa.array(logits(views[k], *m), pa.float64()) for (_, k), m in zip(names, shared.value, strict=True)], [f"{t}_{k}" for t, k in names])
+
+    kind = "struct<" + ",".join(f"{t}_{k}:double" for t, k in names) + ">"
+    known = spark.createDataFrame(sorted(used), "doc_id bigint, h bigint")  # bounded: the sample and what was given so far
+    free = feats.filter("worded").join(F.broadcast(known), ["doc_id", "h"], "left_anti")
+    rows = cut(free.select("doc_id", "h", F.arrow_udf(score, kind)("f.text", "f.meta").alias("z")).select("doc_id", "h", "z.*").distinct())
+    lists = []
+    for t, k in names:
+        up = min(PSEUDO - 1, max(1, round(PSEUDO * trainers[t].share)))
+        for label, z, n in ((1, F.col(f"{t}_{k}"), up), (0, -F.col(f"{t}_{k}"), PSEUDO - up)):
+            best = rows.filter(z > float(np.log(9))).orderBy(z.desc(), "doc_id", "h").limit(n)
+            lists.append(best.select(F.lit(t).alias("task"), F.lit(k).alias("view"), F.lit(label).alias("label"), "doc_id", "h"))
+    every = lists[0]
+    for x in lists[1:]:
+        every = every.union(x)
+    got = [tuple(r) for r in every.collect()]
+    let_go(rows)
+    return got
+
+
+def fit(feats: DataFrame, labels: DataFrame) -> dict[str, Head]:
+    """Co-train both heads on the features of all documents: ``feats`` has doc_id, h, worded and f."""
+    known, used = labelled(feats, labels)
+    trainers = {t: Trainer.of([[r[1 + k] for r in rows] for k in (0, 1)], np.array([r[0] for r in rows], bool)) for t, rows in known.items()}
+    for _ in range(ROUNDS if any(0 < x.share < 1 for x in trainers.values()) else 0):
+        given = _surest(feats, trainers, used)
+        views = fetched(feats, sorted({x[3:] for x in given}))
+        for t, k, label, *key in given:
+            if 0 < trainers[t].share < 1:
+                trainers[t].rows[1 - k].append(views[tuple(key)][1 - k])
+                trainers[t].labels[1 - k].append(float(label))
+        used |= {x[3:] for x in given}
+        for x in trainers.values():
+            x.fit()
+        if not given:
+            break
+    return {t: x.head() for t, x in trainers.items()}
 
 
 _SCORES = "struct<" + ",".join(f"{t}_text:double,{t}_meta:double,{t}:double" for t in TASKS) + ">"
 
 
-def classify(docs: DataFrame, heads: dict[str, Head]) -> DataFrame:
-    """``docs`` with ``_s``: for each head the probabilities of either view and of both together.
+def scores(spark: SparkSession, heads: dict[str, Head], f: Column) -> Column:
+    """For each head the probabilities of either view and of both together, from packed features."""
+    shared = spark.sparkContext.broadcast(heads)  # two dense weight vectors a head, whatever the input
 
-    A null text counts as empty; null sources and languages are values.
-    """
-    settle(docs.sparkSession)
-    shared = docs.sparkSession.sparkContext.broadcast(heads)  # two dense weight vectors a head, whatever the input
-
-    def score(texts: pa.Array, sources: pa.Array, langs: pa.Array) -> pa.Array:
-        t = texts.to_pylist()
-        views, columns = (text_view(t), meta_view(sources.to_pylist(), langs.to_pylist(), t)), {}
+    def score(text: pa.Array, meta: pa.Array) -> pa.Array:
+        views, columns = [[_unpacked(x.as_py()) for x in v] for v in (text, meta)], {}
         for task, head in shared.value.items():
             a, b = logits(views[0], *head.text), logits(views[1], *head.meta)
             z = head.weights[0] * np.clip(a, -12, 12) + head.weights[1] * np.clip(b, -12, 12) + head.weights[2]
@@ -198,12 +262,31 @@ def classify(docs: DataFrame, heads: dict[str, Head]) -> DataFrame:
                 columns[name] = pa.array(1 / (1 + np.exp(-np.clip(x, -30, 30))), pa.float64())
         return pa.StructArray.from_arrays(list(columns.values()), list(columns))
 
-    return docs.withColumn("_s", F.arrow_udf(score, _SCORES)("text", "source", "lang"))
+    return F.arrow_udf(score, _SCORES)(f["text"], f["meta"])
+
+
+def featured(docs: DataFrame, row: Column) -> DataFrame:
+    """row, doc_id, h (hash of the text), worded (it has a text and a doc_id) and f, written to the shared folder."""
+    h = F.xxhash64("text")
+    return cut(docs.select(row.alias("row"), "doc_id", h.alias("h"), (F.col("doc_id").isNotNull() & F.col("text").isNotNull()).alias("worded"), features(docs).alias("f")))
+
+
+def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """The columns of ``docs``, whatever their names, then quality and toxic: co-trained probabilities of every document.
+
+    A null text counts as empty; null sources and languages are values; rows without a doc_id are scored
+    but never learned from. Equal scores rank by doc_id. With no labels every probability is one half.
+    """
+    kept = [c for c in docs.columns if c not in TASKS]
+    feats = featured(docs, nested(docs))
+    heads = fit(feats, labels)
+    return feats.select("row", scores(docs.sparkSession, heads, F.col("f")).alias("s")).select(*unnested(kept), *(F.col(f"s.{t}").alias(t) for t in TASKS))
 
 
 def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row per document: probabilities of quality and of toxicity, by view and combined; kept if good and not toxic."""
-    docs = load(spark, sf_dir, "documents").select("doc_id", "text", "source", "lang")
-    settle(spark)
-    heads = fit(sample(docs, load(spark, sf_dir, "labels")))
-    return classify(docs, heads).select("doc_id", F.col("_s.quality_text").alias("text_score"), F.col("_s.quality_meta").alias("meta_score"), F.col("_s.quality").alias("quality"), F.col("_s.toxic").alias("toxic"), ((F.col("_s.quality") >= 0.5) & (F.col("_s.toxic") < 0.5)).alias("kept"))
+    docs = load(spark, sf_dir, "documents")
+    feats = featured(docs, F.struct("doc_id"))
+    heads = fit(feats, load(spark, sf_dir, "labels"))
+    out = feats.select("doc_id", scores(spark, heads, F.col("f")).alias("s"))
+    return out.select("doc_id", F.col("s.quality_text").alias("text_score"), F.col("s.quality_meta").alias("meta_score"), F.col("s.quality").alias("quality"), F.col("s.toxic").alias("toxic"), ((F.col("s.quality") >= 0.5) & (F.col("s.toxic") < 0.5)).alias("kept"))
