@@ -25,4 +25,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_near_dedup": near_dedup.ORACLE, "op6_line_dedup": line_dedup.ORACLE}
+    return {"op4_near_dedup": near_dedup.ORACLE, "op6_line_dedup": line_dedup.ORACLE, "op7_repeats": repeats.ORACLE}

@@ -29,13 +29,15 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sextant.llm.common import cut, let_go, load, mix, settle
+from sextant.llm.common import cut, let_go, load, mix, nested, settle
 
 LENGTH, K = 50, 16
 REACH = LENGTH - K  # bytes to the left of an anchor that a string around it can reach
 WIDTH = REACH + LENGTH
 #: Strings in a collection, anchors that one task of the first exchange is planned for, bytes of a piece of a text.
 COLLECTION, PLANNED, PIECE = 20_000, 1_500_000, 1 << 20
+#: Strings that the anchors with few contexts are gathered to: streams of this size stay in the processor's cache.
+GATHERED = 3_000
 _LAST = 2**63 - 1
 _RECORD = np.dtype([("anchor", "<u4"), ("pos", "<u4"), ("left", "u1"), ("size", "u1"), ("doc", "<i8"), ("text", "<i8"), ("context", "u1", WIDTH)])
 
@@ -308,8 +310,9 @@ def _spans(text: np.ndarray, begin: np.ndarray, end: np.ndarray) -> tuple[np.nda
     order = np.lexsort((begin, text))
     text, begin, end = text[order], begin[order], end[order]
     new_text = np.concatenate(([True], text[1:] != text[:-1]))
-    group = np.cumsum(new_text)
-    reach = np.maximum.accumulate(end + group * (1 << 40)) - group * (1 << 40)
+    # Groups one after the other on one line: a step over the longest end parts them, however many there are.
+    group = np.cumsum(new_text) * (int(end.max()) + 1)
+    reach = np.maximum.accumulate(end + group) - group
     first = new_text | np.concatenate(([True], begin[1:] > reach[:-1]))
     cuts = np.flatnonzero(first)
     return text[cuts], begin[cuts], np.maximum.reduceat(end, cuts)
@@ -358,7 +361,7 @@ def _found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if n > COLLECTION:
                 jobs.append((reps[c : c + n], True))
                 continue
-            if held + n > COLLECTION:
+            if held and held + n > GATHERED:
                 jobs.append((np.concatenate(part), False))
                 part, held = [], 0
             part.append(reps[c : c + n])
@@ -433,20 +436,48 @@ def repeats(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def without_repeats(docs: DataFrame, keep_text: bool = True) -> DataFrame:
-    """``docs`` with ``_cut``: bytes, removed bytes, removed runs, SHA-256 of what is left, and, if asked for, its text.
+    """``row`` (the columns of ``docs`` as a struct) and ``cut``: bytes, removed bytes, removed runs, SHA-256 of what is
+    left, and, if asked for, its text.
 
     A null text counts as empty. Rows of one doc_id are one document and never cover each other; a null
     doc_id comes after all others, and rows without one are one document. Texts under LENGTH bytes stay
-    whole. Cut bytes may halve a character; its rest decodes to U+FFFD.
+    whole. Cut bytes may halve a character; its rest decodes to U+FFFD. Extra columns may have any names; an
+    empty table gives an empty one.
     """
-    holders, stretches = repeats(docs)
-    gone = stretches.groupBy("t1").agg(F.collect_list("begin").alias("_b"), F.collect_list("end").alias("_e"))
-    told = holders.join(gone, "t1", "left").select(F.col("t1").alias("_t"), F.col("holder").alias("_holder"), "_b", "_e")
-    keyed = docs.withColumn("_did", F.coalesce("doc_id", F.lit(_LAST))).withColumn("_t1", F.xxhash64("text"))
-    out = keyed.join(told, F.col("_t1") == F.col("_t"))
-    return out.withColumn("_cut", _cutter(keep_text)(F.col("text"), F.col("_did") > F.col("_holder"), F.col("_b"), F.col("_e"))).drop("_did", "_t1", "_t", "_holder", "_b", "_e")
+    holders, stretches = repeats(docs.select("doc_id", "text"))
+    gone = stretches.groupBy("t1").agg(F.collect_list("begin").alias("b"), F.collect_list("end").alias("e"))
+    told = holders.join(gone, "t1", "left")
+    keyed = docs.select(nested(docs).alias("row"), F.coalesce("doc_id", F.lit(_LAST)).alias("did"), F.xxhash64("text").alias("t1"))
+    return keyed.join(told, "t1").select("row", _cutter(keep_text)(F.col("row.text"), F.col("did") > F.col("holder"), F.col("b"), F.col("e")).alias("cut"))
 
 
 def op7_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = without_repeats(load(spark, sf_dir, "documents").select("doc_id", "text"), keep_text=False)
-    return out.select("doc_id", *(F.col(f"_cut.{c}").alias(c) for c in ("n_bytes", "n_removed", "n_spans", "kept_sha256")))
+    return out.select(F.col("row.doc_id").alias("doc_id"), *(F.col(f"cut.{c}").alias(c) for c in ("n_bytes", "n_removed", "n_spans", "kept_sha256")))
+
+
+ORACLE = r"""
+WITH d AS (
+  SELECT row_number() OVER () AS r, doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents
+), g AS (
+  SELECT r, doc_id, i, substring(h, 2 * i + 1, 100) AS s
+  FROM (SELECT r, doc_id, h, unnest(range(0, greatest(length(h) // 2 - 49, 0))) AS i FROM d)
+), f AS (
+  SELECT s, min(doc_id) AS least FROM g GROUP BY s HAVING count(*) > 1
+), hit AS (
+  SELECT r, i FROM g JOIN f ON g.s = f.s WHERE g.doc_id > f.least
+), run AS (
+  SELECT r, i, sum(fresh) OVER (PARTITION BY r ORDER BY i) AS k
+  FROM (SELECT r, i, CASE WHEN i > lag(i) OVER (PARTITION BY r ORDER BY i) + 50 OR lag(i) OVER (PARTITION BY r ORDER BY i) IS NULL THEN 1 ELSE 0 END AS fresh FROM hit)
+), span AS (
+  SELECT r, min(i) AS b, max(i) + 50 AS e FROM run GROUP BY r, k
+), piece AS (
+  SELECT s.r, s.b, s.e, substring(d.h, 2 * coalesce(lag(s.e) OVER (PARTITION BY s.r ORDER BY s.b), 0) + 1, 2 * (s.b - coalesce(lag(s.e) OVER (PARTITION BY s.r ORDER BY s.b), 0))) AS kept
+  FROM span s JOIN d ON d.r = s.r
+), p AS (
+  SELECT r, count(*) AS n, sum(e - b) AS gone, max(e) AS e, string_agg(kept, '' ORDER BY b) AS kept FROM piece GROUP BY r
+)
+SELECT d.doc_id, length(d.h) // 2 AS n_bytes, coalesce(p.gone, 0)::BIGINT AS n_removed, coalesce(p.n, 0) AS n_spans,
+       sha256(unhex(coalesce(p.kept, '') || substring(d.h, 2 * coalesce(p.e, 0) + 1))) AS kept_sha256
+FROM d LEFT JOIN p ON p.r = d.r
+"""
