@@ -24,12 +24,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sextant.llm.common import load, settle
+from sextant.llm.common import load, nested, settle, unnested
 
 MODEL = "piece_bpe_32k.model"
 SPACE = "▁"
-#: Entries of the caches of paths and of grammar arcs in one Python worker; older ones go first.
-PATHS, ARCS = 400_000, 400_000
+#: Memory for paths and for grammar arcs that one Python worker remembers.
+PATH_BYTES, END_BYTES, ARC_BYTES = 128 << 20, 32 << 20, 24 << 20
+#: Characters of a stretch whose states are remembered; longer ones are searched on their own.
+SHORT = 48
 _STRETCH = re.compile(SPACE + "+[^" + SPACE + "]*|[^" + SPACE + "]+")
 
 
@@ -39,30 +41,84 @@ def default_model() -> str:
     return public_tokenizers.path(MODEL)
 
 
-class Generations(dict):
-    """A dictionary of bounded size: when full, it keeps one older generation and drops the one before."""
+class Bounded(dict):
+    """A dictionary of bounded size: ``room`` counts the bytes of what comes next, and starts anew, from the short keys, when it is full."""
 
-    def __init__(self, most: int) -> None:
+    def __init__(self, most: int, short: int) -> None:
         super().__init__()
-        self.most, self.old = most, {}
+        self.most, self.short, self.held = most, short, 0
 
-    def __missing__(self, key):
-        value = self.old.get(key)
-        if value is not None:
-            self.put(key, value)
-        return value
-
-    def put(self, key, value) -> None:
-        if len(self) >= self.most:
-            self.old = dict(self)
+    def room(self, cost: int) -> None:
+        if self.held + cost > self.most:
+            kept = [(k, v) for k, v in self.items() if len(k) <= self.short] if self.short else []
+            kept = kept if len(kept) * 300 < self.most // 2 else []
             self.clear()
-        self[key] = value
+            self.update(kept)
+            self.held = 300 * len(kept)
+        self.held += cost
+
+
+def _fields(raw: bytes) -> list[tuple[int, int | bytes]]:
+    """(number, value) of the fields of a protocol-buffer message, in order."""
+    out, at = [], 0
+
+    def varint() -> int:
+        nonlocal at
+        value = shift = 0
+        while True:
+            byte = raw[at]
+            at += 1
+            value |= (byte & 127) << shift
+            shift += 7
+            if byte < 128:
+                return value
+
+    while at < len(raw):
+        key = varint()
+        kind = key & 7
+        if kind == 0:
+            out.append((key >> 3, varint()))
+            continue
+        n = varint() if kind == 2 else {1: 8, 5: 4}[kind]
+        out.append((key >> 3, raw[at : at + n]))
+        at += n
+    return out
+
+
+class Normaliser:
+    """The normaliser's transducer, compiled from the model file: which character stands for a space, whether one goes in
+    front, and whether runs of them shrink. Models whose normaliser has a character map are refused, and so are
+    models of another kind than BPE, whose path the grammar here does not weigh, or without byte pieces."""
+
+    BPE = 2
+
+    def __init__(self, path: str) -> None:
+        with open(path, "rb") as f:
+            model = dict(x for x in _fields(f.read()) if x[0] in (2, 3))  # 2: the trainer's settings, 3: the normaliser's
+        trainer, spec = dict(_fields(model.get(2, b""))), dict(_fields(model.get(3, b"")))
+        if trainer.get(3, 1) != self.BPE:
+            raise ValueError(f"not a BPE model: kind {trainer.get(3, 1)}")
+        if not trainer.get(35, 0):
+            raise ValueError("a model without byte fallback")
+        if spec.get(2):
+            raise ValueError("the model's normaliser has a character map")
+        self.front, self.shrink, escape = bool(spec.get(3, 1)), bool(spec.get(4, 1)), bool(spec.get(5, 1))
+        if not escape or trainer.get(24, 0):
+            raise ValueError("spaces that stay as they are, or go behind words, are not supported")
+
+    def __call__(self, text: str) -> str:
+        if self.shrink:
+            text = " ".join(x for x in text.split(" ") if x)
+        if not text:
+            return ""
+        return (SPACE if self.front else "") + text.replace(" ", SPACE)
 
 
 class Transducer:
     def __init__(self, path: str) -> None:
         import sentencepiece
 
+        self.normalise = Normaliser(path)
         sp = sentencepiece.SentencePieceProcessor(model_file=path)
         size = sp.get_piece_size()
         self.bytes_ = {sp.id_to_piece(i): i for i in range(size) if sp.is_byte(i)}
@@ -81,7 +137,15 @@ class Transducer:
                 node = node[0].setdefault(c, [{}, None])
             node[1] = i
         self.trie = root[0]
-        self.arcs, self.paths = Generations(ARCS), Generations(PATHS)
+        back: list = [{}, None]  # the same from the last character of each piece to its first
+        for p, i in self.ids.items():
+            node = back
+            for c in reversed(p):
+                node = node[0].setdefault(c, [{}, None])
+            node[1] = i
+        self.back, self.length = back[0], [len(p or "") for p in self.pieces]
+        self.ends = Bounded(END_BYTES, 6)
+        self.arcs, self.paths, self.older, self.paths_held = Bounded(ARC_BYTES, 0), {}, {}, 0
 
     def merged(self, text: str) -> list[str]:
         """Merge characters by best score, leftmost first, until no two neighbours make a piece."""
@@ -109,11 +173,12 @@ class Transducer:
     def allowed(self, p: int, q: int) -> bool:
         """Whether the grammar has a finite arc from p to q."""
         key = p * self.size + q
-        ok = self.arcs[key]
+        ok = self.arcs.get(key)
         if ok is None:
             a, b = self.pieces[p], self.pieces[q]
             ok = self.merged(a + b) == [a, b]
-            self.arcs.put(key, ok)
+            self.arcs.room(120)
+            self.arcs[key] = ok
         return ok
 
     @lru_cache(maxsize=65536)  # noqa: B019  one transducer lives as long as its worker
@@ -163,17 +228,65 @@ class Transducer:
         out.reverse()
         return tuple([x for ids in out for x in ids])
 
+    def path(self, stretch: str) -> tuple[int, ...]:
+        """The shortest path of a short stretch, from remembered states: the one finite path to a state depends on the
+        characters up to it alone, so words that begin alike share their states. A state is the last piece, or -1 after bytes."""
+        ends, arcs, size, n = self.ends, self.arcs, self.size, len(stretch)
+        known = n
+        while known and stretch[:known] not in ends:
+            known -= 1
+        if known < n:
+            ends.room((n - known) * 200)
+            known = next((k for k in range(known, 0, -1) if stretch[:k] in ends), 0)
+        for j in range(known + 1, n + 1):
+            node, i, last = self.back.get(stretch[j - 1]), j - 1, -1
+            while node is not None:
+                q = node[1]
+                if q is not None:
+                    before = ends[stretch[:i]] if i else -1
+                    if before < 0:
+                        ok = self.whole(q)
+                    else:
+                        ok = arcs.get(before * size + q)
+                        if ok is None:
+                            ok = self.allowed(before, q)
+                    if ok:
+                        last = q
+                        break
+                if not i:
+                    break
+                i -= 1
+                node = node[0].get(stretch[i])
+            ends[stretch[:j]] = last
+        out: list[int] = []
+        while n:
+            last = ends[stretch[:n]]
+            if last < 0:
+                out.extend(self.byte_ids[b] for b in reversed(stretch[n - 1].encode("utf-8", "surrogatepass")))
+                n -= 1
+            else:
+                out.append(last)
+                n -= self.length[last]
+        out.reverse()
+        return tuple(out)
+
     def encode(self, text: str) -> list[int]:
         if not text:
             return []
         out: list[int] = []
         paths = self.paths
-        for stretch in _STRETCH.findall(SPACE + text.replace(" ", SPACE)):
-            ids = paths[stretch]
+        if self.paths_held > PATH_BYTES // 2:  # what was not met since the last turn goes
+            self.older, self.paths, self.paths_held = paths, {}, 0
+            paths = self.paths
+        older = self.older
+        for stretch in _STRETCH.findall(self.normalise(text)):
+            ids = paths.get(stretch)
             if ids is None:
-                ids = self.shortest(stretch)
-                if len(stretch) <= 64:
-                    paths.put(stretch, ids)
+                if len(stretch) <= SHORT:
+                    ids = paths[stretch] = older.get(stretch) or self.path(stretch)
+                    self.paths_held += 240 + 2 * len(stretch) + 8 * len(ids)
+                else:
+                    ids = self.shortest(stretch)
             out.extend(ids)
         return out
 
@@ -192,14 +305,14 @@ def transducer(path: str) -> Transducer:
 _RESULT = "struct<n:bigint,crc:bigint,back:boolean,ids:array<int>>"
 
 
-def with_pieces(docs: DataFrame, model: str | None = None, text: str = "text", out: str = "_pieces") -> DataFrame:
-    """``docs`` with a struct: number of ids, their CRC-32 as little-endian 32-bit integers, whether decoding
+def pieces_of(spark: SparkSession, text, model: str | None = None):
+    """A struct for a text: number of ids, their CRC-32 as little-endian 32-bit integers, whether decoding
     gives the text back, and the ids. Null: no ids and back is null; the empty text: no ids, true.
 
     A literal U+2581 in a text reads as a space, as in the model; back allows for it.
     """
     path = model or default_model()
-    settle(docs.sparkSession)
+    settle(spark)
 
     def encode(texts: pa.Array) -> pa.Array:
         t, ids, back = transducer(path), [], []
@@ -212,15 +325,22 @@ def with_pieces(docs: DataFrame, model: str | None = None, text: str = "text", o
         lists = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(lengths))), pa.int32()), flat)
         return pa.StructArray.from_arrays([pa.array(lengths, pa.int64()), pa.array([zlib.crc32(i.tobytes()) for i in ids], pa.int64()), pa.array(back, pa.bool_()), lists], ["n", "crc", "back", "ids"])
 
-    return docs.withColumn(out, F.arrow_udf(encode, _RESULT)(F.col(text)))
+    return F.arrow_udf(encode, _RESULT)(text)
 
 
 def encode_documents(docs: DataFrame, model: str | None = None) -> DataFrame:
-    """The columns of ``docs``, then n_pieces and piece_ids in place of any of these names."""
+    """The columns of ``docs``, then n_pieces and piece_ids in place of any of these names.
+
+    Null and empty texts have no ids. Equal texts have equal ids, every row stays, and extra columns may
+    have any other names; an empty table gives an empty one.
+    """
     kept = [c for c in docs.columns if c not in ("n_pieces", "piece_ids")]
-    return with_pieces(docs.select(*kept), model).select(*kept, F.col("_pieces.n").alias("n_pieces"), F.col("_pieces.ids").alias("piece_ids"))
+    out = docs.select(nested(docs).alias("row"), pieces_of(docs.sparkSession, docs["text"], model).alias("p"))
+    return out.select(*unnested(kept), F.col("p.n").alias("n_pieces"), F.col("p.ids").alias("piece_ids"))
 
 
 def op10_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row per document: the ids of its whole text, their number and CRC-32, and whether they decode to it."""
-    return with_pieces(load(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", F.col("_pieces.n").alias("n_pieces"), F.col("_pieces.crc").alias("ids_crc32"), F.col("_pieces.back").alias("round_trip"), F.col("_pieces.ids").alias("piece_ids"))
+    docs = load(spark, sf_dir, "documents")
+    out = docs.select("doc_id", pieces_of(spark, docs["text"]).alias("p"))
+    return out.select("doc_id", F.col("p.n").alias("n_pieces"), F.col("p.crc").alias("ids_crc32"), F.col("p.back").alias("round_trip"), F.col("p.ids").alias("piece_ids"))
