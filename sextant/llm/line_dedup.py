@@ -2,88 +2,71 @@
 
 from __future__ import annotations
 
-import hashlib
-
-import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sextant.llm.common import WHITE, cut, load, lowered, settle
+from sextant.llm.common import WHITE, cut, let_go, load, lowered, nested, unnested
 
 LEAST_CHARS, LEAST_DOCS = 10, 2
+_NO_ID = 2**63 - 1
 
 
 def _lines(docs: DataFrame) -> DataFrame:
-    """One row per line that has a key: document, position and a 128-bit hash of the key."""
-    key = F.btrim(lowered(F.col("_line")), F.lit(WHITE))
+    """One row per line that has a key: document, hash of its text, position and a 128-bit hash of the key."""
+    key = F.btrim(lowered(F.col("line")), F.lit(WHITE))
     return (
-        docs.select("doc_id", F.xxhash64("text").alias("_th"), F.posexplode(F.split("text", "\n", -1)).alias("_pos", "_line"))
-        .select("doc_id", "_th", "_pos", key.alias("_key"))
-        .filter(F.char_length("_key") >= LEAST_CHARS)
-        .select("doc_id", "_th", "_pos", F.xxhash64("_key").alias("_h1"), F.xxhash64(F.lit(1), "_key").alias("_h2"))
+        docs.select(F.coalesce("doc_id", F.lit(_NO_ID)).alias("did"), F.xxhash64("text").alias("th"), F.posexplode(F.split("text", "\n", -1)).alias("pos", "line"))
+        .select("did", "th", "pos", key.alias("key"))
+        .filter(F.char_length("key") >= LEAST_CHARS)
+        .select("did", "th", "pos", F.xxhash64("key").alias("h1"), F.xxhash64(F.lit(1), "key").alias("h2"))
     )
 
 
-def drops(docs: DataFrame) -> DataFrame:
-    """doc_id, hash of the text, sorted positions of the lines to drop.
+def drops(docs: DataFrame, least_docs: int = LEAST_DOCS) -> DataFrame:
+    """did, th and the positions of the lines to drop: those whose key ``least_docs`` documents hold, but in the smallest of them.
 
-    The holder of a key is its smallest doc_id; a null doc_id comes after all others, and all rows
-    without one count as one document. Counting combines on the map side, so a line in a third of all
-    documents is one row per task; the join back leaves hot hashes to the skew join, as either side
-    of it comes straight from a shuffle.
+    A null doc_id comes after all others, and all rows without one count as one document. Distinct
+    documents are counted per hash after rows of one document collapse, and the count combines on the
+    map side, so a line in a third of all documents is one row per task; the join back leaves hot hashes
+    to the skew join, as either side of it comes straight from a shuffle. The exploded hashes are
+    written once and read by both.
     """
-    lines = _lines(docs)
-    last = F.coalesce("doc_id", F.lit(2**63 - 1))
-    common = cut(lines.groupBy("_h1", "_h2").agg(F.min(last).alias("_holder"), F.max(last).alias("_other")).filter("_holder < _other").select("_h1", "_h2", "_holder"))
-    return (
-        lines.join(common, ["_h1", "_h2"])
-        .filter(last != F.col("_holder"))
-        .groupBy("doc_id", "_th")
-        .agg(F.sort_array(F.collect_set("_pos")).alias("_drop"))
-    )
-
-
-def _assembled(texts: pa.Array, gone: pa.Array) -> pa.Array:
-    n, d, out = [], [], []
-    for t, g in zip(texts, gone, strict=True):
-        t, g = t.as_py(), g.as_py()
-        lines = (t or "").split("\n")
-        n.append(len(lines))
-        d.append(len(g or ()))
-        if g:
-            g = set(g)
-            t = "\n".join(x for i, x in enumerate(lines) if i not in g)
-        out.append(t)
-    return pa.StructArray.from_arrays([pa.array(n, pa.int64()), pa.array(d, pa.int64()), pa.array(out, pa.string())], ["n_lines", "n_dropped", "text"])
+    lines = cut(_lines(docs))
+    held = lines.groupBy("h1", "h2", "did").agg(F.lit(1).alias("_")).drop("_")
+    common = cut(held.groupBy("h1", "h2").agg(F.min("did").alias("holder"), F.count("*").alias("n")).filter(F.col("n") >= least_docs).select("h1", "h2", "holder"))
+    gone = cut(lines.join(common, ["h1", "h2"]).filter("did <> holder").groupBy("did", "th").agg(F.collect_set("pos").alias("gone")))
+    let_go(lines, common)
+    return gone
 
 
-def with_lines_dropped(docs: DataFrame) -> DataFrame:
-    """``docs`` with ``_out``: a struct of line counts and the text that is left.
+def with_lines_dropped(docs: DataFrame, least_docs: int = LEAST_DOCS) -> DataFrame:
+    """``row`` (the columns of ``docs`` as a struct), n_lines, n_dropped and kept, the text that is left.
 
     A null text stays null, with one empty line. Keys under 10 code points never drop. Rows that share
-    doc_id and text lose the same lines. A document all of whose lines go has the empty text.
+    doc_id and text lose the same lines. A document all of whose lines go has the empty text. Extra
+    columns may have any names; an empty table gives an empty one.
     """
-    settle(docs.sparkSession)
-    found = drops(docs.select("doc_id", "text"))
-    assembled = F.arrow_udf(_assembled, "struct<n_lines:bigint,n_dropped:bigint,text:string>")
-    left = docs.withColumn("_th", F.xxhash64("text")).alias("l")
-    found = found.select(F.col("doc_id").alias("_d"), F.col("_th").alias("_t"), "_drop")
-    return left.join(found, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("_th") == F.col("_t")), "left").withColumn("_out", assembled("text", "_drop")).drop("_d", "_t", "_th", "_drop")
+    found = drops(docs.select("doc_id", "text"), least_docs)
+    # The lines are split below the join, so that the picking above it has them as a column and not as an expression.
+    left = docs.select(nested(docs).alias("row"), F.coalesce("doc_id", F.lit(_NO_ID)).alias("did"), F.xxhash64("text").alias("th"), F.split("text", "\n", -1).alias("lines"))
+    both = left.join(found, ["did", "th"], "left")
+    stay = F.array_except(F.sequence(F.lit(0), F.size("lines") - 1), F.col("gone"))
+    text = F.when(F.col("gone").isNull(), F.array_join("lines", "\n")).otherwise(F.array_join(F.transform(stay, lambda i: F.get(F.col("lines"), i)), "\n"))
+    return both.select("row", F.coalesce(F.size("lines"), F.lit(1)).cast("bigint").alias("n_lines"), F.coalesce(F.size("gone"), F.lit(0)).cast("bigint").alias("n_dropped"), text.alias("kept"))
 
 
-def line_dedup(docs: DataFrame) -> DataFrame:
+def line_dedup(docs: DataFrame, least_docs: int = LEAST_DOCS) -> DataFrame:
     """All documents, their repeated lines gone; n_chars follows the text. Other columns stay."""
-    out = with_lines_dropped(docs)
-    changed = {"text": F.col("_out.text")}
+    changed: dict[str, Column] = {"text": F.col("kept")}
     if "n_chars" in docs.columns:
-        changed["n_chars"] = F.when(F.col("_out.n_dropped") > 0, F.char_length("_out.text").cast("bigint")).otherwise(F.col("n_chars"))
-    return out.select(*(changed.get(c, F.col(c)).alias(c) for c in docs.columns))
+        changed["n_chars"] = F.when(F.col("n_dropped") > 0, F.char_length("kept").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("row.n_chars"))
+    return with_lines_dropped(docs, least_docs).select(*unnested(docs.columns, **changed))
 
 
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row per document: lines before, lines dropped, SHA-256 of the text that is left."""
     out = with_lines_dropped(load(spark, sf_dir, "documents").select("doc_id", "text"))
-    return out.select("doc_id", F.col("_out.n_lines").alias("n_lines"), F.col("_out.n_dropped").alias("n_dropped"), F.sha2(F.coalesce(F.col("_out.text"), F.lit("")), 256).alias("kept_sha256"))
+    return out.select(F.col("row.doc_id").alias("doc_id"), "n_lines", "n_dropped", F.sha2(F.coalesce("kept", F.lit("")), 256).alias("kept_sha256"))
 
 
 ORACLE = r"""
