@@ -13,6 +13,8 @@ run again leaves no torn file, and any store that Spark writes will do.
 
 from __future__ import annotations
 
+import json
+import re
 import struct
 import zlib
 from array import array
@@ -24,11 +26,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sextant.llm.common import cut, load, settle
+from sextant.llm.common import cut, load, lower_bytes, settle
 
 VOCABULARY, END_ID = "word_bpe_49k.json", 1
 BLOCK_IDS = 1 << 18
-WORD_CACHE = 400_000
+#: Text in a shard, which is one task and its blocks; memory for words that one Python worker remembers.
+SHARD_BYTES, CACHE_BYTES = 16 << 20, 96 << 20
+_PLAIN = re.compile(rb"((?:[A-Za-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf]){1,40})([.,;:!?]{0,3})")
 _HEAD = struct.Struct("<4sIIII")
 _MAGIC = b"SXR1"
 
@@ -39,41 +43,88 @@ def default_vocabulary() -> str:
     return public_tokenizers.path(VOCABULARY)
 
 
+def _probes() -> list[str]:
+    """Texts that show whether a tokenizer looks across white space: every kind of neighbour on either side of every gap."""
+    sides = ["a", "Zé", "don't", "12", ",", "(x", "日本", "\u0301", "<", "_"]
+    return [x + gap + y for x in sides for y in sides for gap in (" ", "\n", "\t ", "\x0b\x0c\r")] + [" " + x + "  " for x in sides]
+
+
 class Encoder:
     """Ids of whole texts by the tokenizers library.
 
-    The tokenizer never looks across the ASCII white space that separates words, so each distinct word
-    goes through the library and its ids are remembered, in two generations of bounded size.
+    Where the tokenizer never looks across the ASCII white space that separates words, which probes find
+    out at load, each distinct word goes through the library and its ids are remembered, in CACHE_BYTES at
+    most. Any other tokenizer gets whole texts.
     """
 
     def __init__(self, path: str) -> None:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.young: dict[bytes, bytes] = {}
-        self.old: dict[bytes, bytes] = {}
+        self.known: dict[bytes, bytes] = {}
+        self.held = 0
+        whole = [e.ids for e in self.tokenizer.encode_batch_fast(_probes(), add_special_tokens=False)]
+        words = [[self.tokenizer.encode(w.decode(), add_special_tokens=False).ids for w in t.encode().split()] for t in _probes()]
+        self.by_word = whole == [[i for w in ids for i in w] for ids in words]
+        capitals = [e.ids for e in self.tokenizer.encode_batch_fast([t.upper() if t.isascii() else t for t in _probes()], add_special_tokens=False)]
+        self.folds = capitals == whole
+        suffix = json.loads(self.tokenizer.to_str())["model"].get("end_of_word_suffix")
+        size = self.tokenizer.get_vocab_size()
+        parts = all(self.tokenizer.encode(f"{w}{m}", add_special_tokens=False).ids == [*self.tokenizer.encode(w, add_special_tokens=False).ids, *self.tokenizer.encode(m, add_special_tokens=False).ids] for w in ("a", "é", "some", "words") for m in (".", ",", ";", ":", "!", "?", "?!", "..."))
+        self.last = np.array([bool(suffix) and parts and (self.tokenizer.id_to_token(i) or "").endswith(suffix) for i in range(size)])
+
+    def _new(self, words: list[bytes]) -> dict[bytes, bytes]:
+        """Ids of words not remembered. A plain word, of letters with marks behind, is its letters and its marks;
+        letters go many to a call, as the last token of each bears the suffix that ends a word."""
+        found: dict[bytes, bytes] = {}
+        rest, parted = words, []
+        if self.last.any():
+            rest, letters, marks = [], set(), set()
+            for w in words:
+                m = _PLAIN.fullmatch(w)
+                if m is None:
+                    rest.append(w)
+                else:
+                    letters.add(m[1])
+                    marks.add(m[2])
+                    parted.append((w, m[1], m[2]))
+            letters = list(letters.difference(self.known))
+            for begin in range(0, len(letters), 512):
+                part = letters[begin : begin + 512]
+                ids = np.array(self.tokenizer.encode(b" ".join(part).decode(), add_special_tokens=False).ids, np.uint32)
+                ends = 4 * (np.flatnonzero(self.last[ids]) + 1)
+                if len(ends) == len(part) and ends[-1] == 4 * len(ids):
+                    raw, cuts = ids.tobytes(), [0, *ends.tolist()]
+                    found.update(zip(part, map(raw.__getitem__, map(slice, cuts, cuts[1:])), strict=False))
+                else:
+                    rest += part
+            rest += marks.difference(self.known)
+        for begin in range(0, len(rest), 4096):
+            part = rest[begin : begin + 4096]
+            for w, e in zip(part, self.tokenizer.encode_batch_fast([w.decode() for w in part], add_special_tokens=False), strict=True):
+                found[w] = array("I", e.ids).tobytes()
+        known = self.known
+        for w, a, b in parted:
+            found[w] = (found.get(a) or known[a]) + ((found.get(b) or known[b]) if b else b"")
+        return found
 
     def encode(self, texts: list[str | None]) -> list[np.ndarray]:
-        split = [(t or "").encode("utf-8", "replace").split() for t in texts]
-        if len(self.young) > WORD_CACHE:
-            self.old, self.young = self.young, {}
-        young, old, known, new = self.young, self.old, {}, []
-        for w in set().union(*split):
-            ids = young.get(w)
-            if ids is None:
-                ids = old.get(w)
-                if ids is None:
-                    new.append(w)
-                    continue
-                young[w] = ids
-            known[w] = ids
-        for begin in range(0, len(new), 4096):
-            part = new[begin : begin + 4096]
-            for w, e in zip(part, self.tokenizer.encode_batch_fast([w.decode() for w in part], add_special_tokens=False), strict=True):
-                known[w] = ids = array("I", e.ids).tobytes()
-                if len(w) <= 64:
-                    young[w] = ids
-        return [np.frombuffer(b"".join(map(known.__getitem__, s)), np.uint32) for s in split]
+        if not self.by_word:
+            plain = [(t or "").encode("utf-8", "replace").decode() for t in texts]
+            return [np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch_fast(plain, add_special_tokens=False)]
+        split = [(t or "").encode("utf-8", "replace") for t in texts]
+        split = [t.split() for t in (map(lower_bytes, split) if self.folds else split)]
+        new = self._new(list(set().union(*split).difference(self.known)))
+        known = self.known
+        known.update(new)
+        out = [np.frombuffer(b"".join(map(known.__getitem__, s)), np.uint32) for s in split]
+        self.held += sum(map(len, new)) + sum(map(len, new.values())) + 180 * len(new)
+        if self.held > CACHE_BYTES:  # short words come back most
+            self.known = {w: i for w, i in known.items() if len(w) <= 7}
+            self.held = sum(map(len, self.known)) + sum(map(len, self.known.values())) + 180 * len(self.known)
+            if self.held > CACHE_BYTES // 2:
+                self.known, self.held = {}, 0
+        return out
 
 
 @lru_cache(maxsize=2)
@@ -81,71 +132,112 @@ def encoder(path: str) -> Encoder:
     return Encoder(path)
 
 
+def _disjoint(x: np.ndarray, y: np.ndarray, counts: np.ndarray, top: int) -> np.ndarray:
+    """Pairs (x, y) taken greedily by count, ties by order: a pair goes in if none before it begins with its second
+    symbol or ends with its first. Then a chosen pair can overlap only itself, where both its symbols are one.
+
+    All pairs with no better one left against them go in at once, which gives what one at a time would.
+    """
+    order = np.argsort(-counts, kind="stable")
+    x, y = x[order], y[order]
+    left, chosen = np.arange(len(x)), []
+    best_first, best_second = np.empty(top, np.int64), np.empty(top, np.int64)
+    while len(left):
+        a, b = x[left], y[left]
+        best_second[a], best_first[b] = len(x), len(x)
+        best_first[a[::-1]] = left[::-1]
+        best_second[b[::-1]] = left[::-1]
+        good = (left <= best_second[a]) & (left <= best_first[b])
+        chosen.append(left[good])
+        first, second = np.zeros(top, bool), np.zeros(top, bool)
+        first[a[good]] = True
+        second[b[good]] = True
+        left = left[~good & ~first[b] & ~second[a] & ~((a == b) & (first[a] | second[a]))]
+    return np.sort(order[np.concatenate(chosen)]) if chosen else left
+
+
 def compress(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(terminals, rules as pairs of symbols, expansion lengths of the rules, string of symbols).
 
     Symbols below len(terminals) stand for an id, the rest for a rule. Pairs are replaced from the left
-    without overlap. An empty string has no rules.
+    without overlap, until none occurs twice. A pair that occurs once never comes to occur twice, as what
+    is new contains a new symbol: so each round looks at the places still live alone. An empty string has no rules.
     """
-    terminals, s = np.unique(ids, return_inverse=True)
-    s = s.astype(np.int64)
+    seen = np.bincount(ids) > 0 if len(ids) and int(ids.max()) < 1 << 22 else None
+    if seen is not None:
+        terminals = np.flatnonzero(seen)
+        s = (np.cumsum(seen) - 1)[ids]
+    else:
+        terminals, s = np.unique(ids, return_inverse=True)
+        s = s.astype(np.int64).ravel()
     base = len(terminals)
     rules: list[np.ndarray] = []
-    lengths = [np.ones(base, np.int64)]
+    size = np.ones(base, np.int64)
+    lengths = [size]
     top = base
-    while len(s) > 1:
-        code = s[:-1] * top + s[1:]
-        pairs, counts = np.unique(code, return_counts=True)
-        often = np.flatnonzero(counts > 1)
-        often = often[np.lexsort((pairs[often], -counts[often]))]
-        a, b = pairs[often] // top, pairs[often] % top
-        # Greedy: a pair goes in if none before it begins with its second symbol or ends with its first;
-        # then a chosen pair can't overlap another, but only itself where both its symbols are one.
-        first, second, chosen = np.zeros(top, bool), np.zeros(top, bool), []
-        for x, y, code_ in zip(a.tolist(), b.tolist(), pairs[often].tolist(), strict=True):
-            if first[y] or second[x] or (x == y and (first[x] or second[x])):
-                continue
-            first[x] = second[y] = True
-            chosen.append(code_)
-        if not chosen:
+    live = np.ones(max(0, len(s) - 1), bool)
+    while len(at := np.flatnonzero(live)):
+        # Places by their pair: one sort of pair and place packed into a word, or of the pairs where that is too wide.
+        code, bits = s[at] * top + s[at + 1], len(s).bit_length()
+        if top * top < 1 << (62 - bits):
+            packed = np.sort(code << bits | at)
+            at, code = packed & ((1 << bits) - 1), packed >> bits
+        else:
+            order = np.argsort(code, kind="stable")
+            at, code = at[order], code[order]
+        cuts = np.flatnonzero(np.concatenate(([True], code[1:] != code[:-1])))
+        counts = np.diff(np.append(cuts, len(code)))
+        twice = counts > 1
+        some = np.repeat(twice, counts)
+        live[at[~some]] = False
+        at, pairs, counts = at[some], code[cuts[twice]], counts[twice]
+        chosen = _disjoint(pairs // top, pairs % top, counts, top)
+        if not len(chosen):
             break
-        chosen = np.sort(np.array(chosen, np.int64))
-        maybe = np.flatnonzero(first[s[:-1]] & second[s[1:]])
-        place = np.minimum(np.searchsorted(chosen, code[maybe]), len(chosen) - 1)
-        hit = chosen[place] == code[maybe]
-        at, place = maybe[hit], place[hit]
+        symbol = np.full(len(pairs), -1, np.int64)
+        symbol[chosen] = np.arange(len(chosen))
+        place = np.repeat(symbol, counts)
+        at, place = at[place >= 0], place[place >= 0]
+        if len(chosen) < 1 << (62 - bits):
+            packed = np.sort(at << (62 - bits) | place)
+            at, place = packed >> (62 - bits), packed & ((1 << (62 - bits)) - 1)
+        else:
+            order = np.argsort(at)
+            at, place = at[order], place[order]
         # Runs of one symbol overlap themselves: keep every second start of a run of starts.
         fresh = np.concatenate(([True], np.diff(at) != 1))
         run_start = np.maximum.accumulate(np.where(fresh, np.arange(len(at)), 0))
         odd = (np.arange(len(at)) - run_start) % 2 == 0
         at, place = at[odd], place[odd]
-        all_lengths = np.concatenate(lengths)
-        pair = np.stack((chosen // top, chosen % top), 1)
+        pair = np.stack((pairs[chosen] // top, pairs[chosen] % top), 1)
         rules.append(pair)
-        lengths.append(all_lengths[pair[:, 0]] + all_lengths[pair[:, 1]])
+        lengths.append(size[pair[:, 0]] + size[pair[:, 1]])
+        size = np.concatenate((size, lengths[-1]))
         s[at] = top + place
+        live[at[at < len(live)]] = True
+        live[at[at > 0] - 1] = True
         keep = np.ones(len(s), bool)
         keep[at + 1] = False
-        s = s[keep]
+        # The pair after a new symbol is that of the symbol it swallowed with the next one.
+        s, live = s[keep], live[keep[:-1]]
+        live = live[: max(0, len(s) - 1)]
         top += len(chosen)
     return terminals, np.concatenate(rules) if rules else np.zeros((0, 2), np.int64), np.concatenate(lengths[1:]) if rules else np.zeros(0, np.int64), s
 
 
 def _packed(x: np.ndarray) -> bytes:
-    """Bit planes of the least width that holds the largest value."""
+    """Numbers below 2^32 in the least number of bits that holds the largest of them, lowest bit first."""
     width = max(1, int(x.max()).bit_length()) if len(x) else 1
-    bits = (x[:, None] >> np.arange(width)) & 1
-    return struct.pack("<IB", len(x), width) + np.packbits(bits.astype(np.uint8).ravel(), bitorder="little").tobytes()
+    bits = np.unpackbits(x.astype("<u4").view(np.uint8).reshape(-1, 4), axis=1, bitorder="little")[:, :width]
+    return struct.pack("<IB", len(x), width) + np.packbits(bits.ravel(), bitorder="little").tobytes()
 
 
 def _unpacked(raw: memoryview, at: int) -> tuple[np.ndarray, int]:
     n, width = struct.unpack_from("<IB", raw, at)
     size = (n * width + 7) // 8
-    bits = np.unpackbits(np.frombuffer(raw, np.uint8, size, at + 5), count=n * width, bitorder="little").reshape(n, width)
-    out = np.zeros(n, np.int64)
-    for k in range(width):
-        out |= bits[:, k].astype(np.int64) << k
-    return out, at + 5 + size
+    bits = np.zeros((n, 32), np.uint8)
+    bits[:, :width] = np.unpackbits(np.frombuffer(raw, np.uint8, size, at + 5), count=n * width, bitorder="little").reshape(n, width)
+    return np.packbits(bits, axis=1, bitorder="little").view("<u4").ravel().astype(np.int64), at + 5 + size
 
 
 def write_block(ids: np.ndarray, lengths: np.ndarray) -> bytes:
@@ -173,15 +265,17 @@ class Block:
         self.starts = np.concatenate(([0], np.cumsum(self.size[self.string]))) if len(self.string) else np.zeros(1, np.int64)
 
     def expand(self, s: np.ndarray) -> np.ndarray:
-        base = len(self.terminals)
-        while len(rule := np.flatnonzero(s >= base)):
-            out = np.zeros(len(s) + len(rule), np.int64)
-            move = np.arange(len(s)) + np.concatenate(([0], np.cumsum(s >= base)[:-1]))
-            pair = self.rules[s[rule] - base]
-            out[move] = s
-            out[move[rule]], out[move[rule] + 1] = pair[:, 0], pair[:, 1]
-            s = out
-        return self.terminals[s]
+        """The ids of some symbols; a round works on the symbols that are rules yet, each at its place in the result."""
+        base, size = len(self.terminals), self.size
+        ends = np.cumsum(size[s])
+        out = np.empty(int(ends[-1]) if len(s) else 0, np.int64)
+        at = ends - size[s]
+        while len(s):
+            plain = s < base
+            out[at[plain]] = self.terminals[s[plain]]
+            rule, at = self.rules[s[~plain] - base], at[~plain]
+            s, at = rule.T.ravel(), np.concatenate((at, at + size[rule[:, 0]]))
+        return out
 
     def read(self, start: int = 0, n: int | None = None) -> np.ndarray:
         end = self.n_ids if n is None else min(self.n_ids, start + n)
@@ -211,8 +305,8 @@ def _write(path: str):
 
         for batch in batches:
             texts, docs = batch.column("text"), batch.column("doc_id").to_pylist()
-            for begin in range(0, len(docs), 64):
-                for d, ids in zip(docs[begin : begin + 64], encoder(path).encode(texts[begin : begin + 64].to_pylist()), strict=True):
+            for begin in range(0, len(docs), 256):
+                for d, ids in zip(docs[begin : begin + 256], encoder(path).encode(texts[begin : begin + 256].to_pylist()), strict=True):
                     who.append(d)
                     held.append(np.append(ids, np.uint32(END_ID)))
                     count += len(ids) + 1
@@ -225,17 +319,28 @@ def _write(path: str):
     return blocks
 
 
-def write_token_files(docs: DataFrame, vocabulary: str | None = None, shards: int | None = None) -> DataFrame:
-    """Write ``docs`` (doc_id, text) as token files in the shared folder; returns the table of their blocks.
+def write_token_files(docs: DataFrame, path: str | None = None, vocabulary: str | None = None, shards: int | None = None) -> DataFrame:
+    """Write ``docs`` (doc_id, text) as token files to the folder ``path``, which must not exist; returns the table of their blocks.
 
-    Order: ascending doc_id, null first, rows of one doc_id by hash of their text, which also lets a
-    doc_id with very many rows span shards. Null and empty texts hold the end id alone.
+    Without a path the files are scratch: in the shared folder, until the application ends. Shards are of
+    about SHARD_BYTES of text. Order: ascending doc_id, null first, rows of one doc_id by hash of their
+    text, which also lets a doc_id with very many rows span shards. Null and empty texts hold the end id
+    alone; an empty table has no blocks; other columns are not written.
     """
     spark = docs.sparkSession
     settle(spark)
-    n = shards or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    n = shards or int((docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // SHARD_BYTES) + 1
     ordered = docs.select("doc_id", F.xxhash64("text").alias("_h"), "text").repartitionByRange(n, "doc_id", "_h").sortWithinPartitions("doc_id", "_h", "text")
-    return cut(ordered.select("doc_id", "text").mapInArrow(_write(vocabulary or default_vocabulary()), _BLOCKS))
+    blocks = ordered.select("doc_id", "text").mapInArrow(_write(vocabulary or default_vocabulary()), _BLOCKS)
+    if path is None:
+        return cut(blocks)
+    blocks.write.parquet(path)
+    return spark.read.schema(blocks.schema).parquet(path)
+
+
+def open_token_files(spark: SparkSession, path: str) -> DataFrame:
+    """The table of blocks that ``write_token_files`` wrote to ``path``."""
+    return spark.read.schema(_BLOCKS).parquet(path)
 
 
 def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
