@@ -66,10 +66,10 @@ def test_quality_rules(spark, docs, empty):
 def test_label_model_finds_accuracies():
     rng = np.random.default_rng(2)
     y = rng.random(20000) < 0.8
-    votes = np.where(rng.random((20000, 9)) < np.where(y[:, None], 0.98, 0.6), np.where(y, 1, -1)[:, None], np.where(y, -1, 1)[:, None])
+    votes = np.where(rng.random((20000, 8)) < np.where(y[:, None], 0.98, 0.6), np.where(y, 1, -1)[:, None], np.where(y, -1, 1)[:, None])
     patterns, counts = np.unique(votes, axis=0, return_counts=True)
-    m = quality_rules.fit_label_model(patterns, counts, strength=0.0)
-    assert abs(m.prior - 0.8) < 0.03 and all(abs(g - 0.98) < 0.03 and abs(b - 0.6) < 0.05 for g, b in m.accuracy)
+    m = quality_rules.fit_label_model(patterns, counts)
+    assert abs(m.prior - 0.8) < 0.03 and all(abs(g - 0.98) < 0.03 and abs(b - 0.6) < 0.06 for g, b in m.accuracy)
 
 
 def test_targets():
@@ -117,7 +117,7 @@ def test_line_dedup(spark, docs, empty):
         lines = (t or "").split("\n")
         gone = [len(holders.get(key(x), ())) > 1 and min(holders[key(x)]) != (last if d is None else d) for x in lines]
         want.append((d, len(lines), sum(gone), "\n".join(x for x, g in zip(lines, gone) if not g)))
-    got = [(r["doc_id"], r["_out"]["n_lines"], r["_out"]["n_dropped"], r["_out"]["text"] or "") for r in line_dedup.with_lines_dropped(docs).collect()]
+    got = [(r["row"]["doc_id"], r["n_lines"], r["n_dropped"], r["kept"] or "") for r in line_dedup.with_lines_dropped(docs).collect()]
     assert sorted(map(str, got)) == sorted(map(str, want))
     assert line_dedup.line_dedup(docs).columns == docs.columns and line_dedup.line_dedup(empty).count() == 0
 
@@ -200,7 +200,7 @@ def test_repeats(spark, docs, empty):
                 gone[i : i + 50] = True
         runs = int((gone & ~np.concatenate(([False], gone[:-1]))).sum())
         want.append((d, len(b), int(gone.sum()), runs, hashlib.sha256(bytes(c for c, g in zip(b, gone) if not g)).hexdigest()))
-    got = repeats.without_repeats(spark.createDataFrame(rows, "doc_id bigint, text string")).select("doc_id", "_cut.n_bytes", "_cut.n_removed", "_cut.n_spans", "_cut.kept_sha256").collect()
+    got = repeats.without_repeats(spark.createDataFrame(rows, "doc_id bigint, text string")).select("row.doc_id", "cut.n_bytes", "cut.n_removed", "cut.n_spans", "cut.kept_sha256").collect()
     assert sorted(map(str, map(tuple, got))) == sorted(map(str, want))
     assert repeats.without_repeats(empty).count() == 0
 
@@ -278,7 +278,7 @@ def test_pieces_against_the_library(spark, docs, empty):
     got = pieces.encode_documents(docs).collect()
     assert sorted((str(r["doc_id"]), r["n_pieces"]) for r in got) == sorted((str(d), len(sp.encode(x or ""))) for d, x, *_ in AWKWARD)
     assert pieces.encode_documents(empty).count() == 0
-    assert pieces.with_pieces(docs).filter("text IS NOT NULL AND NOT _pieces.back").count() == 0
+    assert docs.select("text", pieces.pieces_of(spark, docs["text"]).alias("p")).filter("text IS NOT NULL AND NOT p.back").count() == 0
 
 
 def test_language_id(spark, docs, empty):
@@ -309,11 +309,11 @@ def test_quality_classifier(spark, empty):
         rows[-1] += (bad, toxic)
     table = spark.createDataFrame([r[:5] for r in rows] + [(None, None, None, None, None), (999, "", None, None, 0)], SCHEMA)
     known = spark.createDataFrame([*labels, (labels[0][0], labels[0][1], labels[0][2]), (7777, 1, None)], "doc_id bigint, quality int, toxic int")
-    got = {r["doc_id"]: r["_s"] for r in quality_classifier.classify(table, quality_classifier.fit(quality_classifier.sample(table, known))).collect()}
+    got = {r["doc_id"]: r for r in quality_classifier.classify(table, known).collect()}
     assert np.mean([(got[r[0]]["quality"] >= 0.5) == (not r[5]) for r in rows]) > 0.95
     assert np.mean([(got[r[0]]["toxic"] >= 0.5) == r[6] for r in rows]) > 0.95
-    heads = quality_classifier.fit(quality_classifier.sample(empty, known.limit(0)))
-    assert quality_classifier.classify(empty, heads).count() == 0
+    assert quality_classifier.classify(empty, known.limit(0)).count() == 0
+    assert {round(r["quality"], 6) for r in quality_classifier.classify(table, known.limit(0)).collect()} == {0.5}
 
 
 def test_image_copies(spark):
@@ -419,3 +419,140 @@ def test_pipeline_stage_by_stage(spark, docs, empty):
         out = stage(spark, docs, "")
         assert out.columns[:5] == docs.columns and out.count() >= 0, name
         assert stage(spark, empty, "").count() == 0, name
+
+
+EXTRA = ["row", "_row", "_kept", "_stats", "stats", "_out", "_n", "_t", "_c", "key", "_key", "_copies", "n", "taken", "p", "_p", "f", "h", "cut", "_cut", "_pieces", "did", "th", "node", "comp", "part", "i", "kept", "lines", "gone", "a.b", "worded", "t1", "s"]
+
+
+@pytest.fixture(scope="module")
+def clashing(spark, docs):
+    """The awkward rows with columns named as any operator might name its own, and one of maps."""
+    return docs.select("*", *(F.concat_ws("-", F.lit(c), "doc_id", "source").alias(c) for c in EXTRA), F.create_map(F.lit("k"), "doc_id").alias("m"))
+
+
+@pytest.mark.parametrize("apply", [quality_rules.quality_rules, line_dedup.line_dedup, near_dedup.near_dedup, mixing.mix_sources, pieces.encode_documents, lambda d: language_id.identify(d, language_id.train([], [])), lambda d: quality_classifier.classify(d, d.sparkSession.createDataFrame([], "doc_id bigint, quality int, toxic int"))], ids=["quality_rules", "line_dedup", "near_dedup", "mix_sources", "encode_documents", "identify", "classify"])
+def test_other_columns_stay(clashing, apply):
+    out = apply(clashing)
+    assert out.columns[: len(clashing.columns)] == clashing.columns
+    for r in out.collect():
+        assert all(r[c] == "-".join(str(x) for x in (c, r["doc_id"], r["source"]) if x is not None) for c in EXTRA) and r["m"] == {"k": r["doc_id"]}
+
+
+def test_other_columns_stay_beside_repeats(clashing):
+    for r in repeats.without_repeats(clashing).select("row.*").collect():
+        assert all(r[c] == "-".join(str(x) for x in (c, r["doc_id"], r["source"]) if x is not None) for c in EXTRA)
+
+
+def test_long_words_differ_by_the_place_of_their_bytes(spark):
+    a, b = bytearray(b"x" * 9000), bytearray(b"x" * 9000)
+    a[100], a[100 + 4096], b[100], b[100 + 4096] = b"yzzy"
+    rows = [(1, a.decode()), (2, b.decode()), (3, a.decode())]
+    assert near_dedup.shingle_sets([t for _, t in rows], 3)[0] != near_dedup.shingle_sets([t for _, t in rows], 3)[1]
+    got = near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id bigint, text string"), 3, 85).collect()
+    assert {r["doc_id"]: r["component_id"] for r in got} == {1: 1, 2: 2, 3: 1}
+
+
+def test_texts_over_a_piece(spark):
+    """Texts of more than a mebibyte take the ways for long texts of shingles, subwords and anchors."""
+    rng = random.Random(9)
+    words = [f"w{rng.randrange(10**7)}" for _ in range(180_000)]
+    text = " ".join(words)
+    assert len(text) > 1 << 20
+    (got,) = near_dedup.shingle_sets([text], 3)
+    assert len(got) == len({tuple(words[i : i + 3]) for i in range(len(words) - 2)})
+    short = text[: 1 << 16]
+    table = spark.createDataFrame([(1, text), (2, text[-300:] + "!"), (3, text + " tail"), (4, short)], "doc_id bigint, text string")
+    got = {r["doc_id"]: r["n_removed"] for r in repeats.without_repeats(table).select("row.doc_id", "cut.n_removed").collect()}
+    assert got == {1: 0, 2: 300, 3: len(text), 4: len(short)}
+    assert {r["doc_id"]: r["component_id"] for r in near_dedup.near_duplicates(table, 3, 85).collect()} == {1: 1, 2: 2, 3: 1, 4: 4}
+
+
+def test_spans_of_very_many_texts():
+    n = 3 * (1 << 22)
+    text = np.repeat(np.arange(n // 2, dtype=np.int64), 2)
+    begin = np.tile(np.array([0, 30], np.int64), n // 2)
+    t, b, e = repeats._spans(text, begin, begin + 50)
+    assert len(t) == n // 2 and (b == 0).all() and (e == 80).all()
+
+
+def test_counts_of_common_shingles():
+    rng = np.random.default_rng(3)
+    left, right = ([np.unique(np.concatenate((rng.integers(0, 60, rng.integers(1, 50)), rng.integers(0, 10**6, 20)))).astype(np.uint64) for _ in range(n)] for n in (40, 33))
+    want = [[len(np.intersect1d(a, b)) for b in right] for a in left]
+    assert (near_dedup.common_counts(left, right) == np.array(want)).all()
+    assert (near_dedup.common_counts(left[:1], right[:1]) == np.array(want)[:1, :1]).all()
+
+
+def test_thresholds_without_a_shape_are_refused():
+    assert near_dedup.shape(85) == (36, 8) and near_dedup.shape(80) == (48, 6)
+    with pytest.raises(ValueError):
+        near_dedup.shape(3)
+
+
+def test_equal_rows_are_one_unit(spark):
+    rows = [(7, "w " * 9, "en", "a", 1)] * 20_000 + [(i, "w " * (i % 50), "en", "b", 1) for i in range(3000)]
+    table = spark.createDataFrame(rows, SCHEMA)
+    got = mixing.mixed(table).collect()
+    assert len(got) == len(rows) and max(r["copies"] for r in got) - min(r["copies"] for r in got if r["source"] == "a") <= 3
+    for s in "ab":
+        taken, target = sum(r["size"] * r["copies"] for r in got if r["source"] == s), next(r["target"] for r in got if r["source"] == s)
+        assert abs(taken - target) <= 9
+    assert len({r["copies"] for r in got if r["doc_id"] == 7 and r["source"] == "a"}) <= 2
+    assert mixing.mix_sources(table).filter("source = 'a'").count() == sum(r["copies"] for r in got if r["source"] == "a")
+
+
+def test_one_doc_id_very_often(spark):
+    rows = [(1, "aba abo bab", "xx", "s", 1)] * 20_000 + [(i, "zuk kuz uzk" if i % 2 else "aba bab oba", "yy" if i % 2 else "xx", "s", 1) for i in range(2, 400)]
+    counts, labels = language_id.labelled_sample(spark.createDataFrame(rows, SCHEMA))
+    assert len(labels) <= 400 and labels.count("yy") > 100
+    known = spark.createDataFrame([(i, i % 2, None) for i in range(1, 300)], "doc_id bigint, quality int, toxic int")
+    got = {r["doc_id"]: r["quality"] for r in quality_classifier.classify(spark.createDataFrame(rows, SCHEMA), known).collect()}
+    assert np.mean([(got[i] >= 0.5) == bool(i % 2) for i in range(300, 400)]) > 0.95
+
+
+def test_unseen_script_is_rejected(spark):
+    rng = random.Random(3)
+    words = {"xx": ["aba", "abo", "bab", "oba"], "yy": ["zuk", "kuz", "uzk", "kku"]}
+    rows = [(i, " ".join(rng.choice(words[g]) for _ in range(30)), g, "s", 1) for i in range(300) for g in [rng.choice(["xx", "yy"])]]
+    table = spark.createDataFrame([*rows, (900, "это другой язык совсем иначе", None, "s", 1)], SCHEMA)
+    got = {r["doc_id"]: r["rejected"] for r in language_id.identify(table, language_id.train(*language_id.labelled_sample(table))).collect()}
+    assert got[900] and np.mean([got[r[0]] for r in rows]) < 0.05
+
+
+def test_token_files_at_a_path(spark, docs, tmp_path):
+    path = str(tmp_path / "ids")
+    token_files.write_token_files(docs.select("doc_id", "text"), path=path, shards=2)
+    again = token_files.read_documents(token_files.open_token_files(spark, path))
+    assert again.count() == len(AWKWARD)
+
+
+def test_tokenizers_that_see_spaces_get_whole_texts():
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    plain, mine = Tokenizer.from_file(path), token_files.Encoder(path)
+    texts = ["one two  three", " lead", "a\nb", None, "", "Zé 12"]
+    assert not mine.by_word and token_files.Encoder(token_files.default_vocabulary()).by_word
+    assert [x.tolist() for x in mine.encode(texts)] == [plain.encode(t or "", add_special_tokens=False).ids for t in texts]
+
+
+def test_unfit_models_are_refused(tmp_path):
+    def message(*fields):
+        return b"".join(bytes([n << 3]) + bytes([v]) if isinstance(v, int) else bytes([n << 3 | 2, len(v)]) + v for n, v in fields)
+
+    for trainer, spec in (([(3, 1)], []), ([(3, 2)], [])):
+        path = tmp_path / "x.model"
+        path.write_bytes(message((2, message(*trainer)), (3, message(*spec))))
+        with pytest.raises(ValueError):
+            pieces.Normaliser(str(path))
+
+
+def test_stretches_with_shared_beginnings():
+    import sentencepiece
+
+    sp, t, rng = sentencepiece.SentencePieceProcessor(model_file=pieces.default_model()), pieces.Transducer(pieces.default_model()), random.Random(4)
+    t.ends.most = 200_000
+    for _ in range(4000):  # with caches that overflow again and again
+        x = "".join(rng.choice(["th", "er", "ing", "on", ",", ".", " ", "é", "\u3042", "A"]) for _ in range(rng.randint(1, 30)))
+        assert t.encode(x) == sp.encode(x)
