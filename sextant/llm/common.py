@@ -86,6 +86,15 @@ def let_go(*frames: DataFrame) -> None:
                 path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+#: Rows of two or three numbers, some 25 MB as a hash table, up to which a side is broadcast.
+BROADCAST_ROWS = 1 << 18
+
+
+def small(df: DataFrame) -> DataFrame:
+    """``df``, a written table of narrow rows, marked for broadcast if its count allows; else joins shuffle by key."""
+    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+
+
 def lowered(c: Column) -> Column:
     """A-Z lower-cased, every other character as it is."""
     return F.translate(c, UPPER, UPPER.lower())

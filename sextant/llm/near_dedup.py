@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sextant.llm.common import cut, let_go, load, lower_bytes, mix, nested, settle, unnested
+from sextant.llm.common import cut, let_go, load, lower_bytes, mix, nested, settle, small, unnested
 
 T = 288
 
@@ -244,7 +244,8 @@ def _block_links(percent: int):
 
 def _sets(ends: DataFrame, docs: DataFrame, width: int) -> DataFrame:
     """node and set: the full shingle sets of some nodes, given as node and th, the hash of a text."""
-    texts = docs.select(_node(docs).alias("_n"), F.xxhash64("text").alias("_t"), "text").join(ends.select(F.col("node").alias("_n"), F.col("th").alias("_t")), ["_n", "_t"], "left_semi")
+    ends = cut(ends.select(F.col("node").alias("_n"), F.col("th").alias("_t")))
+    texts = docs.select(_node(docs).alias("_n"), F.xxhash64("text").alias("_t"), "text").join(small(ends), ["_n", "_t"], "left_semi")
     return cut(texts.dropDuplicates(["_n", "_t"]).select(F.col("_n").alias("node"), _set(width)("text").alias("set")))
 
 
@@ -364,11 +365,14 @@ def near_dedup(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     arise: a node is a doc_id. An empty table gives an empty one. Extra columns may have any names.
     """
     prints, named = _near(docs, width, percent)
-    last = cut(prints.filter("n > 0").join(named, ["f1", "f2"]).filter("node = comp").groupBy("node").agg(F.min("th").alias("th"), F.count("*").alias("c")))
-    keyed = docs.select(nested(docs).alias("row"), _node(docs).alias("node"), F.xxhash64("text").alias("th"), F.coalesce(docs["text"], F.lit("")).rlike(r"[^\x20\x09-\x0D]").alias("worded"))
-    one = keyed.join(last.filter("c = 1"), ["node", "th"], "left_semi")
-    equal = keyed.join(last.filter("c > 1"), ["node", "th"], "left_semi").groupBy("node", "th").agg(F.first("row").alias("row"))
-    return one.select("row").union(equal.select("row")).union(keyed.filter(~F.col("worded")).select("row")).select(*unnested(docs.columns))
+    each = prints.filter("n > 0").join(named, ["f1", "f2"]).groupBy("node", "th").agg(F.max(F.col("node") == F.col("comp")).alias("heads"), F.count("*").alias("c"))
+    first = each.filter("heads").groupBy("node").agg(F.min("th").alias("first"))
+    # What goes is listed rather than what stays: in most corpora it is the shorter list.
+    told = cut(each.join(first, "node", "left").select("node", "th", F.coalesce(F.col("th") == F.col("first"), F.lit(False)).alias("stays"), "c").filter("not stays or c > 1"))
+    keyed = docs.select(nested(docs).alias("row"), _node(docs).alias("node"), F.xxhash64("text").alias("th"))
+    rest = keyed.join(small(told.select("node", "th")), ["node", "th"], "left_anti").select("row")
+    equal = keyed.join(told.filter("stays").select("node", "th"), ["node", "th"], "left_semi").groupBy("node", "th").agg(F.first("row").alias("row"))
+    return rest.union(equal.select("row")).select(*unnested(docs.columns))
 
 
 def op4_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
