@@ -98,19 +98,57 @@ def term_key(id_: Column, most: int = 239) -> Column:
     return F.concat(F.lit("chunk:"), F.when(F.length(id_) > most, F.sha2(id_, 256)).otherwise(id_))
 
 
+def context_text(ctx: Column) -> Column:
+    """The ``text`` of a context, else its ``context``; empty counts as missing."""
+    return F.coalesce(F.nullif(ctx["text"], F.lit("")), F.nullif(ctx["context"], F.lit("")), F.lit(""))
+
+
+def joined_titles(ranked: Column) -> Column:
+    """Non-empty titles of an array of (rank, title), in rank order, bars between."""
+    titles = F.transform(F.array_sort(ranked), lambda s: s["title"])
+    return F.array_join(F.filter(titles, lambda t: F.coalesce(t, F.lit("")) != ""), " | ")
+
+
+def index_of(values: Column, value) -> Column:
+    """Place of the first equal entry from 0, or null."""
+    return F.nullif(F.array_position(values, value), F.lit(0)) - 1
+
+
+def bound(value: Column, body) -> Column:
+    """``body`` of a value that is computed once, however often the body names it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def numbered(tokens_: Column) -> Column:
+    """Tokens in order with the number of each among its equals, so that equal multisets become equal sets.
+
+    One pass over the sorted array: an entry's number is its place less that of the first of its equals.
+    """
+    return bound(
+        F.array_sort(tokens_),
+        lambda s: bound(
+            F.map_from_arrays(F.array_distinct(s), F.filter(F.transform(s, lambda t, i: F.when((i == 0) | (F.get(s, i - 1) != t), i)), lambda i: i.isNotNull())),
+            lambda first: F.transform(s, lambda t, i: F.concat((i - F.element_at(first, t)).cast("string"), F.lit(":"), t)),
+        ),
+    )
+
+
 def multiset_overlap(a: Column, b: Column) -> Column:
     """Tokens that two arrays share, each as often as in both."""
-    count = lambda x, t: F.size(F.filter(x, lambda y: y == t))
-    return F.aggregate(F.array_intersect(a, b), F.lit(0), lambda n, t: n + F.least(count(a, t), count(b, t)))
+    return F.size(F.array_intersect(numbered(a), numbered(b)))
 
 
 def token_f1(prediction: Column, gold: Column, normalize: bool = True) -> Column:
-    """F1 of the token multisets. Both empty: 1 if normalising, else 0; one empty: 0."""
-    p, g = (tokens(normalize_answer(x)) if normalize else tokens(x) for x in (prediction, gold))
-    same = multiset_overlap(p, g).cast("double")
-    f1 = 2 * same / (F.size(p) + F.size(g))
-    empty = (F.size(p) == 0) & (F.size(g) == 0)
-    return F.when(empty, F.lit(1.0 if normalize else 0.0)).when(same == 0, 0.0).otherwise(f1)
+    """F1 of the token multisets. Both empty: 1 if normalising, else 0; one empty: 0. Either text is normalised once."""
+
+    def f1(x: Column) -> Column:
+        p, g = x["p"], x["g"]
+        total = F.size(p) + F.size(g)
+        score = 2 * multiset_overlap(p, g).cast("double") / F.greatest(total, F.lit(1))
+        return F.when(total == 0, F.lit(1.0 if normalize else 0.0)).otherwise(score)
+
+    sides = [(tokens(normalize_answer(x)) if normalize else tokens(x)) for x in (prediction, gold)]
+    return bound(F.struct(sides[0].alias("p"), sides[1].alias("g")), f1)
 
 
 def exact_match(prediction: Column, gold: Column) -> Column:

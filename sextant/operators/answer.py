@@ -6,6 +6,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from sextant.functions.text import joined_titles, snippet
 from sextant.functions.vector import log_softmax, log_sum_exp
 
 
@@ -63,10 +64,7 @@ def sample_log(rows: DataFrame, epoch: str, n: int = 3) -> DataFrame:
 
     rows: qid, question, answer, reference, rank, title, text.
     """
-    from sextant.functions.text import snippet
-
-    first = rows.withColumn("_n", F.dense_rank().over(Window.orderBy("qid"))).filter(F.col("_n") <= n)
+    first = rows.join(F.broadcast(rows.select("qid").distinct().orderBy("qid").limit(n)), "qid")  # n rows
     docs = F.array_sort(F.collect_list(F.struct("rank", "title", "text")))
     out = first.groupBy("qid", "question", "answer", "reference").agg(docs.alias("_d"))
-    titles = F.filter(F.transform("_d", lambda s: s["title"]), lambda t: F.coalesce(t, F.lit("")) != "")
-    return out.select(F.lit(epoch).alias("epoch"), "qid", "question", F.col("answer").alias("generated_answer"), F.col("reference").alias("reference_answer"), F.coalesce(F.get("_d", F.lit(0))["title"], F.lit("N/A")).alias("top_retrieved_doc_title"), snippet(F.get("_d", F.lit(0))["text"], 150, "N/A").alias("top_retrieved_doc_text_snippet"), F.array_join(titles, " | ").alias("all_retrieved_titles"))
+    return out.select(F.lit(epoch).alias("epoch"), "qid", "question", F.col("answer").alias("generated_answer"), F.col("reference").alias("reference_answer"), F.coalesce(F.get("_d", F.lit(0))["title"], F.lit("N/A")).alias("top_retrieved_doc_title"), snippet(F.get("_d", F.lit(0))["text"], 150, "N/A").alias("top_retrieved_doc_text_snippet"), joined_titles(F.col("_d")).alias("all_retrieved_titles"))

@@ -8,14 +8,15 @@ all. What is shuffled is k rows per query and corpus block; nothing needs to fit
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from sextant.functions.text import nonblank
-from sextant.functions.vector import dot
+from sextant.functions.vector import dot, l2_normalize
 
 #: Rows of a block: 4,096 vectors of 1,024 floats are 16 MB.
 CORPUS_BLOCK, QUERY_BLOCK = 4096, 512
@@ -23,20 +24,34 @@ CORPUS_BLOCK, QUERY_BLOCK = 4096, 512
 
 def _packer(rows: int):
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, list[tuple[np.ndarray, np.ndarray]]] = {}
+
+        def out(width: int) -> pa.RecordBatch:
+            parts = held.pop(width)
+            ids, matrix = np.concatenate([i for i, _ in parts]), np.concatenate([m for _, m in parts])
+            return pa.RecordBatch.from_arrays([pa.array([ids.tolist()], pa.list_(pa.int64())), pa.array([matrix.tobytes()], pa.binary()), pa.array([width], pa.int32())], ["ids", "matrix", "width"])
+
         for batch in batches:
-            for begin in range(0, batch.num_rows, rows):
-                part = batch.slice(begin, rows)
-                vectors = part.column(1)
-                flat = np.asarray(vectors.flatten(), np.float32)
-                width = len(flat) // max(1, len(vectors))
-                yield pa.RecordBatch.from_arrays([pa.array([part.column(0).to_pylist()], pa.list_(pa.int64())), pa.array([flat.tobytes()], pa.binary()), pa.array([width], pa.int32())], ["ids", "matrix", "width"])
+            ids, vectors = batch.column(0).to_numpy(zero_copy_only=False), batch.column(1)
+            widths = np.diff(vectors.offsets.to_numpy())
+            flat = vectors.flatten().to_numpy(zero_copy_only=False).astype(np.float32)
+            starts = np.cumsum(widths) - widths
+            for width in np.unique(widths).tolist():  # vectors of unlike widths never share a block
+                at = np.flatnonzero(widths == width)
+                matrix = flat[starts[at][:, None] + np.arange(width)]
+                for begin in range(0, len(at), rows):
+                    held.setdefault(width, []).append((ids[at[begin : begin + rows]], matrix[begin : begin + rows]))
+                    if sum(len(i) for i, _ in held[width]) >= rows:
+                        yield out(width)
+        for width in list(held):
+            yield out(width)
 
     return pack
 
 
 def _blocks(table: DataFrame, id_: str, vector: str, rows: int, name: str) -> DataFrame:
-    """Null ids, null and empty vectors have no place in an index."""
-    good = table.filter(F.col(id_).isNotNull() & (F.size(vector) > 0)).select(F.col(id_).cast("bigint"), F.col(vector).cast("array<float>"))
+    """Null ids, null and empty vectors, and vectors with a null in them, have no place in an index."""
+    good = table.filter(F.col(id_).isNotNull() & (F.size(vector) > 0) & ~F.exists(vector, lambda x: x.isNull())).select(F.col(id_).cast("bigint"), F.col(vector).cast("array<float>"))
     packed = good.mapInArrow(_packer(rows), "ids array<bigint>, matrix binary, width int")
     return packed.select(*(F.col(c).alias(f"{name}_{c}") for c in ("ids", "matrix", "width")))
 
@@ -70,14 +85,24 @@ def top_k(hits: DataFrame, k: int, by: str = "qid", score: str = "score", id_: s
     return hits.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
 
 
-def dense_topk(queries: DataFrame, index: DataFrame, k: int = 5, skip_self: bool = False) -> DataFrame:
+#: Ways that corpus blocks are dealt; each gets a copy of every query block, so no join key holds more than its share.
+SALTS = 64
+
+
+def dense_topk(queries: DataFrame, index: DataFrame, k: int = 5, skip_self: bool = False, normalize: bool = False) -> DataFrame:
     """qid, passage_id, score (6 decimals), rank: exact inner-product search of all of ``index``.
 
+    ``normalize`` scales the queries to unit length. Query and corpus vectors of unlike widths never meet.
+
     ``queries``: qid, embedding; ``index``: passage_id, embedding, of one width. No tie is lost: a block
     keeps k rows in the final order of ranking.
     """
+    if normalize:
+        queries = queries.select("qid", l2_normalize(F.col("embedding")).alias("embedding"))
     q, c = _blocks(queries, "qid", "embedding", QUERY_BLOCK, "q"), _blocks(index, "passage_id", "embedding", CORPUS_BLOCK, "c")
-    pairs = c.join(q, F.col("q_width") == F.col("c_width"))
+    q = q.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    c = c.withColumn("salt", F.pmod(F.xxhash64(F.get("c_ids", F.lit(0))), F.lit(SALTS)).cast("int"))
+    pairs = c.join(q, "salt").filter(F.col("q_width") == F.col("c_width"))
     hits = pairs.select(F.explode(_best(k, skip_self)("q_ids", "q_matrix", "c_ids", "c_matrix", "c_width")).alias("h")).select("h.*")
     return top_k(hits, k)
 
@@ -112,28 +137,82 @@ def cells(index: DataFrame, n_cells: int, sample: int = 20_000, rounds: int = 12
     return c
 
 
-def dense_topk_cells(queries: DataFrame, index: DataFrame, k: int = 5, n_cells: int = 16, probes: int = 12, skip_self: bool = False) -> DataFrame:
-    """Approximate search: every vector in the cell of its nearest centroid, a query looks into ``probes`` cells.
+@dataclass(frozen=True)
+class CellIndex:
+    """Vectors packed into blocks by the cell of their nearest centroid; every row is indexed."""
+
+    centroids: np.ndarray
+    blocks: DataFrame  # cell, c_ids, c_matrix, c_width
+
 
-    Every row is indexed. The centroids (``n_cells`` vectors) go to the executors in the closure.
+def _nearest(c: np.ndarray, n: int):
+    def f(v: pa.Array) -> pa.Array:
+        x = np.asarray(v.flatten(), np.float64).reshape(len(v), -1)
+        order = np.argsort(-(x @ c.T), axis=1, kind="stable")[:, :n]
+        return pa.array(order.astype(np.int32).tolist(), pa.list_(pa.int32()))
+
+    return F.arrow_udf(f, "array<int>")
+
+
+def build_cells(index: DataFrame, n_cells: int | None = None) -> CellIndex:
+    """Place every vector; cells grow with the root of the rows (half of it, 4 at least, 4,096 at most).
+
+    A cell with many rows, such as a copy held by a third of them, is many blocks, each of CORPUS_BLOCK rows at
+    most: rows are dealt by cell and hash, never gathered as one group.
     """
-    c = cells(index, n_cells)
-
-    def nearest(n: int):
-        def f(v: pa.Array) -> pa.Array:
-            x = np.asarray(v.flatten(), np.float64).reshape(len(v), -1)
-            order = np.argsort(-(x @ c.T), axis=1, kind="stable")[:, :n]
-            return pa.array(order.astype(np.int32).tolist(), pa.list_(pa.int32()))
-
-        return F.arrow_udf(f, "array<int>")
-
-    good = lambda t: t.filter(F.size("embedding") > 0)
-    placed = good(index).select("passage_id", "embedding", F.explode(nearest(1)("embedding")).alias("cell"))
-    asked = good(queries).select("qid", F.col("embedding").alias("_q"), F.explode(nearest(probes)("embedding")).alias("cell"))
-    hits = asked.join(placed, "cell")
-    if skip_self:
-        hits = hits.filter(F.col("qid") != F.col("passage_id"))
-    return top_k(hits.select("qid", "passage_id", F.round(dot(F.col("_q"), F.col("embedding")), 6).alias("score")), k)
+    good = index.filter(F.col("passage_id").isNotNull() & (F.size("embedding") > 0))
+    n = n_cells or int(min(4096, max(4, good.count() ** 0.5 / 2)))
+    c = cells(good, n)
+    if not len(c):
+        return CellIndex(c, good.select(F.lit(0).alias("cell"), F.array(F.col("passage_id").cast("bigint")).alias("c_ids"), F.lit(b"").alias("c_matrix"), F.lit(0).alias("c_width")).limit(0))
+    placed = good.select(F.get(_nearest(c, 1)("embedding"), F.lit(0)).alias("cell"), F.col("passage_id").cast("bigint"), F.col("embedding").cast("array<float>"))
+    sizes = placed.groupBy("cell").agg(F.count("*").alias("_n"))
+    dealt = placed.join(F.broadcast(sizes), "cell")  # one row a cell, 4,096 at most
+    part = F.pmod(F.xxhash64("passage_id"), F.ceil(F.col("_n") / (CORPUS_BLOCK // 2))).cast("int")
+    grouped = dealt.groupBy("cell", part.alias("_p")).agg(F.collect_list("passage_id").alias("c_ids"), F.collect_list("embedding").alias("_v"))
+
+    def packed(v: pa.Array) -> pa.Array:
+        return pa.array([np.asarray(x.values.flatten(), np.float32).tobytes() for x in v], pa.binary())
+
+    return CellIndex(c, grouped.select("cell", "c_ids", F.arrow_udf(packed, "binary")("_v").alias("c_matrix"), F.size(F.get("_v", F.lit(0))).alias("c_width")))
+
+
+def write_cells(index: CellIndex, path: str) -> None:
+    """The blocks by cell, and the centroids beside them."""
+    index.blocks.write.mode("overwrite").partitionBy("cell").parquet(f"{path}/blocks")
+    spark = index.blocks.sparkSession
+    spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(index.centroids)], "cell int, centroid array<double>").write.mode("overwrite").parquet(f"{path}/centroids")
+
+
+def open_cells(spark: SparkSession, path: str) -> CellIndex:
+    rows = spark.read.parquet(f"{path}/centroids").orderBy("cell").collect()  # 4,096 at most
+    return CellIndex(np.array([r["centroid"] for r in rows]), spark.read.parquet(f"{path}/blocks"))
+
+
+def search_cells(queries: DataFrame, index: CellIndex, k: int = 5, probes: int | None = None, skip_self: bool = False) -> DataFrame:
+    """qid, passage_id, score, rank: a query looks into ``probes`` cells (default: three quarters of them, 64 at most).
+
+    Queries are packed per cell and every block of a cell is one matrix product for all its queries.
+    """
+    c = index.centroids
+    probes = probes or max(1, min(64, -(-3 * len(c) // 4)))
+    good = queries.filter(F.col("qid").isNotNull() & (F.size("embedding") > 0))
+    if not len(c):
+        return top_k(good.select("qid", F.lit(0).cast("bigint").alias("passage_id"), F.lit(0.0).alias("score")).limit(0), k)
+    asked = good.select(F.col("qid").cast("bigint"), F.col("embedding").cast("array<float>"), F.explode(_nearest(c, probes)("embedding")).alias("cell"))
+    part = F.pmod(F.xxhash64("qid"), F.ceil(F.count("*").over(Window.partitionBy("cell")) / QUERY_BLOCK))
+
+    def packed(v: pa.Array) -> pa.Array:
+        return pa.array([np.asarray(x.values.flatten(), np.float32).tobytes() for x in v], pa.binary())
+
+    q = asked.withColumn("_p", part).groupBy("cell", "_p").agg(F.collect_list("qid").alias("q_ids"), F.collect_list("embedding").alias("_v")).select("cell", "q_ids", F.arrow_udf(packed, "binary")("_v").alias("q_matrix"))
+    pairs = index.blocks.join(q, "cell")
+    return top_k(pairs.select(F.explode(_best(k, skip_self)("q_ids", "q_matrix", "c_ids", "c_matrix", "c_width")).alias("h")).select("h.*"), k)
+
+
+def dense_topk_cells(queries: DataFrame, index: DataFrame, k: int = 5, n_cells: int | None = None, probes: int | None = None, skip_self: bool = False) -> DataFrame:
+    """Approximate search over an index built in place; see ``build_cells`` and ``search_cells``."""
+    return search_cells(queries, build_cells(index, n_cells), k, probes, skip_self)
 
 
 def rerank_pool(pool: DataFrame, k: int = 3) -> DataFrame:

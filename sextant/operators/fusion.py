@@ -22,8 +22,26 @@ def rrf(dense: DataFrame, sparse: DataFrame, k: int | None = None, constant: int
     return out if k is None else out.filter(F.col("rank") <= k)
 
 
-def hybrid_topk(dense: DataFrame, sparse: DataFrame, passages: DataFrame, k: int, constant: int = CONSTANT, index: DataFrame | None = None) -> DataFrame:
-    """The fused k with title and text ("" where missing) and, from ``index``, the embedding."""
-    out = rrf(dense, sparse, k, constant).join(passages.select("passage_id", "title", "text"), "passage_id", "left")
+def hybrid_topk(dense: DataFrame, sparse: DataFrame, passages: DataFrame, k: int, constant: int = CONSTANT, index: DataFrame | None = None, encode=None, dim: int | None = None, pad: DataFrame | None = None) -> DataFrame:
+    """The fused k with title and text ("" where missing).
+
+    With ``index`` also the embedding; a passage without one gets that of its text from ``encode`` (a table of
+    passage_id and text to one of passage_id and embedding), and one without a text a zero vector of ``dim``.
+    With ``pad``, the table of queries, every query has exactly k slots: those without a passage hold
+    passage_id -1, empty texts and, with an index, the zero vector.
+    """
+    out = rrf(dense, sparse, k, constant)
+    if pad is not None:
+        slots = pad.select("qid").distinct().withColumn("rank", F.explode(F.sequence(F.lit(1), F.lit(k))))
+        out = slots.join(out, ["qid", "rank"], "left").fillna({"passage_id": -1, "rrf": 0.0})
+    out = out.join(passages.select("passage_id", "title", "text"), "passage_id", "left")
     out = out.withColumn("title", F.coalesce("title", F.lit(""))).withColumn("text", F.coalesce("text", F.lit("")))
-    return out if index is None else out.join(index.select("passage_id", "embedding"), "passage_id", "left")
+    if index is None:
+        return out
+    out = out.join(index.select("passage_id", "embedding"), "passage_id", "left")
+    if encode is not None:
+        lack = out.filter(F.col("embedding").isNull() & (F.col("text") != "")).select("passage_id", "text").dropDuplicates(["passage_id"])
+        out = out.join(encode(lack).select("passage_id", F.col("embedding").alias("_e")), "passage_id", "left").withColumn("embedding", F.coalesce("embedding", "_e")).drop("_e")
+    if dim is not None:
+        out = out.withColumn("embedding", F.coalesce("embedding", F.array_repeat(F.lit(0.0).cast("float"), dim)))
+    return out

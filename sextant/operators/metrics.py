@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sextant.functions.text import any_answer_in, best_over, exact_match, token_f1
+from sextant.functions.vector import dot, finite
 
 
 def answer_scores(rows: DataFrame, normalize: bool = True) -> DataFrame:
@@ -19,18 +20,38 @@ def corpus_scores(rows: DataFrame) -> DataFrame:
     return rows.agg(mean("em").alias("exact_match"), mean("f1").alias("f1"))
 
 
-def recall_at(hits: DataFrame, questions: DataFrame, passages: DataFrame, ks: list[int], by: list[str] | None = None) -> DataFrame:
-    """One row (per ``by``): for each k, the share of questions with an answer in the text of a top-k passage.
+def recall_at(hits: DataFrame, questions: DataFrame, passages: DataFrame, ks: list[int], params: DataFrame | None = None) -> DataFrame:
+    """For each k, the share of questions with an answer in the text of a top-k passage; one row, or one per row of ``params``.
 
-    hits: qid, passage_id, rank and the columns of ``by``; questions: qid, answers (array).
+    hits: qid, passage_id, rank and the columns of ``params``; questions: qid, answers (array). Each (question,
+    passage) is tested once, however many parameter rows retrieve it.
     """
-    by = by or []
-    found = hits.join(questions.select("qid", "answers"), "qid").join(passages.select("passage_id", "text"), "passage_id")
-    first = found.filter(any_answer_in(F.col("answers"), F.col("text"))).groupBy(*by, "qid").agg(F.min("rank").alias("first"))
-    groups = hits.select(*by).distinct().crossJoin(questions.select("qid").distinct()) if by else questions.select("qid").distinct()
-    every = groups.join(first, [*by, "qid"], "left")
-    shares = [F.avg(F.coalesce((F.col("first") <= k).cast("double"), F.lit(0.0))).alias(f"recall_{k}") for k in ks]
-    return every.groupBy(*by).agg(*shares) if by else every.agg(*shares)
+    by = params.columns if params is not None else []
+    met = hits.select("qid", "passage_id").distinct()
+    tested = met.join(questions.select("qid", "answers"), "qid").join(passages.select("passage_id", "text"), "passage_id")
+    right = tested.filter(any_answer_in(F.col("answers"), F.col("text"))).select("qid", "passage_id")
+    first = hits.join(right, ["qid", "passage_id"]).groupBy(*by, "qid").agg(F.min("rank").alias("first"))
+    n = questions.select("qid").distinct().agg(F.count("*").alias("n"))  # one row
+    counts = first.groupBy(*by).agg(*(F.sum((F.col("first") <= k).cast("int")).alias(f"_{k}") for k in ks))
+    every = F.broadcast(params).join(counts, by, "left") if params is not None else counts
+    shares = [F.coalesce(F.try_divide(F.col(f"_{k}").cast("double"), F.col("n")), F.lit(0.0)).alias(f"recall_{k}") for k in ks]
+    return every.crossJoin(F.broadcast(n)).select(*by, *shares)
+
+
+def sorted_table(rows: DataFrame, metric: str, *ties: str) -> DataFrame:
+    """Adds place: rows by the metric, the greatest first, equals in the order of ``ties``. For small tables of results."""
+    return rows.withColumn("place", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(F.desc(metric), *ties)))
+
+
+def zipped(predictions: DataFrame, references: DataFrame, pos: str = "pos") -> DataFrame:
+    """prediction and golds of the rows at equal positions; what only one side has is left out, as a zip does."""
+    return predictions.select(pos, "prediction").join(references.select(pos, F.array("reference").alias("golds")), pos)
+
+
+def epoch_means(steps: DataFrame, value: str = "loss") -> DataFrame:
+    """epoch, the mean of the finite values of its steps, and how many there were; an epoch without any has a null mean."""
+    good = F.when(finite(F.col(value).cast("double")), F.col(value))
+    return steps.groupBy("epoch").agg(F.avg(good).alias(value), F.count(good).alias("n_steps"))
 
 
 def gold_rank(candidates: DataFrame) -> DataFrame:
@@ -79,3 +100,12 @@ def in_batch_contrastive(pairs: DataFrame, temperature: float = 0.05) -> DataFra
     top = F.array_max(logits)
     lse = top + F.ln(F.aggregate(logits, F.lit(0.0), lambda s, x: s + F.exp(x - top)))
     return pairs.groupBy("batch").agg(F.avg(lse - F.element_at(logits, (F.col("i") + 1).cast("int"))).alias("loss"))
+
+
+def contrastive(queries: DataFrame, positives: DataFrame, negatives: DataFrame, temperature: float = 0.05) -> DataFrame:
+    """batch, loss: each query (batch, i, embedding) against all positives of its batch (_b, j, _v; its own has j = i) and
+    then all negatives of the batch. Batches are of bounded size."""
+    columns = positives.withColumn("_k", F.lit(0)).unionByName(negatives.withColumn("_k", F.lit(1)))
+    met = queries.join(columns, F.col("batch") == F.col("_b"))
+    sims = met.groupBy("batch", "i").agg(F.transform(F.array_sort(F.collect_list(F.struct("_k", "j", F.round(dot(F.col("embedding"), F.col("_v")), 6).alias("x")))), lambda s: s["x"]).alias("sims"))
+    return in_batch_contrastive(sims, temperature)

@@ -42,13 +42,27 @@ def shuffled(rows: DataFrame, id_: str, seed: int = 1) -> DataFrame:
     return rows.orderBy(F.md5(F.concat_ws(":", F.lit(str(seed)), F.col(id_).cast("string"))), id_)
 
 
-def batches(rows: DataFrame, order: str, size: int) -> DataFrame:
-    """Adds chunk: rows in order, ``size`` to a chunk.
+def positions(rows: DataFrame, *order: str) -> DataFrame:
+    """Adds pos: 0, 1, ... in order.
 
-    Positions are counted per range-partition and offset by the counts before, so no task sees all rows.
+    Places are counted per range-partition and offset by the counts before, so no task sees all rows.
     """
-    parts = rows.repartitionByRange(F.col(order)).withColumn("_p", F.spark_partition_id())
-    local = parts.withColumn("_r", F.row_number().over(Window.partitionBy("_p").orderBy(order)))
+    parts = rows.repartitionByRange(*(F.col(c) for c in order)).withColumn("_p", F.spark_partition_id())
+    local = parts.withColumn("_r", F.row_number().over(Window.partitionBy("_p").orderBy(*order)))
     counts = parts.groupBy("_p").agg(F.count("*").alias("_c"))
-    offset = counts.select(F.col("_p"), (F.sum("_c").over(Window.orderBy("_p")) - F.col("_c")).alias("_o"))
-    return local.join(F.broadcast(offset), "_p").withColumn("chunk", F.floor((F.col("_o") + F.col("_r") - 1) / size)).drop("_p", "_r", "_o")
+    offset = counts.select(F.col("_p"), (F.sum("_c").over(Window.orderBy("_p")) - F.col("_c")).alias("_o"))  # one row a partition
+    return local.join(F.broadcast(offset), "_p").withColumn("pos", (F.col("_o") + F.col("_r") - 1).cast("bigint")).drop("_p", "_r", "_o")
+
+
+def batches(rows: DataFrame, order: str, size: int) -> DataFrame:
+    """Adds chunk: rows in order, ``size`` to a chunk."""
+    return positions(rows, order).withColumn("chunk", F.floor(F.col("pos") / size)).drop("pos")
+
+
+def collated(rows: DataFrame, batch: str, order: str, *columns: str) -> DataFrame:
+    """One row a batch: each column as a list in order; a column of lists is flattened. Batches are of bounded size."""
+    kinds = dict(rows.dtypes)
+    lists = F.array_sort(F.collect_list(F.struct(order, *columns)))
+    one = rows.groupBy(batch).agg(lists.alias("_l"))
+    of = lambda c: F.transform("_l", lambda x: x[c])
+    return one.select(batch, *((F.flatten(of(c)) if kinds[c].startswith("array") else of(c)).alias(c) for c in columns))

@@ -1,10 +1,18 @@
-"""Sparse retrieval: inverted-index tables, BM25, TF-IDF, parameter grids."""
+"""Sparse retrieval: inverted-index tables, BM25, TF-IDF, parameter grids.
+
+An ``Index`` is three tables: postings (term, passage_id, tf, and df of the term), doc_stats (passage_id, dl) and
+one row of corpus statistics. It is built once, written by ``sinks.inverted_index``, opened by
+``readers.inverted_index`` and scored from; the functions that take passages build what they need in place.
+"""
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from sextant.functions.stem import stemmed
 from sextant.functions.text import term_key, terms
 from sextant.operators.dense import top_k
 
@@ -28,6 +36,51 @@ def doc_stats(passages: DataFrame) -> DataFrame:
     return passages.select("passage_id", F.size(terms(F.col("text"))).cast("bigint").alias("dl"))
 
 
+@dataclass(frozen=True)
+class Index:
+    postings: DataFrame  # term, passage_id, tf, df
+    doc_stats: DataFrame  # passage_id, dl
+    corpus: DataFrame  # n, avgdl: one row
+    stem: bool = False
+
+
+def stems_of(post: DataFrame, by: str, count: str) -> DataFrame:
+    """Counts by term as counts by English stem."""
+    return post.withColumn("_s", stemmed("term")).groupBy(F.col("_s").alias("term"), by).agg(F.sum(count).alias(count))
+
+
+def build_index(passages: DataFrame, stem: bool = False) -> Index:
+    """The index of the texts of ``passages``; ``stem`` keeps English stems in place of terms."""
+    post = stems_of(postings(passages), "passage_id", "tf") if stem else postings(passages)
+    stats = doc_stats(passages)
+    return Index(post.join(term_stats(post), "term"), stats, corpus_stats(stats), stem)
+
+
+def index_matches(queries: DataFrame, index: Index) -> DataFrame:
+    """qid, passage_id, term, tf, qtf, df, dl, n, avgdl from a stored index: no text is read."""
+    asked = query_terms(queries)
+    if index.stem:
+        asked = stems_of(asked, "qid", "qtf")
+    found = asked.join(index.postings, "term").join(index.doc_stats, "passage_id")
+    return found.crossJoin(F.broadcast(index.corpus))  # the statistics are one row
+
+
+def weight_of(scheme: str, k1: Column, b: Column) -> Column:
+    c = F.col
+    return bm25_weight(c("tf"), c("qtf"), c("df"), c("dl"), c("n"), c("avgdl"), k1, b) if scheme == "bm25" else c("tf") * c("qtf") * F.ln(c("n") / c("df"))
+
+
+def search_index(queries: DataFrame, index: Index, k: int = 10, scheme: str = "bm25", k1: float = K1, b: float = B) -> DataFrame:
+    """qid, passage_id, score (6 decimals), rank: scored from the stored postings."""
+    return top_k(index_matches(queries, index).groupBy("qid", "passage_id").agg(F.round(F.sum(weight_of(scheme, F.lit(k1), F.lit(b))), 6).alias("score")), k)
+
+
+def decoded_payloads(rows: DataFrame, payload: str, schema: str) -> DataFrame:
+    """The fields of a JSON payload beside the other columns; rows whose payload is no such object are skipped."""
+    kept = [c for c in rows.columns if c != payload]
+    return rows.withColumn("_p", F.from_json(payload, f"{schema}, _bad string", {"columnNameOfCorruptRecord": "_bad"})).filter("_p IS NOT NULL AND _p._bad IS NULL").select(*kept, "_p.*").drop("_bad")
+
+
 def term_stats(post: DataFrame) -> DataFrame:
     return post.groupBy("term").agg(F.count("*").alias("df"))
 
@@ -59,15 +112,13 @@ def matches(queries: DataFrame, passages: DataFrame) -> DataFrame:
     wanted = asked.select("term").distinct()
     post = passages.select("passage_id", F.explode(terms(F.col("text"))).alias("term")).join(wanted, "term", "left_semi").groupBy("term", "passage_id").agg(F.count("*").alias("tf"))
     stats = doc_stats(passages)
-    found = asked.join(post, "term").join(term_stats(post), "term").join(stats, "passage_id")
+    found = asked.join(post.join(term_stats(post), "term"), "term").join(stats, "passage_id")
     return found.crossJoin(F.broadcast(corpus_stats(stats)))  # the statistics are one row
 
 
 def sparse_topk(queries: DataFrame, passages: DataFrame, k: int = 10, scheme: str = "bm25", k1: float = K1, b: float = B) -> DataFrame:
     """qid, passage_id, score (6 decimals), rank."""
-    c = F.col
-    weight = bm25_weight(c("tf"), c("qtf"), c("df"), c("dl"), c("n"), c("avgdl"), F.lit(k1), F.lit(b)) if scheme == "bm25" else c("tf") * c("qtf") * F.ln(c("n") / c("df"))
-    return top_k(matches(queries, passages).groupBy("qid", "passage_id").agg(F.round(F.sum(weight), 6).alias("score")), k)
+    return top_k(matches(queries, passages).groupBy("qid", "passage_id").agg(F.round(F.sum(weight_of(scheme, F.lit(k1), F.lit(b))), 6).alias("score")), k)
 
 
 def percent(hits: DataFrame) -> DataFrame:
@@ -76,16 +127,22 @@ def percent(hits: DataFrame) -> DataFrame:
     return hits.join(best, "qid").withColumn("percent_score", F.coalesce(F.floor(F.round(100 * F.try_divide(F.col("score"), F.col("_m")), 6)) / 100, F.lit(0.0))).drop("_m")
 
 
-def grid(queries: DataFrame, passages: DataFrame, k1s: list[float], bs: list[float], k: int = 50) -> DataFrame:
+def grid_params(spark, k1s: list[float], bs: list[float]) -> DataFrame:
+    """k1, b: len(k1s) * len(bs) rows."""
+    return spark.createDataFrame([(float(x), float(y)) for x in k1s for y in bs], "k1 double, b double")
+
+
+def grid(queries: DataFrame, passages: DataFrame, k1s: list[float], bs: list[float], k: int = 50, index: Index | None = None) -> DataFrame:
     """k1, b, qid, passage_id, score, rank: one retrieval per parameter pair from one shared join.
 
-    The parameter table has len(k1s) * len(bs) rows.
+    The sums per pair are taken side by side, as columns of one aggregate, so a match is shuffled once and not
+    once a pair.
     """
-    spark = queries.sparkSession
-    params = spark.createDataFrame([(float(x), float(y)) for x in k1s for y in bs], "k1 double, b double")
-    c = F.col
-    weighed = matches(queries, passages).crossJoin(F.broadcast(params))
-    scored = weighed.groupBy("k1", "b", "qid", "passage_id").agg(F.round(F.sum(bm25_weight(c("tf"), c("qtf"), c("df"), c("dl"), c("n"), c("avgdl"), c("k1"), c("b"))), 6).alias("score"))
+    found = matches(queries, passages) if index is None else index_matches(queries, index)
+    pairs = [(float(x), float(y)) for x in k1s for y in bs]
+    sums = [F.round(F.sum(weight_of("bm25", F.lit(x), F.lit(y))), 6).alias(f"_{i}") for i, (x, y) in enumerate(pairs)]
+    wide = found.groupBy("qid", "passage_id").agg(*sums)
+    scored = wide.select("qid", "passage_id", F.explode(F.array(*(F.struct(F.lit(x).alias("k1"), F.lit(y).alias("b"), F.col(f"_{i}").alias("score")) for i, (x, y) in enumerate(pairs)))).alias("g")).select("g.k1", "g.b", "qid", "passage_id", "g.score")
     return top_k(scored.withColumn("_q", F.struct("k1", "b", "qid")), k, by="_q").drop("_q")
 
 

@@ -33,10 +33,14 @@ def query(sql: str | None = None):
 
 
 def queries() -> dict[str, Query]:
+    from sextant.plans import files  # noqa: F401  registers its queries
+
     return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
+    from sextant.plans import files  # noqa: F401
+
     return dict(_SQL)
 
 
@@ -170,7 +174,7 @@ SELECT k1, b, {', '.join(f'avg((coalesce(first, 1000000) <= {k})::INT) AS recall
 def bm25_grid_recall(spark, d):
     hits = sparse.grid(questions(spark, d), passages(spark, d), K1S, BS, 50)
     gold = questions(spark, d).select("qid", F.array("question").alias("answers"))
-    return metrics.recall_at(hits, gold, passages(spark, d), [1, 5, 10, 50], by=["k1", "b"])
+    return metrics.recall_at(hits, gold, passages(spark, d), [1, 5, 10, 50], sparse.grid_params(spark, K1S, BS))
 
 
 @query(f"{_BM25}, top AS ({_ranked(50)}) SELECT qid, rank, passage_id AS id, d.source AS title, length(d.text) AS n_chars, score AS sparse_score FROM top JOIN documents d ON d.doc_id = passage_id")
@@ -214,9 +218,13 @@ def dense_topk_padded(spark, d):
     return dense.padded_slots(dense.dense_topk(q, index(spark, d), 10), q, 15)
 
 
-@query()
+# Which rows approximate search finds is not for SQL to say; that it finds nine tenths of the exact ones is.
+@query(f"{_dense(10)} SELECT count(DISTINCT qid) AS n_queries, count(*) AS n_exact, true AS enough FROM top")
 def dense_topk_ivf(spark, d):
-    return dense.dense_topk_cells(vector_queries(spark, d), index(spark, d), 10)
+    exact = dense.dense_topk(vector_queries(spark, d), index(spark, d), 10).select("qid", "passage_id")
+    near = dense.dense_topk_cells(vector_queries(spark, d), index(spark, d), 10).select("qid", "passage_id", F.lit(1).alias("hit"))
+    both = exact.join(near, ["qid", "passage_id"], "left")
+    return both.agg(F.count_distinct("qid").alias("n_queries"), F.count("*").alias("n_exact"), (F.sum("hit") >= 0.9 * F.count("*")).alias("enough"))
 
 
 _RRF = f"""{_BM25}, sp AS ({_ranked(50)}), vq AS ({_QVEC}),
@@ -300,7 +308,7 @@ def snippets(spark, d):
 @query(f"{_BM25}, top AS ({_ranked(5)}) SELECT qid, string_agg(d.source, ' | ' ORDER BY rank) AS titles FROM top JOIN documents d ON d.doc_id = passage_id WHERE d.source <> '' GROUP BY qid")
 def title_list(spark, d):
     hits = sparse.sparse_topk(questions(spark, d), passages(spark, d), 5).join(passages(spark, d).select("passage_id", "title"), "passage_id").filter("title <> ''")
-    return hits.groupBy("qid").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", "title"))), lambda s: s["title"]), " | ").alias("titles"))
+    return hits.groupBy("qid").agg(T.joined_titles(F.collect_list(F.struct("rank", "title"))).alias("titles"))
 
 
 _PAD = f"WITH t AS (SELECT item_id AS qid, list_transform({_TOKENS.format('text')}, lambda x: length(x)) AS l FROM benchmark), p AS (SELECT qid, l[1:64] || list_transform(range(greatest(0, 64 - len(l))), lambda x: 0) AS ids FROM t)"
@@ -314,12 +322,12 @@ def pad_truncate_mask(spark, d):
     return rows.select("qid", F.size("ids").cast("bigint").alias("n"), total(F.col("ids")).alias("total"), total(T.attention_mask(F.col("ids"), zero)).alias("attended"), total(T.masked_labels(F.col("ids"), zero)).alias("labels"))
 
 
-# Candidates stand in for generated answers: the document's first three tokens, scored by the id.
-_CAND = f"array_to_string({_TOKENS.format('d.text')}[1:3], ' ')"
+# Candidates stand in for generated answers: the document's whole text, by its hash, scored by the id.
+_CAND = "md5(d.text)"
 
 
 def _candidates(hits: DataFrame, p: DataFrame) -> DataFrame:
-    return hits.join(p.select("passage_id", F.array_join(F.slice(T.tokens(F.col("text")), 1, 3), " ").alias("answer")), "passage_id").withColumn("sequence_score", -(F.col("passage_id") % 11) / 10.0)
+    return hits.join(p.select("passage_id", F.md5("text").alias("answer")), "passage_id").withColumn("sequence_score", -(F.col("passage_id") % 11) / 10.0)
 
 
 @query(f"""{_dense(10)}, x AS (SELECT * FROM top), p AS (SELECT qid, passage_id, rank, score - mx - ln(sum(exp(score - mx)) OVER (PARTITION BY qid)) AS logp FROM (SELECT *, max(score) OVER (PARTITION BY qid) AS mx FROM x)),
@@ -420,8 +428,7 @@ bo AS (SELECT dr.pipeline, dr.iteration, avg(f1) AS f1, avg(em) AS em FROM dr JO
 
 def _boot(spark, d):
     scored = _scored(spark, d)
-    # Positions by a running count over all pairs: the evaluation set, one narrow row a question.
-    place = scored.select("f1", "em", (F.row_number().over(Window.orderBy("conv_id", "turn")) - 1).cast("bigint").alias("pos"))
+    place = resample.positions(scored, "conv_id", "turn").select("f1", "em", "pos")
     both = place.withColumn("pipeline", F.lit("plain")).unionByName(place.withColumn("f1", F.col("f1") / 2).withColumn("pipeline", F.lit("half")))
     return resample.bootstrap(both)
 
@@ -451,8 +458,8 @@ def sample_without_replacement(spark, d):
 def _examples(spark, d):
     """Questions with contexts out of the BM25 list: rank 1 and 4 as positives, 1, 2, 2, 3 and 5 as hard negatives."""
     hits = sparse.sparse_topk(questions(spark, d), passages(spark, d), 5)
-    ctx = F.struct(F.col("passage_id").cast("string").alias("passage_id"), F.col("passage_id").cast("string").alias("id"), F.concat(F.lit("t"), F.col("passage_id").cast("string")).alias("text"), F.col("score"))
-    per = hits.groupBy("qid").agg(F.map_from_entries(F.collect_list(F.struct("rank", ctx.alias("c")))).alias("m"))
+    ctx = F.struct(F.col("passage_id").cast("string").alias("passage_id"), F.col("passage_id").cast("string").alias("id"), F.col("text"), F.col("score"))
+    per = hits.join(passages(spark, d).select("passage_id", "text"), "passage_id").groupBy("qid").agg(F.map_from_entries(F.collect_list(F.struct("rank", ctx.alias("c")))).alias("m"))
     of = lambda *r: F.filter(F.array(*(F.try_element_at("m", F.lit(i)) for i in r)), lambda c: c.isNotNull())
     return per.join(questions(spark, d), "qid").select("qid", "question", F.array("question").alias("answers"), of(1, 4).alias("positive_ctxs"), of(1, 2, 2, 3, 5).alias("hard_negative_ctxs"), of(2, 3, 5).alias("negative_ctxs"))
 
@@ -460,14 +467,14 @@ def _examples(spark, d):
 _H = f"{_BM25}, top AS ({_ranked(5)}), c AS (SELECT qid, max(CASE WHEN rank = 1 THEN passage_id END) AS p1, max(CASE WHEN rank = 2 THEN passage_id END) AS p2, max(CASE WHEN rank = 3 THEN passage_id END) AS p3, max(CASE WHEN rank = 4 THEN passage_id END) AS p4, max(CASE WHEN rank = 5 THEN passage_id END) AS p5 FROM top GROUP BY 1)"
 
 
-@query(f"{_H} SELECT 'query: ' || b.text AS query, 'passage: t' || p1 AS positive, concat_ws('|', 'passage: t' || p2, 'passage: t' || p3, 'passage: t' || p4) AS negatives, b.text AS answer FROM c JOIN benchmark b ON item_id = qid")
+@query(f"{_H} SELECT 'query: ' || b.text AS query, md5('passage: ' || a.text) AS positive, md5(concat_ws('|', 'passage: ' || x.text, 'passage: ' || y.text, 'passage: ' || z.text)) AS negatives, b.text AS answer FROM c JOIN benchmark b ON item_id = qid JOIN documents a ON a.doc_id = p1 LEFT JOIN documents x ON x.doc_id = p2 LEFT JOIN documents y ON y.doc_id = p3 LEFT JOIN documents z ON z.doc_id = p4")
 def train_triples(spark, d):
-    return trainset.triples(_examples(spark, d)).withColumn("negatives", F.array_join("negatives", "|"))
+    return trainset.triples(_examples(spark, d)).withColumn("negatives", F.md5(F.array_join("negatives", "|"))).withColumn("positive", F.md5("positive"))
 
 
-@query(f"{_H} SELECT qid, unnest([p1, p2, p3, p5]) AS candidate_id, unnest([true, false, false, false]) AS is_gold FROM c")
+@query(f"{_H}, u AS (SELECT qid, unnest([p1, p2, p3, p5]) AS candidate_id, unnest([true, false, false, false]) AS is_gold FROM c) SELECT u.*, md5(d.text) AS text FROM u JOIN documents d ON d.doc_id = candidate_id")
 def mrr_candidates(spark, d):
-    return trainset.ranking_candidates(_examples(spark, d)).select("qid", F.col("candidate_id").cast("bigint").alias("candidate_id"), "is_gold")
+    return trainset.ranking_candidates(_examples(spark, d)).select("qid", F.col("candidate_id").cast("bigint").alias("candidate_id"), "is_gold", F.md5("text").alias("text"))
 
 
 @query("WITH t AS (SELECT conv_id, turn, role, text, lead(text) OVER w AS nx, lead(role) OVER w AS nr FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn)) SELECT 'question: ' || text || '  context: ' || nx AS prompt, nx AS target FROM t WHERE role = 'user' AND nr = 'assistant'")
@@ -487,10 +494,17 @@ def contrastive_loss(spark, d):
     return metrics.in_batch_contrastive(sims).select("batch", F.round("loss", 6).alias("loss"))
 
 
-@query("WITH e AS (SELECT source AS epoch, avg(n_chars) AS f1 FROM documents GROUP BY 1), w AS (SELECT *, max(f1) OVER (ORDER BY epoch ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS p FROM e) SELECT epoch, round(f1, 6) AS f1, coalesce(f1 > p, true) AS improved, round(greatest(f1, p), 6) AS best_so_far FROM w")
+# A turn stands in for an epoch: its mean F1 is what training would have reached.
+_EPOCHS = f"{_PAIRS}, {_f1(True)}, e AS (SELECT turn AS epoch, round(avg(f1), 9) AS f1 FROM sc GROUP BY 1)"
+
+
+def _epochs(spark, d):
+    return _scored(spark, d).groupBy(F.col("turn").alias("epoch")).agg(F.round(F.avg("f1"), 9).alias("f1"))
+
+
+@query(f"{_EPOCHS}, w AS (SELECT *, max(f1) OVER (ORDER BY epoch ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS p FROM e) SELECT epoch, round(f1, 6) AS f1, coalesce(f1 > p, true) AS improved, round(greatest(f1, p), 6) AS best_so_far FROM w")
 def best_epoch(spark, d):
-    epochs = table(spark, d, "documents").groupBy(F.col("source").alias("epoch")).agg(F.avg("n_chars").alias("f1"))
-    return metrics.best_epoch(epochs).select("epoch", F.round("f1", 6).alias("f1"), "improved", F.round("best_so_far", 6).alias("best_so_far"))
+    return metrics.best_epoch(_epochs(spark, d)).select("epoch", F.round("f1", 6).alias("f1"), "improved", F.round("best_so_far", 6).alias("best_so_far"))
 
 
 @query("SELECT doc_id, 'chunk:' || CASE WHEN length(text) > 239 THEN sha256(text) ELSE text END AS term FROM documents")
@@ -498,11 +512,10 @@ def term_key_hash(spark, d):
     return table(spark, d, "documents").select("doc_id", T.term_key(F.col("text")).alias("term"))
 
 
-@query(f"""{_dense(10)}, r AS (SELECT qid, string_agg({_CAND}, ' ' ORDER BY rank) AS context FROM top JOIN documents d ON d.doc_id = passage_id WHERE rank <= 3 GROUP BY 1) SELECT * FROM r""")
+@query(f"""{_dense(10)}, p AS (SELECT qid, d.text, row_number() OVER (PARTITION BY qid ORDER BY rank) AS r FROM top JOIN documents d ON d.doc_id = passage_id), r AS (SELECT qid, md5(string_agg(text, ' ' ORDER BY r)) AS context FROM p WHERE r <= 3 GROUP BY 1) SELECT * FROM r""")
 def rerank_pool(spark, d):
-    pool = dense.dense_topk(vector_queries(spark, d), index(spark, d), 10).withColumnRenamed("rank", "pos").filter("pos <= 3")
-    texts = passages(spark, d).select("passage_id", F.array_join(F.slice(T.tokens(F.col("text")), 1, 3), " ").alias("text"))
-    return dense.rerank_pool(pool.join(texts, "passage_id"), 3)
+    pool = dense.dense_topk(vector_queries(spark, d), index(spark, d), 10).withColumnRenamed("rank", "pos")
+    return dense.rerank_pool(pool.join(passages(spark, d).select("passage_id", "text"), "passage_id"), 3).withColumn("context", F.md5("context"))
 
 
 _CODE = r"""c AS (SELECT id, ('0x' || substr(md5(t), 1, 8))::BIGINT % 64 AS i, count(*) AS n FROM (SELECT {0} AS id, unnest({1}) AS t FROM {2}) GROUP BY 1, 2)"""

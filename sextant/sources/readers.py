@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -34,12 +37,16 @@ def row_estimate(spark: SparkSession, path: str, chunk: int) -> tuple[int, int]:
     return n, -(-n // chunk)
 
 
-def _json_root(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """_pos and the fields of the records of a file whose root is a list or an object with ``data``."""
+def _json_root(spark: SparkSession, path: str, schema: str, roots: str = "[{") -> DataFrame:
+    """_pos and the fields of the records of a file whose root is a list or an object with ``data``; ``roots`` names the allowed ones.
+
+    A JSON document has no line that a second task could start at: a file is one row of one task, 2 GB at most.
+    Larger sets come as JSON lines or as many files.
+    """
     whole = spark.read.text(path, wholetext=True).select(F.trim("value").alias("v"))
     kind = {r[0] for r in whole.select(F.substring("v", 1, 1)).distinct().collect()}
-    if not kind <= {"[", "{"}:
-        raise ValueError(f"neither a list nor an object: {path}")
+    if not kind <= set(roots):
+        raise ValueError(f"neither a list nor an object, or not the one asked for: {path}")
     as_list = f"array<struct<{', '.join(f.replace(' ', ':', 1) for f in _fields(schema))}>>"
     if kind == {"{"}:
         if whole.filter(F.get_json_object("v", "$.data").isNull()).head(1):
@@ -66,6 +73,11 @@ def questions_json(spark: SparkSession, path: str, limit: int | None = None) ->
     return rows.limit(limit) if limit and limit > 0 else rows
 
 
+def grid_questions(spark: SparkSession, path: str) -> DataFrame:
+    """Questions with an answer, all answers kept, of a file whose root is an object with ``data``; a list is an error."""
+    return answered_questions(_json_root(spark, path, schemas.QA, roots="{"))
+
+
 def answered_questions(rows: DataFrame) -> DataFrame:
     """Rows with a question and at least one answer."""
     return rows.filter((F.coalesce(F.length("question"), F.lit(0)) > 0) & (F.coalesce(F.size("short_answers"), F.lit(0)) > 0))
@@ -87,6 +99,7 @@ def question_rows(qa: DataFrame, sparse: DataFrame | None = None, prefix: str =
 
 
 def bi_encoder_examples(spark: SparkSession, path: str) -> DataFrame:
+    """question, answers and the three lists of contexts, in file order by _pos."""
     return _json_root(spark, path, schemas.BI_ENCODER)
 
 
@@ -122,6 +135,29 @@ def vectors_parquet(spark: SparkSession, path: str, dim: int, id_: str = "passag
     return spark.read.parquet(path).select(F.col(id_).alias("passage_id"), width.alias("embedding"))
 
 
+def inverted_index(spark: SparkSession, path: str):
+    """The ``Index`` that ``sinks.inverted_index`` wrote."""
+    from sextant.operators.sparse import Index
+
+    corpus = spark.read.parquet(f"{path}/corpus")
+    return Index(spark.read.parquet(f"{path}/postings"), spark.read.parquet(f"{path}/doc_stats"), corpus.select("n", "avgdl"), bool(corpus.first()["stem"]))
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new folder for tables that live as long as the application, in the folder that ``spark.checkpoint.dir`` names.
+
+    Where it is unset a local master gets one of its own; a cluster is an error.
+    """
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if folder is None:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the whole cluster shares")
+        folder = tempfile.gettempdir()
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{folder}/sextant-{name}-{uuid.uuid4().hex}")
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(path)
+    return path.toString()
+
+
 def catalog(entries: DataFrame, name: str) -> DataFrame:
     """The entries of a resource table (key, url, extension, compressed, description) of that key, else of that prefix."""
     exact = entries.filter(F.col("key") == name)
@@ -131,3 +167,8 @@ def catalog(entries: DataFrame, name: str) -> DataFrame:
 def resource_path(key: str, extension: str, folder: str) -> str:
     """Where a resource belongs: dots of its key are folders."""
     return "/".join([folder.rstrip("/"), *key.split(".")]) + extension
+
+
+def resource_paths(entries: DataFrame, folder: str) -> DataFrame:
+    """Adds path: where each resource (key, extension) belongs."""
+    return entries.withColumn("path", F.concat(F.lit(folder.rstrip("/") + "/"), F.replace("key", F.lit("."), F.lit("/")), F.coalesce("extension", F.lit(""))))

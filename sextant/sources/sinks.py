@@ -16,10 +16,26 @@ def vectors_parquet(index: DataFrame, path: str, partition: str | None = None) -
     (w.partitionBy(partition) if partition else w).parquet(path)
 
 
-def inverted_index(postings: DataFrame, doc_stats: DataFrame, path: str, parts: int = 16) -> None:
-    """Postings dealt by term and sorted, and the document lengths: a term's rows lie in one file's range."""
-    postings.repartition(parts, "term").sortWithinPartitions("term", "passage_id").write.mode("overwrite").parquet(f"{path}/postings")
-    doc_stats.write.mode("overwrite").parquet(f"{path}/doc_stats")
+def inverted_index(index, path: str, parts: int = 16) -> None:
+    """The tables of an ``Index``: postings dealt by term and sorted, so that a term's rows lie in one file's range."""
+    index.postings.repartition(parts, "term").sortWithinPartitions("term", "passage_id").write.mode("overwrite").parquet(f"{path}/postings")
+    index.doc_stats.write.mode("overwrite").parquet(f"{path}/doc_stats")
+    spark = index.postings.sparkSession
+    total = spark.read.parquet(f"{path}/doc_stats").agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
+    total.withColumn("stem", F.lit(index.stem)).write.mode("overwrite").parquet(f"{path}/corpus")
+
+
+def passages_tsv(passages: DataFrame, path: str) -> None:
+    """id, text, title with a header, tabs between, quoted; line ends inside a field become spaces."""
+    flat = [F.regexp_replace(c, r"[\r\n]+", " ").alias(c) for c in ("text", "title")]
+    passages.select(F.col("passage_id").alias("id"), *flat).write.mode("overwrite").csv(path, sep="\t", header=True, quote='"', escape='"', quoteAll=True)
+
+
+def best_score_json(epochs: DataFrame, path: str, metric: str = "f1") -> None:
+    """best_f1_score and epoch of the first epoch with the best score: one line, replaced as a whole."""
+    best = epochs.groupBy().agg(F.max(metric).alias("best_f1_score"))  # one row
+    first = epochs.join(F.broadcast(best), F.col(metric) == F.col("best_f1_score")).groupBy("best_f1_score").agg(F.min("epoch").alias("epoch"))
+    first.write.mode("overwrite").json(path)
 
 
 def sparse_results_jsonl(results: DataFrame, path: str) -> None:

@@ -27,3 +27,12 @@ def term_counts(stream: DataFrame, text: str, ts: str, window: str = "10 minutes
     """Terms per event-time window, late rows up to ``late`` included."""
     timed = stream.withColumn("_ts", F.col(ts).cast("timestamp")).withWatermark("_ts", late)
     return timed.select("_ts", F.explode(terms(F.col(text))).alias("term")).groupBy(F.window("_ts", window), "term").agg(F.count("*").alias("n"))
+
+
+def upsert(counts: DataFrame, path: str, checkpoint: str):
+    """Write a streaming aggregate in complete mode: each micro-batch replaces the table, so a batch run again changes nothing."""
+
+    def write(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(path)
+
+    return counts.writeStream.outputMode("complete").foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

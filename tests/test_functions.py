@@ -135,3 +135,31 @@ def test_vectors(spark):
     assert got[1] == pytest.approx([0.6, 0.8]) and got[2] == [0.0, 0.0]
     steps = spark.range(0, 11).select(V.warmup_linear(F.col("id"), 10, 0.2).alias("x")).collect()
     assert [round(r["x"], 3) for r in steps][:3] == [0.0, 0.5, 1.0] and steps[-1]["x"] == 0.0
+
+
+def test_vectors_of_unlike_widths_never_meet(spark):
+    rows = spark.createDataFrame([(1, [1.0, 0.0, 0.0, 0.0]), (2, [1.0, 0.0]), (3, [0.0, 1.0, 0.0]), (4, [1.0, None, 0.0]), (None, [1.0, 0.0, 0.0])], "passage_id long, embedding array<float>").coalesce(1)
+    asked = spark.createDataFrame([(9, [0.0, 2.0, 0.0])], "qid long, embedding array<float>")
+    assert [(r["passage_id"], r["score"]) for r in dense.dense_topk(asked, rows, 5).collect()] == [(3, 2.0)]
+    assert [(r["passage_id"], r["score"]) for r in dense.dense_topk(asked, rows, 5, normalize=True).collect()] == [(3, 1.0)]
+
+
+def test_cells_of_no_rows(spark):
+    none = spark.createDataFrame([], "passage_id long, embedding array<float>")
+    asked = spark.createDataFrame([(9, [0.0, 2.0, 0.0])], "qid long, embedding array<float>")
+    assert dense.dense_topk_cells(asked, none, 5).count() == 0
+
+
+def test_overlap_of_long_texts(spark):
+    a, b = " ".join(f"w{i % 300}" for i in range(4000)), " ".join(f"w{i % 200}" for i in range(3000))
+    ca, cb = ({f"w{i}": n // m + (i < n % m) for i in range(m)} for n, m in ((4000, 300), (3000, 200)))
+    same = sum(min(ca[k], cb.get(k, 0)) for k in ca)
+    assert one(spark, T.token_f1(F.col("x"), F.col("y"), normalize=False), x=a, y=b) == pytest.approx(2 * same / 7000)
+
+
+def test_positions_and_collation(spark):
+    rows = spark.createDataFrame([(i, i % 3, [str(i)], f"t{i}") for i in range(50)], "id long, b long, l array<string>, t string").repartition(5)
+    got = resample.positions(rows, "id").collect()
+    assert all(r["pos"] == r["id"] for r in got)
+    one_ = {r["b"]: (r["l"], r["t"]) for r in resample.collated(rows, "b", "id", "l", "t").collect()}
+    assert one_[0][0] == [str(i) for i in range(0, 50, 3)] and one_[2][1][0] == "t2"

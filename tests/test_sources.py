@@ -73,8 +73,12 @@ def test_sinks_and_stream(spark, tmp_path):
     rows = spark.createDataFrame([(1, "red cat red", "t"), (2, "blue", "u")], "passage_id long, text string, title string")
     sinks.metadata_jsonl(rows, f"{tmp_path}/meta")
     assert readers.metadata_jsonl(spark, f"{tmp_path}/meta").count() == 2
-    sinks.inverted_index(sparse.postings(rows), sparse.doc_stats(rows), f"{tmp_path}/index", 2)
-    assert spark.read.parquet(f"{tmp_path}/index/postings").count() == 3
+    sinks.inverted_index(sparse.build_index(rows), f"{tmp_path}/index", 2)
+    stored = readers.inverted_index(spark, f"{tmp_path}/index")
+    assert stored.postings.count() == 3 and not stored.stem
+    asked = spark.createDataFrame([(1, "Cats! red")], "qid long, question string")
+    assert [r["passage_id"] for r in sparse.search_index(asked, stored, 5).collect()] == [1]
+    assert [tuple(r)[:3] for r in sparse.search_index(asked, sparse.build_index(rows, stem=True), 5).collect()] == [tuple(r)[:3] for r in sparse.search_index(asked.selectExpr("qid", "'cat red' AS question"), stored, 5).collect()]
     assert sinks.console_rows(spark.createDataFrame([("a", 0.5)], "k string, v double")).first()["line"] == "a\t0.5000"
     rows.write.parquet(f"{tmp_path}/in")
     stream = spark.readStream.schema(rows.schema).parquet(f"{tmp_path}/in")
