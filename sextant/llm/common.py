@@ -69,7 +69,7 @@ def cut(df: DataFrame) -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{scratch(spark)}/sextant-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("parquet.block.size", str(ROW_GROUP)).parquet(path)
     jvm = spark.sparkContext._jvm
     target = jvm.org.apache.hadoop.fs.Path(path)
     target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(target)
@@ -86,6 +86,8 @@ def let_go(*frames: DataFrame) -> None:
                 path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+#: Bytes that a writer of a scratch table holds before it flushes.
+ROW_GROUP = 16 << 20
 #: Rows of two or three numbers, some 25 MB as a hash table, up to which a side is broadcast.
 BROADCAST_ROWS = 1 << 18
 
