@@ -29,9 +29,9 @@ from sextant.llm.common import load, nested, settle, unnested
 MODEL = "piece_bpe_32k.model"
 SPACE = "▁"
 #: Memory for paths and for grammar arcs that one Python worker remembers.
-PATH_BYTES, END_BYTES, ARC_BYTES = 112 << 20, 32 << 20, 24 << 20
+PATH_BYTES, END_BYTES, ARC_BYTES = 144 << 20, 48 << 20, 64 << 20
 #: Characters of a stretch whose states are remembered; longer ones are searched on their own.
-SHORT = 48
+SHORT = 64
 _STRETCH = re.compile(SPACE + "+[^" + SPACE + "]*|[^" + SPACE + "]+")
 
 
