@@ -231,19 +231,24 @@ class Transducer:
     def path(self, stretch: str) -> tuple[int, ...]:
         """The shortest path of a short stretch, from remembered states: the one finite path to a state depends on the
         characters up to it alone, so words that begin alike share their states. A state is the last piece, or -1 after bytes."""
-        ends, arcs, size, n = self.ends, self.arcs, self.size, len(stretch)
+        ends, arcs, size, back, n = self.ends, self.arcs, self.size, self.back, len(stretch)
+        if ends.held > ends.most:
+            ends.room(0)
         known = n
         while known and stretch[:known] not in ends:
             known -= 1
-        if known < n:
-            ends.room((n - known) * 200)
-            known = next((k for k in range(known, 0, -1) if stretch[:k] in ends), 0)
+        ends.held += (n - known) * 200
+        states: list = [None] * (n + 1)  # those of this stretch that were asked for
+        states[0] = -1
         for j in range(known + 1, n + 1):
-            node, i, last = self.back.get(stretch[j - 1]), j - 1, -1
+            i, last = j - 1, -1
+            node = back.get(stretch[i])
             while node is not None:
                 q = node[1]
                 if q is not None:
-                    before = ends[stretch[:i]] if i else -1
+                    before = states[i]
+                    if before is None:
+                        before = states[i] = ends[stretch[:i]]
                     if before < 0:
                         ok = self.whole(q)
                     else:
@@ -257,10 +262,12 @@ class Transducer:
                     break
                 i -= 1
                 node = node[0].get(stretch[i])
-            ends[stretch[:j]] = last
+            states[j] = ends[stretch[:j]] = last
         out: list[int] = []
         while n:
-            last = ends[stretch[:n]]
+            last = states[n]
+            if last is None:
+                last = ends[stretch[:n]]
             if last < 0:
                 out.extend(self.byte_ids[b] for b in reversed(stretch[n - 1].encode("utf-8", "surrogatepass")))
                 n -= 1
