@@ -45,8 +45,9 @@ class Index:
 
 
 def stems_of(post: DataFrame, by: str, count: str) -> DataFrame:
-    """Counts by term as counts by English stem."""
-    return post.withColumn("_s", stemmed("term")).groupBy(F.col("_s").alias("term"), by).agg(F.sum(count).alias(count))
+    """Counts by term as counts by English stem; each distinct term is stemmed once."""
+    stems = post.select("term").distinct().withColumn("_s", stemmed("term"))
+    return post.join(stems, "term").groupBy(F.col("_s").alias("term"), by).agg(F.sum(count).alias(count))
 
 
 def build_index(passages: DataFrame, stem: bool = False) -> Index:
