@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sextant.llm import image_copies, language_id, line_dedup, mixing, near_dedup, pieces, quality_classifier, quality_rules, repeats, token_files
+from sextant.llm import image_copies, language_id, line_dedup, mixing, near_dedup, negatives, pieces, quality_classifier, quality_rules, repeats, simhash, token_files, whitening
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -21,8 +21,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_image_copies": image_copies.op8_image_copies,
         "op9_token_files": token_files.op9_token_files,
         "op10_pieces": pieces.op10_pieces,
+        "op11_whitening": whitening.op11_whitening,
+        "op12_simhash": simhash.op12_simhash,
+        "op13_hard_negatives": negatives.op13_hard_negatives,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_near_dedup": near_dedup.ORACLE, "op6_line_dedup": line_dedup.ORACLE, "op7_repeats": repeats.ORACLE}
+    return {"op4_near_dedup": near_dedup.ORACLE, "op6_line_dedup": line_dedup.ORACLE, "op7_repeats": repeats.ORACLE, "op13_hard_negatives": negatives.ORACLE}
