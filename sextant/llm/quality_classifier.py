@@ -4,8 +4,9 @@ Two views of a document: its text (hashed words and character-shape trigrams) an
 (source, language and the length its table states), which says nothing that the text view reads. A
 logistic model per view is fitted on the labelled sample; in each round either view scores all other
 documents on the executors, and those that it is surest of, for and against, go to the other one as
-pseudo-labels. A logistic combination, fitted on labelled rows that neither view has seen, calibrates both
-into one probability. One head learns ``quality``, another ``toxic``; a row with one label trains one.
+pseudo-labels; a view that they would make worse on labelled rows kept apart leaves them. A logistic
+combination, fitted on the rows kept apart, calibrates both views into one probability. One head learns
+``quality``, another ``toxic``; a row with one label trains one.
 
 Only the labelled sample and the pseudo-labels reach the driver, both bounded by documented parameters;
 features are taken once from every whole text and written to the shared folder.
@@ -28,6 +29,8 @@ from sextant.llm.subwords import subword_counts
 WORD_BUCKETS, SHAPE_BUCKETS, META_BUCKETS = 1 << 18, 1 << 12, 1 << 12
 #: Bounds: labelled rows a head, by smallest hash; pseudo-labels that a view gives in one round; rounds.
 LABELLED, PSEUDO, ROUNDS = 4800, 80, 3
+#: Share of a view's labelled rows at either end of its scores beyond which it is sure.
+SURE = 0.05
 TASKS = ("quality", "toxic")
 VIEWS = ("text", "meta")
 _SIZES = (WORD_BUCKETS + SHAPE_BUCKETS, META_BUCKETS)
@@ -138,6 +141,7 @@ class Trainer:
     apart: list[Rows]
     apart_labels: np.ndarray
     share: float
+    known: int  # labelled rows at the head of ``rows``; pseudo-labels follow
     models: list[Model] = field(default_factory=list)
 
     @classmethod
@@ -145,28 +149,81 @@ class Trainer:
         apart = np.arange(len(y)) % 4 == 3
         fit, held = np.flatnonzero(~apart), np.flatnonzero(apart)
         known = y[fit].astype(float).tolist()
-        out = cls([[v[i] for i in fit] for v in views], [list(known), list(known)], [[v[i] for i in held] for v in views], y[held].astype(float), float(np.mean(known)) if known else 0.0)
+        out = cls([[v[i] for i in fit] for v in views], [list(known), list(known)], [[v[i] for i in held] for v in views], y[held].astype(float), float(np.mean(known)) if known else 0.0, len(fit))
         out.fit()
         return out
 
     def fit(self) -> None:
         self.models = [logistic(self.rows[k], np.array(self.labels[k]), _SIZES[k]) for k in (0, 1)]
 
+    def _apart_loss(self, k: int, model: Model) -> float:
+        z = logits(self.apart[k], *model)
+        return _loss(np.clip(z, -12, 12)[:, None], self.apart_labels, np.ones(1))
+
+    def learn(self, k: int, rows: Rows, labels: list[float]) -> bool:
+        """View k takes pseudo-labels of the other one, unless they raise its log loss on the rows kept apart."""
+        if not rows:
+            return False
+        new = logistic(self.rows[k] + rows, np.array(self.labels[k] + labels), _SIZES[k])
+        if self._apart_loss(k, new) > self._apart_loss(k, self.models[k]):
+            return False
+        self.rows[k], self.labels[k], self.models[k] = self.rows[k] + rows, self.labels[k] + labels, new
+        return True
+
+    def bars(self, k: int) -> tuple[float, float]:
+        """The logits of view k that a share SURE of the labelled rows is at or below, and at or above."""
+        z = np.concatenate((logits(self.rows[k][: self.known], *self.models[k]), logits(self.apart[k], *self.models[k])))
+        return (float(np.quantile(z, SURE)), float(np.quantile(z, 1 - SURE))) if len(z) else (0.0, 0.0)
+
     def head(self) -> Head:
         z = np.stack([logits(self.apart[k], *self.models[k]) for k in (0, 1)], 1) if len(self.apart_labels) else np.zeros((0, 2))
         return Head(self.models[0], self.models[1], _combine(z, self.apart_labels))
 
 
+_RIDGE = np.array([0.5, 0.5, 0.05])
+
+
+def _loss(x: np.ndarray, y: np.ndarray, w: np.ndarray) -> float:
+    """Log loss of a logistic combination, summed, without overflow."""
+    z = x @ w
+    return float((np.logaddexp(0, z) - y * z).sum())
+
+
 def _combine(z: np.ndarray, y: np.ndarray) -> tuple[float, float, float]:
-    """Newton steps for a ridge-bound logistic combination around equal weights of one."""
-    w = np.array([1.0, 1.0, 0.0])
+    """A ridge-bound logistic combination of both logits, its weights not negative.
+
+    Newton steps are halved until the penalised loss falls, as a full step overshoots where the logits are far
+    out. Either view alone, with a constant, is fitted the same way; the best of the three on the log loss is taken, so the
+    combination is no worse than the better view on the rows it is fitted on. One class only: both logits as they are.
+    """
     if not 0 < y.sum() < len(y):
         return 1.0, 1.0, 0.0
-    x, start = np.c_[np.clip(z, -12, 12), np.ones(len(z))], w.copy()
-    for _ in range(25):
-        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        w = w - np.linalg.solve(x.T @ (x * (p * (1 - p))[:, None]) + np.diag([0.5, 0.5, 0.05]), x.T @ (p - y) + np.array([0.5, 0.5, 0.05]) * (w - start))
-    return tuple(float(a) for a in (max(0.0, w[0]), max(0.0, w[1]), w[2]))
+    x = np.c_[np.clip(z, -12, 12), np.ones(len(z))]
+
+    def fitted(use: list[int]) -> np.ndarray:
+        start = np.array([1.0, 1.0, 0.0])[use]
+        w, part, ridge = start.copy(), x[:, use], _RIDGE[use]
+        cost = lambda v: _loss(part, y, v) + float((ridge * (v - start) ** 2).sum()) / 2
+        now = cost(w)
+        for _ in range(50):
+            p = 1 / (1 + np.exp(-np.clip(part @ w, -30, 30)))
+            step = np.linalg.solve(part.T @ (part * (p * (1 - p))[:, None]) + np.diag(ridge), part.T @ (p - y) + ridge * (w - start))
+            for _ in range(40):
+                if (new := cost(w - step)) < now:
+                    break
+                step = step / 2
+            else:
+                break
+            w, gain, now = w - step, now - new, new
+            if gain < 1e-9 * (1 + now):
+                break
+        out = np.zeros(3)
+        out[use] = w
+        return out
+
+    tried = [w for w in (fitted([0, 1, 2]), fitted([0, 2]), fitted([1, 2])) if (w[:2] >= 0).all()]
+    best = min(tried, key=lambda w: _loss(x, y, w), default=np.array([0.0, 0.0, np.log(y.mean() / (1 - y.mean()))]))
+    return tuple(float(a) for a in best)
 
 
 def labelled(feats: DataFrame, labels: DataFrame) -> tuple[dict[str, list], set[tuple]]:
@@ -198,8 +255,8 @@ def fetched(feats: DataFrame, ids: list[tuple[int, int]]) -> dict[tuple, tuple]:
 def _surest(feats: DataFrame, trainers: dict[str, Trainer], used: set[tuple]) -> list[tuple]:
     """(task, view, label, doc_id, h): for each the PSEUDO rows at most that the view is surest of, over all rows but the used ones.
 
-    Every row is scored on the executors and each of the eight lists is a distributed top-k. A row counts as sure beyond
-    odds of nine to one.
+    Every row is scored on the executors and each of the eight lists is a distributed top-k. A view is sure of a row beyond
+    the scores that all but SURE of its labelled rows have: each view by its own scale, so the weaker one teaches as well.
     """
     spark = feats.sparkSession
     names = [(t, k) for t in TASKS for k in (0, 1)]
@@ -216,8 +273,9 @@ def _surest(feats: DataFrame, trainers: dict[str, Trainer], used: set[tuple]) ->
     lists = []
     for t, k in names:
         up = min(PSEUDO - 1, max(1, round(PSEUDO * trainers[t].share)))
-        for label, z, n in ((1, F.col(f"{t}_{k}"), up), (0, -F.col(f"{t}_{k}"), PSEUDO - up)):
-            best = rows.filter(z > float(np.log(9))).orderBy(z.desc(), "doc_id", "h").limit(n)
+        low, high = trainers[t].bars(k)
+        for label, z, bar, n in ((1, F.col(f"{t}_{k}"), high, up), (0, -F.col(f"{t}_{k}"), -low, PSEUDO - up)):
+            best = rows.filter(z >= bar).orderBy(z.desc(), "doc_id", "h").limit(n)
             lists.append(best.select(F.lit(t).alias("task"), F.lit(k).alias("view"), F.lit(label).alias("label"), "doc_id", "h"))
     every = lists[0]
     for x in lists[1:]:
@@ -234,14 +292,13 @@ def fit(feats: DataFrame, labels: DataFrame) -> dict[str, Head]:
     for _ in range(ROUNDS if any(0 < x.share < 1 for x in trainers.values()) else 0):
         given = _surest(feats, trainers, used)
         views = fetched(feats, sorted({x[3:] for x in given}))
-        for t, k, label, *key in given:
-            if 0 < trainers[t].share < 1:
-                trainers[t].rows[1 - k].append(views[tuple(key)][1 - k])
-                trainers[t].labels[1 - k].append(float(label))
+        learned = False
+        for t, x in trainers.items():
+            for k in (0, 1) if 0 < x.share < 1 else ():
+                told = [(views[tuple(key)][k], float(label)) for task, giver, label, *key in given if (task, giver) == (t, 1 - k)]
+                learned |= x.learn(k, [v for v, _ in told], [y for _, y in told])
         used |= {x[3:] for x in given}
-        for x in trainers.values():
-            x.fit()
-        if not given:
+        if not learned:
             break
     return {t: x.head() for t, x in trainers.items()}
 
