@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from sextant.sources.readers import scratch
+
 
 def hashed_draw(*parts: Column) -> Column:
     """A whole number from 0 to 2^32 - 1, the same on every run."""
@@ -43,15 +45,21 @@ def shuffled(rows: DataFrame, id_: str, seed: int = 1) -> DataFrame:
 
 
 def positions(rows: DataFrame, *order: str) -> DataFrame:
-    """Adds pos: 0, 1, ... in order.
+    """Adds pos: 0, 1, ... in order; rows that tie are in some order.
 
-    Places are counted per range-partition and offset by the counts before, so no task sees all rows.
+    The rows are dealt by range and written once, each with its range and its place there, to the shared scratch; the counts
+    of the ranges before give the offset. Everything after the write reads what was written, so sampling, coalescing and
+    lost executors can't deal the rows twice in different ways, and no task sees all rows.
     """
-    parts = rows.repartitionByRange(*(F.col(c) for c in order)).withColumn("_p", F.spark_partition_id())
-    local = parts.withColumn("_r", F.row_number().over(Window.partitionBy("_p").orderBy(*order)))
-    counts = parts.groupBy("_p").agg(F.count("*").alias("_c"))
-    offset = counts.select(F.col("_p"), (F.sum("_c").over(Window.orderBy("_p")) - F.col("_c")).alias("_o"))  # one row a partition
-    return local.join(F.broadcast(offset), "_p").withColumn("pos", (F.col("_o") + F.col("_r") - 1).cast("bigint")).drop("_p", "_r", "_o")
+    path = scratch(rows.sparkSession, "positions")
+    dealt = rows.repartitionByRange(*(F.col(c) for c in order)).sortWithinPartitions(*order)
+    marked = dealt.withColumn("__at", F.monotonically_increasing_id())
+    marked.write.parquet(path)
+    written = rows.sparkSession.read.schema(marked.schema).parquet(path)
+    part, place = F.shiftright("__at", 33), F.col("__at").bitwiseAND(F.lit((1 << 33) - 1))
+    counts = written.groupBy(part.alias("__range")).agg(F.count("*").alias("__rows"))
+    offset = counts.select("__range", (F.sum("__rows").over(Window.orderBy("__range")) - F.col("__rows")).alias("__before"))  # one row a range
+    return written.join(F.broadcast(offset), part == F.col("__range")).withColumn("pos", (F.col("__before") + place).cast("bigint")).drop("__range", "__before", "__at")
 
 
 def batches(rows: DataFrame, order: str, size: int) -> DataFrame:

@@ -32,8 +32,9 @@ def rejected_passages(spark: SparkSession, path: str) -> DataFrame:
 
 
 def row_estimate(spark: SparkSession, path: str, chunk: int) -> tuple[int, int]:
-    """Rows after the header and the chunks they make."""
-    n = max(0, spark.read.text(path).count() - 1)
+    """Lines after the header of each file, and the chunks they make."""
+    per = spark.read.text(path).groupBy(F.col("_metadata.file_path")).agg(F.count("*").alias("c"))
+    n = per.agg(F.coalesce(F.sum(F.col("c") - 1), F.lit(0))).first()[0]
     return n, -(-n // chunk)
 
 
@@ -104,9 +105,13 @@ def bi_encoder_examples(spark: SparkSession, path: str) -> DataFrame:
 
 
 def _json_lines(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """Well-formed lines with _line, an order that follows files and lines."""
+    """Well-formed lines with _line, an order that follows the names of the files and the lines of each.
+
+    A task reads a stretch of a file in order, so its rows' numbers ascend within the stretch, wherever it ran.
+    """
     raw = spark.read.schema(f"{schema}, _bad string").option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_bad").json(path)
-    return raw.withColumn("_line", F.monotonically_increasing_id()).filter("_bad IS NULL").drop("_bad")
+    place = F.struct("_metadata.file_path", "_metadata.file_block_start", F.monotonically_increasing_id().alias("n"))
+    return raw.withColumn("_line", place).filter("_bad IS NULL").drop("_bad")
 
 
 def metadata_jsonl(spark: SparkSession, path: str) -> DataFrame:

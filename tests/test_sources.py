@@ -94,3 +94,19 @@ def test_sparse_search_ignores_titles(spark):
     assert [(r["qid"], r["passage_id"]) for r in got] == [(1, 2)]
     nested = {r["qid"]: len(r["sparse_retrieved_docs"]) for r in sparse.sparse_results(sparse.sparse_topk(q, p, 5), q, p).collect()}
     assert nested == {1: 1, 2: 0}
+
+
+def test_last_line_wins_across_files(spark, tmp_path):
+    (tmp_path / "m").mkdir()
+    old = [json.dumps({"id": str(i), "title": "old", "text": ""}) for i in range(50)]
+    new = [json.dumps({"id": str(i), "title": "new", "text": "x" * 5000}) for i in range(50)]
+    (tmp_path / "m" / "a.jsonl").write_text("\n".join(old))
+    (tmp_path / "m" / "b.jsonl").write_text("\n".join(new))  # the larger split is read first
+    assert {r["title"] for r in readers.metadata_jsonl(spark, str(tmp_path / "m")).collect()} == {"new"}
+
+
+def test_row_estimate_of_a_folder(spark, tmp_path):
+    (tmp_path / "t").mkdir()
+    for k, n in enumerate([40, 30, 20, 10]):
+        (tmp_path / "t" / f"{k}.tsv").write_text("id\ttext\ttitle\n" + "".join(f"{i}\tx\ty\n" for i in range(n)))
+    assert readers.row_estimate(spark, str(tmp_path / "t"), 30) == (100, 4)
