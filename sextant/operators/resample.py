@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from sextant.sources.readers import scratch
+from sextant.sources.readers import stored
 
 
 def hashed_draw(*parts: Column) -> Column:
@@ -51,11 +51,8 @@ def positions(rows: DataFrame, *order: str) -> DataFrame:
     of the ranges before give the offset. Everything after the write reads what was written, so sampling, coalescing and
     lost executors can't deal the rows twice in different ways, and no task sees all rows.
     """
-    path = scratch(rows.sparkSession, "positions")
     dealt = rows.repartitionByRange(*(F.col(c) for c in order)).sortWithinPartitions(*order)
-    marked = dealt.withColumn("__at", F.monotonically_increasing_id())
-    marked.write.parquet(path)
-    written = rows.sparkSession.read.schema(marked.schema).parquet(path)
+    written = stored(dealt.withColumn("__at", F.monotonically_increasing_id()), "positions")
     part, place = F.shiftright("__at", 33), F.col("__at").bitwiseAND(F.lit((1 << 33) - 1))
     counts = written.groupBy(part.alias("__range")).agg(F.count("*").alias("__rows"))
     offset = counts.select("__range", (F.sum("__rows").over(Window.orderBy("__range")) - F.col("__rows")).alias("__before"))  # one row a range

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from sextant.functions import stem
 from sextant.functions import text as T
 from sextant.functions import vector as V
-from sextant.operators import answer, dense, evaluate, fusion, metrics, resample, sparse, trainset
+from sextant.operators import answer, blocks, dense, evaluate, fusion, metrics, resample, sparse, trainset
 from sextant.plans import registry as R
 from sextant.plans.registry import index, passages, query, questions, table, vector_queries
 from sextant.sources import readers, sinks
@@ -49,6 +49,46 @@ def bm25_from_index(spark, d):
     return sparse.search_index(questions(spark, d), _stored(spark, d, False), 10)
 
 
+def _segments(spark: SparkSession, d: str, stemmed: bool = False) -> blocks.BlockIndex:
+    """The passages in three segments: a third each, and every fiftieth, which is there already, once more with its text."""
+    path, p = readers.scratch(spark, "blocks"), passages(spark, d)
+    third = F.col("passage_id") % 3
+    blocks.add(p.filter(third == 0).withColumn("text", F.when(F.col("passage_id") % 50 == 0, F.lit("replaced below")).otherwise(F.col("text"))), path, stemmed)
+    blocks.add(p.filter(third == 1), path)
+    blocks.add(p.filter((third == 2) | (F.col("passage_id") % 50 == 0)), path)
+    return blocks.open_blocks(spark, path)
+
+
+@query(f"{R._BM25} {R._ranked(10)}")
+def bm25_from_segments(spark, d):
+    return blocks.search(questions(spark, d), _segments(spark, d), 10)
+
+
+@query(f"{R._BM25} {R._ranked(10)}")
+def bm25_from_index_pruned(spark, d):
+    path = readers.scratch(spark, "blocks")
+    blocks.add(passages(spark, d), path)
+    return blocks.search(questions(spark, d), blocks.open_blocks(spark, path), 10)
+
+
+@query(f"{R._MATCH}, num AS (SELECT doc_id AS passage_id, (row_number() OVER (ORDER BY doc_id) - 1) // {blocks.RANGE} AS range FROM documents), hit AS (SELECT DISTINCT q.qid, q.term, range FROM q JOIN tf ON q.term = tf.term JOIN num ON num.passage_id = tf.passage_id) SELECT qid, count(*)::BIGINT AS n_blocks, true AS fewer FROM hit GROUP BY 1")
+def bm25_blocks_read(spark, d):
+    path = readers.scratch(spark, "blocks")
+    blocks.add(passages(spark, d), path)
+    read = blocks.pruned(questions(spark, d), blocks.open_blocks(spark, path), 10)[1]
+    return read.select("qid", "n_blocks", (F.col("n_read") <= F.col("n_blocks")).alias("fewer"))
+
+
+@query(f"{R._BM25} {R._ranked(10)}")
+def bm25_compacted(spark, d):
+    path = readers.scratch(spark, "blocks")
+    p = passages(spark, d)
+    blocks.add(p.filter("passage_id % 2 = 0"), path)
+    blocks.add(p.filter("passage_id % 2 = 1 OR passage_id % 20 = 0"), path)
+    blocks.compact(spark, path)
+    return blocks.search(questions(spark, d), blocks.open_blocks(spark, path), 10)
+
+
 @query(f"{_STEMMED} {R._ranked(10)}")
 def bm25_stemmed_index(spark, d):
     return sparse.search_index(questions(spark, d), _stored(spark, d, True), 10)
@@ -414,5 +454,5 @@ def windowed_terms(spark, d):
     events = table(spark, d, "events")
     stream = spark.readStream.schema(events.schema).parquet(f"{d}/events.parquet*")
     counts = ingest.term_counts(stream, "event_type", "ts").select(F.col("window.start").alias("start"), "term", "n")
-    ingest.upsert(counts, path, ck).awaitTermination()
-    return spark.read.parquet(path).select(F.unix_timestamp("start").alias("start"), "term", "n")
+    ingest.upsert(counts, path, ck, "start", "term").awaitTermination()
+    return ingest.upserted(spark, path).select(F.unix_timestamp("start").alias("start"), "term", "n")

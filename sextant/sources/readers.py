@@ -163,6 +163,13 @@ def scratch(spark: SparkSession, name: str) -> str:
     return path.toString()
 
 
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written to a scratch folder of its own and read from there: what follows is computed from the files."""
+    path = scratch(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def catalog(entries: DataFrame, name: str) -> DataFrame:
     """The entries of a resource table (key, url, extension, compressed, description) of that key, else of that prefix."""
     exact = entries.filter(F.col("key") == name)

@@ -1,4 +1,4 @@
-"""Passages as a stream: counts of terms and lengths that only grow, from which idf follows at query time."""
+"""Passages as a stream into a searchable index; streaming aggregates into a keyed table."""
 
 from __future__ import annotations
 
@@ -6,21 +6,24 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sextant.functions.text import terms
-from sextant.operators.sparse import doc_stats, postings
+from sextant.operators import blocks
+from sextant.sources import versions
 
+#: Parts of an upserted table, by hash of the key; a micro-batch rewrites those that it touches.
+PARTS = 32
 
-def ingest_passages(stream: DataFrame, path: str, checkpoint: str):
-    """Append postings and document lengths of each micro-batch; a batch that is run again replaces its own files."""
 
-    def write(batch: DataFrame, number: int) -> None:
-        postings(batch).write.mode("overwrite").parquet(f"{path}/postings/batch={number}")
-        doc_stats(batch).write.mode("overwrite").parquet(f"{path}/doc_stats/batch={number}")
+def ingest_passages(stream: DataFrame, path: str, checkpoint: str, stem: bool = False):
+    """Each micro-batch of passages (passage_id, text) becomes a segment of the index at ``path`` (``operators.blocks``).
 
-    return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    A passage that comes again replaces what was there. A batch that is run again after a failure changes nothing: its number
+    is in the manifest of the version that it made.
+    """
 
+    def write(batch: DataFrame, number: int) -> None:
+        blocks.add(batch, path, stem, number)
 
-def indexed(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    return spark.read.parquet(f"{path}/postings").drop("batch"), spark.read.parquet(f"{path}/doc_stats").drop("batch")
+    return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 def term_counts(stream: DataFrame, text: str, ts: str, window: str = "10 minutes", late: str = "10 minutes") -> DataFrame:
@@ -29,10 +32,33 @@ def term_counts(stream: DataFrame, text: str, ts: str, window: str = "10 minutes
     return timed.select("_ts", F.explode(terms(F.col(text))).alias("term")).groupBy(F.window("_ts", window), "term").agg(F.count("*").alias("n"))
 
 
-def upsert(counts: DataFrame, path: str, checkpoint: str):
-    """Write a streaming aggregate in complete mode: each micro-batch replaces the table, so a batch run again changes nothing."""
+def upsert(counts: DataFrame, path: str, checkpoint: str, *keys: str):
+    """Write a streaming aggregate in update mode: the rows of a micro-batch replace those of the same keys.
+
+    The aggregate's watermark lets old state go, as only changed rows come. A batch rewrites the parts of the table that its
+    keys fall into and publishes them as one version; a batch run again replaces its rows by the same rows.
+    """
 
     def write(batch: DataFrame, number: int) -> None:
-        batch.write.mode("overwrite").parquet(path)
+        spark = batch.sparkSession
+        new = batch.withColumn("_part", F.pmod(F.xxhash64(*keys), F.lit(PARTS)).cast("int")).persist()
+        base = versions.latest(spark, path)
+        if (touched := [r[0] for r in new.select("_part").distinct().collect()]) and number > base.content.get("batch", -1):
+            parts, folder = dict(base.content.get("parts", {})), versions.new_name()
+            old = [parts[str(p)] for p in touched if str(p) in parts]
+            rows = new
+            if old:
+                rows = spark.read.schema(new.schema).parquet(*(f"{path}/{x}" for x in old)).join(new.select(*keys), list(keys), "left_anti").select(new.columns).union(new)
+            rows.withColumn("_in", F.col("_part")).write.partitionBy("_in").parquet(f"{path}/{folder}")
+            versions.commit(spark, path, base, {"parts": parts | {str(p): f"{folder}/_in={p}" for p in touched}, "batch": number})
+        new.unpersist()
+
+    return counts.writeStream.outputMode("update").foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
 
-    return counts.writeStream.outputMode("complete").foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+def upserted(spark: SparkSession, path: str) -> DataFrame:
+    """The table that ``upsert`` keeps; before its first batch that is an error."""
+    parts = versions.latest(spark, path).content.get("parts")
+    if not parts:
+        raise FileNotFoundError(f"nothing is published at {path}")
+    return spark.read.parquet(*(f"{path}/{x}" for x in sorted(parts.values()))).drop("_part")

@@ -3,7 +3,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
-from sextant.operators import sparse
+from sextant.operators import blocks, sparse
 from sextant.sources import readers, sinks
 from sextant.streaming import ingest
 
@@ -83,8 +83,8 @@ def test_sinks_and_stream(spark, tmp_path):
     rows.write.parquet(f"{tmp_path}/in")
     stream = spark.readStream.schema(rows.schema).parquet(f"{tmp_path}/in")
     ingest.ingest_passages(stream, f"{tmp_path}/live", f"{tmp_path}/ck").awaitTermination(60)
-    post, stats = ingest.indexed(spark, f"{tmp_path}/live")
-    assert {tuple(r) for r in post.select("term", "passage_id", "tf").collect()} == {("red", 1, 2), ("cat", 1, 1), ("blue", 2, 1)} and stats.agg(F.sum("dl")).first()[0] == 4
+    live = blocks.open_blocks(spark, f"{tmp_path}/live")
+    assert {(r["term"], r["c"]) for r in live.blocks.collect()} == {("red", 1), ("cat", 1), ("blue", 1)} and (live.n, live.avgdl) == (2, 2.0)
 
 
 def test_sparse_search_ignores_titles(spark):
