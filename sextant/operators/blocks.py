@@ -31,7 +31,7 @@ from sextant.sources.readers import stored
 
 RANGE = 128
 #: Folders that terms are dealt to by hash; a search lists those of its terms and reads no other.
-BUCKETS = 64
+BUCKETS = 32
 _BLOCK = "term string, range bigint, c int, places array<int>, tfs array<int>, impacts array<struct<tf:int,dl:int>>, segment string, bucket int"
 _RANGES = "range bigint, ids array<bigint>, dls array<int>, segment string"
 _DEAD = "segment string, range bigint, place int, dl int, batch string"

@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from sextant.functions.text import nonblank
 from sextant.functions.vector import dot, l2_normalize
+from sextant.sources import versions
 
 #: Rows of a block: 4,096 vectors of 1,024 floats are 16 MB.
 CORPUS_BLOCK, QUERY_BLOCK = 4096, 512
@@ -85,8 +86,9 @@ def top_k(hits: DataFrame, k: int, by: str = "qid", score: str = "score", id_: s
     return hits.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
 
 
-#: Ways that corpus blocks are dealt; each gets a copy of every query block, so no join key holds more than its share.
-SALTS = 64
+def _salts(rows: int) -> int:
+    """Ways that corpus blocks are dealt, about a block each: a way gets a copy of every query block, and no join key more than its share."""
+    return max(1, -(-rows // CORPUS_BLOCK))
 
 
 def dense_topk(queries: DataFrame, index: DataFrame, k: int = 5, skip_self: bool = False, normalize: bool = False) -> DataFrame:
@@ -100,8 +102,9 @@ def dense_topk(queries: DataFrame, index: DataFrame, k: int = 5, skip_self: bool
     if normalize:
         queries = queries.select("qid", l2_normalize(F.col("embedding")).alias("embedding"))
     q, c = _blocks(queries, "qid", "embedding", QUERY_BLOCK, "q"), _blocks(index, "passage_id", "embedding", CORPUS_BLOCK, "c")
-    q = q.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    c = c.withColumn("salt", F.pmod(F.xxhash64(F.get("c_ids", F.lit(0))), F.lit(SALTS)).cast("int"))
+    salts = _salts(index.count())
+    q = q.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    c = c.withColumn("salt", F.pmod(F.xxhash64(F.get("c_ids", F.lit(0))), F.lit(salts)).cast("int"))
     pairs = c.join(q, "salt").filter(F.col("q_width") == F.col("c_width"))
     hits = pairs.select(F.explode(_best(k, skip_self)("q_ids", "q_matrix", "c_ids", "c_matrix", "c_width")).alias("h")).select("h.*")
     return top_k(hits, k)
@@ -120,12 +123,32 @@ def padded_slots(hits: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     return out.fillna({"passage_id": -1, "score": 0.0, **({"text": "", "title": ""} if "text" in hits.columns else {})})
 
 
+def _usable(table: DataFrame, id_: str) -> DataFrame:
+    """Rows with an id and a vector without nulls, of any width."""
+    good = table.filter(F.col(id_).isNotNull() & (F.size("embedding") > 0) & ~F.exists("embedding", lambda x: x.isNull()))
+    return good.select(F.col(id_).cast("bigint").alias(id_), F.col("embedding").cast("array<float>").alias("embedding"))
+
+
+def _matrix(vectors: list, width: int) -> np.ndarray:
+    """Vectors as rows of ``width`` numbers: shorter ones end in zeros, longer ones are cut. It only routes; no score comes of it."""
+    out = np.zeros((len(vectors), width))
+    for row, v in zip(out, vectors, strict=True):
+        v = np.asarray(v, np.float64)[:width]
+        row[: len(v)] = v
+    return out
+
+
+def _sampled(rows: DataFrame, id_: str, n: int) -> DataFrame:
+    """``n`` rows by hash of their ids, the same ones on every run."""
+    return rows.orderBy(F.xxhash64(F.lit(17), id_), id_).limit(n)
+
+
 def cells(index: DataFrame, n_cells: int, sample: int = 20_000, rounds: int = 12) -> np.ndarray:
-    """Centroids by spherical k-means on a bounded sample (``sample`` rows by hash)."""
-    rows = index.filter(F.col("passage_id").isNotNull() & (F.size("embedding") > 0)).orderBy(F.xxhash64("passage_id"), "passage_id").limit(sample).select("embedding").collect()
-    x = np.array([r[0] for r in rows], np.float64)
-    if not len(x):
+    """Centroids by spherical k-means on a bounded sample (``sample`` rows by hash); unlike widths are filled up with zeros."""
+    rows = _sampled(_usable(index, "passage_id"), "passage_id", sample).select("embedding").collect()
+    if not rows:
         return np.zeros((0, 0))
+    x = _matrix([r[0] for r in rows], max(len(r[0]) for r in rows))
     n_cells = min(n_cells, len(x))
     c = x[np.linspace(0, len(x) - 1, n_cells).astype(int)]
     for _ in range(rounds):
@@ -137,76 +160,120 @@ def cells(index: DataFrame, n_cells: int, sample: int = 20_000, rounds: int = 12
     return c
 
 
+#: Recall that probes are chosen for, and the rows of the index that are asked, with their exact neighbours, to measure it.
+TARGET, ASKED, NEIGHBOURS = 0.95, 256, 10
+
+
+def neighbour_pairs(index: DataFrame, asked: int = ASKED, k: int = NEIGHBOURS) -> tuple[list, list]:
+    """Vectors of a sample of rows, once for each exact neighbour, and the neighbours' vectors: asked * k pairs at most."""
+    good = _usable(index, "passage_id")
+    some = _sampled(good, "passage_id", asked).select(F.col("passage_id").alias("qid"), "embedding")
+    hits = dense_topk(some, good, k, skip_self=True).select("qid", "passage_id")
+    with_queries = hits.join(F.broadcast(some.withColumnRenamed("embedding", "q")), "qid")  # a bounded sample
+    rows = good.join(F.broadcast(with_queries), "passage_id").select("q", "embedding").collect()
+    return [r[0] for r in rows], [r[1] for r in rows]
+
+
+def probes_for(places: np.ndarray, target: float = TARGET) -> tuple[int, float]:
+    """From the place (0 first) of each true neighbour in its query's sequence of probes: the least number of probes that
+    reaches ``target``, and the recall it has. No neighbours: one probe."""
+    if not len(places):
+        return 1, 1.0
+    n = int(np.sort(places)[min(len(places) - 1, int(np.ceil(target * len(places))) - 1)]) + 1
+    return n, float((places < n).mean())
+
+
 @dataclass(frozen=True)
 class CellIndex:
-    """Vectors packed into blocks by the cell of their nearest centroid; every row is indexed."""
+    """Vectors packed into blocks by the cell of their nearest centroid; every row is indexed.
+
+    ``probes`` cells a query have the measured ``recall``.
+    """
 
     centroids: np.ndarray
     blocks: DataFrame  # cell, c_ids, c_matrix, c_width
+    probes: int = 1
+    recall: float = 1.0
 
 
 def _nearest(c: np.ndarray, n: int):
     def f(v: pa.Array) -> pa.Array:
-        x = np.asarray(v.flatten(), np.float64).reshape(len(v), -1)
-        order = np.argsort(-(x @ c.T), axis=1, kind="stable")[:, :n]
+        order = np.argsort(-(_matrix([x.values for x in v], c.shape[1]) @ c.T), axis=1, kind="stable")[:, :n]
         return pa.array(order.astype(np.int32).tolist(), pa.list_(pa.int32()))
 
     return F.arrow_udf(f, "array<int>")
 
 
-def build_cells(index: DataFrame, n_cells: int | None = None) -> CellIndex:
+def _pack(v: pa.Array) -> pa.Array:
+    return pa.array([np.asarray(x.values.flatten(), np.float32).tobytes() for x in v], pa.binary())
+
+
+def _dealt_blocks(placed: DataFrame, key: str) -> DataFrame:
+    """``placed`` (key, passage_id, embedding) as blocks of CORPUS_BLOCK rows of one key and width, the parts of a key numbered."""
+    placed = placed.withColumn("c_width", F.size("embedding"))
+    sizes = placed.groupBy(key, "c_width").agg(F.count("*").alias("_n"))  # one row a key and width
+    dealt = placed.join(sizes, [key, "c_width"])
+    part = F.pmod(F.xxhash64("passage_id"), F.ceil(F.col("_n") / (CORPUS_BLOCK // 2))).cast("int")
+    grouped = dealt.groupBy(key, "c_width", part.alias("part")).agg(F.collect_list("passage_id").alias("c_ids"), F.collect_list("embedding").alias("_v"))
+    return grouped.select(key, "part", "c_ids", F.arrow_udf(_pack, "binary")("_v").alias("c_matrix"), "c_width")
+
+
+def _meeting(asked: DataFrame, blocks: DataFrame, key: str) -> DataFrame:
+    """Blocks of queries (key, qid, embedding) with every block of their key and width.
+
+    A query goes to each part of its key, so the blocks of a key with many rows are as many join keys.
+    """
+    parts = blocks.groupBy(key, "c_width").agg(F.max("part").alias("_last"))
+    asked = asked.withColumn("c_width", F.size("embedding")).join(parts, [key, "c_width"]).withColumn("part", F.explode(F.sequence(F.lit(0), F.col("_last"))))
+    at = [key, "c_width", "part"]
+    pack = F.floor((F.row_number().over(Window.partitionBy(*at).orderBy("qid")) - 1) / QUERY_BLOCK)
+    q = asked.withColumn("_p", pack).groupBy(*at, "_p").agg(F.collect_list("qid").alias("q_ids"), F.collect_list("embedding").alias("_v")).select(*at, "q_ids", F.arrow_udf(_pack, "binary")("_v").alias("q_matrix"))
+    return blocks.join(q, at)
+
+
+def build_cells(index: DataFrame, n_cells: int | None = None, target: float = TARGET) -> CellIndex:
     """Place every vector; cells grow with the root of the rows (half of it, 4 at least, 4,096 at most).
 
-    A cell with many rows, such as a copy held by a third of them, is many blocks, each of CORPUS_BLOCK rows at
-    most: rows are dealt by cell and hash, never gathered as one group.
+    The probes that a search takes by default are measured here: as many as reach ``target`` for a sample of rows. A cell with
+    many rows, such as a copy held by a third of them, is many blocks: rows are dealt by cell and hash, never gathered as one
+    group. Vectors of unlike widths may share a cell, but no block.
     """
-    good = index.filter(F.col("passage_id").isNotNull() & (F.size("embedding") > 0))
+    good = _usable(index, "passage_id")
     n = n_cells or int(min(4096, max(4, good.count() ** 0.5 / 2)))
     c = cells(good, n)
     if not len(c):
-        return CellIndex(c, good.select(F.lit(0).alias("cell"), F.array(F.col("passage_id").cast("bigint")).alias("c_ids"), F.lit(b"").alias("c_matrix"), F.lit(0).alias("c_width")).limit(0))
-    placed = good.select(F.get(_nearest(c, 1)("embedding"), F.lit(0)).alias("cell"), F.col("passage_id").cast("bigint"), F.col("embedding").cast("array<float>"))
-    sizes = placed.groupBy("cell").agg(F.count("*").alias("_n"))
-    dealt = placed.join(F.broadcast(sizes), "cell")  # one row a cell, 4,096 at most
-    part = F.pmod(F.xxhash64("passage_id"), F.ceil(F.col("_n") / (CORPUS_BLOCK // 2))).cast("int")
-    grouped = dealt.groupBy("cell", part.alias("_p")).agg(F.collect_list("passage_id").alias("c_ids"), F.collect_list("embedding").alias("_v"))
-
-    def packed(v: pa.Array) -> pa.Array:
-        return pa.array([np.asarray(x.values.flatten(), np.float32).tobytes() for x in v], pa.binary())
-
-    return CellIndex(c, grouped.select("cell", "c_ids", F.arrow_udf(packed, "binary")("_v").alias("c_matrix"), F.size(F.get("_v", F.lit(0))).alias("c_width")))
+        return CellIndex(c, good.select(F.lit(0).alias("cell"), F.lit(0).alias("part"), F.array("passage_id").alias("c_ids"), F.lit(b"").alias("c_matrix"), F.lit(0).alias("c_width")).limit(0))
+    q, near = (_matrix(v, c.shape[1]) for v in neighbour_pairs(good))
+    score = q @ c.T
+    probes, found = probes_for((score > score[np.arange(len(q)), (near @ c.T).argmax(1)][:, None]).sum(1), target)
+    placed = good.select(F.get(_nearest(c, 1)("embedding"), F.lit(0)).alias("cell"), "passage_id", "embedding")
+    return CellIndex(c, _dealt_blocks(placed, "cell"), probes, found)
 
 
 def write_cells(index: CellIndex, path: str) -> None:
-    """The blocks by cell, and the centroids beside them."""
-    index.blocks.write.mode("overwrite").partitionBy("cell").parquet(f"{path}/blocks")
+    """Publish the blocks, and the centroids beside them, as one version."""
     spark = index.blocks.sparkSession
-    spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(index.centroids)], "cell int, centroid array<double>").write.mode("overwrite").parquet(f"{path}/centroids")
+    rows = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(index.centroids)], "cell int, centroid array<double>")
+    versions.publish(spark, path, {"blocks": index.blocks.repartitionByRange("cell", "part").sortWithinPartitions("cell", "part"), "centroids": rows}, probes=index.probes, recall=index.recall)
 
 
 def open_cells(spark: SparkSession, path: str) -> CellIndex:
-    rows = spark.read.parquet(f"{path}/centroids").orderBy("cell").collect()  # 4,096 at most
-    return CellIndex(np.array([r["centroid"] for r in rows]), spark.read.parquet(f"{path}/blocks"))
+    tables, about = versions.opened(spark, path), versions.latest(spark, path).content
+    rows = tables["centroids"].orderBy("cell").collect()  # 4,096 at most
+    return CellIndex(np.array([r["centroid"] for r in rows]), tables["blocks"], about["probes"], about["recall"])
 
 
 def search_cells(queries: DataFrame, index: CellIndex, k: int = 5, probes: int | None = None, skip_self: bool = False) -> DataFrame:
-    """qid, passage_id, score, rank: a query looks into ``probes`` cells (default: three quarters of them, 64 at most).
+    """qid, passage_id, score, rank: a query looks into ``probes`` cells (default: as many as the index was measured to need).
 
     Queries are packed per cell and every block of a cell is one matrix product for all its queries.
     """
     c = index.centroids
-    probes = probes or max(1, min(64, -(-3 * len(c) // 4)))
-    good = queries.filter(F.col("qid").isNotNull() & (F.size("embedding") > 0))
+    good = _usable(queries, "qid")
     if not len(c):
         return top_k(good.select("qid", F.lit(0).cast("bigint").alias("passage_id"), F.lit(0.0).alias("score")).limit(0), k)
-    asked = good.select(F.col("qid").cast("bigint"), F.col("embedding").cast("array<float>"), F.explode(_nearest(c, probes)("embedding")).alias("cell"))
-    part = F.pmod(F.xxhash64("qid"), F.ceil(F.count("*").over(Window.partitionBy("cell")) / QUERY_BLOCK))
-
-    def packed(v: pa.Array) -> pa.Array:
-        return pa.array([np.asarray(x.values.flatten(), np.float32).tobytes() for x in v], pa.binary())
-
-    q = asked.withColumn("_p", part).groupBy("cell", "_p").agg(F.collect_list("qid").alias("q_ids"), F.collect_list("embedding").alias("_v")).select("cell", "q_ids", F.arrow_udf(packed, "binary")("_v").alias("q_matrix"))
-    pairs = index.blocks.join(q, "cell")
+    asked = good.select("qid", "embedding", F.explode(_nearest(c, probes or index.probes)("embedding")).alias("cell"))
+    pairs = _meeting(asked, index.blocks, "cell")
     return top_k(pairs.select(F.explode(_best(k, skip_self)("q_ids", "q_matrix", "c_ids", "c_matrix", "c_width")).alias("h")).select("h.*"), k)
 
 

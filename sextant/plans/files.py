@@ -6,13 +6,13 @@ Each writes whole tables into a folder of its own in the shared scratch and answ
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sextant.functions import stem
 from sextant.functions import text as T
 from sextant.functions import vector as V
-from sextant.operators import answer, blocks, dense, evaluate, fusion, metrics, resample, sparse, trainset
+from sextant.operators import answer, blocks, dense, evaluate, fusion, graph, lsh, metrics, resample, sparse, trainset
 from sextant.plans import registry as R
 from sextant.plans.registry import index, passages, query, questions, table, vector_queries
 from sextant.sources import readers, sinks
@@ -222,6 +222,32 @@ def cell_index_round_trip(spark, d):
     return found.crossJoin(F.broadcast(stored.blocks.agg(F.sum(F.size("c_ids")).alias("n_indexed"))))  # one row each
 
 
+def _recalled(spark, d, near: DataFrame, n_indexed: Column) -> DataFrame:
+    """n_queries, n_exact, enough (nine tenths of the exact hits are there, with their exact scores) and n_indexed: one row."""
+    exact = dense.dense_topk(vector_queries(spark, d), index(spark, d), 10).select("qid", "passage_id", "score")
+    both = exact.join(near.select("qid", "passage_id", F.col("score").alias("near")), ["qid", "passage_id"], "left")
+    hit = F.count(F.when(F.abs(F.col("near") - F.col("score")) < 2e-6, 1))
+    return both.agg(F.count_distinct("qid").alias("n_queries"), F.count("*").alias("n_exact"), (hit >= 0.9 * F.count("*")).alias("enough")).withColumn("n_indexed", n_indexed)
+
+
+_RECALLED = f"{R._dense(10)} SELECT count(DISTINCT qid) AS n_queries, count(*) AS n_exact, true AS enough, (SELECT count(*) FROM embeddings) AS n_indexed FROM top"
+
+
+@query(_RECALLED)
+def dense_topk_graph(spark, d):
+    g = graph.write(index(spark, d), readers.scratch(spark, "graph"))
+    return _recalled(spark, d, graph.search(vector_queries(spark, d), g, 10)[0], F.lit(g.n).cast("bigint"))
+
+
+@query(_RECALLED)
+def dense_topk_lsh(spark, d):
+    path = readers.scratch(spark, "hashed")
+    lsh.write(lsh.build(index(spark, d)), path)
+    h = lsh.open_hashed(spark, path)
+    n = h.blocks.agg((F.sum(F.size("c_ids")) / h.tables).cast("bigint")).first()[0]
+    return _recalled(spark, d, lsh.search(vector_queries(spark, d), h, 10), F.lit(n))
+
+
 _UNIT = "SELECT vec_id AS qid, list_transform(embedding, lambda x: (x::DOUBLE * 3 / sqrt(list_dot_product(list_transform(embedding, lambda y: y::DOUBLE * 3), list_transform(embedding, lambda y: y::DOUBLE * 3))))::FLOAT) AS embedding FROM embeddings WHERE vec_id % 50 = 0"
 
 

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from sextant.functions.text import nonblank, safe_id, stripped
-from sextant.sources import schemas
+from sextant.sources import schemas, versions
 
 
 def passages_tsv(spark: SparkSession, path: str, strict_ids: bool = True) -> DataFrame:
@@ -144,8 +144,8 @@ def inverted_index(spark: SparkSession, path: str):
     """The ``Index`` that ``sinks.inverted_index`` wrote."""
     from sextant.operators.sparse import Index
 
-    corpus = spark.read.parquet(f"{path}/corpus")
-    return Index(spark.read.parquet(f"{path}/postings"), spark.read.parquet(f"{path}/doc_stats"), corpus.select("n", "avgdl"), bool(corpus.first()["stem"]))
+    tables = versions.opened(spark, path)
+    return Index(tables["postings"], tables["doc_stats"], tables["corpus"], bool(versions.latest(spark, path).content["stem"]))
 
 
 def scratch(spark: SparkSession, name: str) -> str:

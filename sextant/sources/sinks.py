@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from sextant.sources import versions
+from sextant.sources.readers import stored
+
 
 def metadata_jsonl(passages: DataFrame, path: str) -> None:
     passages.select(F.col("passage_id").alias("id"), "title", "text").write.mode("overwrite").json(path)
@@ -16,13 +19,16 @@ def vectors_parquet(index: DataFrame, path: str, partition: str | None = None) -
     (w.partitionBy(partition) if partition else w).parquet(path)
 
 
-def inverted_index(index, path: str, parts: int = 16) -> None:
-    """The tables of an ``Index``: postings dealt by term and sorted, so that a term's rows lie in one file's range."""
-    index.postings.repartition(parts, "term").sortWithinPartitions("term", "passage_id").write.mode("overwrite").parquet(f"{path}/postings")
-    index.doc_stats.write.mode("overwrite").parquet(f"{path}/doc_stats")
-    spark = index.postings.sparkSession
-    total = spark.read.parquet(f"{path}/doc_stats").agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
-    total.withColumn("stem", F.lit(index.stem)).write.mode("overwrite").parquet(f"{path}/corpus")
+def inverted_index(index, path: str) -> None:
+    """The tables of an ``Index``, published together: readers see the version before until all are there.
+
+    Postings are dealt by ranges of term and passage, so a frequent term is several tasks' work and files; the width
+    follows the data. ``operators.blocks`` is the index to search at scale.
+    """
+    stats = stored(index.doc_stats, "stats")
+    total = stats.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
+    posts = index.postings.repartitionByRange("term", "passage_id").sortWithinPartitions("term", "passage_id")
+    versions.publish(index.postings.sparkSession, path, {"postings": posts, "doc_stats": stats, "corpus": total}, stem=index.stem)
 
 
 def passages_tsv(passages: DataFrame, path: str) -> None:

@@ -73,7 +73,7 @@ def test_sinks_and_stream(spark, tmp_path):
     rows = spark.createDataFrame([(1, "red cat red", "t"), (2, "blue", "u")], "passage_id long, text string, title string")
     sinks.metadata_jsonl(rows, f"{tmp_path}/meta")
     assert readers.metadata_jsonl(spark, f"{tmp_path}/meta").count() == 2
-    sinks.inverted_index(sparse.build_index(rows), f"{tmp_path}/index", 2)
+    sinks.inverted_index(sparse.build_index(rows), f"{tmp_path}/index")
     stored = readers.inverted_index(spark, f"{tmp_path}/index")
     assert stored.postings.count() == 3 and not stored.stem
     asked = spark.createDataFrame([(1, "Cats! red")], "qid long, question string")
