@@ -6,7 +6,7 @@ Each writes whole tables into a folder of its own in the shared scratch and answ
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from sextant.functions import stem
@@ -146,11 +146,14 @@ def metadata_round_trip(spark, d):
 
 
 def _json(rows: DataFrame, as_object: bool) -> str:
-    """One JSON document of all rows in order of _o: the evaluation set, as its files are."""
+    """JSON documents of all rows in order of _o, one a range of rows, as the evaluation sets' files are."""
     path = readers.scratch(rows.sparkSession, "json")
     kept = [c for c in rows.columns if c != "_o"]
-    every = rows.groupBy().agg(F.transform(F.array_sort(F.collect_list(F.struct("_o", F.struct(*kept).alias("x")))), lambda s: s["x"]).alias("data"))
-    every.select(F.to_json(F.struct("data")) if as_object else F.to_json("data")).write.text(path)
+    ranged = readers.stored(rows.repartitionByRange("_o").select("_o", F.lpad(F.spark_partition_id().cast("string"), 6, "0").alias("file"), F.to_json(F.struct(*kept)).alias("x")), "ranged")
+    up, down = Window.partitionBy("file").orderBy("_o"), Window.partitionBy("file").orderBy(F.desc("_o"))
+    head, tail = ('{"data": [', "]}") if as_object else ("[", "]")
+    text = F.concat(F.when(F.row_number().over(up) == 1, head).otherwise(""), "x", F.when(F.row_number().over(down) == 1, tail).otherwise(","))
+    ranged.select("file", "_o", text.alias("value")).sortWithinPartitions("file", "_o").select("file", "value").write.partitionBy("file").text(path)
     return path
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from sextant.functions.text import nonblank, safe_id, stripped
@@ -39,23 +39,67 @@ def row_estimate(spark: SparkSession, path: str, chunk: int) -> tuple[int, int]:
 
 
 def _json_root(spark: SparkSession, path: str, schema: str, roots: str = "[{") -> DataFrame:
-    """_pos and the fields of the records of a file whose root is a list or an object with ``data``; ``roots`` names the allowed ones.
+    """_pos (files by name, records in order) and the fields of the records of files whose root is a list or an object with
+    ``data``; ``roots`` names the allowed ones. See ``json_records``."""
+    kind = f"struct<{', '.join(f.replace(' ', ':', 1) for f in _fields(schema))}>"
+    items = json_records(spark, path, roots).select("_pos", F.from_json("record", kind, {"mode": "FAILFAST"}).alias("x"))
+    return items.select("_pos", "x.*")
 
-    A JSON document has no line that a second task could start at: a file is one row of one task, 2 GB at most.
-    Larger sets come as JSON lines or as many files.
+
+def _before(rows: DataFrame, value: Column, name: str, split: list[str]) -> DataFrame:
+    """Adds ``name``: the sum of ``value`` over all rows of the file before this one.
+
+    Rows are summed per split of the file, the splits' sums run over one row a split, and within a split over its rows.
+    """
+    sums = rows.groupBy(*split).agg(F.sum(value).alias("_s"))
+    run = F.sum("_s").over(Window.partitionBy(split[0]).orderBy(*split[1:])) - F.col("_s")
+    carried = sums.select(*split, run.alias("_c"))
+    inner = F.sum(value).over(Window.partitionBy(*split).orderBy("i")) - value
+    return rows.withColumn(name, inner).join(carried, split).withColumn(name, F.col(name) + F.col("_c")).drop("_c")
+
+
+def json_records(spark: SparkSession, path: str, roots: str = "[{") -> DataFrame:
+    """_pos and record: the text of every record of JSON files, each a list or an object with a list ``data``.
+
+    A file is read in splits, as lines are, but parted at commas: every record ends at one. What a comma parts may be inside a
+    string or a nested value, so each piece's quotes and brackets are counted for either case, running sums over the
+    splits tell which case it is and how deep it starts, and pieces that start in the list itself start records. No task
+    needs a whole file; a record must fit into one row. Compressed files are one split each.
     """
-    whole = spark.read.text(path, wholetext=True).select(F.trim("value").alias("v"))
-    kind = {r[0] for r in whole.select(F.substring("v", 1, 1)).distinct().collect()}
-    if not kind <= set(roots):
+    raw = spark.read.option("lineSep", ",").text(path)
+    place = [F.col("_metadata.file_path").alias("f"), F.col("_metadata.file_block_start").alias("b"), F.monotonically_increasing_id().alias("i")]
+    parts = F.split(F.regexp_replace("value", r"(?s)\\.", ""), '"', -1)
+    depth = lambda odd: F.aggregate(F.filter(parts, lambda x, n: n % 2 == odd), F.lit(0), lambda d, x: d + F.length(F.translate(x, "]}", "")) - F.length(F.translate(x, "[{", "")))
+    pieces = stored(raw.select(*place, "value", ((F.size(parts) - 1) % 2).alias("odd"), depth(0).alias("d0"), depth(1).alias("d1")), "pieces")
+    first = pieces.filter("b = 0").groupBy("f").agg(F.min_by("value", "i").alias("v")).select(F.substring(F.ltrim(F.regexp_replace("v", r"^\s+", "")), 1, 1).alias("c")).distinct()
+    kind = {r["c"] for r in first.collect()}
+    if len(kind) > 1 or not kind <= set(roots):
         raise ValueError(f"neither a list nor an object, or not the one asked for: {path}")
-    as_list = f"array<struct<{', '.join(f.replace(' ', ':', 1) for f in _fields(schema))}>>"
-    if kind == {"{"}:
-        if whole.filter(F.get_json_object("v", "$.data").isNull()).head(1):
+    within = kind == {"{"}  # the list is a member of an object
+    split = ["f", "b"]
+    rows = _before(pieces, F.col("odd"), "quotes", split).withColumn("inside", F.col("quotes") % 2 == 1)
+    rows = _before(rows.withColumn("d", F.when(F.col("inside"), F.col("d1")).otherwise(F.col("d0"))), F.col("d"), "depth", split)
+    text, level = F.col("value"), 2 if within else 1
+    member = ~F.col("inside") & (F.col("depth") < level)
+    if within:  # which member a piece belongs to: members are numbered, and the one called data is kept
+        rows = _before(rows.withColumn("m", member.cast("int")), F.col("m"), "member", split).withColumn("member", F.col("member") + F.col("m"))
+        opening = r'^\s*\{?\s*"data"\s*:\s*\['
+        named = stored(rows.filter("m = 1").filter(F.regexp_like("value", F.lit(opening))).select("f", "member"), "members")
+        if pieces.select("f").distinct().join(named, "f", "left_anti").head(1):
             raise ValueError(f"an object without data: {path}")
-        items = whole.select(F.from_json("v", f"data {as_list}", {"mode": "FAILFAST"})["data"].alias("d"))
+        rows = rows.join(named, ["f", "member"], "left_semi")
+        text = F.when(member, F.regexp_replace("value", opening, "")).otherwise(text)
     else:
-        items = whole.select(F.from_json("v", as_list, {"mode": "FAILFAST"}).alias("d"))
-    return items.select(F.posexplode("d").alias("_pos", "x")).select("_pos", "x.*")
+        text = F.when(member, F.regexp_replace("value", r"^\s*\[", "")).otherwise(text)
+    ends = F.col("depth") + F.col("d") < level
+    text = F.when(ends, F.regexp_replace(text, r"\]\s*(\}\s*)?$", "")).otherwise(text)
+    starts = (~F.col("inside") & (F.col("depth") <= level)).cast("int")
+    rows = _before(rows.withColumn("text", text).withColumn("start", starts), F.col("start"), "n", split).withColumn("n", F.col("n") + F.col("start"))
+    whole = rows.groupBy("f", "n").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("b", "i", "text"))), lambda x: x["text"]), ",").alias("record"))
+    whole = whole.filter(F.length(F.regexp_replace("record", r"\s+", "")) > 0)
+    counts = rows.groupBy("f").agg(F.max("n").alias("_n"), F.min("n").alias("_lo"))
+    offset = counts.select("f", "_lo", (F.sum(F.col("_n") - F.col("_lo") + 1).over(Window.orderBy("f")) - (F.col("_n") - F.col("_lo") + 1)).alias("_o"))  # one row a file
+    return whole.join(offset, "f").select((F.col("_o") + F.col("n") - F.col("_lo")).alias("_pos"), "record")
 
 
 def _fields(schema: str) -> list[str]:
