@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from sextant.functions.text import joined_titles, snippet
 from sextant.functions.vector import log_softmax, log_sum_exp
+from sextant.sources import versions
+from sextant.sources.readers import stored
 
 
 def doc_log_prob(scores: DataFrame, mask_padding: bool = True) -> DataFrame:
@@ -59,6 +61,63 @@ def generate_with(prompts: DataFrame, prompt: str, model) -> DataFrame:
     return prompts.withColumn("_g", F.arrow_udf(f, "struct<answer:string,sequence_score:double>")(prompt)).select("*", "_g.answer", "_g.sequence_score").drop("_g")
 
 
+def isolated(rows: DataFrame, column: str, plug, kind: str, value: pa.DataType) -> DataFrame:
+    """Adds ``made`` (of type ``kind``) and ``error``: a plug from a list of values to as many results, whose failures stay with their rows.
+
+    A batch that fails, or comes back with another number of results, is tried again value by value; the rows that fail then
+    have no result and the message of the error. One bad row costs its own result and not the job.
+    """
+
+    def one(x):
+        try:
+            (y,) = plug([x])
+            return pa.array([y], value)[0].as_py(), None
+        except Exception as e:  # whatever the plug raises is the row's error
+            return None, f"{type(e).__name__}: {e}"
+
+    def f(values: pa.Array) -> pa.Array:
+        given = values.to_pylist()
+        try:
+            results = list(plug(given))
+            if len(results) != len(given):
+                raise ValueError("as many results as values are asked for")
+            made, errors = pa.array(results, value), pa.nulls(len(given), pa.string())
+        except Exception:
+            each = [one(x) for x in given]
+            made, errors = pa.array([y for y, _ in each], value), pa.array([e for _, e in each], pa.string())
+        return pa.StructArray.from_arrays([made, errors], ["made", "error"])
+
+    return rows.withColumn("_g", F.arrow_udf(f, f"struct<made:{kind},error:string>")(column)).select("*", "_g.made", "_g.error").drop("_g")
+
+
+def generate_isolated(prompts: DataFrame, prompt: str, model) -> DataFrame:
+    """As ``generate_with``, with error: a prompt that the generator fails on has null answer and score, and the message."""
+
+    def plug(texts: list) -> list:
+        return [{"answer": a, "sequence_score": float(s)} for a, s in model([t or "" for t in texts])]
+
+    out = isolated(prompts, prompt, plug, "struct<answer:string,sequence_score:double>", pa.struct([("answer", pa.string()), ("sequence_score", pa.float64())]))
+    return out.select("*", "made.answer", "made.sequence_score").drop("made")
+
+
+def observed(rows: DataFrame, error: str = "error") -> tuple[DataFrame, Observation]:
+    """``rows`` and an observation of n_rows, n_failed and n_done, taken while they are written: no second pass counts them."""
+    o = Observation()
+    failed = F.count(F.col(error))
+    return rows.observe(o, F.count(F.lit(1)).alias("n_rows"), failed.alias("n_failed"), (F.count(F.lit(1)) - failed).alias("n_done")), o
+
+
+def accepted_and_rejected(rows: DataFrame, path: str, error: str = "error") -> dict:
+    """Write the good rows to ``accepted`` and the others, with their errors, to ``rejected`` below ``path``, as one version; the counts.
+
+    The plug runs once: the rows are stored, counted while they are, and then parted.
+    """
+    seen, o = observed(rows, error)
+    kept = stored(seen, "isolated")
+    versions.publish(rows.sparkSession, path, {"accepted": kept.filter(F.col(error).isNull()).drop(error), "rejected": kept.filter(F.col(error).isNotNull())}, counts=o.get)
+    return o.get
+
+
 def sample_log(rows: DataFrame, epoch: str, n: int = 3) -> DataFrame:
     """The first n questions with answer, reference, and the documents in rank order.
 
