@@ -9,13 +9,13 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from sextant.functions import stem
+from sextant.functions import stem, subword
 from sextant.functions import text as T
 from sextant.functions import vector as V
-from sextant.operators import answer, blocks, dense, evaluate, fusion, graph, lsh, metrics, resample, sparse, trainset
+from sextant.operators import answer, beam, blocks, dense, evaluate, fusion, graph, lsh, metrics, resample, sparse, trainset
 from sextant.plans import registry as R
 from sextant.plans.registry import index, passages, query, questions, table, vector_queries
-from sextant.sources import readers, sinks
+from sextant.sources import npy, readers, sinks, versions
 from sextant.streaming import ingest
 
 _FLAT = "regexp_replace(coalesce(text, ''), '[\\r\\n]+', ' ', 'g')"
@@ -225,6 +225,53 @@ def cell_index_round_trip(spark, d):
     return found.crossJoin(F.broadcast(stored.blocks.agg(F.sum(F.size("c_ids")).alias("n_indexed"))))  # one row each
 
 
+@query("SELECT vec_id AS passage_id, (row_number() OVER (ORDER BY vec_id) - 1) // 150 AS chunk, round(list_sum(embedding::DOUBLE[]), 5) + 0.0 AS total FROM embeddings")
+def npy_round_trip(spark, d):
+    path = readers.scratch(spark, "npy")
+    npy.write(index(spark, d), path, 150)
+    total = F.aggregate("embedding", F.lit(0.0), lambda s, x: s + x.cast("double"))
+    return npy.read(spark, path).select("passage_id", "chunk", (F.round(total, 5) + 0.0).alias("total"))
+
+
+# The plug follows the prompt's first words: each word's length is the likeliest token, and only after them may it end.
+@query(f"WITH w AS (SELECT item_id AS qid, {R._TOKENS.format('text')}[1:5] AS w FROM benchmark) SELECT qid, array_to_string(list_transform(w, lambda x: len(x)), ' ') AS tokens, round(-0.1::DOUBLE, 6) AS sequence_score FROM w")
+def beam_answers(spark, d):
+    def step(prompts, tokens):
+        out = []
+        for p, t in zip(prompts, tokens, strict=True):
+            words = p.split()[:5]
+            out.append([(len(words[len(t)]), -0.1), (len(words[len(t)]) + 1, -1.0)] if len(t) < len(words) else [(0, -0.1)])
+        return out
+
+    found = beam.beam_search(questions(spark, d), ["qid"], "question", step, 0, 4, 8, 0)
+    return found.select("qid", F.array_join(F.transform("tokens", lambda x: x.cast("string")), " ").alias("tokens"), F.round("sequence_score", 6).alias("sequence_score"))
+
+
+# Pieces are single characters here, so that SQL can count them; a word with any other character is one unknown.
+@query(r"""WITH w AS (SELECT doc_id AS passage_id, regexp_extract_all(strip_accents(lower(coalesce(text, ''))), '[!-/:-@\[-`{-~]|\p{P}|[^\s!-/:-@\[-`{-~\p{P}]+') AS w FROM documents),
+n AS (SELECT passage_id, coalesce(list_sum(list_transform(w, lambda x: CASE WHEN regexp_full_match(x, '[a-z0-9]+') AND len(x) <= 100 THEN len(x) ELSE 1 END)), 0)::BIGINT AS n_pieces FROM w)
+SELECT passage_id, n_pieces, least(n_pieces + 2, 512)::BIGINT AS n_mask, 512::BIGINT AS n_ids FROM n""")
+def subword_inputs(spark, d):
+    chars = "abcdefghijklmnopqrstuvwxyz0123456789"
+    v = subword.Vocabulary({p: i for i, p in enumerate(["[PAD]", "[UNK]", "[CLS]", "[SEP]", *chars, *("##" + c for c in chars)])})
+    rows = passages(spark, d).select("passage_id", subword.subwords(F.col("text"), v).alias("ids"))
+    made = rows.select("passage_id", F.size("ids").cast("bigint").alias("n_pieces"), subword.model_inputs(F.col("ids"), v).alias("m"))
+    total = F.aggregate("m.attention_mask", F.lit(0).cast("bigint"), lambda s, x: s + x)
+    return made.select("passage_id", "n_pieces", total.alias("n_mask"), F.size("m.input_ids").cast("bigint").alias("n_ids"))
+
+
+@query("SELECT doc_id AS passage_id, 'ValueError: a price' AS error FROM documents WHERE contains(text, '$')")
+def rejected_prompts(spark, d):
+    def model(texts):
+        if any("$" in t for t in texts):
+            raise ValueError("a price")
+        return [(t[:20], 0.0) for t in texts]
+
+    path = readers.scratch(spark, "isolated")
+    answer.accepted_and_rejected(answer.generate_isolated(passages(spark, d).select("passage_id", "text"), "text", model), path)
+    return versions.opened(spark, path)["rejected"].select("passage_id", "error")
+
+
 def _recalled(spark, d, near: DataFrame, n_indexed: Column) -> DataFrame:
     """n_queries, n_exact, enough (nine tenths of the exact hits are there, with their exact scores) and n_indexed: one row."""
     exact = dense.dense_topk(vector_queries(spark, d), index(spark, d), 10).select("qid", "passage_id", "score")
