@@ -18,6 +18,7 @@ index is a manifest (``sources.versions``): readers see an update as a whole or
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -32,9 +33,9 @@ from sextant.sources.readers import stored
 RANGE = 128
 #: Folders that terms are dealt to by hash; a search lists those of its terms and reads no other.
 BUCKETS = 32
-_BLOCK = "term string, range bigint, c int, places array<int>, tfs array<int>, impacts array<struct<tf:int,dl:int>>, segment string, bucket int"
-_RANGES = "range bigint, ids array<bigint>, dls array<int>, segment string"
-_DEAD = "segment string, range bigint, place int, dl int, batch string"
+_BLOCK = "term string, range bigint, c int, places array<int>, tfs array<int>, impacts array<struct<tf:int,dl:int>>, segment int, bucket int"
+_RANGES = "range bigint, ids array<bigint>, dls array<int>, segment int"
+_DEAD = "segment int, range bigint, place int, dl int, batch string"
 _TAKEN = "term string, c bigint, batch string"
 
 
@@ -50,8 +51,12 @@ def _impacts(pairs: Column) -> Column:
     return front.cast(kind)
 
 
-def _write(spark: SparkSession, path: str, segment: str, posts: DataFrame, docs: DataFrame) -> dict:
-    """Write one segment from postings (term, pos, tf, dl) and documents (pos, passage_id, dl); its entry of the manifest."""
+def _write(spark: SparkSession, path: str, content: dict, posts: DataFrame, docs: DataFrame) -> dict:
+    """Write one segment from postings (term, pos, tf, dl) and documents (pos, passage_id, dl); its entry of the manifest.
+
+    Its number is one above all that the index has had.
+    """
+    segment = versions.new_name("s")
     span, place = F.floor(F.col("pos") / RANGE), (F.col("pos") % RANGE).cast("int")
     grouped = posts.groupBy("term", span.alias("range")).agg(F.array_sort(F.collect_list(F.struct(place.alias("place"), F.col("tf").cast("int").alias("tf"), F.col("dl").cast("int").alias("dl")))).alias("p"))  # RANGE entries at most
     blocks = grouped.select("term", "range", F.size("p").alias("c"), F.col("p.place").alias("places"), F.col("p.tf").alias("tfs"), _impacts(F.col("p")).alias("impacts"), _bucket(F.col("term")).alias("bucket"))
@@ -62,7 +67,7 @@ def _write(spark: SparkSession, path: str, segment: str, posts: DataFrame, docs:
     rows.select("range", F.col("p.passage_id").alias("ids"), F.col("p.dl").alias("dls")).write.parquet(f"{path}/{segment}/ranges")
     written = spark.read.schema("dls array<int>").parquet(f"{path}/{segment}/ranges")
     total = written.agg(F.coalesce(F.sum(F.size("dls")), F.lit(0)).alias("n"), F.coalesce(F.sum(F.aggregate("dls", F.lit(0).cast("bigint"), lambda s, x: s + x)), F.lit(0)).alias("dl")).first()
-    return {"folder": segment, "n": total["n"], "dl": total["dl"]}
+    return {"folder": segment, "id": content.get("last", 0) + 1, "n": total["n"], "dl": total["dl"]}
 
 
 @dataclass(frozen=True)
@@ -79,16 +84,13 @@ class BlockIndex:
     version: versions.Version
 
 
-def _parts(spark: SparkSession, path: str, folders: list[str], name: str, schema: str, mark: str) -> DataFrame:
-    """The tables ``name`` of some folders as one, ``mark`` the folder of a row."""
+def _parts(spark: SparkSession, path: str, folders: dict, name: str, schema: str, mark: str) -> DataFrame:
+    """The tables ``name`` of some folders as one, ``mark`` what ``folders`` gives a folder."""
     if not folders:
         return spark.createDataFrame([], schema)
     fields = spark.createDataFrame([], schema).drop(mark).schema
-    found = [spark.read.schema(fields).parquet(f"{path}/{f}/{name}").withColumn(mark, F.lit(f)) for f in folders]
-    out = found[0]
-    for x in found[1:]:
-        out = out.unionByName(x)
-    return out
+    found = [spark.read.schema(fields).parquet(f"{path}/{f}/{name}").withColumn(mark, F.lit(m)) for f, m in folders.items()]
+    return reduce(DataFrame.unionByName, found)
 
 
 def open_blocks(spark: SparkSession, path: str) -> BlockIndex:
@@ -97,17 +99,20 @@ def open_blocks(spark: SparkSession, path: str) -> BlockIndex:
     segments, deletes = v.content.get("segments", []), v.content.get("deletes", [])
     n = sum(s["n"] for s in segments) - sum(x["n"] for x in deletes)
     dl = sum(s["dl"] for s in segments) - sum(x["dl"] for x in deletes)
-    folders, gone = [s["folder"] for s in segments], [x["folder"] for x in deletes]
+    folders, gone = {s["folder"]: s["id"] for s in segments}, {x["folder"]: x["folder"] for x in deletes}
     return BlockIndex(_parts(spark, path, folders, "blocks", _BLOCK, "segment"), _parts(spark, path, folders, "ranges", _RANGES, "segment"), _parts(spark, path, gone, "dead", _DEAD, "batch"), _parts(spark, path, gone, "taken", _TAKEN, "batch"), n, dl / n if dl else 1.0, bool(v.content.get("stem", False)), v)
 
 
 def _postings(passages: DataFrame, stem: bool) -> tuple[DataFrame, DataFrame]:
-    docs = positions(passages.filter("passage_id IS NOT NULL").select(F.col("passage_id").cast("bigint"), terms(F.col("text")).alias("terms")), "passage_id")
-    docs = docs.withColumn("dl", F.size("terms"))
-    posts = docs.select("pos", "dl", F.explode("terms").alias("term")).groupBy("term", "pos", "dl").agg(F.count("*").alias("tf"))
+    """Postings (term, pos, tf, dl) and documents (passage_id, dl, pos); the numbers are dealt out over ids and lengths alone."""
+    good = passages.filter("passage_id IS NOT NULL").select(F.col("passage_id").cast("bigint"), terms(F.col("text")).alias("terms"))
+    docs = positions(good.select("passage_id", F.size("terms").alias("dl")), "passage_id")
+    # A join by passage leaves a passage's rows together, so counting its terms shuffles nothing more.
+    each = good.join(docs, "passage_id").select("passage_id", "pos", "dl", F.explode("terms").alias("term"))
+    posts = each.groupBy("passage_id", "pos", "dl", "term").agg(F.count("*").alias("tf")).select("term", "pos", "dl", "tf")
     if stem:
         posts = stems_of(posts.withColumn("at", F.struct("pos", "dl")), "at", "tf").select("term", "at.pos", "at.dl", "tf")
-    return posts, docs.select("pos", "passage_id", "dl")
+    return posts, docs
 
 
 def _bury(spark: SparkSession, path: str, index: BlockIndex, ids: DataFrame) -> dict | None:
@@ -121,7 +126,7 @@ def _bury(spark: SparkSession, path: str, index: BlockIndex, ids: DataFrame) ->
     dead = spots.join(ids, "passage_id", "left_semi").join(index.dead.select("segment", "range", "place"), ["segment", "range", "place"], "left_anti")
     folder = versions.new_name("d")
     dead.select("segment", "range", "place", "dl").write.parquet(f"{path}/{folder}/dead")
-    dead = spark.read.schema("segment string, range bigint, place int, dl int").parquet(f"{path}/{folder}/dead")
+    dead = spark.read.schema("segment int, range bigint, place int, dl int").parquet(f"{path}/{folder}/dead")
     total = dead.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.col("dl").cast("bigint")), F.lit(0)).alias("dl")).first()
     if not total["n"]:
         return None
@@ -145,9 +150,9 @@ def add(passages: DataFrame, path: str, stem: bool = False, batch: int | None =
     stem = index.stem if content else stem
     posts, docs = _postings(passages, stem)
     buried = _bury(spark, path, index, docs.select("passage_id"))
-    segment = _write(spark, path, versions.new_name("s"), posts, docs)
+    segment = _write(spark, path, content, posts, docs)
     deletes = content.get("deletes", []) + ([buried] if buried else [])
-    return versions.commit(spark, path, index.version, {"segments": [*content.get("segments", []), segment], "deletes": deletes, "stem": stem, "batch": content.get("batch", -1) if batch is None else batch})
+    return versions.commit(spark, path, index.version, {"segments": [*content.get("segments", []), segment], "last": segment["id"], "deletes": deletes, "stem": stem, "batch": content.get("batch", -1) if batch is None else batch})
 
 
 def remove(ids: DataFrame, path: str) -> versions.Version:
@@ -169,8 +174,8 @@ def compact(spark: SparkSession, path: str) -> versions.Version:
     live = positions(spots.join(index.dead.select("segment", "range", "place"), ["segment", "range", "place"], "left_anti"), "passage_id")
     old = index.blocks.select("term", "segment", "range", F.explode(F.arrays_zip("places", "tfs")).alias("x")).select("term", "segment", "range", F.col("x.places").alias("place"), F.col("x.tfs").alias("tf"))
     posts = old.join(live, ["segment", "range", "place"]).select("term", "pos", "tf", "dl")
-    segment = _write(spark, path, versions.new_name("s"), posts, live.select("pos", "passage_id", "dl"))
-    return versions.commit(spark, path, index.version, {**index.version.content, "segments": [segment], "deletes": []})
+    segment = _write(spark, path, index.version.content, posts, live.select("pos", "passage_id", "dl"))
+    return versions.commit(spark, path, index.version, {**index.version.content, "segments": [segment], "last": segment["id"], "deletes": []})
 
 
 def _asked(queries: DataFrame, index: BlockIndex) -> tuple[DataFrame, DataFrame]:
