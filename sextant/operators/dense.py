@@ -117,10 +117,15 @@ def with_passages(hits: DataFrame, passages: DataFrame, drop_blank: bool = True)
 
 
 def padded_slots(hits: DataFrame, queries: DataFrame, k: int) -> DataFrame:
-    """Exactly k rows a query: ranks without a hit get passage_id -1, empty texts and score 0."""
-    grid = queries.select("qid").distinct().withColumn("rank", F.explode(F.sequence(F.lit(1), F.lit(k))))
+    """Exactly k rows a query: ranks without a hit get passage_id -1, empty texts, score 0 and, where hits have an ``embedding``, a
+    vector of zeros as wide as the query's."""
+    grid = queries.groupBy("qid").agg(*([F.max(F.size("embedding")).alias("_w")] if "embedding" in queries.columns else [F.lit(0).alias("_w")]))
+    grid = grid.withColumn("rank", F.explode(F.sequence(F.lit(1), F.lit(k))))
     out = grid.join(hits, ["qid", "rank"], "left")
-    return out.fillna({"passage_id": -1, "score": 0.0, **({"text": "", "title": ""} if "text" in hits.columns else {})})
+    if "embedding" in hits.columns:
+        zeros = F.array_repeat(F.lit(0.0), F.greatest("_w", F.lit(0))).cast(hits.schema["embedding"].dataType)
+        out = out.withColumn("embedding", F.coalesce("embedding", zeros))
+    return out.drop("_w").fillna({"passage_id": -1, "score": 0.0, **({"text": "", "title": ""} if "text" in hits.columns else {})})
 
 
 def _usable(table: DataFrame, id_: str) -> DataFrame:

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from sextant.functions.stem import stemmed
 from sextant.functions.text import term_key, terms
 from sextant.operators.dense import top_k
+from sextant.sources.readers import stored
 
 K1, B, K3 = 1.0, 0.25, 1.0
 
@@ -137,13 +138,17 @@ def grid(queries: DataFrame, passages: DataFrame, k1s: list[float], bs: list[flo
     """k1, b, qid, passage_id, score, rank: one retrieval per parameter pair from one shared join.
 
     The sums per pair are taken side by side, as columns of one aggregate, so a match is shuffled once and not
-    once a pair.
+    once a pair. A passage whose best score under any pair is below the k-th largest of the passages' worst scores has k better
+    ones under every pair, so it goes before the pairs are parted: what is ranked is some k rows a query and pair.
     """
     found = matches(queries, passages) if index is None else index_matches(queries, index)
     pairs = [(float(x), float(y)) for x in k1s for y in bs]
-    sums = [F.round(F.sum(weight_of("bm25", F.lit(x), F.lit(y))), 6).alias(f"_{i}") for i, (x, y) in enumerate(pairs)]
-    wide = found.groupBy("qid", "passage_id").agg(*sums)
-    scored = wide.select("qid", "passage_id", F.explode(F.array(*(F.struct(F.lit(x).alias("k1"), F.lit(y).alias("b"), F.col(f"_{i}").alias("score")) for i, (x, y) in enumerate(pairs)))).alias("g")).select("g.k1", "g.b", "qid", "passage_id", "g.score")
+    wide = found.groupBy("qid", "passage_id").agg(F.array(*(F.round(F.sum(weight_of("bm25", F.lit(x), F.lit(y))), 6) for x, y in pairs)).alias("s"))
+    wide = stored(wide.withColumn("best", F.array_max("s")).withColumn("worst", F.array_min("s")), "grid")
+    floor = top_k(wide.select("qid", "passage_id", F.col("worst").alias("score")), k).groupBy("qid").agg(F.min("score").alias("floor"), F.count("*").alias("_n"))
+    kept = wide.join(floor, "qid").filter((F.col("_n") < k) | (F.col("best") >= F.col("floor"))).select("qid", "passage_id", "s")
+    names = F.array(*(F.struct(F.lit(x).alias("k1"), F.lit(y).alias("b")) for x, y in pairs))
+    scored = kept.select("qid", "passage_id", F.explode(F.arrays_zip(names.alias("p"), F.col("s").alias("score"))).alias("g")).select("g.p.k1", "g.p.b", "qid", "passage_id", "g.score")
     return top_k(scored.withColumn("_q", F.struct("k1", "b", "qid")), k, by="_q").drop("_q")
 
 
