@@ -283,6 +283,9 @@ def images_of(embeddings: DataFrame) -> DataFrame:
 
 
 def op8_image_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One row per image made from ``embeddings``: its corners and the first copy of it."""
+    """One row per image made from ``embeddings``: its corners and the first copy of it.
+
+    Only vec_id and the vector are read; a row without a usable vector makes no image. An empty table gives an empty one.
+    """
     settle(spark)
     return image_copies(images_of(load(spark, sf_dir, "embeddings").select("vec_id", "embedding")))

@@ -175,6 +175,12 @@ def identify(docs: DataFrame, model: LanguageModel) -> DataFrame:
 
 
 def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row per row of ``documents``: held_out, lang_pred and score of its whole text, and whether the score is rejected.
+
+    Null texts and texts without a letter are ``und``, as is everything if no row teaches. Null languages and doc_ids
+    teach nothing; a row without a doc_id is predicted like any other. Repeated rows teach once and are predicted alike; ties go to the
+    language that is first by code points. An empty table gives an empty one. Only doc_id, text and lang are read.
+    """
     docs = load(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     model = train(*labelled_sample(docs))
     return identify(docs.select("doc_id", "text"), model).select("doc_id", held_out().alias("held_out"), "lang_pred", "score", "rejected")

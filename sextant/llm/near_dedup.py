@@ -376,6 +376,11 @@ def near_dedup(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
 
 
 def op4_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row per row of ``documents``: 3-word shingles, links at 85 percent; only doc_id and text are read.
+
+    See ``near_duplicates`` for texts without words, repeated rows and rows without a doc_id. Texts of any length are taken whole; an
+    empty table gives an empty one.
+    """
     return near_duplicates(load(spark, sf_dir, "documents"), width=3, percent=85)
 
 

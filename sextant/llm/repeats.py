@@ -452,6 +452,10 @@ def without_repeats(docs: DataFrame, keep_text: bool = True) -> DataFrame:
 
 
 def op7_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row per row of ``documents``: bytes, removed bytes and runs, and the SHA-256 of what is left.
+
+    See ``without_repeats`` for null and short texts, repeated rows, rows without a doc_id and empty tables. Only doc_id and text are read.
+    """
     out = without_repeats(load(spark, sf_dir, "documents").select("doc_id", "text"), keep_text=False)
     return out.select(F.col("row.doc_id").alias("doc_id"), *(F.col(f"cut.{c}").alias(c) for c in ("n_bytes", "n_removed", "n_spans", "kept_sha256")))
 

@@ -370,4 +370,9 @@ def read_documents(blocks: DataFrame) -> DataFrame:
 
 
 def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row per row of ``documents``, read back from the token files: start, n_tokens and the CRC-32 of its ids.
+
+    A null or empty text has the end id alone. Rows that share a doc_id stand side by side, rows without one after all others; texts of any
+    length are encoded whole. An empty table gives an empty one. Only doc_id and text are read.
+    """
     return read_documents(write_token_files(load(spark, sf_dir, "documents").select("doc_id", "text")))
