@@ -17,12 +17,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sextant.operators.dense import TARGET, _best, _dealt_blocks, _meeting, _usable, neighbour_pairs, probes_for, top_k
+from sextant.operators.dense import CORPUS_BLOCK, TARGET, _best, _dealt_blocks, _meeting, _usable, neighbour_pairs, probes_for, top_k
 from sextant.sources import versions
 
 TABLES = 6
-#: Rows that a bucket has in the mean; bits follow from it.
-BUCKET_ROWS = 512
+#: Rows that a bucket has in the mean, about a block's; bits follow from it.
+BUCKET_ROWS = CORPUS_BLOCK // 2
 FLIPS = 3
 
 
