@@ -20,13 +20,15 @@ from __future__ import annotations
 from dataclasses import dataclass
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from sextant.functions.text import terms
 from sextant.operators.dense import top_k
 from sextant.operators.resample import positions
-from sextant.operators.sparse import K1, B, bm25_weight, query_terms, stems_of
+from sextant.operators.sparse import K1, K3, B, idf, query_terms, stems_of
 from sextant.sources import versions
 from sextant.sources.readers import stored
 
@@ -192,8 +194,86 @@ def _asked(queries: DataFrame, index: BlockIndex) -> tuple[DataFrame, DataFrame]
     return stored(asked.join(df, "term"), "weights"), blocks
 
 
-def _weight(index: BlockIndex, tf: Column, dl: Column, k1: float, b: float) -> Column:
-    return bm25_weight(tf, F.col("qtf"), F.col("df"), dl, F.lit(index.n), F.lit(index.avgdl), F.lit(k1), F.lit(b))
+#: Ranges that are scored together, and queries that meet them together.
+GROUP, QUERIES = 16, 256
+
+
+def _matrices(blocks, asked: list, lengths: np.ndarray, k1: float, b: float, avgdl: float) -> tuple[list, np.ndarray]:
+    """Queries in order, and their scores of all places of a group of ranges: the product of query weights and block weights."""
+    terms = {t: i for i, t in enumerate(sorted({x["term"] for x in asked}))}
+    qids = sorted({x["qid"] for x in asked})
+    at = {q: i for i, q in enumerate(qids)}
+    w, m = np.zeros((len(qids), len(terms))), np.zeros((len(terms), len(lengths)))
+    for x in asked:
+        w[at[x["qid"]], terms[x["term"]]] = x["w"]
+    for x in blocks:
+        i = terms.get(x["term"].as_py())
+        if i is not None:
+            place = x["places"].values.to_numpy() + x["offset"].as_py()
+            tf = x["tfs"].values.to_numpy().astype(float)
+            m[i, place] = (k1 + 1) * tf / (k1 * ((1 - b) + b * lengths[place] / avgdl) + tf)
+    return qids, w @ m
+
+
+def _places(ranges, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Ids, lengths and whether they are live of all places of a group; a place without a passage is not live."""
+    ids, dls, live = np.zeros(size, np.int64), np.ones(size), np.zeros(size, bool)
+    for x in ranges:
+        at = x["offset"].as_py()
+        n = len(x["ids"])
+        ids[at : at + n], dls[at : at + n], live[at : at + n] = x["ids"].values.to_numpy(), x["dls"].values.to_numpy(), True
+        if x["dead"].is_valid:
+            live[at + x["dead"].values.to_numpy()] = False
+    return ids, dls, live
+
+
+def _best_by_range(k1: float, b: float, avgdl: float):
+    """For each query and range the best score of a live passage."""
+
+    def best(ranges: pa.Array, blocks: pa.Array, asked: pa.Array) -> pa.Array:
+        out = []
+        for r, x, q in zip(ranges, blocks, asked.to_pylist(), strict=True):
+            size = max(v["offset"].as_py() + len(v["ids"]) for v in r)
+            _, dls, live = _places(r, size)
+            qids, score = _matrices(x, q, dls, k1, b, avgdl)
+            score[:, ~live] = 0
+            found = []
+            for v in r:
+                at = v["offset"].as_py()
+                most = score[:, at : at + len(v["ids"])].max(1)
+                found += [{"qid": qids[i], "range": v["range"].as_py(), "w": float(most[i])} for i in np.flatnonzero(most > 0)]
+            out.append(found)
+        return pa.array(out, pa.list_(pa.struct([("qid", pa.int64()), ("range", pa.int64()), ("w", pa.float64())])))
+
+    return F.arrow_udf(best, "array<struct<qid:bigint,range:bigint,w:double>>")
+
+
+def _hits(k: int, k1: float, b: float, avgdl: float):
+    """For each query and range that is asked for together the k best live passages of the group."""
+
+    def best(ranges: pa.Array, blocks: pa.Array, asked: pa.Array, spans: pa.Array) -> pa.Array:
+        out = []
+        for r, x, q, some in zip(ranges, blocks, asked.to_pylist(), spans.to_pylist(), strict=True):
+            size = max(v["offset"].as_py() + len(v["ids"]) for v in r)
+            ids, dls, live = _places(r, size)
+            wanted = {(v["qid"], v["range"]) for v in some}
+            mine = {v["qid"] for v in some}
+            qids, score = _matrices(x, [v for v in q if v["qid"] in mine], dls, k1, b, avgdl)
+            found = []
+            for i, qid in enumerate(qids):
+                keep = live & (score[i] > 0)
+                for v in r:
+                    if (qid, v["range"].as_py()) not in wanted:
+                        at = v["offset"].as_py()
+                        keep[at : at + len(v["ids"])] = False
+                at = np.flatnonzero(keep)
+                s = np.round(score[i, at], 6)
+                for j in np.lexsort((ids[at], -s))[:k]:
+                    found.append({"qid": qid, "passage_id": int(ids[at[j]]), "score": float(s[j])})
+            out.append(found)
+        return pa.array(out, pa.list_(pa.struct([("qid", pa.int64()), ("passage_id", pa.int64()), ("score", pa.float64())])))
+
+    return F.arrow_udf(best, "array<struct<qid:bigint,passage_id:bigint,score:double>>")
 
 
 def pruned(queries: DataFrame, index: BlockIndex, k: int = 10, k1: float = K1, b: float = B, share: float = 0.8) -> tuple[DataFrame, DataFrame]:
@@ -201,47 +281,59 @@ def pruned(queries: DataFrame, index: BlockIndex, k: int = 10, k1: float = K1, b
 
     ``share`` of a query's largest possible score is what its leading terms hold; fewer for less, the rarest first. Blocks are
     counted as the (term, segment, range) that match a query; read ones are those whose postings were scored.
+
+    Blocks of a group of ranges come together and meet the queries in blocks, each as one product of matrices: what is shuffled are the
+    blocks, and of scores one row a query and range or the k best a query and group, never a row for each posting and query.
     """
     asked, blocks = _asked(queries, index)
-    span = ["qid", "segment", "range"]
-    # No frequency gives more than its limit, so the terms are ordered before any block is looked at.
-    most = _weight(index, F.lit(1e9), F.lit(0), k1, b)
-    by_weight = Window.partitionBy("qid").orderBy(F.desc("most"), "term")
-    before = F.sum("most").over(by_weight) - F.col("most")
-    asked = stored(asked.withColumn("most", most).withColumn("leads", before < share * F.sum("most").over(Window.partitionBy("qid"))), "leads")
+    asked = asked.withColumn("qid", F.col("qid").cast("bigint")).withColumn("w", idf(F.lit(index.n), F.col("df")) * (K3 + 1) * F.col("qtf") / (K3 + F.col("qtf")))
+    span, group = ["qid", "segment", "range"], ["segment", "group"]
+    parts = max(1, -(-asked.select("qid").distinct().count() // QUERIES))
+    # A term's largest weight is that of endless frequency, so the terms are ordered before any block is looked at.
+    by_weight = Window.partitionBy("qid").orderBy(F.desc("w"), "term")
+    asked = asked.withColumn("leads", F.sum("w").over(by_weight) - F.col("w") < share * F.sum("w").over(Window.partitionBy("qid"))).withColumn("part", F.pmod(F.xxhash64("qid"), F.lit(parts)))
+    asked = stored(asked.select("qid", "term", "w", "leads", "part"), "leads")
     lead, trail = asked.filter("leads"), asked.filter("not leads")
-
-    def weighed(found: DataFrame) -> DataFrame:
-        """qid, segment, range, place, w: one row a posting of the blocks found."""
-        lengths = index.ranges.select("segment", "range", "dls")
-        each = found.join(lengths, ["segment", "range"]).select(*span, "qtf", "df", "dls", F.explode(F.arrays_zip("places", "tfs")).alias("x"))
-        return each.select(*span, F.col("x.places").alias("place"), _weight(index, F.col("x.tfs"), F.get("dls", F.col("x.places")), k1, b).alias("w"))
-
-    leading = lead.join(blocks.select("term", "segment", "range", "places", "tfs"), "term")
-    partial = weighed(leading).groupBy(*span, "place").agg(F.sum("w").alias("w"))
-    partial = stored(partial.join(index.dead.select("segment", "range", "place"), ["segment", "range", "place"], "left_anti"), "partial")
-    largest = F.array_max(F.transform("impacts", lambda p: _weight(index, p["tf"], p["dl"], k1, b)))
-    met = trail.join(blocks.select("term", "segment", "range", "impacts"), "term").groupBy(*span).agg(F.sum(largest).alias("more"), F.count("*").alias("n"))
-    bounds = met.join(partial.groupBy(*span).agg(F.max("w").alias("w")), span, "full").select(*span, (F.coalesce("w", F.lit(0.0)) + F.coalesce("more", F.lit(0.0))).alias("bound"), F.coalesce("n", F.lit(0)).cast("bigint").alias("n"))
+    numbered, offset = F.floor(F.col("range") / GROUP).alias("group"), (F.col("range") % GROUP * RANGE).cast("int").alias("offset")
+
+    def together(terms_: DataFrame, spans: DataFrame | None) -> DataFrame:
+        """segment, group, ranges, blocks: GROUP ranges and the blocks of ``terms_`` in them, or in ``spans`` alone."""
+        near, there = blocks.join(terms_.select("term").distinct(), "term", "left_semi"), index.ranges
+        if spans is not None:
+            only = spans.select("segment", "range").distinct()
+            near, there = near.join(only, ["segment", "range"], "left_semi"), there.join(only, ["segment", "range"], "left_semi")
+        dead = index.dead.groupBy("segment", "range").agg(F.collect_list("place").alias("dead"))  # RANGE places at most
+        there = there.join(dead, ["segment", "range"], "left").select("segment", numbered, F.struct("range", offset, "ids", "dls", "dead").alias("x"))
+        near = near.select("segment", numbered, F.struct("term", offset, "places", "tfs").alias("x"))
+        return near.groupBy(*group).agg(F.collect_list("x").alias("blocks")).join(there.groupBy(*group).agg(F.collect_list("x").alias("ranges")), group)
+
+    def packed(rows: DataFrame) -> DataFrame:
+        return rows.groupBy("part").agg(F.collect_list(F.struct("qid", "term", "w")).alias("asked"))  # QUERIES queries or so
+
+    limits = k1, b, index.avgdl
+    # Every block of queries meets every group that holds a leading term: the queries are stated, the groups go once for each block.
+    met = together(lead, None).withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1)).cast("array<bigint>"))).join(packed(lead), "part")
+    tops = met.select("segment", F.explode(_best_by_range(*limits)("ranges", "blocks", "asked")).alias("x")).select("segment", "x.*")
+    limit = F.array_max(F.transform("impacts", lambda p: (k1 + 1) * p["tf"] / (k1 * ((1 - b) + b * p["dl"] / index.avgdl) + p["tf"])))
+    more = trail.join(blocks.select("term", "segment", "range", limit.alias("most")), "term").groupBy(*span).agg(F.sum(F.col("w") * F.col("most")).alias("more"), F.count("*").alias("n"))
+    bounds = more.join(tops, span, "full").select(*span, F.coalesce("w", F.lit(0.0)).alias("w"), (F.coalesce("w", F.lit(0.0)) + F.coalesce("more", F.lit(0.0))).alias("bound"), F.coalesce("n", F.lit(0)).cast("bigint").alias("n"))
     bounds = stored(bounds, "bounds")
 
     def scored(spans: DataFrame) -> DataFrame:
-        spans = spans.select(*span)
-        found = spans.join(trail, "qid").join(blocks.select("term", "segment", "range", "places", "tfs"), ["term", "segment", "range"])
-        live = weighed(found).join(index.dead.select("segment", "range", "place"), ["segment", "range", "place"], "left_anti").select(*span, "place", "w")
-        sums = live.unionByName(partial.join(spans, span, "left_semi")).groupBy(*span, "place").agg(F.round(F.sum("w"), 6).alias("score"))
-        named = sums.join(index.ranges.select("segment", "range", "ids"), ["segment", "range"])
-        return named.select("qid", F.get("ids", F.col("place")).alias("passage_id"), "score")
-
-    # The passages that lead by their leading terms give the floor: their ranges are scored in full.
-    best = top_k(partial.select(*span, F.struct("segment", "range", "place").alias("at"), F.col("w").alias("score")), 2 * k, id_="at").select(*span).distinct()
-    best = stored(best.join(bounds, span), "best")
+        wanted = spans.withColumn("part", F.pmod(F.xxhash64("qid"), F.lit(parts))).withColumn("group", F.floor(F.col("range") / GROUP))
+        wanted = wanted.groupBy(*group, "part").agg(F.collect_list(F.struct("qid", "range")).alias("spans"))
+        met = together(asked, spans).join(wanted, group).join(packed(asked), "part")
+        return met.select(F.explode(_hits(k, *limits)("ranges", "blocks", "asked", "spans")).alias("x")).select("x.*")
+
+    # The ranges with the best passages by their leading terms give the floor: they are scored in full.
+    best = top_k(bounds.select(*span, "n", F.struct("segment", "range").alias("at"), F.col("w").alias("score")), 2 * k, id_="at").select(*span, "n")
+    best = stored(best, "best")
     known = stored(scored(best), "known")
     floor = top_k(known, k).groupBy("qid").agg(F.min("score").alias("floor"), F.count("*").alias("_n")).filter(F.col("_n") == k).select("qid", "floor")
     # The floor is lowered by what rounding to 6 decimals may hide.
     rest = stored(bounds.join(best.select(*span), span, "left_anti").join(floor, "qid", "left").filter("floor IS NULL OR bound >= floor - 1e-6").select(*span, "n"), "rest")
     hits = top_k(known.unionByName(scored(rest)), k)
-    leads = leading.groupBy("qid").agg(F.count("*").alias("n"))
+    leads = lead.join(blocks.select("term"), "term").groupBy("qid").agg(F.count("*").alias("n"))
     read = leads.unionByName(best.select("qid", "n")).unionByName(rest.select("qid", "n")).groupBy("qid").agg(F.sum("n").alias("n_read"))
     every = leads.unionByName(bounds.select("qid", "n")).groupBy("qid").agg(F.sum("n").alias("n_blocks"))
     return hits, every.join(read, "qid")
