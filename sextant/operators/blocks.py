@@ -1,6 +1,6 @@
 """An inverted index of posting blocks in segments: pruned search, updates, compaction.
 
-Passages of a segment are numbered in order of their ids and cut into ranges of ``RANGE`` numbers. A block is what one
+Passages of a segment are put in order of their ids and cut into ranges of ``RANGE`` of them. A block is what one
 term has in one range: offsets from the range's first number, term frequencies, and its impacts, the pairs of
 frequency and length that no other pair of the block beats in both. From impacts follows the largest weight of the block
 under any k1 and b and whatever statistics the collection has by then, so blocks stay as they are when segments come and go.
@@ -17,11 +17,13 @@ index is a manifest (``sources.versions``): readers see an update as a whole or
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -53,20 +55,77 @@ def _impacts(pairs: Column) -> Column:
     return front.cast(kind)
 
 
-def _write(spark: SparkSession, path: str, content: dict, posts: DataFrame, docs: DataFrame) -> dict:
-    """Write one segment from postings (term, pos, tf, dl) and documents (pos, passage_id, dl); its entry of the manifest.
-
-    Its number is one above all that the index has had.
-    """
-    segment = versions.new_name("s")
+def _grouped(posts: DataFrame, docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Blocks and ranges from postings (term, pos, tf, dl) and documents (pos, passage_id, dl)."""
     span, place = F.floor(F.col("pos") / RANGE), (F.col("pos") % RANGE).cast("int")
     grouped = posts.groupBy("term", span.alias("range")).agg(F.array_sort(F.collect_list(F.struct(place.alias("place"), F.col("tf").cast("int").alias("tf"), F.col("dl").cast("int").alias("dl")))).alias("p"))  # RANGE entries at most
-    blocks = grouped.select("term", "range", F.size("p").alias("c"), F.col("p.place").alias("places"), F.col("p.tf").alias("tfs"), _impacts(F.col("p")).alias("impacts"), _bucket(F.col("term")).alias("bucket"))
+    blocks = grouped.select("term", "range", F.size("p").alias("c"), F.col("p.place").alias("places"), F.col("p.tf").alias("tfs"), _impacts(F.col("p")).alias("impacts"))
+    rows = docs.groupBy(span.alias("range")).agg(F.array_sort(F.collect_list(F.struct(place.alias("place"), "passage_id", F.col("dl").cast("int").alias("dl")))).alias("p"))
+    return blocks, rows.select("range", F.col("p.passage_id").alias("ids"), F.col("p.dl").alias("dls"))
+
+
+_BUILT = "term string, range bigint, c int, places array<int>, tfs array<int>, impacts array<struct<tf:int,dl:int>>, ids array<bigint>, dls array<int>"
+
+
+def _lists(values: np.ndarray, offsets: np.ndarray) -> pa.ListArray:
+    return pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(values))
+
+
+def _builder(width: int):
+    """Blocks and ranges of a partition of passages in order of their ids: every ``width`` of them are a range."""
+
+    def one(part: pa.RecordBatch, number: int) -> Iterator[pa.RecordBatch]:
+        listed = part.column(1)
+        dl = np.diff(listed.offsets.to_numpy()).astype(np.int32)
+        coded = listed.flatten().dictionary_encode()
+        u, tf = np.unique(coded.indices.to_numpy().astype(np.int64) * width + np.repeat(np.arange(len(dl)), dl), return_counts=True)
+        code, place = u // width, (u % width).astype(np.int32)
+        cuts = np.append(np.flatnonzero(np.append(True, code[1:] != code[:-1])) if len(code) else np.zeros(0, np.int64), len(code))
+        # Impacts: by falling frequency, a pair stays if it is shorter than all before it of its block.
+        order = np.lexsort((dl[place], -tf, code))
+        length = dl[place][order]
+        low = length.astype(np.int64) - (code[order] << 32)
+        stays = np.append(True, low[1:] < np.minimum.accumulate(low)[:-1]) if len(low) else np.zeros(0, bool)
+        kept = np.append(0, np.cumsum(np.bincount(code[order][stays], minlength=len(cuts) - 1))) if len(cuts) > 1 else np.zeros(1, np.int64)
+        pairs = pa.StructArray.from_arrays([pa.array(tf[order][stays].astype(np.int32)), pa.array(length[stays])], ["tf", "dl"])
+        n, tf = len(cuts) - 1, tf.astype(np.int32)
+        terms_, impacts = coded.dictionary.cast(pa.string()), pa.ListArray.from_arrays(pa.array(kept.astype(np.int32)), pairs)
+        nulls = [pa.nulls(n, pa.list_(t)) for t in (pa.int64(), pa.int32())]
+        names = ["term", "range", "c", "places", "tfs", "impacts", "ids", "dls"]
+        yield pa.RecordBatch.from_arrays([terms_, pa.array(np.full(n, number)), pa.array(np.diff(cuts).astype(np.int32)), _lists(place, cuts), _lists(tf, cuts), impacts, *nulls], names)
+        ids = part.column(0).to_numpy()
+        yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.string()), pa.array([number]), pa.nulls(1, pa.int32()), *(pa.nulls(1, pa.list_(pa.int32())) for _ in range(2)), pa.nulls(1, impacts.type), _lists(ids, np.array([0, len(ids)])), _lists(dl, np.array([0, len(dl)]))], names)
+
+    def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, number = None, TaskContext.get().partitionId() << 32
+        for batch in batches:
+            held = batch if held is None else pa.concat_batches([held, batch])
+            while held.num_rows >= width:
+                yield from one(pa.concat_batches([held.slice(0, width)]), number)
+                held, number = held.slice(width), number + 1
+        if held is not None and held.num_rows:
+            yield from one(pa.concat_batches([held]), number)
+
+    return build
+
+
+def _built(passages: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Blocks and ranges of the texts themselves: they are dealt by ranges of ids once, and no posting is shuffled.
+
+    What the tasks make is written once, so blocks and ranges agree on the numbers whatever is run again.
+    """
+    dealt = passages.repartitionByRange("passage_id").sortWithinPartitions("passage_id")
+    made = stored(dealt.select("passage_id", terms(F.col("text")).alias("terms")).mapInArrow(_builder(RANGE), _BUILT), "built")
+    return made.filter("term IS NOT NULL").drop("ids", "dls"), made.filter("ids IS NOT NULL").select("range", "ids", "dls")
+
+
+def _write(spark: SparkSession, path: str, content: dict, blocks: DataFrame, ranges: DataFrame) -> dict:
+    """Write one segment; its entry of the manifest. Its number is one above all that the index has had."""
+    segment = versions.new_name("s")
     # By range of term and passage, so that the blocks of a frequent term are many tasks' work and files.
-    dealt = blocks.repartitionByRange("bucket", "term", "range").sortWithinPartitions("bucket", "term", "range")
+    dealt = blocks.withColumn("bucket", _bucket(F.col("term"))).repartitionByRange("bucket", "term", "range").sortWithinPartitions("bucket", "term", "range")
     dealt.write.partitionBy("bucket").parquet(f"{path}/{segment}/blocks")
-    rows = docs.groupBy(span.alias("range")).agg(F.array_sort(F.collect_list(F.struct(place.alias("place"), "passage_id", F.col("dl").cast("int").alias("dl")))).alias("p"))
-    rows.select("range", F.col("p.passage_id").alias("ids"), F.col("p.dl").alias("dls")).write.parquet(f"{path}/{segment}/ranges")
+    ranges.write.parquet(f"{path}/{segment}/ranges")
     written = spark.read.schema("dls array<int>").parquet(f"{path}/{segment}/ranges")
     total = written.agg(F.coalesce(F.sum(F.size("dls")), F.lit(0)).alias("n"), F.coalesce(F.sum(F.aggregate("dls", F.lit(0).cast("bigint"), lambda s, x: s + x)), F.lit(0)).alias("dl")).first()
     return {"folder": segment, "id": content.get("last", 0) + 1, "n": total["n"], "dl": total["dl"]}
@@ -105,16 +164,13 @@ def open_blocks(spark: SparkSession, path: str) -> BlockIndex:
     return BlockIndex(_parts(spark, path, folders, "blocks", _BLOCK, "segment"), _parts(spark, path, folders, "ranges", _RANGES, "segment"), _parts(spark, path, gone, "dead", _DEAD, "batch"), _parts(spark, path, gone, "taken", _TAKEN, "batch"), n, dl / n if dl else 1.0, bool(v.content.get("stem", False)), v)
 
 
-def _postings(passages: DataFrame, stem: bool) -> tuple[DataFrame, DataFrame]:
-    """Postings (term, pos, tf, dl) and documents (passage_id, dl, pos); the numbers are dealt out over ids and lengths alone."""
-    good = passages.filter("passage_id IS NOT NULL").select(F.col("passage_id").cast("bigint"), terms(F.col("text")).alias("terms"))
-    docs = positions(good.select("passage_id", F.size("terms").alias("dl")), "passage_id")
-    # A join by passage leaves a passage's rows together, so counting its terms shuffles nothing more.
-    each = good.join(docs, "passage_id").select("passage_id", "pos", "dl", F.explode("terms").alias("term"))
-    posts = each.groupBy("passage_id", "pos", "dl", "term").agg(F.count("*").alias("tf")).select("term", "pos", "dl", "tf")
-    if stem:
-        posts = stems_of(posts.withColumn("at", F.struct("pos", "dl")), "at", "tf").select("term", "at.pos", "at.dl", "tf")
-    return posts, docs
+def _stemmed(blocks: DataFrame, ranges: DataFrame) -> DataFrame:
+    """Blocks by English stem: those of terms with one stem become one, from their postings."""
+    rows = blocks.select("term", "range", F.explode(F.arrays_zip("places", "tfs")).alias("x")).select("term", F.struct("range", F.col("x.places").alias("place")).alias("at"), F.col("x.tfs").alias("tf"))
+    posts = stems_of(rows, "at", "tf").select("term", "at.*", "tf").join(ranges.select("range", "dls"), "range")
+    entry = F.struct("place", F.col("tf").cast("int").alias("tf"), F.get("dls", F.col("place")).alias("dl"))
+    grouped = posts.groupBy("term", "range").agg(F.array_sort(F.collect_list(entry)).alias("p"))  # RANGE entries at most
+    return grouped.select("term", "range", F.size("p").alias("c"), F.col("p.place").alias("places"), F.col("p.tf").alias("tfs"), _impacts(F.col("p")).alias("impacts"))
 
 
 def _bury(spark: SparkSession, path: str, index: BlockIndex, ids: DataFrame) -> dict | None:
@@ -150,9 +206,11 @@ def add(passages: DataFrame, path: str, stem: bool = False, batch: int | None =
     if batch is not None and batch <= content.get("batch", -1):
         return index.version
     stem = index.stem if content else stem
-    posts, docs = _postings(passages, stem)
-    buried = _bury(spark, path, index, docs.select("passage_id"))
-    segment = _write(spark, path, content, posts, docs)
+    made, ranges = _built(passages.filter("passage_id IS NOT NULL").select(F.col("passage_id").cast("bigint"), "text"))
+    if stem:
+        made = _stemmed(made, ranges)
+    buried = _bury(spark, path, index, ranges.select(F.explode("ids").alias("passage_id")))
+    segment = _write(spark, path, content, made, ranges)
     deletes = content.get("deletes", []) + ([buried] if buried else [])
     return versions.commit(spark, path, index.version, {"segments": [*content.get("segments", []), segment], "last": segment["id"], "deletes": deletes, "stem": stem, "batch": content.get("batch", -1) if batch is None else batch})
 
@@ -176,7 +234,7 @@ def compact(spark: SparkSession, path: str) -> versions.Version:
     live = positions(spots.join(index.dead.select("segment", "range", "place"), ["segment", "range", "place"], "left_anti"), "passage_id")
     old = index.blocks.select("term", "segment", "range", F.explode(F.arrays_zip("places", "tfs")).alias("x")).select("term", "segment", "range", F.col("x.places").alias("place"), F.col("x.tfs").alias("tf"))
     posts = old.join(live, ["segment", "range", "place"]).select("term", "pos", "tf", "dl")
-    segment = _write(spark, path, index.version.content, posts, live.select("pos", "passage_id", "dl"))
+    segment = _write(spark, path, index.version.content, *_grouped(posts, live.select("pos", "passage_id", "dl")))
     return versions.commit(spark, path, index.version, {**index.version.content, "segments": [segment], "last": segment["id"], "deletes": []})
 
 
