@@ -34,10 +34,11 @@ from sextant.operators.sparse import K1, K3, B, idf, query_terms, stems_of
 from sextant.sources import versions
 from sextant.sources.readers import stored
 
+#: Passages of a range: offsets fit into a byte.
 RANGE = 128
 #: Folders that terms are dealt to by hash; a search lists those of its terms and reads no other.
 BUCKETS = 32
-_BLOCK = "term string, range bigint, c int, places array<int>, tfs array<int>, impacts array<struct<tf:int,dl:int>>, segment int, bucket int"
+_BLOCK = "term string, range bigint, c int, places array<tinyint>, tfs array<int>, high array<int>, short array<int>, segment int, bucket int"
 _RANGES = "range bigint, ids array<bigint>, dls array<int>, segment int"
 _DEAD = "segment int, range bigint, place int, dl int, batch string"
 _TAKEN = "term string, c bigint, batch string"
@@ -47,24 +48,25 @@ def _bucket(term: Column) -> Column:
     return F.pmod(F.xxhash64(term), F.lit(BUCKETS)).cast("int")
 
 
-def _impacts(pairs: Column) -> Column:
-    """Of (tf, dl) pairs those that no pair with as high a frequency and as short a length replaces."""
+def _impacts(pairs: Column) -> list[Column]:
+    """Of (tf, dl) pairs those that no pair with as high a frequency and as short a length replaces: high and short, their halves."""
     kind = "array<struct<tf:int,dl:int>>"
     ordered = F.array_sort(F.transform(pairs, lambda p: F.struct((-p["tf"]).alias("t"), p["dl"].alias("dl"))))
     front = F.aggregate(ordered, F.array().cast(kind), lambda a, p: F.when((F.size(a) == 0) | (p["dl"] < F.element_at(a, -1)["dl"]), F.concat(a, F.array(F.struct((-p["t"]).alias("tf"), p["dl"].alias("dl"))))).otherwise(a))
-    return front.cast(kind)
+    front = front.cast(kind)
+    return [front["tf"].alias("high"), front["dl"].alias("short")]
 
 
 def _grouped(posts: DataFrame, docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Blocks and ranges from postings (term, pos, tf, dl) and documents (pos, passage_id, dl)."""
     span, place = F.floor(F.col("pos") / RANGE), (F.col("pos") % RANGE).cast("int")
     grouped = posts.groupBy("term", span.alias("range")).agg(F.array_sort(F.collect_list(F.struct(place.alias("place"), F.col("tf").cast("int").alias("tf"), F.col("dl").cast("int").alias("dl")))).alias("p"))  # RANGE entries at most
-    blocks = grouped.select("term", "range", F.size("p").alias("c"), F.col("p.place").alias("places"), F.col("p.tf").alias("tfs"), _impacts(F.col("p")).alias("impacts"))
+    blocks = grouped.select("term", "range", F.size("p").alias("c"), F.col("p.place").cast("array<tinyint>").alias("places"), F.col("p.tf").alias("tfs"), *_impacts(F.col("p")))
     rows = docs.groupBy(span.alias("range")).agg(F.array_sort(F.collect_list(F.struct(place.alias("place"), "passage_id", F.col("dl").cast("int").alias("dl")))).alias("p"))
     return blocks, rows.select("range", F.col("p.passage_id").alias("ids"), F.col("p.dl").alias("dls"))
 
 
-_BUILT = "term string, range bigint, c int, places array<int>, tfs array<int>, impacts array<struct<tf:int,dl:int>>, ids array<bigint>, dls array<int>"
+_BUILT = "term string, range bigint, c int, places array<tinyint>, tfs array<int>, high array<int>, short array<int>, ids array<bigint>, dls array<int>"
 
 
 def _lists(values: np.ndarray, offsets: np.ndarray) -> pa.ListArray:
@@ -87,14 +89,14 @@ def _builder(width: int):
         low = length.astype(np.int64) - (code[order] << 32)
         stays = np.append(True, low[1:] < np.minimum.accumulate(low)[:-1]) if len(low) else np.zeros(0, bool)
         kept = np.append(0, np.cumsum(np.bincount(code[order][stays], minlength=len(cuts) - 1))) if len(cuts) > 1 else np.zeros(1, np.int64)
-        pairs = pa.StructArray.from_arrays([pa.array(tf[order][stays].astype(np.int32)), pa.array(length[stays])], ["tf", "dl"])
+        high, short = (_lists(v, kept) for v in (tf[order][stays].astype(np.int32), length[stays]))
         n, tf = len(cuts) - 1, tf.astype(np.int32)
-        terms_, impacts = coded.dictionary.cast(pa.string()), pa.ListArray.from_arrays(pa.array(kept.astype(np.int32)), pairs)
+        terms_ = coded.dictionary.cast(pa.string())
         nulls = [pa.nulls(n, pa.list_(t)) for t in (pa.int64(), pa.int32())]
-        names = ["term", "range", "c", "places", "tfs", "impacts", "ids", "dls"]
-        yield pa.RecordBatch.from_arrays([terms_, pa.array(np.full(n, number)), pa.array(np.diff(cuts).astype(np.int32)), _lists(place, cuts), _lists(tf, cuts), impacts, *nulls], names)
+        names = ["term", "range", "c", "places", "tfs", "high", "short", "ids", "dls"]
+        yield pa.RecordBatch.from_arrays([terms_, pa.array(np.full(n, number)), pa.array(np.diff(cuts).astype(np.int32)), _lists(place.astype(np.int8), cuts), _lists(tf, cuts), high, short, *nulls], names)
         ids = part.column(0).to_numpy()
-        yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.string()), pa.array([number]), pa.nulls(1, pa.int32()), *(pa.nulls(1, pa.list_(pa.int32())) for _ in range(2)), pa.nulls(1, impacts.type), _lists(ids, np.array([0, len(ids)])), _lists(dl, np.array([0, len(dl)]))], names)
+        yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.string()), pa.array([number]), pa.nulls(1, pa.int32()), pa.nulls(1, pa.list_(pa.int8())), *(pa.nulls(1, pa.list_(pa.int32())) for _ in range(3)), _lists(ids, np.array([0, len(ids)])), _lists(dl, np.array([0, len(dl)]))], names)
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, number = None, TaskContext.get().partitionId() << 32
@@ -166,11 +168,11 @@ def open_blocks(spark: SparkSession, path: str) -> BlockIndex:
 
 def _stemmed(blocks: DataFrame, ranges: DataFrame) -> DataFrame:
     """Blocks by English stem: those of terms with one stem become one, from their postings."""
-    rows = blocks.select("term", "range", F.explode(F.arrays_zip("places", "tfs")).alias("x")).select("term", F.struct("range", F.col("x.places").alias("place")).alias("at"), F.col("x.tfs").alias("tf"))
+    rows = blocks.select("term", "range", F.explode(F.arrays_zip("places", "tfs")).alias("x")).select("term", F.struct("range", F.col("x.places").cast("int").alias("place")).alias("at"), F.col("x.tfs").alias("tf"))
     posts = stems_of(rows, "at", "tf").select("term", "at.*", "tf").join(ranges.select("range", "dls"), "range")
     entry = F.struct("place", F.col("tf").cast("int").alias("tf"), F.get("dls", F.col("place")).alias("dl"))
     grouped = posts.groupBy("term", "range").agg(F.array_sort(F.collect_list(entry)).alias("p"))  # RANGE entries at most
-    return grouped.select("term", "range", F.size("p").alias("c"), F.col("p.place").alias("places"), F.col("p.tf").alias("tfs"), _impacts(F.col("p")).alias("impacts"))
+    return grouped.select("term", "range", F.size("p").alias("c"), F.col("p.place").cast("array<tinyint>").alias("places"), F.col("p.tf").alias("tfs"), *_impacts(F.col("p")))
 
 
 def _bury(spark: SparkSession, path: str, index: BlockIndex, ids: DataFrame) -> dict | None:
@@ -232,7 +234,7 @@ def compact(spark: SparkSession, path: str) -> versions.Version:
         return index.version
     spots = index.ranges.select("segment", "range", F.posexplode(F.arrays_zip("ids", "dls")).alias("place", "x")).select("segment", "range", "place", F.col("x.ids").alias("passage_id"), F.col("x.dls").alias("dl"))
     live = positions(spots.join(index.dead.select("segment", "range", "place"), ["segment", "range", "place"], "left_anti"), "passage_id")
-    old = index.blocks.select("term", "segment", "range", F.explode(F.arrays_zip("places", "tfs")).alias("x")).select("term", "segment", "range", F.col("x.places").alias("place"), F.col("x.tfs").alias("tf"))
+    old = index.blocks.select("term", "segment", "range", F.explode(F.arrays_zip("places", "tfs")).alias("x")).select("term", "segment", "range", F.col("x.places").cast("int").alias("place"), F.col("x.tfs").alias("tf"))
     posts = old.join(live, ["segment", "range", "place"]).select("term", "pos", "tf", "dl")
     segment = _write(spark, path, index.version.content, *_grouped(posts, live.select("pos", "passage_id", "dl")))
     return versions.commit(spark, path, index.version, {**index.version.content, "segments": [segment], "last": segment["id"], "deletes": []})
@@ -267,7 +269,7 @@ def _matrices(blocks, asked: list, lengths: np.ndarray, k1: float, b: float, avg
     for x in blocks:
         i = terms.get(x["term"].as_py())
         if i is not None:
-            place = x["places"].values.to_numpy() + x["offset"].as_py()
+            place = x["places"].values.to_numpy().astype(np.int64) + x["offset"].as_py()
             tf = x["tfs"].values.to_numpy().astype(float)
             m[i, place] = (k1 + 1) * tf / (k1 * ((1 - b) + b * lengths[place] / avgdl) + tf)
     return qids, w @ m
@@ -372,7 +374,7 @@ def pruned(queries: DataFrame, index: BlockIndex, k: int = 10, k1: float = K1, b
     # Every block of queries meets every group that holds a leading term: the queries are stated, the groups go once for each block.
     met = together(lead, None).withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1)).cast("array<bigint>"))).join(packed(lead), "part")
     tops = met.select("segment", F.explode(_best_by_range(*limits)("ranges", "blocks", "asked")).alias("x")).select("segment", "x.*")
-    limit = F.array_max(F.transform("impacts", lambda p: (k1 + 1) * p["tf"] / (k1 * ((1 - b) + b * p["dl"] / index.avgdl) + p["tf"])))
+    limit = F.array_max(F.zip_with("high", "short", lambda tf, dl: (k1 + 1) * tf / (k1 * ((1 - b) + b * dl / index.avgdl) + tf)))
     more = trail.join(blocks.select("term", "segment", "range", limit.alias("most")), "term").groupBy(*span).agg(F.sum(F.col("w") * F.col("most")).alias("more"), F.count("*").alias("n"))
     bounds = more.join(tops, span, "full").select(*span, F.coalesce("w", F.lit(0.0)).alias("w"), (F.coalesce("w", F.lit(0.0)) + F.coalesce("more", F.lit(0.0))).alias("bound"), F.coalesce("n", F.lit(0)).cast("bigint").alias("n"))
     bounds = stored(bounds, "bounds")

@@ -50,7 +50,7 @@ def test_blocks_hold_what_they_say(spark, built):
     _, path = built
     for r in blocks.open_blocks(spark, path).blocks.filter("term = 'w1'").collect():
         assert r["c"] == len(r["places"]) == len(r["tfs"]) <= 16 and r["places"] == sorted(set(r["places"]))
-        assert max(i["tf"] for i in r["impacts"]) == max(r["tfs"]) and [i["tf"] for i in r["impacts"]] == sorted((i["tf"] for i in r["impacts"]), reverse=True)
+        assert r["high"][0] == max(r["tfs"]) and r["high"] == sorted(set(r["high"]), reverse=True) and r["short"] == sorted(set(r["short"]), reverse=True)
 
 
 def test_three_batches_a_replacement_and_a_removal_equal_a_fresh_build(spark, tmp_path):
