@@ -133,6 +133,16 @@ def numbered(tokens_: Column) -> Column:
     )
 
 
+def counted(tokens_: Column) -> Column:
+    """Array of (term, tf): the distinct entries in order and how often each occurs. One sort; no row meets another."""
+
+    def runs(s: Column, first: Column) -> Column:
+        return F.transform(first, lambda b, j: F.struct(F.get(s, b).alias("term"), (F.coalesce(F.get(first, j + 1), F.size(s)) - b).cast("bigint").alias("tf")))
+
+    starts = lambda s: F.filter(F.transform(s, lambda t, i: F.when((i == 0) | (F.get(s, i - 1) != t), i)), lambda i: i.isNotNull())
+    return bound(F.array_sort(tokens_), lambda s: bound(starts(s), lambda first: runs(s, first)))
+
+
 def multiset_overlap(a: Column, b: Column) -> Column:
     """Tokens that two arrays share, each as often as in both."""
     return F.size(F.array_intersect(numbered(a), numbered(b)))

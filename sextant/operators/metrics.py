@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from sextant.functions.text import any_answer_in, best_over, exact_match, token_f1
 from sextant.functions.vector import dot, finite
+from sextant.sources.readers import listed, stored
 
 
 def answer_scores(rows: DataFrame, normalize: bool = True) -> DataFrame:
@@ -27,8 +28,8 @@ def recall_at(hits: DataFrame, questions: DataFrame, passages: DataFrame, ks: li
     passage) is tested once, however many parameter rows retrieve it.
     """
     by = params.columns if params is not None else []
-    met = hits.select("qid", "passage_id").distinct()
-    tested = met.join(questions.select("qid", "answers"), "qid").join(passages.select("passage_id", "text"), "passage_id")
+    met = stored(hits.select("qid", "passage_id").distinct(), "met")  # ids alone go to the texts, so those that no hit names are not shuffled
+    tested = passages.select("passage_id", "text").join(listed(met), "passage_id").join(questions.select("qid", "answers"), "qid")
     right = tested.filter(any_answer_in(F.col("answers"), F.col("text"))).select("qid", "passage_id")
     first = hits.join(right, ["qid", "passage_id"]).groupBy(*by, "qid").agg(F.min("rank").alias("first"))
     n = questions.select("qid").distinct().agg(F.count("*").alias("n"))  # one row

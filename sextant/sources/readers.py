@@ -189,7 +189,7 @@ def inverted_index(spark: SparkSession, path: str):
     from sextant.operators.sparse import Index
 
     tables = versions.opened(spark, path)
-    return Index(tables["postings"], tables["doc_stats"], tables["corpus"], bool(versions.latest(spark, path).content["stem"]))
+    return Index(tables["postings"], tables["doc_stats"], tables["corpus"], bool(versions.latest(spark, path).content["stem"]), tables.get("stems"))
 
 
 def scratch(spark: SparkSession, name: str) -> str:
@@ -214,6 +214,15 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: Narrow rows up to which a list is broadcast.
+BROADCAST_ROWS = 1 << 18
+
+
+def listed(df: DataFrame) -> DataFrame:
+    """``df``, a written table of narrow rows, marked for broadcast if its count allows; else joins shuffle by key."""
+    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+
+
 def catalog(entries: DataFrame, name: str) -> DataFrame:
     """The entries of a resource table (key, url, extension, compressed, description) of that key, else of that prefix."""
     exact = entries.filter(F.col("key") == name)

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from sextant.operators import sparse
 from sextant.sources import versions
-from sextant.sources.readers import stored
 
 
 def metadata_jsonl(passages: DataFrame, path: str) -> None:
@@ -22,13 +22,23 @@ def vectors_parquet(index: DataFrame, path: str, partition: str | None = None) -
 def inverted_index(index, path: str) -> None:
     """The tables of an ``Index``, published together: readers see the version before until all are there.
 
-    Postings are dealt by ranges of term and passage, so a frequent term is several tasks' work and files; the width
-    follows the data. ``operators.blocks`` is the index to search at scale.
+    Postings stay with their passages: each file has those of some passages in order of terms, so no posting is shuffled, none is
+    far from its passage's others, and a frequent term is every file's. ``operators.blocks`` is the index to search at scale.
     """
-    stats = stored(index.doc_stats, "stats")
-    total = stats.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
-    posts = index.postings.repartitionByRange("term", "passage_id").sortWithinPartitions("term", "passage_id")
-    versions.publish(index.postings.sparkSession, path, {"postings": posts, "doc_stats": stats, "corpus": total}, stem=index.stem)
+    spark = index.postings.sparkSession
+    base, folder = versions.latest(spark, path), versions.new_name()
+
+    def written(name: str, df: DataFrame) -> DataFrame:
+        df.write.parquet(f"{path}/{folder}/{name}")
+        return spark.read.schema(df.schema).parquet(f"{path}/{folder}/{name}")
+
+    posts = written("postings", index.postings.sortWithinPartitions("term", "passage_id"))
+    stats = written("doc_stats", index.doc_stats)
+    written("corpus", sparse.index_stats(stats))
+    if index.stem:
+        written("stems", sparse.vocabulary_stems(posts))
+    names = ["postings", "doc_stats", "corpus", *["stems"] * index.stem]
+    versions.commit(spark, path, base, {"tables": {name: f"{folder}/{name}" for name in names}, "stem": index.stem})
 
 
 def passages_tsv(passages: DataFrame, path: str) -> None:
