@@ -9,7 +9,9 @@ whatever the lengths.
 
 A search walks all shards for a block of queries at once: a beam of the ``ef`` best rows seen starts from
 a few scored entries, and each round expands the best rows of the beam that have not been, until none is left. More
-``ef`` means more rows scored and a better recall; the share scored is reported.
+``ef`` means more rows scored and a better recall; the share scored is reported. How many an index needs depends on how much
+structure its vectors have, so ``write`` measures it: the first power of two that finds enough of the exact neighbours of a
+sample of rows is kept with the index and is what a search takes.
 """
 
 from __future__ import annotations
@@ -22,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sextant.operators.dense import top_k
+from sextant.operators.dense import ASKED, NEIGHBOURS, TARGET, _sampled, dense_topk, top_k
 from sextant.sources import versions
 from sextant.sources.readers import stored
 
@@ -34,6 +36,8 @@ NEAR, LINKS, ROUNDS, CHUNK, JOIN = 24, 40, 3, 1024, 8
 #: Random partings that the descent starts from, and rows of their leaves.
 TREES, LEAF = 8, 2048
 QUERIES = 2048
+#: The least beam that is measured, and entries of beams that are held at once.
+EF, BEAMS = 64, 1 << 22
 _SHARD = "shard int, ids binary, matrix binary, links binary, width int"
 
 
@@ -200,6 +204,8 @@ def _build(table: pa.Table) -> pa.Table:
 class GraphIndex:
     shards: DataFrame  # shard, ids, matrix, links, width
     n: int
+    ef: int = EF
+    recall: float = 1.0
 
 
 def usable(table: DataFrame, id_: str) -> DataFrame:
@@ -217,16 +223,41 @@ def build(index: DataFrame) -> DataFrame:
     return dealt.select("width", "shard", "passage_id", "embedding").groupBy("width", "shard").applyInArrow(_build, _SHARD)
 
 
-def write(index: DataFrame, path: str) -> GraphIndex:
-    """Build the index of ``index`` and publish it at ``path``; readers see the one before until it is whole."""
+def _count(shards: DataFrame) -> int:
+    return shards.agg(F.coalesce(F.sum(F.octet_length("ids")), F.lit(0))).first()[0] // 8
+
+
+def measured(index: DataFrame, graph: GraphIndex, target: float = TARGET) -> tuple[int, float]:
+    """The least beam, a power of two, that finds ``target`` of the exact neighbours of a sample of rows, and what it finds of them.
+
+    A beam of all rows of a shard is an exact search, so there is one.
+    """
+    good = usable(index, "passage_id")
+    some = stored(_sampled(good, "passage_id", ASKED).withColumnRenamed("passage_id", "qid"), "sample")
+    exact = stored(dense_topk(some, good, NEIGHBOURS, skip_self=True).select("qid", "passage_id"), "neighbours")
+    ef, found = EF, 1.0
+    while exact.head(1):
+        found = recall(search(some, graph, NEIGHBOURS, ef, skip_self=True)[0], exact).first()[0]
+        if found >= target or ef >= 2 * SHARD:
+            break
+        ef *= 2
+    return ef, found
+
+
+def write(index: DataFrame, path: str, target: float = TARGET) -> GraphIndex:
+    """Build the index of ``index``, measure the beam it needs and publish it at ``path``; readers see the one before until it is whole."""
     spark = index.sparkSession
-    versions.publish(spark, path, {"shards": build(index)})
+    base, folder = versions.latest(spark, path), f"{versions.new_name()}/shards"
+    build(index).write.parquet(f"{path}/{folder}")
+    shards = spark.read.schema(_SHARD).parquet(f"{path}/{folder}")
+    ef, found = measured(index, GraphIndex(shards, _count(shards)), target)
+    versions.commit(spark, path, base, {"tables": {"shards": folder}, "ef": ef, "recall": found})
     return open_graph(spark, path)
 
 
 def open_graph(spark: SparkSession, path: str) -> GraphIndex:
-    shards = versions.opened(spark, path)["shards"]
-    return GraphIndex(shards, shards.agg(F.coalesce(F.sum(F.octet_length("ids")), F.lit(0))).first()[0] // 8)
+    shards, about = versions.opened(spark, path)["shards"], versions.latest(spark, path).content
+    return GraphIndex(shards, _count(shards), about.get("ef", EF), about.get("recall", 1.0))
 
 
 def _walks(k: int, ef: int, skip_self: bool):
@@ -240,7 +271,7 @@ def _walks(k: int, ef: int, skip_self: bool):
                 links = np.frombuffer(one["links"].as_buffer(), np.int32).reshape(len(x), -1)
                 qids = one["q_ids"].values.to_numpy()
                 q = np.asarray(one["q_embeddings"].values.flatten(), np.float32).reshape(-1, w)
-                part = max(1, (1 << 25) // len(x))  # queries whose rows seen are marked at once, in 32 MB
+                part = max(1, min((1 << 25) // len(x), BEAMS // ef))  # queries at once: the rows that they have seen are marked in 32 MB
                 for begin in range(0, len(q), part):
                     some, own = q[begin : begin + part], qids[begin : begin + part]
                     at, _, scored = walk(some, x, links, k + skip_self, ef)
@@ -255,17 +286,17 @@ def _walks(k: int, ef: int, skip_self: bool):
     return walks
 
 
-def search(queries: DataFrame, index: GraphIndex, k: int = 10, ef: int = 64, skip_self: bool = False) -> tuple[DataFrame, DataFrame]:
+def search(queries: DataFrame, index: GraphIndex, k: int = 10, ef: int | None = None, skip_self: bool = False) -> tuple[DataFrame, DataFrame]:
     """Hits (qid, passage_id, score of 6 decimals, rank) and the rows scored (qid, scored, share of all rows).
 
-    ``ef`` is the beam kept in each shard. Queries meet shards of their width alone. Scores are exact, hits may be missed.
+    ``ef`` is the beam kept in each shard (default: as was measured). Queries meet shards of their width alone. Scores are exact, hits may be missed.
     """
     asked = usable(queries, "qid").withColumn("width", F.size("embedding"))
     spots = index.shards.select("width", "shard")  # one narrow row a shard
     per = asked.join(spots, "width").withColumn("_b", F.pmod(F.xxhash64("qid"), F.lit(max(1, -(-queries.count() // QUERIES)))))
     blocks = per.groupBy("width", "shard", "_b").agg(F.collect_list("qid").alias("q_ids"), F.collect_list("embedding").alias("q_embeddings")).drop("_b")
     met = index.shards.join(blocks, ["width", "shard"]).select("ids", "matrix", "links", "width", "q_ids", "q_embeddings")
-    found = stored(met.mapInArrow(_walks(k, ef, skip_self), "qid bigint, passage_id bigint, score double, scored bigint"), "walks")
+    found = stored(met.mapInArrow(_walks(k, ef or index.ef, skip_self), "qid bigint, passage_id bigint, score double, scored bigint"), "walks")
     hits = top_k(found.filter("scored IS NULL").select("qid", "passage_id", "score"), k)
     scored = found.filter("scored IS NOT NULL").groupBy("qid").agg(F.sum("scored").alias("scored"))
     return hits, scored.withColumn("share", F.col("scored") / F.lit(float(index.n or 1)))

@@ -53,6 +53,18 @@ def test_graph(spark, data, tmp_path, monkeypatch):
     assert graph.search(own, g, 3, 32, skip_self=True)[0].filter("qid = passage_id").count() == 0
 
 
+def test_graph_of_vectors_without_structure(spark, tmp_path):
+    """A beam of 64 finds too few of their neighbours; the one that is measured finds enough."""
+    x = np.random.default_rng(7).normal(size=(12000, 64)).astype(np.float32)
+    index = table(spark, x, INDEX).repartition(4).cache()
+    asked = index.filter("passage_id % 100 = 0").withColumnRenamed("passage_id", "qid")
+    exact = dense.dense_topk(asked, index, 10).cache()
+    g = graph.write(index, str(tmp_path / "g"))
+    assert graph.recall(graph.search(asked, g, 10, 64)[0], exact).first()[0] < 0.9
+    assert g.ef > 64 and g.recall >= 0.95 and graph.open_graph(spark, str(tmp_path / "g")).ef == g.ef
+    assert graph.recall(graph.search(asked, g, 10)[0], exact).first()[0] >= 0.9
+
+
 def test_descent_finds_neighbours():
     x = graph._even(latent(5000, seed=2))
     near = graph.descend(x)
