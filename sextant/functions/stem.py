@@ -20,6 +20,8 @@ DOUBLES = ("bb", "dd", "ff", "gg", "mm", "nn", "pp", "rr", "tt")
 STEP_2 = {"ization": "ize", "ational": "ate", "fulness": "ful", "ousness": "ous", "iveness": "ive", "tional": "tion", "biliti": "ble", "lessli": "less", "entli": "ent", "ation": "ate", "alism": "al", "aliti": "al", "ousli": "ous", "iviti": "ive", "fulli": "ful", "enci": "ence", "anci": "ance", "abli": "able", "izer": "ize", "ator": "ate", "alli": "al", "bli": "ble"}
 STEP_3 = {"ational": "ate", "tional": "tion", "alize": "al", "icate": "ic", "iciti": "ic", "ical": "ic", "ful": "", "ness": ""}
 STEP_4 = ("ement", "ance", "ence", "able", "ible", "ment", "ant", "ent", "ism", "ate", "iti", "ous", "ive", "ize", "al", "er", "ic")
+#: Last letters of every ending that a step looks at: a term with any other stays as it is.
+TOUCHED = "cdegilmnrsty"
 VOWEL, OTHER = "[aeiouy]", "[^aeiouy]"
 
 
@@ -97,4 +99,4 @@ def stemmed(term: str) -> Column:
         fields = ", ".join(f"'{k}', v.{k}" for k in known)
         value = f"get(transform(array({value}), v -> named_struct({fields}, '{name}', {body})), 0)"
         known.append(name)
-    return F.expr(f"{value}.stem_9")
+    return F.expr(f"CASE WHEN right(`{term}`, 1) IN ({', '.join(map(repr, TOUCHED))}) THEN {value}.stem_9 ELSE lower(`{term}`) END")

@@ -23,3 +23,12 @@ def test_steps_stay_small_under_filters(spark):
 @pytest.mark.parametrize("word", ["a1", "é", "日本", "x"])
 def test_odd_terms(spark, word):
     assert spark.createDataFrame([(word,)], "term string").select(stem.stemmed("term").alias("s")).first()["s"] == word
+
+
+def test_other_last_letters_change_nothing(spark):
+    """Every ending of the steps has a last letter that is looked at; the long way is not taken for other terms."""
+    endings = [*stem.STEP_2, *stem.STEP_3, *stem.STEP_4, *stem.SPECIAL, *stem.INVARIANT, *stem.AFTER_1A, "ative", "ion", "logi", "li", "sses", "ied", "eed", "ingly", "y", "e", "ll"]
+    assert {e[-1] for e in endings} == set(stem.TOUCHED)
+    terms = ["yoyo", "boyish", "ab", "x1", "schö", "tyk", "", None]
+    df = spark.createDataFrame([(t,) for t in terms], "term string")
+    assert [r[0] for r in df.select(stem.stemmed("term")).collect()] == terms
