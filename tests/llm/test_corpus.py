@@ -267,6 +267,23 @@ def test_words_are_enough_for_the_tokenizer():
         assert mine.encode([t])[0].tolist() == plain.encode(t, add_special_tokens=False).ids
 
 
+def test_texts_in_arrow_are_encoded_as_the_library_does():
+    import pyarrow as pa
+    from tokenizers import Tokenizer
+
+    plain, mine, rng = Tokenizer.from_file(token_files.default_vocabulary()), token_files.Encoder(token_files.default_vocabulary()), random.Random(3)
+    bits = ["a", "The", "ÀÉ", "ß", "ñ", "ÿ", "Ł", "×", "endoftext", "'s", ".", "?!", "....", "7", "$", " ", " ", "\n", "\x0b", "\x1c", "\u00a0", "w" * 41]
+    texts = ["".join(rng.choice(bits) for _ in range(rng.randint(0, 30))) for _ in range(2000)] + [None, "", " ", " x ", "reblethoning toanonndsh,"]
+    whole = pa.array(texts, pa.string())
+    assert mine.forms is not None  # words of letters go straight to the library's model
+    for begin, end in ((0, 700), (700, 700), (700, len(texts))):
+        want = [plain.encode(t or "", add_special_tokens=False).ids for t in texts[begin:end]]
+        assert [x.tolist() for x in mine.encode(whole.slice(begin, end - begin))] == want
+    mine.forms = None
+    mine.known = {}
+    assert [x.tolist() for x in mine.encode(whole)] == [plain.encode(t or "", add_special_tokens=False).ids for t in texts]
+
+
 def test_pieces_against_the_library(spark, docs, empty):
     import sentencepiece
 
