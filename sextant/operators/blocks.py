@@ -23,13 +23,13 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from sextant.functions.text import terms
 from sextant.operators.dense import top_k
-from sextant.operators.resample import positions
 from sextant.operators.sparse import K1, K3, B, idf, query_terms, stems_of
 from sextant.sources import versions
 from sextant.sources.readers import stored
@@ -57,15 +57,6 @@ def _impacts(pairs: Column) -> list[Column]:
     return [front["tf"].alias("high"), front["dl"].alias("short")]
 
 
-def _grouped(posts: DataFrame, docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Blocks and ranges from postings (term, pos, tf, dl) and documents (pos, passage_id, dl)."""
-    span, place = F.floor(F.col("pos") / RANGE), (F.col("pos") % RANGE).cast("int")
-    grouped = posts.groupBy("term", span.alias("range")).agg(F.array_sort(F.collect_list(F.struct(place.alias("place"), F.col("tf").cast("int").alias("tf"), F.col("dl").cast("int").alias("dl")))).alias("p"))  # RANGE entries at most
-    blocks = grouped.select("term", "range", F.size("p").alias("c"), F.col("p.place").cast("array<tinyint>").alias("places"), F.col("p.tf").alias("tfs"), *_impacts(F.col("p")))
-    rows = docs.groupBy(span.alias("range")).agg(F.array_sort(F.collect_list(F.struct(place.alias("place"), "passage_id", F.col("dl").cast("int").alias("dl")))).alias("p"))
-    return blocks, rows.select("range", F.col("p.passage_id").alias("ids"), F.col("p.dl").alias("dls"))
-
-
 _BUILT = "term string, range bigint, c int, places array<tinyint>, tfs array<int>, high array<int>, short array<int>, ids array<bigint>, dls array<int>"
 
 
@@ -74,13 +65,22 @@ def _lists(values: np.ndarray, offsets: np.ndarray) -> pa.ListArray:
 
 
 def _builder(width: int):
-    """Blocks and ranges of a partition of passages in order of their ids: every ``width`` of them are a range."""
+    """Blocks and ranges of a partition of passages in order of their ids: every ``width`` of them are a range.
+
+    A passage comes with all its terms, or with its distinct terms, how often it has each, and its length.
+    """
 
     def one(part: pa.RecordBatch, number: int) -> Iterator[pa.RecordBatch]:
         listed = part.column(1)
-        dl = np.diff(listed.offsets.to_numpy()).astype(np.int32)
+        held = np.diff(listed.offsets.to_numpy()).astype(np.int32)
         coded = listed.flatten().dictionary_encode()
-        u, tf = np.unique(coded.indices.to_numpy().astype(np.int64) * width + np.repeat(np.arange(len(dl)), dl), return_counts=True)
+        u = coded.indices.to_numpy().astype(np.int64) * width + np.repeat(np.arange(len(held)), held)
+        if part.num_columns > 2:
+            by_term = np.argsort(u)
+            u, tf, dl = u[by_term], part.column(2).flatten().to_numpy()[by_term], part.column(3).to_numpy()
+        else:
+            dl = held
+            u, tf = np.unique(u, return_counts=True)
         code, place = u // width, (u % width).astype(np.int32)
         cuts = np.append(np.flatnonzero(np.append(True, code[1:] != code[:-1])) if len(code) else np.zeros(0, np.int64), len(code))
         # Impacts: by falling frequency, a pair stays if it is shorter than all before it of its block.
@@ -117,7 +117,11 @@ def _built(passages: DataFrame) -> tuple[DataFrame, DataFrame]:
     What the tasks make is written once, so blocks and ranges agree on the numbers whatever is run again.
     """
     dealt = passages.repartitionByRange("passage_id").sortWithinPartitions("passage_id")
-    made = stored(dealt.select("passage_id", terms(F.col("text")).alias("terms")).mapInArrow(_builder(RANGE), _BUILT), "built")
+    return _inverted(dealt.select("passage_id", terms(F.col("text")).alias("terms")))
+
+
+def _inverted(dealt: DataFrame) -> tuple[DataFrame, DataFrame]:
+    made = stored(dealt.mapInArrow(_builder(RANGE), _BUILT), "built")
     return made.filter("term IS NOT NULL").drop("ids", "dls"), made.filter("ids IS NOT NULL").select("range", "ids", "dls")
 
 
@@ -190,9 +194,9 @@ def _bury(spark: SparkSession, path: str, index: BlockIndex, ids: DataFrame) ->
     total = dead.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.col("dl").cast("bigint")), F.lit(0)).alias("dl")).first()
     if not total["n"]:
         return None
-    touched = index.blocks.join(dead.select("segment", "range").distinct(), ["segment", "range"], "left_semi")
-    lost = touched.select("term", "segment", "range", F.explode("places").alias("place")).join(dead, ["segment", "range", "place"], "left_semi")
-    lost.groupBy("term").agg(F.count("*").alias("c")).write.parquet(f"{path}/{folder}/taken")
+    gone = dead.groupBy("segment", "range").agg(F.collect_list(F.col("place").cast("tinyint")).alias("gone"))  # RANGE places at most
+    lost = index.blocks.join(gone, ["segment", "range"]).select("term", F.size(F.array_intersect("places", "gone")).cast("bigint").alias("c")).filter("c > 0")
+    lost.groupBy("term").agg(F.sum("c").alias("c")).write.parquet(f"{path}/{folder}/taken")
     return {"folder": folder, "n": total["n"], "dl": total["dl"]}
 
 
@@ -227,16 +231,45 @@ def remove(ids: DataFrame, path: str) -> versions.Version:
     return versions.commit(spark, path, index.version, {**index.version.content, "deletes": [*index.version.content["deletes"], buried]})
 
 
+_VECTORS = "passage_id bigint, terms array<string>, tfs array<int>, dl int"
+
+
+def _vectors(blocks: pa.Table, ranges: pa.Table) -> pa.Table:
+    """The live passages of a group of ranges, each with its distinct terms and how often it has them, from the blocks of the group."""
+    numbers = ranges["range"].to_numpy()
+    ids, dls, gone = (ranges[c].combine_chunks() for c in ("ids", "dls", "dead"))
+    first = np.append(0, np.cumsum(pc.list_value_length(ids).to_numpy()))
+    live = np.ones(first[-1], bool)
+    live[(first[pc.list_parent_indices(gone).to_numpy()] + pc.list_flatten(gone).to_numpy())] = False
+    coded = blocks["term"].combine_chunks().dictionary_encode()
+    places, tfs = blocks["places"].combine_chunks(), pc.list_flatten(blocks["tfs"].combine_chunks())
+    block, order = pc.list_parent_indices(places).to_numpy(), np.argsort(numbers)
+    of = order[np.searchsorted(numbers[order], blocks["range"].to_numpy())]
+    at = first[of[block]] + pc.list_flatten(places).to_numpy()
+    by_passage = np.argsort(at, kind="stable")
+    by_passage = by_passage[live[at[by_passage]]]
+    held = np.bincount(at[by_passage], minlength=len(live))[live]
+    cuts = pa.array(np.append(0, np.cumsum(held)).astype(np.int32))
+    words = coded.dictionary.take(coded.indices.take(pa.array(block[by_passage])))
+    kept = pa.array(live)
+    return pa.table({"passage_id": pc.list_flatten(ids).filter(kept), "terms": pa.ListArray.from_arrays(cuts, words), "tfs": pa.ListArray.from_arrays(cuts, tfs.take(pa.array(by_passage))), "dl": pc.list_flatten(dls).filter(kept)})
+
+
 def compact(spark: SparkSession, path: str) -> versions.Version:
-    """Merge all segments into one without dead passages, from their postings: no text is read."""
+    """Merge all segments into one without dead passages, from their postings: no text is read.
+
+    The blocks of a group of ranges give back its passages as terms and counts, which are dealt by ranges of ids and built as texts are;
+    what is shuffled are blocks and passages, never a row a posting.
+    """
     index = open_blocks(spark, path)
     if not index.version.content.get("segments"):
         return index.version
-    spots = index.ranges.select("segment", "range", F.posexplode(F.arrays_zip("ids", "dls")).alias("place", "x")).select("segment", "range", "place", F.col("x.ids").alias("passage_id"), F.col("x.dls").alias("dl"))
-    live = positions(spots.join(index.dead.select("segment", "range", "place"), ["segment", "range", "place"], "left_anti"), "passage_id")
-    old = index.blocks.select("term", "segment", "range", F.explode(F.arrays_zip("places", "tfs")).alias("x")).select("term", "segment", "range", F.col("x.places").cast("int").alias("place"), F.col("x.tfs").alias("tf"))
-    posts = old.join(live, ["segment", "range", "place"]).select("term", "pos", "tf", "dl")
-    segment = _write(spark, path, index.version.content, *_grouped(posts, live.select("pos", "passage_id", "dl")))
+    dead = index.dead.groupBy("segment", "range").agg(F.collect_list("place").alias("dead"))  # RANGE places at most
+    numbered = F.floor(F.col("range") / GROUP).alias("group")
+    ranges = index.ranges.join(dead, ["segment", "range"], "left").select("segment", numbered, "range", "ids", "dls", F.coalesce("dead", F.array().cast("array<int>")).alias("dead"))
+    held = index.blocks.select("segment", numbered, "range", "term", "places", "tfs")
+    passages = stored(held.groupBy("segment", "group").cogroup(ranges.groupBy("segment", "group")).applyInArrow(_vectors, _VECTORS), "passages")
+    segment = _write(spark, path, index.version.content, *_inverted(passages.repartitionByRange("passage_id").sortWithinPartitions("passage_id")))
     return versions.commit(spark, path, index.version, {**index.version.content, "segments": [segment], "last": segment["id"], "deletes": []})
 
 

@@ -95,6 +95,38 @@ def test_stems_and_empty_indexes(spark, tmp_path):
     assert blocks.compact(spark, f"{tmp_path}/none").number == 0
 
 
+def test_compaction_writes_a_row_a_passage_and_none_a_posting(spark, tmp_path, monkeypatch):
+    path, written = f"{tmp_path}/c", {}
+    first, second = texts(150, 7), [(i, t + " w2 w2 cats") for i, t in texts(40, 8, 70)] + [(5, None), (6, ""), (2**40, "cat cats w1")]
+    blocks.add(spark.createDataFrame(first, PASSAGES), path, stem=True)
+    blocks.add(spark.createDataFrame(second, PASSAGES), path)
+    blocks.remove(spark.createDataFrame([(0,), (14,), (70,)], "passage_id bigint"), path)
+    store = blocks.stored
+
+    def counted(df, name):
+        made = store(df, name)
+        written[name] = made.count()
+        return made
+
+    monkeypatch.setattr(blocks, "stored", counted)
+    blocks.compact(spark, path)
+    monkeypatch.undo()
+    now = {i: t for i, t in (dict(first) | dict(second)).items() if i not in (0, 14, 70)}
+    fresh = f"{tmp_path}/fresh"
+    blocks.add(spark.createDataFrame(list(now.items()), PASSAGES), fresh, stem=True)
+    merged, plain = blocks.open_blocks(spark, path), blocks.open_blocks(spark, fresh)
+    assert written["passages"] == len(now) == merged.n == plain.n and merged.avgdl == plain.avgdl
+
+    def held(index):
+        posts = index.blocks.select("range", "term", F.explode(F.arrays_zip("places", "tfs")).alias("x")).select("range", "term", F.col("x.places").cast("int").alias("place"), "x.tfs")
+        spots = index.ranges.select("range", F.posexplode(F.arrays_zip("ids", "dls")).alias("place", "y")).select("range", "place", "y.ids", "y.dls")
+        return sorted(tuple(r) for r in posts.join(spots, ["range", "place"]).select("term", "ids", "tfs", "dls").collect())
+
+    assert held(merged) == held(plain)
+    for r in merged.blocks.filter("term = 'w1'").collect():
+        assert r["c"] == len(r["places"]) and r["places"] == sorted(set(r["places"])) and r["high"][0] == max(r["tfs"])
+
+
 def test_a_writer_that_fails_leaves_the_old_version(spark, tmp_path):
     path = str(tmp_path)
     versions.publish(spark, path, {"a": spark.range(3), "b": spark.range(5)}, note="one")
