@@ -6,8 +6,10 @@ explains enough of them.
 
 Equal images collapse to one node first. Then every pair of nodes is compared, block by block: strings of unrelated
 images agree so often in any set of tables that covers NEAR_BITS of BITS that all pairs meet there, so tables would
-save nothing. A matrix product of two blocks gives all distances of their strings; only pairs of images with
-LEAST_MATCHES strings that are near enough to any of the other go through the geometric check.
+save nothing: two images in three that have nothing in common have LEAST_MATCHES such strings, each the other's nearest.
+A matrix product of two blocks gives all distances of their strings and so the matches of each pair of images; those of
+many pairs, as many matches each, go through the transforms at once, and only pairs of which one explains LEAST_MATCHES
+go through the check of their places.
 """
 
 from __future__ import annotations
@@ -30,8 +32,8 @@ SCALES = tuple(2.5 ** (k / 4) for k in range(5))
 NEAR_BITS, LEAST_MATCHES, TOLERANCE, PLACE = 40, 8, 2.5, 4
 RADIUS = 9
 SIDE = 64
-#: Strings in a block of images, distances held at once.
-BLOCK, HELD = 16384, 1 << 24
+#: Strings in a block of images, distances held at once, matches up to which pairs of images are tried together.
+BLOCK, HELD, FEW = 16384, 1 << 24, 32
 
 
 def resized(image: np.ndarray, height: int, width: int) -> np.ndarray:
@@ -46,9 +48,10 @@ def resized(image: np.ndarray, height: int, width: int) -> np.ndarray:
 
 def blurred(image: np.ndarray) -> np.ndarray:
     for axis in (0, 1):
-        p = np.pad(image, [(2, 2) if a == axis else (0, 0) for a in (0, 1)], mode="edge")
         n = image.shape[axis]
-        parts = [np.take(p, range(k, k + n), axis) for k in range(5)]
+        at = np.clip(np.arange(-2, n + 2), 0, n - 1)
+        p = image[at] if axis == 0 else image[:, at]
+        parts = [p[k : k + n] if axis == 0 else p[:, k : k + n] for k in range(5)]
         image = (parts[0] + 4 * parts[1] + 6 * parts[2] + 4 * parts[3] + parts[4]) / 16
     return image
 
@@ -65,13 +68,15 @@ def corners(image: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     gy, gx = np.gradient(image)
     a, b, c = blurred(gx * gx), blurred(gy * gy), blurred(gx * gy)
     r = a * b - c * c - 0.05 * (a + b) ** 2
-    peak = np.ones(r.shape, bool)
-    peak[:RADIUS], peak[-RADIUS:], peak[:, :RADIUS], peak[:, -RADIUS:] = False, False, False, False
+    h, w = r.shape
+    inner = r[RADIUS : h - RADIUS, RADIUS : w - RADIUS]
+    peak = inner > max(1e-9, 0.005 * r.max())
     for dy in (-1, 0, 1):
         for dx in (-1, 0, 1):
             if dy or dx:
-                peak &= r >= np.roll(r, (dy, dx), (0, 1))
-    y, x = np.nonzero(peak & (r > max(1e-9, 0.005 * r.max())))
+                peak &= inner >= r[RADIUS + dy : h - RADIUS + dy, RADIUS + dx : w - RADIUS + dx]
+    y, x = np.nonzero(peak)
+    y, x = y + RADIUS, x + RADIUS
     order = np.lexsort((x, y, -r[y, x]))
     return np.stack((x[order], y[order]), 1).astype(float), r[y, x][order]
 
@@ -135,6 +140,11 @@ def same_scene(pa_: np.ndarray, sa: np.ndarray, pb: np.ndarray, sb: np.ndarray,
     best, back = nearest(sa, sb), nearest(sb, sa)
     ok = (np.bitwise_count(sa ^ sb[best]).sum(1, dtype=np.int64) <= NEAR_BITS) & (back[best] == np.arange(len(sa)))
     a, b = pa_[ok] @ np.array([1, 1j]), pb[best[ok]] @ np.array([1, 1j])
+    return explained(a, b, enough)
+
+
+def explained(a: np.ndarray, b: np.ndarray, enough: int = 0) -> int:
+    """``same_scene`` of matches between the points ``a`` and ``b``, given as complex numbers."""
     if len(a) < max(2, enough):
         return 0
     most, step, held = 0, max(1, HELD // 8 // len(a) ** 2), max(1, HELD // 8 // len(a))
@@ -178,37 +188,109 @@ def _described(images: pa.Array, heights: pa.Array, widths: pa.Array) -> pa.Arra
 
 
 def _signs(images: list) -> tuple[np.ndarray, np.ndarray]:
-    """The bits of all strings of some images as 1 and -1, and the image each belongs to."""
+    """The bits of all strings of some images as 1 and -1, and where each image begins."""
     strings = np.concatenate([s for _, s in images])
-    return np.unpackbits(strings, axis=1).astype(np.float32) * 2 - 1, np.repeat(np.arange(len(images)), [len(s) for _, s in images])
-
-
-def alike(left: list, right: list) -> np.ndarray:
-    """Pairs (i, j) where at least LEAST_MATCHES strings of left[i] are within NEAR_BITS of one of right[j]: no other can be a copy."""
-    a, of_a = _signs(left)
-    b, of_b = _signs(right)
-    found = np.zeros(len(left) * len(right), np.int64)
-    step = max(1, HELD // max(1, len(b)))
+    return np.unpackbits(strings, axis=1).astype(np.float32) * 2 - 1, np.cumsum([0, *(len(s) for _, s in images)])
+
+
+def matched(left: list, right: list, same: bool = False) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """(i, j, p, q) for all images with at least LEAST_MATCHES strings p of left[i] and q of right[j] within NEAR_BITS, each the
+    first of the other's nearest, in order of p: no others can be copies. With ``same`` the lists are one, and i < j."""
+    a, a_starts = _signs(left)
+    b, b_starts = (a, a_starts) if same else _signs(right)
+    of_b = np.repeat(np.arange(len(right)), np.diff(b_starts))
+    for i in range(len(left)):
+        begin = b_starts[i + 1] if same else 0
+        others, image_of = b[begin:], of_b[begin:]
+        if not len(others):
+            continue
+        nearest_p, highest, found = np.zeros(len(others), np.int64), np.zeros(len(others), np.float32), []
+        step = max(1, HELD // len(others))
+        for at in range(a_starts[i], a_starts[i + 1], step):
+            products = (a[at : min(at + step, a_starts[i + 1])] @ others.T).ravel()
+            near = np.flatnonzero(products >= BITS - 2 * NEAR_BITS)
+            if not len(near):
+                continue
+            value = products[near]
+            p, q = np.divmod(near, len(others))
+            p += at - a_starts[i]
+            before = highest[q]
+            np.maximum.at(highest, q, value)
+            better = (value == highest[q]) & (value > before)
+            nearest_p[q[better][::-1]] = p[better][::-1]
+            # Entries come by p and q, so those of one p and one image stand together: the first of the highest is its nearest.
+            group = p * len(right) + image_of[q]
+            starts = np.flatnonzero(np.diff(group, prepend=-1))
+            top = np.flatnonzero(value == np.repeat(np.maximum.reduceat(value, starts), np.diff(starts, append=len(value))))
+            top = top[np.diff(group[top], prepend=-1) > 0]
+            found.append((p[top], q[top]))
+        if not found:
+            continue
+        p, q = (np.concatenate(x) for x in zip(*found, strict=True))
+        mutual = nearest_p[q] == p
+        p, q = p[mutual], q[mutual]
+        image = image_of[q]
+        order = np.argsort(image, kind="stable")
+        p, q, image = p[order], q[order] + begin, image[order]
+        ends = np.searchsorted(image, np.arange(len(right) + 1))
+        for j in np.flatnonzero(np.diff(ends) >= LEAST_MATCHES).tolist():
+            yield i, j, p[ends[j] : ends[j + 1]], q[ends[j] : ends[j + 1]] - b_starts[j]
+
+
+def fitting(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Rows of ``a`` and ``b``, the matches of one pair of images each, of which some transform explains LEAST_MATCHES, places aside."""
+    n, good = a.shape[1], []
+    i, j = np.triu_indices(n, 1)
+    step = max(1, HELD // 8 // (len(i) * n))
     for begin in range(0, len(a), step):
-        row, at = np.divmod(np.flatnonzero(a[begin : begin + step] @ b.T >= BITS - 2 * NEAR_BITS), max(1, len(b)))
-        row, other = np.divmod(np.unique((row + begin) * len(right) + of_b[at]), len(right))
-        found += np.bincount(of_a[row] * len(right) + other, minlength=len(found))
-    return np.stack(np.divmod(np.flatnonzero(found >= LEAST_MATCHES), len(right)), 1)
+        x, y = a[begin : begin + step], b[begin : begin + step]
+        apart = x[:, i] - x[:, j]
+        row, k = np.nonzero(np.abs(apart) >= 6)
+        turn = (y[row, i[k]] - y[row, j[k]]) / apart[row, k]
+        scale = np.abs(turn)
+        fair = (scale > 0.4) & (scale < 2.5)
+        row, k, turn, slack = row[fair], k[fair], turn[fair], TOLERANCE * np.minimum(1, scale[fair])
+        shift = y[row, i[k]] - turn * x[row, i[k]]
+        fits = np.abs(turn[:, None] * x[row] + shift[:, None] - y[row]) <= slack[:, None]
+        good.append(begin + np.unique(row[fits.sum(1) >= LEAST_MATCHES]))
+    return np.concatenate(good)
 
 
 def _linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for one, two, same in zip(batch.column("_x"), batch.column("_y"), batch.column("_same").to_pylist(), strict=True):
-            left, right, out = one.as_py(), two.as_py(), ([], [])
+            left, out = one.as_py(), ([], [])
+            right = left if same else two.as_py()
             sets = [[unpack(x["d"]) for x in side] for side in (left, right)]
-            for i, j in alike(*sets).tolist():
-                a, b = (left[i]["node"], sets[0][i]), (right[j]["node"], sets[1][j])
-                if a[0] > b[0]:
-                    a, b = b, a
-                # Within a block both orders of a pair come up: one is enough.
-                if a[0] != b[0] and (i < j or not same) and same_scene(*a[1], *b[1], LEAST_MATCHES) >= LEAST_MATCHES:
-                    out[0].append(a[0])
-                    out[1].append(b[0])
+            points = [[at @ np.array([1, 1j]) for at, _ in side] for side in sets]
+            waiting: dict[int, list] = {}
+            held = 0
+
+            def settled(waiting=waiting, out=out) -> None:
+                for pairs in waiting.values():
+                    for k in fitting(np.stack([x[2] for x in pairs]), np.stack([x[3] for x in pairs])).tolist():
+                        if explained(*pairs[k][2:], LEAST_MATCHES) >= LEAST_MATCHES:
+                            out[0].append(pairs[k][0])
+                            out[1].append(pairs[k][1])
+                waiting.clear()
+
+            for i, j, p, q in matched(*sets, same):
+                a, b, x, y = left[i]["node"], right[j]["node"], points[0][i][p], points[1][j][q]
+                if a > b:
+                    order = np.argsort(q)
+                    a, b, x, y = b, a, y[order], x[order]
+                if a == b:
+                    continue
+                if len(x) <= FEW:
+                    waiting.setdefault(len(x), []).append((a, b, x, y))
+                    held += len(x)
+                    if held > HELD // 64:
+                        settled()
+                        held = 0
+                elif explained(x, y, LEAST_MATCHES) >= LEAST_MATCHES:
+                    out[0].append(a)
+                    out[1].append(b)
+            settled()
             yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in out], ["a", "b"])
 
 

@@ -377,6 +377,35 @@ def test_image_links_against_all_pairs(spark):
     assert got == dict(enumerate(group))
 
 
+@pytest.mark.parametrize("held", [1 << 24, 1 << 9])
+def test_matches_of_blocks_against_pairs(held, monkeypatch):
+    """Ties, equal strings and products taken in parts: the matches and links of blocks are those of each pair by itself."""
+    rng = np.random.default_rng(21)
+    base = [image_copies.drawn(rng.random(8)) for _ in range(9)]
+    sets = [image_copies.describe(x) for b in base for x in (b, image_copies.edited(b, 3))] + [(np.zeros((0, 2)), np.zeros((0, 32), np.uint8))]
+    sets += [(rng.random((40, 2)) * 60, rng.integers(0, 2, (40, 1), np.uint8) * np.ones((1, 32), np.uint8)) for _ in range(3)]
+    want, links, fit = {}, set(), set()
+    for i, (pa_, sa) in enumerate(sets):
+        for j, (pb, sb) in enumerate(sets):
+            d = np.bitwise_count(sa[:, None] ^ sb[None]).sum(2, dtype=np.int64)
+            if d.size:
+                best, back = d.argmin(1), d.argmin(0)
+                p = [k for k in range(len(sa)) if d[k, best[k]] <= image_copies.NEAR_BITS and back[best[k]] == k]
+                if len(p) >= image_copies.LEAST_MATCHES:
+                    want[i, j] = (p, best[p].tolist())
+                    if image_copies.same_scene(pa_, sa, pb, sb, image_copies.LEAST_MATCHES):
+                        links.add((i, j))
+    monkeypatch.setattr(image_copies, "HELD", held)
+    for same in (False, True):
+        got = {(i, j): (p.tolist(), q.tolist()) for i, j, p, q in image_copies.matched(sets, sets, same)}
+        assert got == {k: v for k, v in want.items() if k[0] < k[1] or not same} and len(got) > 9
+    for (i, j), (p, q) in want.items():
+        a, b = sets[i][0][p] @ np.array([1, 1j]), sets[j][0][q] @ np.array([1, 1j])
+        if len(image_copies.fitting(a[None], b[None])):
+            fit.add((i, j))
+    assert len(fit) < len(want) and links and links <= fit
+
+
 def _tiled(rng, tile):
     return np.block([[image_copies.drawn(rng.random(8))[:tile, :tile] for _ in range(240 // tile)] for _ in range(240 // tile)])
 
