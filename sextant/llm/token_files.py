@@ -19,6 +19,7 @@ import zlib
 from array import array
 from collections.abc import Iterator
 from functools import lru_cache
+from operator import attrgetter
 
 import numpy as np
 import pyarrow as pa
@@ -26,13 +27,14 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sextant.llm.common import cut, load, lower_bytes, settle
+from sextant.llm.common import UPPER, cut, load, lower_bytes, settle
 
 VOCABULARY, END_ID = "word_bpe_49k.json", 1
 BLOCK_IDS = 1 << 18
 #: Text in a shard, which is one task and its blocks; memory for words that one Python worker remembers.
 SHARD_BYTES, CACHE_BYTES = 16 << 20, 96 << 20
-MARKS, _LETTERS = ".,;:!?", r"\A[A-Za-z\x{c0}-\x{d6}\x{d8}-\x{f6}\x{f8}-\x{ff}]{1,40}\z"
+MARKS, MOST_MARKS, _LETTERS = ".,;:!?#*$%&", 8, r"\A[A-Za-z\x{c0}-\x{d6}\x{d8}-\x{f6}\x{f8}-\x{ff}]{1,40}\z"
+_IS_MARK, _IS_LETTER = (np.isin(np.arange(256), np.frombuffer(x.encode(), np.uint8)) for x in (MARKS, UPPER + UPPER.lower()))
 _HEAD = struct.Struct("<4sIIII")
 _MAGIC = b"SXR1"
 
@@ -74,10 +76,13 @@ class Encoder:
         self.folds = capitals == whole
         suffix = json.loads(self.tokenizer.to_str())["model"].get("end_of_word_suffix")
         size = self.tokenizer.get_vocab_size()
-        parts = all(self.tokenizer.encode(f"{w}{m}", add_special_tokens=False).ids == [*self.tokenizer.encode(w, add_special_tokens=False).ids, *self.tokenizer.encode(m, add_special_tokens=False).ids] for w in ("a", "é", "some", "words") for m in (".", ",", ";", ":", "!", "?", "?!", "..."))
+        parts = all(self.tokenizer.encode(f"{w}{m}", add_special_tokens=False).ids == [*self.tokenizer.encode(w, add_special_tokens=False).ids, *self.tokenizer.encode(m, add_special_tokens=False).ids] for w in ("a", "é", "some", "words", "1a", "don't", "x's", ",é") for m in (*MARKS, *(m + n for m in MARKS for n in MARKS), *(n + m * (MOST_MARKS - 1) for m in MARKS for n in ".,#")))
         self.last = np.array([bool(suffix) and parts and (self.tokenizer.id_to_token(i) or "").endswith(suffix) for i in range(size)])
+        self.apart = parts and not any(set(x.content) & set(MARKS) for x in self.tokenizer.get_added_tokens_decoder().values())
         self.model = self.tokenizer.model
         self.forms = self._forms()
+        #: Words of a-z are in form as they come.
+        self.formed = self.folds and self.forms is not None and all(self.forms[c] == chr(c) for c in range(97, 123))
 
     def _forms(self) -> dict[int, str] | None:
         """What the tokenizer makes of each letter before its model sees it, if every word of letters goes to the model as one piece, letter
@@ -92,24 +97,53 @@ class Encoder:
         same = len(forms) == len(letters) and all([x.id for x in self.model.tokenize(w.translate(forms))] == t.encode(w, add_special_tokens=False).ids for w in words)
         return forms if same else None
 
+    def _of_letters(self, words: list[bytes]) -> Iterator[tuple[bytes, bytes]]:
+        """Words of letters with their ids, straight from the library's model."""
+        texts = b"\n".join(words).decode()
+        if not (self.formed and texts.isascii()):
+            texts = texts.translate(self.forms)
+        one, number, ids, cuts = self.model.tokenize, attrgetter("id"), array("I"), [0]
+        for t in texts.split("\n"):
+            ids.extend(map(number, one(t)))
+            cuts.append(4 * len(ids))
+        return zip(words, map(ids.tobytes().__getitem__, map(slice, cuts, cuts[1:])), strict=False)
+
+    def _words(self, texts: pa.StringArray) -> tuple[pa.StringArray, np.ndarray]:
+        """The words of all texts and where those of each begin; marks behind a letter are a word of their own, where probes allow it.
+
+        White space at either end of a text leaves an empty word there, which has no ids.
+        """
+        parts = pc.ascii_split_whitespace(pc.ascii_lower(texts) if self.folds else texts)
+        words, begins = parts.flatten(), parts.offsets.to_numpy() - parts.offsets[0].as_py()
+        _, ends, data = words.buffers()
+        if not self.apart or not len(words) or not data:
+            return words, begins
+        ends, chars = np.frombuffer(ends, np.int32)[words.offset : words.offset + len(words) + 1], np.frombuffer(data, np.uint8)
+        at = np.flatnonzero(_IS_MARK[chars[ends[1:] - 1]] & (ends[1:] > ends[:-1]))
+        low, cuts = ends[at], ends[at + 1] - 1
+        more = np.arange(len(at))
+        for _ in range(MOST_MARKS - 1):
+            more = more[(cuts[more] > low[more]) & _IS_MARK[chars[cuts[more] - 1]]]
+            cuts[more] -= 1
+        before = chars[cuts - 1]
+        # The letters from U+00C0 to U+00FF are two bytes, of which the first is C3.
+        letter = _IS_LETTER[before] | ((cuts - low > 1) & (chars[np.maximum(cuts, 2) - 2] == 0xC3) & (before != 0x97) & (before != 0xB7))
+        behind = (cuts > low) & letter
+        at, cuts = at[behind], cuts[behind]
+        ends = np.insert(ends, at + 1, cuts)
+        return pa.StringArray.from_buffers(len(ends) - 1, pa.py_buffer(ends), data), begins + np.searchsorted(at, begins)
+
     def _new(self, words: pa.StringArray) -> dict[bytes, bytes]:
-        """Ids of words not remembered. A plain word, of letters with marks behind, is its letters and its marks;
-        letters go straight to the library's model, where probes allow it; else many to a call, as the last token of each bears the suffix that ends a word."""
+        """Ids of words not remembered. Words of letters go straight to the library's model, where probes allow it;
+        else many to a call, as the last token of each bears the suffix that ends a word."""
         found: dict[bytes, bytes] = {}
-        marked: list[tuple[bytes, bytes, bytes]] = []
         if self.last.any():
-            bare = pc.ascii_rtrim(words, MARKS)
-            n_marks = pc.subtract(pc.binary_length(words), pc.binary_length(bare))
-            plain = pc.and_(pc.match_substring_regex(bare, _LETTERS), pc.less_equal(n_marks, 3))
-            rest = _bytes(words.filter(pc.invert(plain)))
-            letters = [w for w in _bytes(bare.filter(plain).unique()) if w not in self.known]
-            behind = pc.and_(plain, pc.greater(n_marks, 0))
-            for w, a in zip(_bytes(words.filter(behind)), _bytes(bare.filter(behind)), strict=True):
-                marked.append((w, a, w[len(a) :]))
+            plain = pc.match_substring_regex(words, _LETTERS)
+            rest, letters = _bytes(words.filter(pc.invert(plain))), _bytes(words.filter(plain))
             if self.forms is not None:
-                one, forms = self.model.tokenize, self.forms
-                for w in letters:
-                    found[w] = array("I", [x.id for x in one(w.decode().translate(forms))]).tobytes()
+                for part in ([w for w in letters if w.isascii()], [w for w in letters if not w.isascii()]):
+                    for begin in range(0, len(part), 512):
+                        found.update(self._of_letters(part[begin : begin + 512]))
                 letters = []
             for begin in range(0, len(letters), 512):
                 part = letters[begin : begin + 512]
@@ -120,16 +154,12 @@ class Encoder:
                     found.update(zip(part, map(raw.__getitem__, map(slice, cuts, cuts[1:])), strict=False))
                 else:
                     rest += part
-            rest += {m for _, _, m in marked}.difference(self.known)
         else:
             rest = _bytes(words)
         for begin in range(0, len(rest), 4096):
             part = rest[begin : begin + 4096]
             for w, e in zip(part, self.tokenizer.encode_batch_fast([w.decode() for w in part], add_special_tokens=False), strict=True):
                 found[w] = array("I", e.ids).tobytes()
-        known = self.known
-        for w, a, b in marked:
-            found[w] = (found.get(a) or known[a]) + (found.get(b) or known[b])
         return found
 
     def encode(self, texts: list[str | None] | pa.StringArray) -> list[np.ndarray]:
@@ -139,9 +169,8 @@ class Encoder:
         if not self.by_word:
             return [np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch_fast(texts.fill_null("").to_pylist(), add_special_tokens=False)]
         texts = texts.fill_null("")
-        parts = pc.ascii_split_whitespace(pc.ascii_lower(texts) if self.folds else texts)
-        # White space at either end of a text leaves an empty word there, which has no ids.
-        coded = parts.flatten().dictionary_encode()
+        words, begins = self._words(texts)
+        coded = words.dictionary_encode()
         known = self.known
         known[b""] = b""
         words = _bytes(coded.dictionary)
@@ -150,14 +179,14 @@ class Encoder:
         new = self._new(coded.dictionary.take(pa.array(fresh, pa.int64())))
         known.update(new)
         for i in fresh:
-            ids[i] = known[words[i]]
+            ids[i] = new[words[i]]
         size = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
         first, which = np.cumsum(size) - size, coded.indices.to_numpy()
         ends = np.append(0, np.cumsum(size[which]))
         # The place of each id in the ids of the distinct words: where its word's begin there, less where they begin here.
         place = np.repeat(first[which] - ends[:-1], size[which])
         place += np.arange(len(place))
-        flat, cuts = np.frombuffer(b"".join(ids), np.uint32)[place], ends[parts.offsets.to_numpy() - parts.offsets[0].as_py()].tolist()
+        flat, cuts = np.frombuffer(b"".join(ids), np.uint32)[place], ends[begins].tolist()
         self.held += sum(map(len, new)) + sum(map(len, new.values())) + 180 * len(new)
         if self.held > CACHE_BYTES:  # short words come back most
             self.known = {w: i for w, i in known.items() if len(w) <= 7}
@@ -259,7 +288,8 @@ def compress(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.nd
         keep = np.ones(len(s), bool)
         keep[at + 1] = False
         # The pair after a new symbol is that of the symbol it swallowed with the next one.
-        s, live = s[keep], live[keep[:-1]]
+        rest = np.flatnonzero(keep)
+        s, live = s[rest], live[rest[: len(rest) - keep[-1]]]
         live = live[: max(0, len(s) - 1)]
         top += len(chosen)
     return terminals, np.concatenate(rules) if rules else np.zeros((0, 2), np.int64), np.concatenate(lengths[1:]) if rules else np.zeros(0, np.int64), s

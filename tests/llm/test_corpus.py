@@ -284,6 +284,24 @@ def test_texts_in_arrow_are_encoded_as_the_library_does():
     assert [x.tolist() for x in mine.encode(whole)] == [plain.encode(t or "", add_special_tokens=False).ids for t in texts]
 
 
+def test_marks_behind_letters_are_parted_from_their_words():
+    """A word that only its marks tell from others costs no call of the library; ids stay those of whole texts."""
+    import pyarrow as pa
+    from tokenizers import Tokenizer
+
+    plain, mine, rng = Tokenizer.from_file(token_files.default_vocabulary()), token_files.Encoder(token_files.default_vocabulary()), random.Random(9)
+    ends = [*token_files.MARKS, ",###", ".$$$", "%%%%%%%%", "*********", "'s.", "'", "<|", "|>", "<|endoftext|>.", "\u0301.", "\u0338,", "=\u0338"]
+    starts = ["word", "Zé", "É", "ÿ", "×", "x÷", "ł", "日本", "7", "a7", "don't", "(b", "#a", "", "<|endoftext|>", "l" * 45]
+    texts = ["".join(rng.choice(starts) + rng.choice(ends) + rng.choice(["", " ", "\n", " \t", "\u00a0"]) for _ in range(rng.randint(0, 12))) for _ in range(3000)]
+    texts += [None, "", " ", ",", " , ", "a,", "a, ", "é.", *(a + b for a in starts for b in ends)]
+    whole = pa.array(texts, pa.string())
+    for begin, end in ((0, 1000), (1000, 1001), (1001, len(texts))):
+        assert [x.tolist() for x in mine.encode(whole.slice(begin, end - begin))] == [plain.encode(t or "", add_special_tokens=False).ids for t in texts[begin:end]]
+    mine = token_files.Encoder(token_files.default_vocabulary())
+    mine.encode(["some some. some, some### some.%%% é é! é$$$"])
+    assert set(mine.known) == {b"", b"some", "é".encode(), b".", b",", b"###", b".%%%", b"!", b"$$$"}
+
+
 def test_pieces_against_the_library(spark, docs, empty):
     import sentencepiece
 
