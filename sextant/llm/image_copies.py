@@ -4,10 +4,11 @@ Every image gives corners at several scales; each corner a 256-bit string of int
 turned to its main direction. Matches vote for a similarity transform; a pair of images is a copy if one transform
 explains enough of them.
 
-Equal images collapse to one node first. Then every pair of nodes is compared, block by block: strings of unrelated
+Equal images collapse to one node before they are described. Then every pair of nodes is compared, block by block: strings of unrelated
 images agree so often in any set of tables that covers NEAR_BITS of BITS that all pairs meet there, so tables would
 save nothing: two images in three that have nothing in common have LEAST_MATCHES such strings, each the other's nearest.
-A matrix product of two blocks gives all distances of their strings and so the matches of each pair of images; those of
+A matrix product of two blocks gives the distances of all their strings on the main axes, which are never more than the whole; those
+that leave NEAR_BITS possible are counted, and give the matches of each pair of images. Those of
 many pairs, as many matches each, go through the transforms at once, and only pairs of which one explains LEAST_MATCHES
 go through the check of their places.
 """
@@ -32,8 +33,10 @@ SCALES = tuple(2.5 ** (k / 4) for k in range(5))
 NEAR_BITS, LEAST_MATCHES, TOLERANCE, PLACE = 40, 8, 2.5, 4
 RADIUS = 9
 SIDE = 64
-#: Strings in a block of images, distances held at once, matches up to which pairs of images are tried together.
-BLOCK, HELD, FEW = 16384, 1 << 24, 32
+#: Strings in a block of images, distances held at once at most and as a rule, matches up to which pairs of images are tried together.
+BLOCK, HELD, TILE, FEW = 16384, 1 << 24, 1 << 18, 32
+#: Numbers that a string casts as its shadow.
+AXES = 64
 
 
 def resized(image: np.ndarray, height: int, width: int) -> np.ndarray:
@@ -147,9 +150,10 @@ def explained(a: np.ndarray, b: np.ndarray, enough: int = 0) -> int:
     """``same_scene`` of matches between the points ``a`` and ``b``, given as complex numbers."""
     if len(a) < max(2, enough):
         return 0
-    most, step, held = 0, max(1, HELD // 8 // len(a) ** 2), max(1, HELD // 8 // len(a))
-    for begin in range(0, len(a) - 1, step):  # every two matches far enough apart propose a transform
-        rows = np.arange(begin, min(begin + step, len(a) - 1))
+    most, begin, step, held = 0, 0, max(1, HELD // 8 // len(a) ** 2), max(1, HELD // 8 // len(a))
+    while begin < len(a) - 1:  # every two matches far enough apart propose a transform; of copies, one of the first will do
+        rows = np.arange(begin, min(begin + (min(step, 1 + begin) if enough else step), len(a) - 1))
+        begin += len(rows)
         i, j = np.nonzero((np.arange(len(a)) > rows[:, None]) & (np.abs(a[rows, None] - a) >= 6))
         i = rows[i]
         turn = (b[i] - b[j]) / (a[i] - a[j])
@@ -176,63 +180,67 @@ def unpack(raw: bytes) -> tuple[np.ndarray, np.ndarray]:
     return np.ascontiguousarray(x[:, :8]).view("<f4").astype(float), np.ascontiguousarray(x[:, 8:])
 
 
-def _described(images: pa.Array, heights: pa.Array, widths: pa.Array) -> pa.Array:
-    out, sha = [], []
-    for raw, h, w in zip(images, heights.to_pylist(), widths.to_pylist(), strict=True):
-        raw = raw.as_py() if raw.is_valid else None
-        good = raw is not None and h and w and h > 0 and w > 0 and len(raw) == h * w
-        points, strings = describe(np.frombuffer(raw, np.uint8).reshape(h, w)) if good else (np.zeros((0, 2)), np.zeros((0, BITS // 8), np.uint8))
-        out.append(pack(points, strings))
-        sha.append(hashlib.sha256(f"{h},{w},".encode() + raw).hexdigest() if good else None)
-    return pa.StructArray.from_arrays([pa.array(out, pa.binary()), pa.array(sha, pa.string())], ["d", "sha"])
+def axes(strings: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Mean and main axes of the bits of some packed strings, as 1 and -1."""
+    bits = np.unpackbits(strings[: BLOCK // 4], axis=1).astype(np.float32) * 2 - 1
+    mean = bits.mean(0)
+    return mean, np.ascontiguousarray(np.linalg.eigh((bits - mean).T @ (bits - mean))[1][:, ::-1][:, :AXES])
 
 
-def _signs(images: list) -> tuple[np.ndarray, np.ndarray]:
-    """The bits of all strings of some images as 1 and -1, and where each image begins."""
-    strings = np.concatenate([s for _, s in images])
-    return np.unpackbits(strings, axis=1).astype(np.float32) * 2 - 1, np.cumsum([0, *(len(s) for _, s in images)])
+def _shadows(strings: np.ndarray, mean: np.ndarray, turn: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Two forms of all strings: a product of one of each is -1/2 of the squared distance of their shadows on the axes."""
+    at = (np.unpackbits(strings, axis=1).astype(np.float32) * 2 - 1 - mean) @ turn
+    half, one = -0.5 * (at * at).sum(1, keepdims=True), np.ones((len(at), 1), np.float32)
+    return np.concatenate((at, half, one), 1), np.concatenate((at, one, half), 1)
 
 
-def matched(left: list, right: list, same: bool = False) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+def _close(a: np.ndarray, b: np.ndarray, x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Places p of ``a`` and q of ``b`` whose strings, in words of 64 bits, differ in NEAR_BITS or fewer, and in how many.
+
+    A shadow is never longer than what casts it, so products of ``x`` and ``y`` pass all of these; they are then counted.
+    """
+    out = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64))]
+    rows = max(1, min(len(a), HELD, TILE))
+    width = max(1, min(HELD, TILE) // rows)
+    for at in range(0, len(a), rows):
+        for begin in range(0, len(b), width):
+            near = x[at : at + rows] @ y[begin : begin + width].T >= -2 * NEAR_BITS - 0.25
+            p, q = np.divmod(np.flatnonzero(near), near.shape[1])
+            p, q = p + at, q + begin
+            bits = np.bitwise_count(a.take(p, 0) ^ b.take(q, 0)).view(np.uint16)  # of four words: added in pairs, as numpy sums short rows slowly
+            bits = ((bits & 255) + (bits >> 8)).view(np.uint32).ravel()
+            bits = (bits & 65535) + (bits >> 16)
+            kept = np.flatnonzero(bits <= NEAR_BITS)
+            out.append((p[kept], q[kept], bits[kept].astype(np.int64)))
+    return tuple(np.concatenate(v) for v in zip(*out, strict=True))
+
+
+def matched(left: list, right: list, same: bool = False, main: tuple | None = None) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """(i, j, p, q) for all images with at least LEAST_MATCHES strings p of left[i] and q of right[j] within NEAR_BITS, each the
-    first of the other's nearest, in order of p: no others can be copies. With ``same`` the lists are one, and i < j."""
-    a, a_starts = _signs(left)
-    b, b_starts = (a, a_starts) if same else _signs(right)
+    first of the other's nearest, in order of p: no others can be copies. With ``same`` the lists are one, and i < j. Any
+    axes ``main`` give the same; those of like strings leave least to count."""
+    a, b = (np.concatenate([s for _, s in side]) for side in (left, right))
+    main = main or axes(a)
+    x, y = _shadows(a, *main)[0], _shadows(b, *main)[1]
+    a, b = np.ascontiguousarray(a).view(np.uint64), np.ascontiguousarray(b).view(np.uint64)
+    a_starts, b_starts = (np.cumsum([0, *(len(s) for _, s in side)]) for side in (left, right))
     of_b = np.repeat(np.arange(len(right)), np.diff(b_starts))
     for i in range(len(left)):
         begin = b_starts[i + 1] if same else 0
-        others, image_of = b[begin:], of_b[begin:]
-        if not len(others):
-            continue
-        nearest_p, highest, found = np.zeros(len(others), np.int64), np.zeros(len(others), np.float32), []
-        step = max(1, HELD // len(others))
-        for at in range(a_starts[i], a_starts[i + 1], step):
-            products = (a[at : min(at + step, a_starts[i + 1])] @ others.T).ravel()
-            near = np.flatnonzero(products >= BITS - 2 * NEAR_BITS)
-            if not len(near):
-                continue
-            value = products[near]
-            p, q = np.divmod(near, len(others))
-            p += at - a_starts[i]
-            before = highest[q]
-            np.maximum.at(highest, q, value)
-            better = (value == highest[q]) & (value > before)
-            nearest_p[q[better][::-1]] = p[better][::-1]
-            # Entries come by p and q, so those of one p and one image stand together: the first of the highest is its nearest.
-            group = p * len(right) + image_of[q]
-            starts = np.flatnonzero(np.diff(group, prepend=-1))
-            top = np.flatnonzero(value == np.repeat(np.maximum.reduceat(value, starts), np.diff(starts, append=len(value))))
-            top = top[np.diff(group[top], prepend=-1) > 0]
-            found.append((p[top], q[top]))
-        if not found:
+        mine = slice(a_starts[i], a_starts[i + 1])
+        p, q, differ = _close(a[mine], b[begin:], x[mine], y[begin:])
+        if not len(p):
             continue
-        p, q = (np.concatenate(x) for x in zip(*found, strict=True))
-        mutual = nearest_p[q] == p
-        p, q = p[mutual], q[mutual]
-        image = image_of[q]
-        order = np.argsort(image, kind="stable")
-        p, q, image = p[order], q[order] + begin, image[order]
-        ends = np.searchsorted(image, np.arange(len(right) + 1))
+        # The least of (bits, place) is the first of the nearest: for a string of the right, and for one of the left in an image of the right.
+        image = of_b[begin:][q]
+        for_q, for_p = np.full(len(b) - begin, 1 << 62), np.full((a_starts[i + 1] - a_starts[i], len(right)), 1 << 62)
+        np.minimum.at(for_q, q, differ << 40 | p)
+        np.minimum.at(for_p, (p, image), differ << 40 | q)
+        mutual = (for_q[q] == differ << 40 | p) & (for_p[p, image] == differ << 40 | q)
+        p, q, image = p[mutual], q[mutual] + begin, image[mutual]
+        order = np.lexsort((p, image))
+        p, q = p[order], q[order]
+        ends = np.cumsum([0, *np.bincount(image, minlength=len(right))])
         for j in np.flatnonzero(np.diff(ends) >= LEAST_MATCHES).tolist():
             yield i, j, p[ends[j] : ends[j + 1]], q[ends[j] : ends[j + 1]] - b_starts[j]
 
@@ -257,11 +265,13 @@ def fitting(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def _linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    main = None
     for batch in batches:
         for one, two, same in zip(batch.column("_x"), batch.column("_y"), batch.column("_same").to_pylist(), strict=True):
             left, out = one.as_py(), ([], [])
             right = left if same else two.as_py()
             sets = [[unpack(x["d"]) for x in side] for side in (left, right)]
+            main = main or axes(np.concatenate([strings for _, strings in sets[0]]))
             points = [[at @ np.array([1, 1j]) for at, _ in side] for side in sets]
             waiting: dict[int, list] = {}
             held = 0
@@ -274,7 +284,7 @@ def _linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                             out[1].append(pairs[k][1])
                 waiting.clear()
 
-            for i, j, p, q in matched(*sets, same):
+            for i, j, p, q in matched(*sets, same, main):
                 a, b, x, y = left[i]["node"], right[j]["node"], points[0][i][p], points[1][j][q]
                 if a > b:
                     order = np.argsort(q)
@@ -294,34 +304,60 @@ def _linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in out], ["a", "b"])
 
 
-def links_of(nodes: DataFrame) -> DataFrame:
-    """a < b for every pair of ``nodes`` (node, d) that ``same_scene`` takes for copies."""
-    size = nodes.agg(F.sum(F.length("d")) / (8 + BITS // 8)).head()[0] or 0
-    n = int(size // BLOCK) + 1
-    spread = int(min(n, 16))
-    blocks = nodes.filter(F.length("d") > 0).groupBy(F.pmod(F.xxhash64("node"), F.lit(n)).alias("block")).agg(F.collect_list(F.struct("node", "d")).alias("_x"))
-    blocks = cut(blocks.repartition(spread, "block"))
+def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Describes distinct images and puts those of a task together, some BLOCK strings a row: ``_x``, what is compared, and ``named``, whose they are."""
+    x, named, size = [], [], 0
+    types = [pa.list_(pa.struct([("node", pa.int64()), ("d", pa.binary())])), pa.list_(pa.struct([("sha", pa.string()), ("node", pa.int64()), ("n", pa.int64())]))]
+
+    def block() -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip((x, named), types, strict=True)], ["_x", "named"])
+
+    for batch in batches:
+        for sha, node, raw, h, w in zip(*(batch.column(c) for c in ("sha", "node", "pixels", "height", "width")), strict=True):
+            points, strings = describe(np.frombuffer(raw.as_buffer(), np.uint8).reshape(h.as_py(), w.as_py()))
+            named.append({"sha": sha.as_py(), "node": node.as_py(), "n": len(points)})
+            if len(points):
+                x.append({"node": node.as_py(), "d": pack(points, strings)})
+            size += len(points) + 1
+            if size >= BLOCK:
+                yield block()
+                x, named, size = [], [], 0
+    if named:
+        yield block()
+
+
+def links_of(blocks: DataFrame) -> DataFrame:
+    """a < b for every pair of nodes in ``blocks`` (block, _x: node and d) that ``same_scene`` takes for copies."""
+    blocks = blocks.filter(F.size("_x") > 0).select("block", "_x")
     right = blocks.select(F.col("block").alias("_b"), F.col("_x").alias("_y")).hint("shuffle_replicate_nl")
-    both = blocks.join(right, F.col("block") <= F.col("_b")).select("_x", "_y", (F.col("block") == F.col("_b")).alias("_same"))
+    # Of the two orders of two blocks a hash picks one, so that tasks on either side of the diagonal get as many.
+    pair = F.pmod(F.xxhash64(F.least("block", "_b"), F.greatest("block", "_b")), F.lit(2)) == 0
+    both = blocks.join(right, (F.col("block") == F.col("_b")) | ((F.col("block") < F.col("_b")) == pair)).select("_x", "_y", (F.col("block") == F.col("_b")).alias("_same"))
     return cut(both.mapInArrow(_linked, "a bigint, b bigint"))
 
 
 def image_copies(images: DataFrame) -> DataFrame:
     """image_id, n_corners, copy_of (the smallest id its links reach, itself included) and kept, for every row.
 
-    ``images``: image_id, pixels (8-bit grey rows), height, width. Null or ill-sized pixels have no
+    ``images``: image_id, pixels (8-bit grey rows), height, width; other columns are dropped. Null or ill-sized pixels have no
     corners and no links; so have flat images, unless pixel for pixel equal. Rows without an image_id
-    count as one that comes after all others.
+    count as one that comes after all others. The table is read twice and must be the same both times; of equal
+    images one is described.
     """
     settle(images.sparkSession)
-    described = F.arrow_udf(_described, "struct<d:binary,sha:string>")
-    rows = cut(images.select(F.col("image_id"), F.coalesce("image_id", F.lit(2**63 - 1)).alias("node"), described("pixels", "height", "width").alias("x")).select("image_id", "node", F.col("x.d").alias("d"), F.col("x.sha").alias("sha")))
-    nodes = cut(rows.filter("sha IS NOT NULL").groupBy("sha").agg(F.min("node").alias("node"), F.first("d").alias("d")))
-    labels = components(links_of(nodes.select("node", "d")))
-    named = nodes.select("sha", F.col("node").alias("_r")).join(labels, F.col("_r") == F.col("node"), "left").select("sha", F.coalesce("comp", "_r").alias("comp"))
+    good = F.col("height").cast("bigint") * F.col("width") == F.length("pixels")
+    sha = F.when(good & (F.col("height") > 0) & (F.col("width") > 0), F.sha2(F.concat(F.format_string("%d,%d,", "height", "width").cast("binary"), "pixels"), 256))
+    images = images.select("image_id", F.coalesce("image_id", F.lit(2**63 - 1)).alias("node"), sha.alias("sha"), "pixels", "height", "width")
+    rows = cut(images.select("image_id", "node", "sha"))
+    nodes = images.filter("sha IS NOT NULL").groupBy("sha").agg(F.min("node").alias("node"), *(F.first(c).alias(c) for c in ("pixels", "height", "width")))
+    blocks = nodes.mapInArrow(_blocks, "_x array<struct<node:bigint,d:binary>>, named array<struct<sha:string,node:bigint,n:bigint>>")
+    blocks = cut(blocks.select(F.monotonically_increasing_id().alias("block"), "_x", "named"))
+    labels = components(links_of(blocks))
+    nodes = blocks.select(F.explode("named").alias("x")).select("x.sha", F.col("x.node").alias("_r"), "x.n")
+    named = nodes.join(labels, F.col("_r") == F.col("node"), "left").select("sha", "n", F.coalesce("comp", "_r").alias("comp"))
     comp = F.coalesce("comp", "node")
     first = F.when(comp < 2**63 - 1, comp)
-    return rows.join(named, "sha", "left").select("image_id", (F.length("d") / (8 + BITS // 8)).cast("bigint").alias("n_corners"), first.alias("copy_of"), F.coalesce(first == F.col("image_id"), F.lit(True)).alias("kept"))
+    return rows.join(named, "sha", "left").select("image_id", F.coalesce("n", F.lit(0)).cast("bigint").alias("n_corners"), first.alias("copy_of"), F.coalesce(first == F.col("image_id"), F.lit(True)).alias("kept"))
 
 
 def drawn(vector: np.ndarray, side: int = SIDE) -> np.ndarray:

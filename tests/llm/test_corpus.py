@@ -6,6 +6,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -424,6 +425,44 @@ def test_matches_of_blocks_against_pairs(held, monkeypatch):
     assert len(fit) < len(want) and links and links <= fit
 
 
+def test_strings_close_on_any_axes(monkeypatch):
+    """The bound of the shadows loses no string within NEAR_BITS, whatever the axes and the parts; opposite strings do not count as equal."""
+    rng = np.random.default_rng(5)
+    a = rng.integers(0, 256, (50, 32), dtype=np.uint8)
+    b = np.concatenate([a, ~a, *(np.packbits(np.unpackbits(a, axis=1) ^ (rng.random((50, 256)).argsort(1) < n), axis=1) for n in (39, 40, 41))])
+    d = np.bitwise_count(a[:, None] ^ b[None]).sum(2, dtype=np.int64)
+    x, y = np.ascontiguousarray(a).view(np.uint64), np.ascontiguousarray(b).view(np.uint64)
+    far = np.zeros(256, np.float32), np.eye(256, 2, dtype=np.float32)
+    for tile in (1 << 18, 100):
+        monkeypatch.setattr(image_copies, "TILE", tile)
+        for main in (image_copies.axes(a), far):
+            p, q, bits = image_copies._close(x, y, image_copies._shadows(a, *main)[0], image_copies._shadows(b, *main)[1])
+            assert sorted(zip(p.tolist(), q.tolist(), bits.tolist(), strict=True)) == [(i, j, d[i, j]) for i, j in np.argwhere(d <= 40).tolist()] and len(p) >= 150
+
+
+def test_copies_end_the_search_for_a_transform(monkeypatch):
+    """Of two equal images one of the first transforms explains enough; the others are not tried."""
+    points, strings = image_copies.describe(image_copies.drawn(np.random.default_rng(2).random(8)))
+    tried, places = [], image_copies.places
+    monkeypatch.setattr(image_copies, "places", lambda fits, at: tried.append(len(fits)) or places(fits, at))
+    assert image_copies.same_scene(points, strings, points, strings, image_copies.LEAST_MATCHES) >= image_copies.LEAST_MATCHES
+    assert 0 < sum(tried) <= 2 * len(points)
+
+
+def test_blocks_of_images(spark, monkeypatch):
+    """Each image comes once, in blocks that are bounded by their strings; those without strings are named and not compared."""
+    monkeypatch.setattr(image_copies, "BLOCK", 300)
+    rng = np.random.default_rng(6)
+    images = [image_copies.drawn(rng.random(8)) for _ in range(12)] + [np.zeros((64, 64), np.uint8), np.zeros((3, 5), np.uint8)]
+    columns = [[f"{k}" for k in range(14)], range(14), [x.tobytes() for x in images], *([x.shape[i] for x in images] for i in (0, 1))]
+    batch = pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["sha", "node", "pixels", "height", "width"])
+    blocks = [r for b in image_copies._blocks(iter([batch.slice(0, 5), batch.slice(5)])) for r in b.to_pylist()]
+    packed = {k: image_copies.pack(*image_copies.describe(x)) for k, x in enumerate(images)}
+    assert {x["node"]: x["d"] for r in blocks for x in r["_x"]} == {k: d for k, d in packed.items() if d} and len(packed[12]) == 0
+    assert sorted((x["node"], x["sha"], x["n"]) for r in blocks for x in r["named"]) == [(k, f"{k}", len(d) // 40) for k, d in packed.items()]
+    assert len(blocks) > 3 and max(sum(x["n"] for x in r["named"]) for r in blocks) < 600
+
+
 def _tiled(rng, tile):
     return np.block([[image_copies.drawn(rng.random(8))[:tile, :tile] for _ in range(240 // tile)] for _ in range(240 // tile)])
 
