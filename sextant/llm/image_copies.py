@@ -194,12 +194,11 @@ def _shadows(strings: np.ndarray, mean: np.ndarray, turn: np.ndarray) -> tuple[n
     return np.concatenate((at, half, one), 1), np.concatenate((at, one, half), 1)
 
 
-def _close(a: np.ndarray, b: np.ndarray, x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Places p of ``a`` and q of ``b`` whose strings, in words of 64 bits, differ in NEAR_BITS or fewer, and in how many.
+def _close(a: np.ndarray, b: np.ndarray, x: np.ndarray, y: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Places p of ``a`` and q of ``b`` whose strings, in words of 64 bits, differ in NEAR_BITS or fewer, and in how many, part by part.
 
     A shadow is never longer than what casts it, so products of ``x`` and ``y`` pass all of these; they are then counted.
     """
-    out = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64))]
     rows = max(1, min(len(a), HELD, TILE))
     width = max(1, min(HELD, TILE) // rows)
     for at in range(0, len(a), rows):
@@ -211,8 +210,15 @@ def _close(a: np.ndarray, b: np.ndarray, x: np.ndarray, y: np.ndarray) -> tuple[
             bits = ((bits & 255) + (bits >> 8)).view(np.uint32).ravel()
             bits = (bits & 65535) + (bits >> 16)
             kept = np.flatnonzero(bits <= NEAR_BITS)
-            out.append((p[kept], q[kept], bits[kept].astype(np.int64)))
-    return tuple(np.concatenate(v) for v in zip(*out, strict=True))
+            if len(kept):
+                yield p[kept], q[kept], bits[kept].astype(np.int64)
+
+
+def _least(group: np.ndarray, rank: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Every group once, in order, with its least rank."""
+    order = np.lexsort((rank, group))
+    order = order[np.diff(group[order], prepend=-1) > 0]
+    return group[order], rank[order]
 
 
 def matched(left: list, right: list, same: bool = False, main: tuple | None = None) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
@@ -228,17 +234,19 @@ def matched(left: list, right: list, same: bool = False, main: tuple | None = No
     for i in range(len(left)):
         begin = b_starts[i + 1] if same else 0
         mine = slice(a_starts[i], a_starts[i + 1])
-        p, q, differ = _close(a[mine], b[begin:], x[mine], y[begin:])
-        if not len(p):
-            continue
         # The least of (bits, place) is the first of the nearest: for a string of the right, and for one of the left in an image of the right.
-        image = of_b[begin:][q]
-        for_q, for_p = np.full(len(b) - begin, 1 << 62), np.full((a_starts[i + 1] - a_starts[i], len(right)), 1 << 62)
-        np.minimum.at(for_q, q, differ << 40 | p)
-        np.minimum.at(for_p, (p, image), differ << 40 | q)
-        mutual = (for_q[q] == differ << 40 | p) & (for_p[p, image] == differ << 40 | q)
+        for_q, found = np.full(len(b) - begin, 1 << 62), []
+        for p, q, bits in _close(a[mine], b[begin:], x[mine], y[begin:]):
+            np.minimum.at(for_q, q, bits << 40 | p)
+            part = p * len(right) + of_b[begin:][q], bits << 40 | q
+            found.append(part if len(p) < TILE // 64 else _least(*part))
+        if not found:
+            continue
+        group, rank = _least(*(np.concatenate(v) for v in zip(*found, strict=True)))
+        (p, image), q = np.divmod(group, len(right)), rank & ((1 << 40) - 1)
+        mutual = for_q[q] == (rank - q | p)
         p, q, image = p[mutual], q[mutual] + begin, image[mutual]
-        order = np.lexsort((p, image))
+        order = np.argsort(image, kind="stable")
         p, q = p[order], q[order]
         ends = np.cumsum([0, *np.bincount(image, minlength=len(right))])
         for j in np.flatnonzero(np.diff(ends) >= LEAST_MATCHES).tolist():

@@ -436,10 +436,28 @@ def test_strings_close_on_any_axes(monkeypatch):
     for tile in (1 << 18, 100):
         monkeypatch.setattr(image_copies, "TILE", tile)
         for main in (image_copies.axes(a), far):
-            p, q, bits = image_copies._close(x, y, image_copies._shadows(a, *main)[0], image_copies._shadows(b, *main)[1])
+            parts = image_copies._close(x, y, image_copies._shadows(a, *main)[0], image_copies._shadows(b, *main)[1])
+            p, q, bits = (np.concatenate(v) for v in zip(*parts, strict=True))
             assert sorted(zip(p.tolist(), q.tolist(), bits.tolist(), strict=True)) == [(i, j, d[i, j]) for i, j in np.argwhere(d <= 40).tolist()] and len(p) >= 150
 
 
+def test_matches_where_most_strings_are_equal(monkeypatch):
+    """Images of a few strings each: what a part holds is cut to one match a string and image, with the same matches."""
+    rng = np.random.default_rng(9)
+    few = rng.integers(0, 256, (12, 32), dtype=np.uint8)
+    sets = [(rng.random((30, 2)) * 60, few[rng.integers(0, 12, 30)]) for _ in range(6)]
+    want = {}
+    for i, (_, sa) in enumerate(sets):
+        for j, (_, sb) in enumerate(sets):
+            d = np.bitwise_count(sa[:, None] ^ sb[None]).sum(2, dtype=np.int64)
+            p = [k for k in range(30) if d[k].min() <= image_copies.NEAR_BITS and d[:, d[k].argmin()].argmin() == k]
+            want[i, j] = (p, d[p].argmin(1).tolist())
+    for tile in (1 << 18, 1 << 9):
+        monkeypatch.setattr(image_copies, "TILE", tile)
+        got = {(i, j): (p.tolist(), q.tolist()) for i, j, p, q in image_copies.matched(sets, sets)}
+        assert got == {k: v for k, v in want.items() if len(v[0]) >= image_copies.LEAST_MATCHES} and len(got) > 9
+
+
 def test_copies_end_the_search_for_a_transform(monkeypatch):
     """Of two equal images one of the first transforms explains enough; the others are not tried."""
     points, strings = image_copies.describe(image_copies.drawn(np.random.default_rng(2).random(8)))
